@@ -7,7 +7,7 @@ from ledgerflow.functions.labels import (
     login_type_or_default, role_or_default,
 )
 from ledgerflow.functions.money import (
-    expense_part, money, parse_amount, revenue_part, round2, sign_label, signed_amount,
+    expense_part, money_value, parse_amount, revenue_part, round2, sign_label, signed_amount,
 )
 from ledgerflow.functions.text import (
     email_user, normalize_email, normalize_text, null_token, null_tokens,
@@ -18,6 +18,6 @@ __all__ = [
     "finite_or_null", "json_safe", "parse_payload", "to_json_record",
     "counterparty_kind", "department_id", "display_name", "expense_category", "import_status",
     "login_type_or_default", "role_or_default",
-    "expense_part", "money", "parse_amount", "revenue_part", "round2", "sign_label", "signed_amount",
+    "expense_part", "money_value", "parse_amount", "revenue_part", "round2", "sign_label", "signed_amount",
     "email_user", "normalize_email", "normalize_text", "null_token", "null_tokens",
 ]

@@ -44,14 +44,14 @@ def signed_amount(amount, txn_type, rule: str = "abs") -> Column:
     raise ValueError(f"unknown sign rule {rule!r}")
 
 
-def sign_label(signed) -> Column:
-    """``Positif`` for values >= 0, ``Négatif`` below 0 (legacy cleaner)."""
-    s = _c(signed)
-    return F.when(s.isNull(), F.lit(None)).when(s >= 0, F.lit(LEGACY_SIGN_LABELS[0])) \
+def sign_label(txn_type) -> Column:
+    """Legacy cleaner label: ``Positif`` for exactly ``Revenu``, ``Négatif`` otherwise."""
+    t = _c(txn_type)
+    return F.when(F.coalesce(t == F.lit(LEGACY_REVENUE), F.lit(False)), F.lit(LEGACY_SIGN_LABELS[0])) \
         .otherwise(F.lit(LEGACY_SIGN_LABELS[1]))
 
 
-def money(col, scale: int = 2) -> Column:
+def money_value(col, scale: int = 2) -> Column:
     """Null-safe money output: 0 for null, rounded half-up, as DOUBLE."""
     return F.round(F.coalesce(_c(col), F.lit(0).cast(MONEY)), scale).cast("double")
 

@@ -1,21 +1,57 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each query reads the test-data tables through ``sources.binding`` and runs the
-library's operators over the whole tables.
+Every query reads the test-data tables through ``sources.binding`` and runs the
+library's operators over the whole tables. The star-schema queries share one load
+scenario, as the application is used:
+
+1. the standalone rebuild builds the star from a first upload (the ledger rows
+   dated before 1997);
+2. the upload path then loads the whole ledger into it (dimensions extended
+   insert-only, facts replaced), and the KPI refresh of each state is merged
+   into the KPI store.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerflow.functions import calendar as Cal
+from ledgerflow.functions import jsonval as J
+from ledgerflow.functions import labels as L
+from ledgerflow.functions import money as M
+from ledgerflow.functions import text as T
+from ledgerflow.operators import assistant as A
 from ledgerflow.operators import clean as C
+from ledgerflow.operators import history as H
 from ledgerflow.operators import kpi as K
+from ledgerflow.operators import refresh as R
+from ledgerflow.operators import star as St
+from ledgerflow.operators import store as S
+from ledgerflow.operators import users as U
+from ledgerflow.operators.ids import first_per_key
+from ledgerflow.plans import etl_load as E
 from ledgerflow.sources import binding as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Scenario parameters.
+FIRST_UPLOAD_END = _dt.date(1997, 1, 1)
+STORE_T0 = _dt.datetime(2024, 1, 1, 0, 0, 0)
+STORE_T1 = _dt.datetime(2024, 6, 1, 0, 0, 0)
+STATS_NOW = _dt.datetime(2024, 1, 2, 18, 0, 0)
+REPORT_MONTH = "1996-03"
+REPORT_DEPARTMENT = 5
+SEARCH_TEXT = "nom1"
+SEARCH_PAGE = 2
+SCOPE_USER = 7
+FORECAST_DEPARTMENT = 3
+KPI_LOOKUP_NAME = "CA_Mensuel"
+KEYWORD = "revenu"
+
 
 def query(name: str):
     def deco(fn):
@@ -24,11 +60,411 @@ def query(name: str):
     return deco
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, key: str, build):
+    """Reuse a built piece (whose ids are checkpointed) across queries of one session."""
+    k = (spark.sparkContext.applicationId, sf_dir, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def clear_memo() -> None:
+    _MEMO.clear()
+
+
+def raw(spark, sf_dir) -> DataFrame:
+    return B.ledger_raw(spark, sf_dir)
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid cleaned ledger rows from the test-data binding."""
-    return C.clean_valid(B.ledger_raw(spark, sf_dir))
+    return C.clean_valid(raw(spark, sf_dir))
+
+
+def first_upload(spark, sf_dir) -> DataFrame:
+    return ledger(spark, sf_dir).where(F.col("txn_date") < F.lit(FIRST_UPLOAD_END))
+
+
+def star1(spark, sf_dir) -> E.Star:
+    return _memo(spark, sf_dir, "star1", lambda: E.rebuild_star(first_upload(spark, sf_dir)))
+
+
+def load2(spark, sf_dir) -> E.LoadResult:
+    return _memo(spark, sf_dir, "load2", lambda: E.load_upload(star1(spark, sf_dir), ledger(spark, sf_dir), True))
+
+
+def store1(spark, sf_dir) -> DataFrame:
+    return _memo(spark, sf_dir, "store1",
+                 lambda: S.initial_store(E.refresh_from_star(star1(spark, sf_dir)), STORE_T0))
+
+
+def merged(spark, sf_dir):
+    return _memo(spark, sf_dir, "merged",
+                 lambda: E.refresh_and_merge(store1(spark, sf_dir), load2(spark, sf_dir).star, STORE_T1))
+
+
+def kpi_base2(spark, sf_dir) -> DataFrame:
+    st = load2(spark, sf_dir).star
+    return St.kpi_base(st.facts, st.dims)
+
+
+# ------------------------------------------------------------------ A. sources
+
+@query("null_tokens")
+def q_null_tokens(spark, sf_dir):
+    return T.null_tokens(raw(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ B. scalar functions
+
+@query("amount_parse")
+def q_amount_parse(spark, sf_dir):
+    r = T.null_tokens(raw(spark, sf_dir))
+    return r.select("amount_raw", M.parse_amount("amount_raw").alias("amount"))
+
+
+@query("text_normalize")
+def q_text_normalize(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return r.select(F.col("department").alias("text_raw"), T.normalize_text("department").alias("text"),
+                    F.col("owner").alias("owner_raw"), T.normalize_text("owner").alias("owner"))
+
+
+@query("signed_amount")
+def q_signed_amount(spark, sf_dir):
+    return ledger(spark, sf_dir).select("txn_type", "amount", "signed_amount")
+
+
+@query("signed_amount_legacy")
+def q_signed_amount_legacy(spark, sf_dir):
+    led = ledger(spark, sf_dir)
+    legacy = M.signed_amount("amount", "txn_type", rule="legacy")
+    return led.select("txn_type", "amount", legacy.alias("signed_legacy"),
+                      M.sign_label("txn_type").alias("sign_label"))
+
+
+@query("calendar_attributes")
+def q_calendar(spark, sf_dir):
+    led = ledger(spark, sf_dir)
+    return led.select("txn_date", "year", "month", "quarter", "iso_week", "day_name", "day_of_year",
+                      "year_month", "fiscal_year")
+
+
+@query("department_id")
+def q_department_id(spark, sf_dir):
+    r = raw(spark, sf_dir)
+    return r.select("department_code", L.department_id("department_code").alias("department_id"))
+
+
+@query("expense_category")
+def q_expense_category(spark, sf_dir):
+    return St.build_dim_expense_type(ledger(spark, sf_dir)).select("expense_type", "category")
+
+
+@query("display_name")
+def q_display_name(spark, sf_dir):
+    u = B.users(spark, sf_dir)
+    return u.select("id", L.display_name("firstname", "lastname", "email").alias("display_name"))
+
+
+@query("json_payload")
+def q_json_payload(spark, sf_dir):
+    f = S.forecast_values(B.forecasts(spark, sf_dir))
+    return f.select("id", F.variant_get("results_json", "$.k", "int").alias("k"),
+                    F.col("results_json").isNotNull().alias("is_json"))
+
+
+@query("json_safe")
+def q_json_safe(spark, sf_dir):
+    rep = K.kpi_by_department(ledger(spark, sf_dir))
+    ratio = (F.col("revenue") / F.col("expenses"))
+    return J.to_json_record(rep.select("department_id", "n_transactions", ratio.alias("ratio")), "json")
+
+
+# ------------------------------------------------------------------ C. filters
+
+@query("reject_invalid")
+def q_reject_invalid(spark, sf_dir):
+    _, rejected = C.split_valid(C.clean_ledger(raw(spark, sf_dir)))
+    return rejected.select("date_raw", "amount_raw", "department", "txn_type", "owner", "counterparty",
+                           "project", "reasons")
+
+
+@query("dedup_exact")
+def q_dedup_exact(spark, sf_dir):
+    return C.drop_exact_duplicates(T.null_tokens(raw(spark, sf_dir)))
+
+
+@query("period_filter")
+def q_period_filter(spark, sf_dir):
+    return K.kpi_global(K.in_period(ledger(spark, sf_dir), REPORT_MONTH))
+
+
+@query("department_filter")
+def q_department_filter(spark, sf_dir):
+    return K.kpi_global(K.in_department(ledger(spark, sf_dir), REPORT_DEPARTMENT))
+
+
+@query("kpi_lookup")
+def q_kpi_lookup(spark, sf_dir):
+    store, _ = merged(spark, sf_dir)
+    return S.kpi_lookup(store, KPI_LOOKUP_NAME)
+
+
+@query("forecast_read")
+def q_forecast_read(spark, sf_dir):
+    f = S.read_forecasts(B.forecasts(spark, sf_dir), FORECAST_DEPARTMENT)
+    return f.select("id", "type", "start_date", "end_date", "department_id", "created_by", "created_at")
+
+
+@query("history_scope_admin")
+def q_history_scope_admin(spark, sf_dir):
+    h = H.history_with_users(B.import_history(spark, sf_dir), B.users(spark, sf_dir))
+    return H.scope_history(h, SCOPE_USER, "admin").select("id", "user_id", "user_name", "imported_at")
+
+
+@query("history_scope_user")
+def q_history_scope_user(spark, sf_dir):
+    h = H.history_with_users(B.import_history(spark, sf_dir), B.users(spark, sf_dir))
+    return H.scope_history(h, SCOPE_USER, "user").select("id", "user_id", "user_name", "imported_at")
+
+
+# ------------------------------------------------------------------ D. joins / star
+
+def _dim_query(name: str, dim_key: str, source):
+    @query(name)
+    def q(spark, sf_dir):
+        return source(spark, sf_dir)[dim_key]
+    return q
+
+
+_dim_query("dim_upsert_date", "dim_date", lambda s, d: load2(s, d).star.dims)
+_dim_query("dim_upsert_owner", "dim_owner", lambda s, d: load2(s, d).star.dims)
+_dim_query("dim_upsert_counterparty", "dim_counterparty", lambda s, d: load2(s, d).star.dims)
+_dim_query("dim_upsert_project", "dim_project", lambda s, d: load2(s, d).star.dims)
+
+
+@query("dim_department")
+def q_dim_department(spark, sf_dir):
+    return St.build_dim_department(ledger(spark, sf_dir))
+
+
+@query("dim_txn_type")
+def q_dim_txn_type(spark, sf_dir):
+    return St.build_dim_txn_type(ledger(spark, sf_dir))
+
+
+@query("dim_expense_type")
+def q_dim_expense_type(spark, sf_dir):
+    return St.build_dim_expense_type(ledger(spark, sf_dir))
+
+
+@query("fact_load")
+def q_fact_load(spark, sf_dir):
+    return load2(spark, sf_dir).star.facts
+
+
+@query("fact_load_lenient")
+def q_fact_load_lenient(spark, sf_dir):
+    return E.rebuild_star(ledger(spark, sf_dir)).facts
+
+
+@query("fact_append")
+def q_fact_append(spark, sf_dir):
+    return St.load_facts(star1(spark, sf_dir).facts, load2(spark, sf_dir).resolved, replace=False)
+
+
+@query("star_flatten")
+def q_star_flatten(spark, sf_dir):
+    st = load2(spark, sf_dir).star
+    return St.flatten_star(st.facts, st.dims)
+
+
+@query("kpi_base")
+def q_kpi_base(spark, sf_dir):
+    return kpi_base2(spark, sf_dir)
+
+
+@query("history_users")
+def q_history_users(spark, sf_dir):
+    h = H.history_with_users(B.import_history(spark, sf_dir), B.users(spark, sf_dir))
+    return h.select("id", "user_id", "firstname", "lastname", "email", "user_name")
+
+
+# ------------------------------------------------------------------ E. aggregations
+
+@query("kpi_global")
+def q_kpi_global(spark, sf_dir):
+    return K.kpi_global(ledger(spark, sf_dir))
+
+
+@query("kpi_by_department")
+def q_kpi_by_department(spark, sf_dir):
+    return K.kpi_by_department(ledger(spark, sf_dir))
 
 
 @query("kpi_monthly")
 def q_kpi_monthly(spark, sf_dir):
     return K.kpi_monthly_balance(ledger(spark, sf_dir))
+
+
+@query("top_expense_types")
+def q_top_expense_types(spark, sf_dir):
+    return K.top_expense_types(ledger(spark, sf_dir))
+
+
+@query("top_projects")
+def q_top_projects(spark, sf_dir):
+    return K.top_projects(ledger(spark, sf_dir))
+
+
+@query("top_counterparties")
+def q_top_counterparties(spark, sf_dir):
+    return K.top_counterparties(ledger(spark, sf_dir))
+
+
+@query("load_stats")
+def q_load_stats(spark, sf_dir):
+    return C.load_stats(ledger(spark, sf_dir))
+
+
+@query("quality_counters")
+def q_quality_counters(spark, sf_dir):
+    return E.quality_report(raw(spark, sf_dir), load2(spark, sf_dir).star)
+
+
+@query("reject_reasons")
+def q_reject_reasons(spark, sf_dir):
+    return C.reject_reasons(C.clean_ledger(raw(spark, sf_dir)))
+
+
+def _refresh_query(name: str, fn):
+    @query(name)
+    def q(spark, sf_dir):
+        return fn(kpi_base2(spark, sf_dir)).drop("part", "position")
+    return q
+
+
+_refresh_query("refresh_global", R.refresh_global)
+_refresh_query("refresh_quarter", R.refresh_quarter)
+_refresh_query("refresh_department", R.refresh_department)
+_refresh_query("refresh_txn_type", R.refresh_txn_type)
+_refresh_query("refresh_expense_type", R.refresh_expense_type)
+_refresh_query("monthly_evolution", R.monthly_evolution)
+
+
+@query("project_span")
+def q_project_span(spark, sf_dir):
+    return St.project_span(ledger(spark, sf_dir))
+
+
+@query("user_stats")
+def q_user_stats(spark, sf_dir):
+    return U.user_stats(B.users(spark, sf_dir), STATS_NOW)
+
+
+@query("registrations_daily")
+def q_registrations_daily(spark, sf_dir):
+    return U.registrations_daily(B.users(spark, sf_dir))
+
+
+@query("login_split")
+def q_login_split(spark, sf_dir):
+    return U.login_split(B.users(spark, sf_dir))
+
+
+@query("activity_weekly")
+def q_activity_weekly(spark, sf_dir):
+    return U.activity_weekly(B.activity(spark, sf_dir))
+
+
+@query("kpi_keyword_total")
+def q_kpi_keyword_total(spark, sf_dir):
+    store, _ = merged(spark, sf_dir)
+    return A.kpi_keyword_total(store, KEYWORD)
+
+
+@query("history_groups")
+def q_history_groups(spark, sf_dir):
+    h = H.history_with_users(B.import_history(spark, sf_dir), B.users(spark, sf_dir))
+    return H.history_groups(h).select("user_name", "item_no", "id", "imported_at_label", "status")
+
+
+# ------------------------------------------------------------------ F. windows
+
+@query("first_per_key")
+def q_first_per_key(spark, sf_dir):
+    led = ledger(spark, sf_dir).withColumn("_ord", St.ledger_ordinal())
+    return first_per_key(led, ["owner"], "_ord", ["department", "txn_date"])
+
+
+# ------------------------------------------------------------------ G. top-k / paging
+
+@query("latest_n")
+def q_latest_n(spark, sf_dir):
+    return H.latest_history(B.import_history(spark, sf_dir)).select("id", "user_id", "imported_at", "status")
+
+
+@query("users_page")
+def q_users_page(spark, sf_dir):
+    return U.search_users(B.users(spark, sf_dir), SEARCH_TEXT, SEARCH_PAGE)
+
+
+@query("users_search_total")
+def q_users_search_total(spark, sf_dir):
+    return U.search_total(B.users(spark, sf_dir), SEARCH_TEXT)
+
+
+@query("users_list")
+def q_users_list(spark, sf_dir):
+    return U.list_users(B.users(spark, sf_dir))
+
+
+@query("users_export")
+def q_users_export(spark, sf_dir):
+    return U.export_lines(B.users(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ H / I. set ops, maintenance
+
+@query("kpi_refresh_all")
+def q_kpi_refresh_all(spark, sf_dir):
+    return R.refresh_kpis(kpi_base2(spark, sf_dir))
+
+
+@query("kpi_merge")
+def q_kpi_merge(spark, sf_dir):
+    store, _ = merged(spark, sf_dir)
+    return store
+
+
+@query("kpi_merge_counts")
+def q_kpi_merge_counts(spark, sf_dir):
+    _, counts = merged(spark, sf_dir)
+    return counts
+
+
+@query("audit_status")
+def q_audit_status(spark, sf_dir):
+    return H.audit_status(B.import_history(spark, sf_dir).drop("status")).select("id", "n_errors", "status")
+
+
+@query("history_detail")
+def q_history_detail(spark, sf_dir):
+    d = H.history_detail(B.import_history(spark, sf_dir))
+    return d.select("id", "columns", "rows_count", "preview")
+
+
+# ------------------------------------------------------------------ J. messages
+
+@query("message_intent")
+def q_message_intent(spark, sf_dir):
+    store, _ = merged(spark, sf_dir)
+    return A.answer_messages(B.messages(spark, sf_dir), store, B.users(spark, sf_dir)) \
+        .select("conv_id", "turn", "intent", "answer")
+
+
+__all__ = ["QUERIES", "clear_memo", "Cal"]

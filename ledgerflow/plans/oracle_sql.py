@@ -107,9 +107,10 @@ cte("ledger_all", """
          CAST(CASE WHEN amount IS NULL THEN NULL
                    WHEN lower(trim(coalesce(txn_type, ''))) IN ('depense', 'dépense') THEN -abs(amount)
                    ELSE abs(amount) END AS DECIMAL(18,3)) AS signed_amount,
-         year(txn_date) AS year, month(txn_date) AS month, quarter(txn_date) AS quarter,
-         weekofyear(txn_date) AS iso_week, dayname(txn_date) AS day_name, dayofyear(txn_date) AS day_of_year,
-         strftime(txn_date, '%Y-%m') AS year_month, year(txn_date) AS fiscal_year,
+         CAST(year(txn_date) AS INTEGER) AS year, CAST(month(txn_date) AS INTEGER) AS month,
+         CAST(quarter(txn_date) AS INTEGER) AS quarter, CAST(weekofyear(txn_date) AS INTEGER) AS iso_week,
+         dayname(txn_date) AS day_name, CAST(dayofyear(txn_date) AS INTEGER) AS day_of_year,
+         strftime(txn_date, '%Y-%m') AS year_month, CAST(year(txn_date) AS INTEGER) AS fiscal_year,
          date_raw, amount_raw, n_copies,
          list_filter([CASE WHEN txn_date IS NULL THEN 'txn_date' END,
                       CASE WHEN amount IS NULL THEN 'amount' END,
@@ -152,8 +153,8 @@ DEP = f"COALESCE(SUM(CASE WHEN {S} < 0 THEN -{S} ELSE 0 END), 0)"
 ORACLE: dict[str, str] = {}
 
 
-def oracle(name: str, final_sql: str, needs: list[str]) -> None:
-    ORACLE[name] = build(final_sql, needs)
+def oracle(name: str, final_sql: str, needs: list[str] | None = None) -> None:
+    ORACLE[name] = build(final_sql, needs or [])
 
 
 oracle("kpi_monthly", f"""
@@ -164,3 +165,501 @@ FROM (SELECT strftime(txn_date, '%Y-%m') AS month, {REV} AS revenue, {DEP} AS ex
       FROM ledger GROUP BY 1) m
 ORDER BY month
 """, ["ledger"])
+
+
+# =========================================================================== shared pieces
+
+LORD = ("txn_date NULLS FIRST, department NULLS FIRST, txn_type NULLS FIRST, expense_type NULLS FIRST, "
+        "owner NULLS FIRST, counterparty NULLS FIRST, project NULLS FIRST, amount NULLS FIRST, "
+        "signed_amount NULLS FIRST, department_code NULLS FIRST")
+# First-row-seen order (all non-null on valid rows; the code made non-null).
+FORD = ("txn_date, department, txn_type, expense_type, owner, counterparty, project, amount, "
+        "signed_amount, coalesce(department_code, '')")
+
+
+def _cal(d: str) -> str:
+    return (f"CAST(year({d}) AS INTEGER) AS year, CAST(month({d}) AS INTEGER) AS month, "
+            f"CAST(quarter({d}) AS INTEGER) AS quarter, CAST(year({d}) AS INTEGER) AS fiscal_year, "
+            f"dayname({d}) AS day_name, CAST(weekofyear({d}) AS INTEGER) AS iso_week, "
+            f"CAST(dayofyear({d}) AS INTEGER) AS day_of_year, strftime({d}, '%Y-%m') AS year_month")
+
+
+_DEPT_ID = "TRY_CAST(NULLIF(regexp_extract(department_code, '(\\d+)', 1), '') AS INTEGER)"
+
+_CATEGORY = """CASE
+  WHEN contains(lower(expense_type), 'salaire') OR contains(lower(expense_type), 'rh')
+    OR contains(lower(expense_type), 'recrutement') OR contains(lower(expense_type), 'formation') THEN 'Ressources Humaines'
+  WHEN contains(lower(expense_type), 'achat') OR contains(lower(expense_type), 'stock')
+    OR contains(lower(expense_type), 'fournisseur') OR contains(lower(expense_type), 'matière') THEN 'Achats & Approvisionnement'
+  WHEN contains(lower(expense_type), 'loyer') OR contains(lower(expense_type), 'immobilier')
+    OR contains(lower(expense_type), 'infrastructure') THEN 'Infrastructure'
+  WHEN contains(lower(expense_type), 'marketing') OR contains(lower(expense_type), 'publicité')
+    OR contains(lower(expense_type), 'communication') THEN 'Marketing'
+  WHEN contains(lower(expense_type), 'it') OR contains(lower(expense_type), 'informatique')
+    OR contains(lower(expense_type), 'logiciel') OR contains(lower(expense_type), 'tech') THEN 'IT & Technologie'
+  WHEN contains(lower(expense_type), 'revenu') OR contains(lower(expense_type), 'vente')
+    OR contains(lower(expense_type), 'client') THEN 'Revenus'
+  ELSE 'Autres' END"""
+
+
+def _full_dims(prefix: str, src: str) -> None:
+    """Full-rebuild dimensions of ``src`` as CTEs ``{prefix}_date`` ... ``{prefix}_project``."""
+    cte(f"{prefix}_date", f"""
+      SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS date_id, date, {_cal('date')}
+      FROM (SELECT DISTINCT txn_date AS date FROM {src} WHERE txn_date IS NOT NULL)""", [src])
+    cte(f"{prefix}_department", f"""
+      SELECT {_DEPT_ID} AS department_id, department, department_code
+      FROM (SELECT DISTINCT department_code, department FROM {src} WHERE department IS NOT NULL)""", [src])
+    cte(f"{prefix}_owner", f"""
+      SELECT CAST(row_number() OVER (ORDER BY owner) AS INTEGER) AS owner_id, owner, department
+      FROM (SELECT owner, department, row_number() OVER (PARTITION BY owner ORDER BY {FORD}) AS rn
+            FROM {src} WHERE owner IS NOT NULL) WHERE rn = 1""", [src])
+    cte(f"{prefix}_txn_type", f"""
+      SELECT CAST(row_number() OVER (ORDER BY txn_type) AS INTEGER) AS txn_type_id, txn_type
+      FROM (SELECT DISTINCT txn_type FROM {src} WHERE txn_type IS NOT NULL)""", [src])
+    cte(f"{prefix}_expense_type", f"""
+      SELECT CAST(row_number() OVER (ORDER BY expense_type) AS INTEGER) AS expense_type_id, expense_type,
+             {_CATEGORY} AS category
+      FROM (SELECT DISTINCT expense_type FROM {src} WHERE expense_type IS NOT NULL)""", [src])
+    cte(f"{prefix}_counterparty", f"""
+      SELECT CAST(row_number() OVER (ORDER BY counterparty) AS INTEGER) AS counterparty_id, counterparty,
+             CASE WHEN txn_type = 'Revenu' THEN 'Client' ELSE 'Fournisseur' END AS kind
+      FROM (SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
+            FROM {src} WHERE counterparty IS NOT NULL) WHERE rn = 1""", [src])
+    cte(f"{prefix}_project", f"""
+      SELECT CAST(row_number() OVER (ORDER BY project) AS INTEGER) AS project_id, project, start_date, end_date
+      FROM (SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date
+            FROM {src} WHERE project IS NOT NULL GROUP BY project)""", [src])
+
+
+def _facts(name: str, resolved: str, start_sql: str = "0") -> None:
+    cte(name, f"""
+      SELECT CAST(({start_sql}) + row_number() OVER (ORDER BY {LORD}) AS BIGINT) AS transaction_id,
+             date_id, department_id, txn_type_id, expense_type_id, owner_id, counterparty_id, project_id,
+             CAST(round(amount, 2) AS DECIMAL(18,3)) AS amount, CAST(signed_amount AS DECIMAL(18,3)) AS signed_amount
+      FROM {resolved} WHERE resolved""", [resolved])
+
+
+def _resolve(name: str, src: str, dims: dict[str, str], strict: bool, owner_by_name: bool) -> None:
+    owner_on = "l.owner = o.owner" if owner_by_name else "l.owner = o.owner AND l.department = o.department"
+    ok = ("d.date_id IS NOT NULL AND dp.department_id IS NOT NULL AND tt.txn_type_id IS NOT NULL AND "
+          "et.expense_type_id IS NOT NULL AND o.owner_id IS NOT NULL AND c.counterparty_id IS NOT NULL AND "
+          "p.project_id IS NOT NULL") if strict else "d.date_id IS NOT NULL"
+    cte(name, f"""
+      SELECT l.*, d.date_id, dp.department_id, tt.txn_type_id, et.expense_type_id, o.owner_id,
+             c.counterparty_id, p.project_id, ({ok}) AS resolved
+      FROM {src} l
+      LEFT JOIN {dims['date']} d ON l.txn_date = d.date
+      LEFT JOIN {dims['department']} dp ON l.department = dp.department
+      LEFT JOIN {dims['txn_type']} tt ON l.txn_type = tt.txn_type
+      LEFT JOIN {dims['expense_type']} et ON l.expense_type = et.expense_type
+      LEFT JOIN {dims['owner']} o ON {owner_on}
+      LEFT JOIN {dims['counterparty']} c ON l.counterparty = c.counterparty
+      LEFT JOIN {dims['project']} p ON l.project = p.project""", [src, *dims.values()])
+
+
+# ---- load scenario: rebuild from the first upload, then load the whole ledger
+cte("upload1", "SELECT * FROM ledger WHERE txn_date < DATE '1997-01-01'", ["ledger"])
+_full_dims("s1", "upload1")
+S1 = {k: f"s1_{k}" for k in ["date", "department", "txn_type", "expense_type", "owner", "counterparty", "project"]}
+_resolve("s1_resolved", "upload1", S1, strict=False, owner_by_name=True)
+_facts("s1_facts", "s1_resolved")
+
+cte("s2_date", f"""
+  SELECT * FROM s1_date
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(date_id), 0) FROM s1_date) + row_number() OVER (ORDER BY date) AS INTEGER) AS date_id,
+         date, {_cal('date')}
+  FROM (SELECT DISTINCT txn_date AS date FROM ledger l WHERE txn_date IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM s1_date x WHERE x.date = l.txn_date))""", ["s1_date", "ledger"])
+cte("s2_owner", """
+  SELECT * FROM s1_owner
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(owner_id), 0) FROM s1_owner) + row_number() OVER (ORDER BY owner, department) AS INTEGER),
+         owner, department
+  FROM (SELECT DISTINCT owner, department FROM ledger l WHERE owner IS NOT NULL AND department IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM s1_owner x WHERE x.owner = l.owner AND x.department = l.department))""",
+    ["s1_owner", "ledger"])
+cte("s2_counterparty", f"""
+  SELECT * FROM s1_counterparty
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(counterparty_id), 0) FROM s1_counterparty)
+              + row_number() OVER (ORDER BY counterparty) AS INTEGER),
+         counterparty, CASE WHEN lower(trim(txn_type)) = 'revenu' THEN 'Client' ELSE 'Fournisseur' END
+  FROM (SELECT counterparty, txn_type FROM (
+          SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
+          FROM ledger WHERE counterparty IS NOT NULL AND txn_type IS NOT NULL) WHERE rn = 1) f
+  WHERE NOT EXISTS (SELECT 1 FROM s1_counterparty x WHERE x.counterparty = f.counterparty)""",
+    ["s1_counterparty", "ledger"])
+cte("s2_project", """
+  SELECT * FROM s1_project
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(project_id), 0) FROM s1_project) + row_number() OVER (ORDER BY project) AS INTEGER),
+         project, start_date, end_date
+  FROM (SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date
+        FROM ledger WHERE project IS NOT NULL GROUP BY project) f
+  WHERE NOT EXISTS (SELECT 1 FROM s1_project x WHERE x.project = f.project)""", ["s1_project", "ledger"])
+S2 = {"date": "s2_date", "department": "s1_department", "txn_type": "s1_txn_type",
+      "expense_type": "s1_expense_type", "owner": "s2_owner", "counterparty": "s2_counterparty",
+      "project": "s2_project"}
+_resolve("s2_resolved", "ledger", S2, strict=True, owner_by_name=False)
+_facts("s2_facts", "s2_resolved")
+
+# ---- whole-ledger rebuild (lenient facts)
+_full_dims("f", "ledger")
+F_DIMS = {k: f"f_{k}" for k in ["date", "department", "txn_type", "expense_type", "owner", "counterparty", "project"]}
+_resolve("f_resolved", "ledger", F_DIMS, strict=False, owner_by_name=True)
+_facts("f_facts", "f_resolved")
+
+
+def _kpi_base(name: str, facts: str, dims: dict[str, str]) -> None:
+    cte(name, f"""
+      SELECT f.amount, f.signed_amount, d.year, d.quarter, d.year_month, dp.department, f.department_id,
+             tt.txn_type, et.expense_type
+      FROM {facts} f
+      LEFT JOIN {dims['date']} d ON f.date_id = d.date_id
+      LEFT JOIN {dims['department']} dp ON f.department_id = dp.department_id
+      LEFT JOIN {dims['txn_type']} tt ON f.txn_type_id = tt.txn_type_id
+      LEFT JOIN {dims['expense_type']} et ON f.expense_type_id = et.expense_type_id""", [facts, *dims.values()])
+
+
+_kpi_base("kb1", "s1_facts", S1)
+_kpi_base("kb2", "s2_facts", S2)
+
+_Z = "CAST(0 AS DECIMAL(18,3))"
+
+
+def _refresh(prefix: str, base: str) -> None:
+    """Refresh parts as CTEs {prefix}_global ... {prefix}_monthly, and {prefix}_all."""
+    cte(f"{prefix}_g", f"""
+      SELECT coalesce(sum(coalesce(amount, {_Z})), {_Z}) AS tot, coalesce(sum(coalesce(signed_amount, {_Z})), {_Z}) AS net,
+             coalesce(sum(CASE WHEN signed_amount > 0 THEN signed_amount END), {_Z}) AS rev,
+             abs(coalesce(sum(CASE WHEN signed_amount < 0 THEN signed_amount END), {_Z})) AS dep,
+             count(*) AS n
+      FROM {base}""", [base])
+    cte(f"{prefix}_global", f"""
+      SELECT k AS kpi_name, 'global' AS period, v AS value, 0.0 AS evolution, CAST(NULL AS INTEGER) AS department_id,
+             s AS stat_type, 'etl_auto' AS source, 0 AS part, lpad(CAST(i AS VARCHAR), 2, '0') AS position
+      FROM (
+        SELECT 'CA_Total' AS k, CAST(round(tot, 2) AS DOUBLE) AS v, 'sum' AS s, 0 AS i FROM {prefix}_g UNION ALL
+        SELECT 'Solde_Net', CAST(round(net, 2) AS DOUBLE), 'sum', 1 FROM {prefix}_g UNION ALL
+        SELECT 'Revenus', CAST(round(rev, 2) AS DOUBLE), 'sum', 2 FROM {prefix}_g UNION ALL
+        SELECT 'Dépenses', CAST(round(dep, 2) AS DOUBLE), 'sum', 3 FROM {prefix}_g UNION ALL
+        SELECT 'Nb_Transactions', CAST(n AS DOUBLE), 'count', 4 FROM {prefix}_g UNION ALL
+        SELECT 'Valeur_Moyenne', CASE WHEN n > 0 THEN {_div2('tot', 'CAST(n AS DECIMAL(38,0))')} ELSE 0.0 END, 'avg', 5
+          FROM {prefix}_g UNION ALL
+        SELECT 'Ratio_Dep_Rev', CASE WHEN rev <> 0 THEN {_div2('dep', 'rev', True)} ELSE 0.0 END, 'ratio', 6 FROM {prefix}_g
+      )""", [f"{prefix}_g"])
+    cte(f"{prefix}_quarter", f"""
+      SELECT 'CA_' || key AS kpi_name, key AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+             CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 1 AS part,
+             'CA_' || key AS position
+      FROM (SELECT 'Q' || CAST(coalesce(quarter, 0) AS VARCHAR) || '_' || CAST(coalesce(year, 0) AS VARCHAR) AS key,
+                   coalesce(sum(amount), {_Z}) AS tot FROM {base} GROUP BY 1)""", [base])
+    cte(f"{prefix}_department", f"""
+      SELECT 'CA_' || dep AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+             CAST(dept_id AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 2 AS part,
+             'CA_' || dep AS position
+      FROM (SELECT coalesce(nullif(department, ''), 'Inconnu') AS dep, coalesce(sum(amount), {_Z}) AS tot,
+                   max(department_id) AS dept_id FROM {base} GROUP BY 1)""", [base])
+    for part, (nm, col, pre) in enumerate([("txn_type", "txn_type", "Vol_"), ("expense_type", "expense_type", "Dep_")],
+                                          start=3):
+        cte(f"{prefix}_{nm}", f"""
+          SELECT '{pre}' || k AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+                 CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, {part} AS part,
+                 '{pre}' || k AS position
+          FROM (SELECT coalesce(nullif({col}, ''), 'Autre') AS k, coalesce(sum(amount), {_Z}) AS tot
+                FROM {base} GROUP BY 1)""", [base])
+    cte(f"{prefix}_monthly", f"""
+      SELECT 'CA_Mensuel' AS kpi_name, ym AS period, CAST(val AS DOUBLE) AS value,
+             CASE WHEN prev <> 0 THEN {_div2('val - prev', 'prev', True)} ELSE 0.0 END AS evolution,
+             CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 5 AS part, ym AS position
+      FROM (SELECT ym, val, coalesce(lag(val) OVER (ORDER BY ym), val) AS prev
+            FROM (SELECT coalesce(nullif(year_month, ''), '0000-00') AS ym, round(coalesce(sum(amount), {_Z}), 2) AS val
+                  FROM {base} GROUP BY 1))""", [base])
+    parts = ["global", "quarter", "department", "txn_type", "expense_type", "monthly"]
+    cte(f"{prefix}_all", " UNION ALL ".join(f"SELECT * FROM {prefix}_{p}" for p in parts),
+        [f"{prefix}_{p}" for p in parts])
+
+
+_refresh("r1", "kb1")
+_refresh("r2", "kb2")
+
+_T0 = "TIMESTAMP '2024-01-01 00:00:00'"
+_T1 = "TIMESTAMP '2024-06-01 00:00:00'"
+STORE_COLS = "id, kpi_name, period, value, evolution, department_id, source, stat_type, created_at, updated_at"
+
+cte("store1", f"""
+  SELECT CAST(rk AS BIGINT) AS id, kpi_name, period, value, evolution, department_id, source, stat_type,
+         {_T0} + to_seconds(rk - 1) AS created_at, {_T0} + to_seconds(rk - 1) AS updated_at
+  FROM (SELECT *, row_number() OVER (ORDER BY part, position) AS rk FROM r1_all)""", ["r1_all"])
+cte("kept2", """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kpi_name, period ORDER BY part DESC, position DESC) AS rn
+                 FROM r2_all) WHERE rn = 1""", ["r2_all"])
+cte("merged", f"""
+  SELECT {STORE_COLS} FROM store1 s
+  WHERE NOT EXISTS (SELECT 1 FROM kept2 k WHERE k.kpi_name = s.kpi_name AND k.period = s.period)
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(id), 0) FROM store1) + rk AS BIGINT) AS id, kpi_name, period, value, evolution,
+         department_id, source, stat_type, {_T1} + to_seconds(rk - 1), {_T1} + to_seconds(rk - 1)
+  FROM (SELECT *, row_number() OVER (ORDER BY part, position) AS rk FROM kept2)""", ["store1", "kept2"])
+
+# ---- application tables bound onto the test data
+cte("app_users", """
+  SELECT user_id AS id,
+         CASE WHEN user_id % 7 = 0 THEN NULL ELSE 'Prenom' || CAST(user_id AS VARCHAR) END AS firstname,
+         CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'Nom' || CAST(user_id AS VARCHAR) END AS lastname,
+         CASE WHEN user_id % 11 = 0 THEN NULL ELSE 'user' || CAST(user_id AS VARCHAR) || '@example.org' END AS email,
+         CASE WHEN user_id % 50 = 0 THEN 'admin' END AS role,
+         CASE WHEN user_id % 3 = 0 THEN 'google' WHEN user_id % 3 = 1 THEN NULL ELSE 'email' END AS login_type,
+         min(ts) AS created_at
+  FROM events GROUP BY user_id""")
+cte("history", """
+  SELECT o_orderkey AS id, o_custkey AS user_id, 'import_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS file_name,
+         o_orderdate AS imported_at, CAST(floor(o_totalprice / 100) AS BIGINT) AS n_rows, o_orderkey % 4 AS n_errors,
+         CASE WHEN o_orderstatus = 'F' THEN 'echec' WHEN o_orderkey % 4 > 0 THEN 'partiel' ELSE 'succes' END AS status,
+         o_orderpriority AS department,
+         CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'importer' || CAST(o_custkey % 17 AS VARCHAR) END AS imported_by,
+         o_orderstatus = 'F' AS failed, o_orderkey % 7 AS n_items, o_orderstatus, o_orderpriority
+  FROM orders""")
+cte("history_users", """
+  SELECT h.*, u.firstname, u.lastname, u.email,
+         coalesce(nullif(trim(concat_ws(' ', coalesce(u.firstname, ''), coalesce(u.lastname, ''))), ''),
+                  nullif(u.email, ''), nullif(h.imported_by, ''), 'User ' || coalesce(CAST(h.user_id AS VARCHAR), 'None'))
+           AS user_name
+  FROM history h LEFT JOIN app_users u ON h.user_id = u.id""", ["history", "app_users"])
+cte("forecasts", """
+  SELECT event_id AS id, event_type AS type, CAST(ts AS DATE) AS start_date, CAST(ts AS DATE) + 30 AS end_date,
+         props AS results, CAST(user_id % 25 + 1 AS INTEGER) AS department_id, user_id AS created_by, ts AS created_at
+  FROM events""")
+
+_USER_LABEL = "strftime(created_at, '%Y-%m-%d %H:%M')"
+_KPI = (f"SELECT count(*) AS n_transactions, {REV} AS rev, {DEP} AS dep, COALESCE(SUM({S}), 0) AS net, "
+        f"SUM(abs({S})) AS abs_sum, count({S}) AS n_s FROM ")
+
+
+def _kpi_global_sql(src: str) -> str:
+    return f"""
+SELECT CAST(round(rev, 2) AS DOUBLE) AS total_revenue, CAST(round(dep, 2) AS DOUBLE) AS total_expenses,
+       CAST(round(net, 2) AS DOUBLE) AS net_balance,
+       CASE WHEN rev > 0 THEN {_div2('net', 'rev', True)} ELSE 0.0 END AS net_margin,
+       n_transactions, COALESCE({_div2('abs_sum', 'CAST(n_s AS DECIMAL(38,0))')}, 0.0) AS mean_transaction
+FROM ({_KPI} {src}) g"""
+
+
+# =========================================================================== queries
+
+oracle("null_tokens", "SELECT * EXCLUDE () FROM ledger_nulled".replace(" EXCLUDE ()", ""), ["ledger_nulled"])
+oracle("amount_parse", f"SELECT amount_raw, {_PARSE_AMOUNT} AS amount FROM ledger_nulled", ["ledger_nulled"])
+oracle("text_normalize", f"""
+SELECT department AS text_raw, {_norm('department')} AS text, owner AS owner_raw, {_norm('owner')} AS owner
+FROM ledger_raw""", ["ledger_raw"])
+oracle("signed_amount", "SELECT txn_type, amount, signed_amount FROM ledger", ["ledger"])
+oracle("signed_amount_legacy", """
+SELECT txn_type, amount,
+       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(18,3))
+         AS signed_legacy,
+       CASE WHEN txn_type = 'Revenu' THEN 'Positif' ELSE 'Négatif' END AS sign_label
+FROM ledger""", ["ledger"])
+oracle("calendar_attributes", """
+SELECT txn_date, year, month, quarter, iso_week, day_name, day_of_year, year_month, fiscal_year FROM ledger""",
+       ["ledger"])
+oracle("department_id", f"SELECT department_code, {_DEPT_ID} AS department_id FROM ledger_raw", ["ledger_raw"])
+oracle("expense_category", "SELECT expense_type, category FROM f_expense_type", ["f_expense_type"])
+oracle("display_name", """
+SELECT id, coalesce(nullif(trim(concat_ws(' ', coalesce(firstname, ''), coalesce(lastname, ''))), ''),
+                    nullif(email, '')) AS display_name
+FROM app_users""", ["app_users"])
+oracle("json_payload", """
+SELECT event_id AS id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(json_valid(props), false) AS is_json
+FROM events""")
+oracle("json_safe", f"""
+SELECT to_json({{'department_id': department_id, 'n_transactions': n_transactions,
+                 'ratio': CASE WHEN isnan(ratio) OR isinf(ratio) THEN NULL ELSE ratio END}}) AS json
+FROM (SELECT {_DEPT_ID} AS department_id, count(*) AS n_transactions,
+             CAST({REV} AS DOUBLE) / CAST({DEP} AS DOUBLE) AS ratio
+      FROM ledger GROUP BY 1)""", ["ledger"])
+oracle("reject_invalid", """
+SELECT date_raw, amount_raw, department, txn_type, owner, counterparty, project, reasons
+FROM ledger_all WHERE len(reasons) > 0""", ["ledger_all"])
+oracle("dedup_exact", "SELECT DISTINCT * FROM ledger_nulled", ["ledger_nulled"])
+oracle("period_filter", _kpi_global_sql(
+    "ledger WHERE txn_date >= DATE '1996-03-01' AND txn_date < DATE '1996-04-01'"), ["ledger"])
+oracle("department_filter", _kpi_global_sql(f"ledger WHERE {_DEPT_ID} = 5"), ["ledger"])
+oracle("kpi_lookup", f"""
+SELECT {STORE_COLS} FROM merged WHERE kpi_name = 'CA_Mensuel'
+ORDER BY created_at DESC NULLS LAST, id DESC NULLS LAST LIMIT 100""", ["merged"])
+oracle("forecast_read", """
+SELECT id, type, start_date, end_date, department_id, created_by, created_at FROM forecasts
+WHERE department_id = 3 ORDER BY created_at DESC NULLS LAST, id DESC NULLS LAST LIMIT 50""", ["forecasts"])
+oracle("history_scope_admin", "SELECT id, user_id, user_name, imported_at FROM history_users", ["history_users"])
+oracle("history_scope_user", "SELECT id, user_id, user_name, imported_at FROM history_users WHERE user_id = 7",
+       ["history_users"])
+
+for _n, _dim in [("dim_upsert_date", "s2_date"), ("dim_upsert_owner", "s2_owner"),
+                 ("dim_upsert_counterparty", "s2_counterparty"), ("dim_upsert_project", "s2_project"),
+                 ("dim_department", "f_department"), ("dim_txn_type", "f_txn_type"),
+                 ("dim_expense_type", "f_expense_type"), ("fact_load", "s2_facts"),
+                 ("fact_load_lenient", "f_facts"), ("kpi_base", "kb2"), ("kpi_merge", "merged")]:
+    oracle(_n, f"SELECT * FROM {_dim}", [_dim])
+
+cte("s2_appended", """
+  SELECT * FROM s1_facts
+  UNION ALL
+  SELECT CAST((SELECT coalesce(max(transaction_id), 0) FROM s1_facts) + transaction_id AS BIGINT), date_id,
+         department_id, txn_type_id, expense_type_id, owner_id, counterparty_id, project_id, amount, signed_amount
+  FROM s2_facts""", ["s1_facts", "s2_facts"])
+oracle("fact_append", "SELECT * FROM s2_appended", ["s2_appended"])
+
+oracle("star_flatten", """
+SELECT f.transaction_id, CAST(f.amount AS DOUBLE) AS amount, CAST(f.signed_amount AS DOUBLE) AS signed_amount,
+       d.date, d.year, d.month, d.quarter, d.year_month, dp.department, tt.txn_type, et.expense_type, o.owner,
+       c.counterparty, c.kind AS counterparty_kind, p.project
+FROM s2_facts f
+LEFT JOIN s2_date d ON f.date_id = d.date_id
+LEFT JOIN s1_department dp ON f.department_id = dp.department_id
+LEFT JOIN s1_txn_type tt ON f.txn_type_id = tt.txn_type_id
+LEFT JOIN s1_expense_type et ON f.expense_type_id = et.expense_type_id
+LEFT JOIN s2_owner o ON f.owner_id = o.owner_id
+LEFT JOIN s2_counterparty c ON f.counterparty_id = c.counterparty_id
+LEFT JOIN s2_project p ON f.project_id = p.project_id
+ORDER BY d.date DESC NULLS LAST, f.transaction_id ASC LIMIT 50000""",
+       ["s2_facts", "s2_date", "s1_department", "s1_txn_type", "s1_expense_type", "s2_owner", "s2_counterparty",
+        "s2_project"])
+oracle("history_users", "SELECT id, user_id, firstname, lastname, email, user_name FROM history_users",
+       ["history_users"])
+
+oracle("kpi_global", _kpi_global_sql("ledger"), ["ledger"])
+oracle("kpi_by_department", f"""
+SELECT {_DEPT_ID} AS department_id, count(*) AS n_transactions, CAST({REV} AS DOUBLE) AS revenue,
+       CAST({DEP} AS DOUBLE) AS expenses, CAST(COALESCE(SUM({S}), 0) AS DOUBLE) AS balance
+FROM ledger GROUP BY 1""", ["ledger"])
+oracle("top_expense_types", f"""
+SELECT coalesce(expense_type, 'Non classé') AS expense_type, n_transactions, CAST(tot AS DOUBLE) AS total_amount,
+       {_div2('tot', 'CAST(n AS DECIMAL(38,0))')} AS mean_amount
+FROM (SELECT expense_type, count(*) AS n_transactions, sum(-{S}) AS tot, count({S}) AS n
+      FROM ledger WHERE {S} < 0 GROUP BY expense_type)
+ORDER BY total_amount DESC, expense_type NULLS FIRST LIMIT 10""", ["ledger"])
+oracle("top_projects", f"""
+SELECT coalesce(project, '—') AS project, n_transactions, CAST(tot AS DOUBLE) AS total_amount,
+       {_div2('tot', 'CAST(n AS DECIMAL(38,0))')} AS mean_amount, CAST(rev AS DOUBLE) AS revenue,
+       CAST(dep AS DOUBLE) AS expenses
+FROM (SELECT project, count(*) AS n_transactions, sum(abs({S})) AS tot, count({S}) AS n,
+             sum(CASE WHEN {S} > 0 THEN {S} ELSE 0 END) AS rev, sum(CASE WHEN {S} < 0 THEN -{S} ELSE 0 END) AS dep
+      FROM ledger GROUP BY project)
+ORDER BY total_amount DESC, project NULLS FIRST LIMIT 10""", ["ledger"])
+oracle("top_counterparties", f"""
+SELECT coalesce(counterparty, '—') AS counterparty, n_transactions, CAST(tot AS DOUBLE) AS total_amount
+FROM (SELECT counterparty, count(*) AS n_transactions, sum(abs({S})) AS tot FROM ledger GROUP BY counterparty)
+ORDER BY total_amount DESC, counterparty NULLS FIRST LIMIT 10""", ["ledger"])
+oracle("load_stats", f"""
+SELECT count(*) AS n_rows, 18 AS n_columns, CAST(round(coalesce(sum(amount), 0), 2) AS DOUBLE) AS total,
+       CAST(round(coalesce(sum({S}), 0), 2) AS DOUBLE) AS balance,
+       CAST(round(coalesce(sum(CASE WHEN {S} > 0 THEN {S} END), 0), 2) AS DOUBLE) AS revenue,
+       CAST(round(coalesce(sum(CASE WHEN {S} < 0 THEN {S} END), 0), 2) AS DOUBLE) AS expenses_signed
+FROM ledger""", ["ledger"])
+oracle("quality_counters", """
+SELECT n_read, n_duplicates, n_rejected, n_valid, n_skipped, n_inserted, least(n_read, n_valid) AS n_changed
+FROM (SELECT CAST(sum(n_copies) AS BIGINT) AS n_read, CAST(sum(n_copies - 1) AS BIGINT) AS n_duplicates,
+             count(*) FILTER (WHERE len(reasons) > 0) AS n_rejected, count(*) FILTER (WHERE len(reasons) = 0) AS n_valid
+      FROM ledger_all) a,
+     (SELECT count(*) FILTER (WHERE NOT resolved) AS n_skipped, count(*) FILTER (WHERE resolved) AS n_inserted
+      FROM s2_resolved) b""", ["ledger_all", "s2_resolved"])
+oracle("reject_reasons", """
+SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM ledger_all) GROUP BY reason""",
+       ["ledger_all"])
+for _n, _part in [("refresh_global", "global"), ("refresh_quarter", "quarter"), ("refresh_department", "department"),
+                  ("refresh_txn_type", "txn_type"), ("refresh_expense_type", "expense_type"),
+                  ("monthly_evolution", "monthly")]:
+    oracle(_n, f"SELECT * EXCLUDE (part, position) FROM r2_{_part}", [f"r2_{_part}"])
+oracle("kpi_refresh_all", "SELECT * FROM r2_all", ["r2_all"])
+oracle("project_span", """
+SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date FROM ledger
+WHERE project IS NOT NULL GROUP BY project""", ["ledger"])
+oracle("user_stats", """
+SELECT count(*) AS total_users,
+       count(*) FILTER (WHERE CAST(created_at AS DATE) = DATE '2024-01-02') AS new_today,
+       count(*) FILTER (WHERE created_at >= TIMESTAMP '2023-12-26 00:00:00') AS active_week,
+       count(*) FILTER (WHERE login_type = 'google') AS google_users,
+       count(*) FILTER (WHERE login_type = 'email' OR login_type IS NULL OR login_type = '') AS email_users,
+       count(*) FILTER (WHERE role = 'admin') AS admin_count
+FROM app_users""", ["app_users"])
+oracle("registrations_daily", """
+SELECT CAST(created_at AS DATE) AS day, count(*) AS n_users FROM app_users GROUP BY 1 ORDER BY 1""", ["app_users"])
+oracle("login_split", """
+SELECT coalesce(login_type, 'email') AS login_type, count(*) AS n_users FROM app_users GROUP BY 1""", ["app_users"])
+oracle("activity_weekly", """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, count(DISTINCT user_id) AS active_users
+FROM events GROUP BY 1""")
+oracle("kpi_keyword_total", """
+SELECT coalesce(sum(CASE WHEN contains(strip_accents(lower(kpi_name)), 'revenu') THEN value END), 0.0) AS total
+FROM merged""", ["merged"])
+oracle("history_groups", """
+SELECT user_name, row_number() OVER (PARTITION BY user_name ORDER BY imported_at DESC NULLS LAST, id DESC) AS item_no,
+       id, strftime(imported_at, '%Y-%m-%d %H:%M') AS imported_at_label, coalesce(status, 'succes') AS status
+FROM history_users""", ["history_users"])
+oracle("first_per_key", f"""
+SELECT owner, department, txn_date FROM (
+  SELECT owner, department, txn_date, row_number() OVER (PARTITION BY owner ORDER BY {FORD}) AS rn FROM ledger)
+WHERE rn = 1""", ["ledger"])
+oracle("latest_n", """
+SELECT id, user_id, imported_at, status FROM history ORDER BY imported_at DESC NULLS LAST, id DESC LIMIT 200""",
+       ["history"])
+_SEARCH = ("(coalesce(contains(lower(firstname), 'nom1'), false) OR coalesce(contains(lower(lastname), 'nom1'), false) "
+           "OR coalesce(contains(lower(email), 'nom1'), false))")
+oracle("users_page", f"""
+SELECT id, firstname, lastname, email, coalesce(role, 'user') AS role, coalesce(login_type, 'email') AS login_type,
+       {_USER_LABEL} AS created_at
+FROM app_users WHERE {_SEARCH} ORDER BY id LIMIT 10 OFFSET 10""", ["app_users"])
+oracle("users_search_total", f"""
+SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM app_users WHERE {_SEARCH}""",
+       ["app_users"])
+oracle("users_list", f"""
+SELECT id, firstname, lastname, email, {_USER_LABEL} AS created_at, coalesce(login_type, 'email') AS login_type,
+       coalesce(role, 'user') AS role
+FROM app_users ORDER BY id DESC""", ["app_users"])
+oracle("users_export", f"""
+SELECT id, concat_ws(',', CAST(id AS VARCHAR), coalesce(firstname, 'None'), coalesce(lastname, 'None'),
+                     coalesce(email, 'None'), coalesce(role, 'user'), coalesce(login_type, 'email'),
+                     coalesce({_USER_LABEL}, 'None')) AS line
+FROM app_users ORDER BY id""", ["app_users"])
+oracle("kpi_merge_counts", """
+SELECT CAST((SELECT count(*) FROM r2_all) AS BIGINT) AS inserted,
+       CAST((SELECT count(*) FROM store1 s WHERE EXISTS (SELECT 1 FROM kept2 k WHERE k.kpi_name = s.kpi_name
+                                                          AND k.period = s.period))
+            + (SELECT count(*) FROM r2_all) - (SELECT count(*) FROM kept2) AS BIGINT) AS replaced""",
+       ["r2_all", "store1", "kept2"])
+oracle("audit_status", """
+SELECT id, n_errors, CASE WHEN failed THEN 'echec' WHEN n_errors > 0 THEN 'partiel' ELSE 'succes' END AS status
+FROM history""", ["history"])
+oracle("history_detail", """
+SELECT id,
+       CASE WHEN n_items > 0 THEN ['order', 'status', 'priority'] ELSE CAST([] AS VARCHAR[]) END AS columns,
+       CAST(n_items AS INTEGER) AS rows_count,
+       CAST(to_json(list_transform(range(least(n_items, 5)),
+            lambda i: {'order': CAST(id AS VARCHAR), 'status': o_orderstatus, 'priority': o_orderpriority})) AS VARCHAR)
+         AS preview
+FROM history""", ["history"])
+
+_MSG = "lower(trim(regexp_replace(coalesce(text, ''), '\\s', ' ', 'g')))"
+_TOTALS = """
+  (SELECT sum(CASE WHEN contains(strip_accents(lower(kpi_name)), 'revenu') THEN value END) FROM merged) AS rev_total,
+  (SELECT sum(CASE WHEN contains(strip_accents(lower(kpi_name)), 'depense') THEN value END) FROM merged) AS dep_total,
+  (SELECT count(*) FROM app_users) AS n_users"""
+oracle("message_intent", f"""
+SELECT conv_id, turn, intent,
+       CASE intent
+         WHEN 'empty' THEN 'Posez-moi une question sur vos données !'
+         WHEN 'revenue' THEN 'Le revenu total détecté est de ' || format('{{:,.2f}}', coalesce(nullif(rev_total, 0.0), 0.0)) || ' €.'
+         WHEN 'expense' THEN 'Les dépenses s''élèvent à ' || format('{{:,.2f}}', coalesce(nullif(dep_total, 0.0), 0.0)) || ' €.'
+         WHEN 'users' THEN 'Il y a actuellement ' || CAST(n_users AS VARCHAR) || ' utilisateurs enregistrés.'
+         ELSE 'Je peux vous aider sur les revenus, dépenses ou utilisateurs.' END AS answer
+FROM (
+  SELECT conv_id, turn,
+         CASE WHEN m = '' THEN 'empty'
+              WHEN contains(m, 'revenu') OR contains(m, 'argent') OR contains(m, 'gagné') OR contains(m, 'ca') THEN 'revenue'
+              WHEN contains(m, 'dépense') OR contains(m, 'depense') OR contains(m, 'coût') OR contains(m, 'cout')
+                OR contains(m, 'perdu') THEN 'expense'
+              WHEN contains(m, 'utilisateur') OR contains(m, 'client') OR contains(m, 'membre') THEN 'users'
+              ELSE 'help' END AS intent, {_TOTALS}
+  FROM (SELECT conv_id, turn, {_MSG} AS m FROM conversations))""", ["merged", "app_users"])

@@ -165,8 +165,8 @@ KPI_VALUES = T.StructType([
     T.StructField("department_id", T.IntegerType()),
     T.StructField("source", T.StringType()),
     T.StructField("stat_type", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("updated_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("updated_at", T.TimestampNTZType()),
 ])
 
 USERS = T.StructType([
