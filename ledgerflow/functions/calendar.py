@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Formats tried in order; the first that parses wins. ISO first, then the
-# day-first and month-first forms a spreadsheet export commonly produces.
+# day-first and month-first forms a spreadsheet export commonly produces. Each
+# format is only attempted on text of its shape, so no value pays for a failed
+# parse of every format in front of the one that fits.
 DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
 )
 
 
@@ -24,7 +25,12 @@ def _c(col) -> Column:
 def parse_date(col, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> DATE; an unparseable value gives null (never an error)."""
     s = F.trim(_c(col).cast("string"))
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
+    s = F.regexp_replace(s, "T", " ")
+    out = None
+    for shape, fmt in formats:
+        parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt)))
+        out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
+    return out
 
 
 def calendar_columns(date_col) -> dict[str, Column]:

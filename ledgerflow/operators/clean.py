@@ -82,7 +82,7 @@ def parse_and_normalise(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> Dat
         F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_VALUES]))
     out = out.withColumn("reasons", reasons)
     extras = [c for c in df.columns if c not in CLEAN_COLUMNS and c not in ("date_raw", "amount_raw")]
-    return out.select(*CLEAN_COLUMNS, *[c for c in extras], "date_raw", "amount_raw", "reasons")
+    return out.select(*CLEAN_COLUMNS, *extras, "date_raw", "amount_raw", "reasons")
 
 
 def clean_ledger(raw: DataFrame, date_formats=DEFAULT_DATE_FORMATS, with_copies: bool = False) -> DataFrame:
@@ -90,16 +90,24 @@ def clean_ledger(raw: DataFrame, date_formats=DEFAULT_DATE_FORMATS, with_copies:
 
     Steps: missing tokens to null, exact dedup on raw values, parse and normalise.
     Use :func:`split_valid` afterwards.
+
+    The dedup always counts copies, and ``reasons`` is tied to that count. This
+    keeps the validity filter above the dedup aggregate: every column of the
+    test is a function of the grouping keys, so without the tie Catalyst pushes
+    the filter (with all parse expressions inlined) below the aggregate and into
+    the upstream join, where it runs un-deduplicated and is recomputed after.
     """
     df = null_tokens(raw)
-    df = drop_exact_duplicates(df, COPIES if with_copies else None)
-    return parse_and_normalise(df, date_formats)
+    df = drop_exact_duplicates(df, COPIES)
+    out = parse_and_normalise(df, date_formats)
+    out = out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
+    return out if with_copies else out.drop(COPIES)
 
 
 def split_valid(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows in the clean schema, rejected rows with their reasons)."""
     ok = F.size("reasons") == 0
-    keep = [c for c in cleaned.columns if c not in ("date_raw", "amount_raw", "reasons")]
+    keep = [c for c in cleaned.columns if c not in ("date_raw", "amount_raw", "reasons", COPIES)]
     return cleaned.filter(ok).select(*keep), cleaned.filter(~ok)
 
 

@@ -19,6 +19,7 @@ from ledgerflow.operators import clean as C
 from ledgerflow.operators import refresh as R
 from ledgerflow.operators import star as St
 from ledgerflow.operators import store as K
+from ledgerflow.session import materialize
 
 
 @dataclass
@@ -31,8 +32,13 @@ class Star:
 
 
 def rebuild_star(ledger: DataFrame) -> Star:
-    """Full rebuild from a cleaned ledger (ids 1..n everywhere)."""
-    dims = St.build_dimensions(ledger)
+    """Full rebuild from a cleaned ledger (ids 1..n everywhere).
+
+    The cleaned rows and each dimension are materialized once: they feed several
+    jobs each (seven dimension builds, then seven key joins).
+    """
+    ledger = materialize(ledger)
+    dims = {k: materialize(v) for k, v in St.build_dimensions(ledger).items()}
     resolved = St.resolve_keys(ledger, dims, strict=False, owner_by_name=True)
     return Star(dims, St.facts_from_resolved(resolved, 1))
 
@@ -45,11 +51,12 @@ class LoadResult:
 
 def load_upload(star: Star, ledger: DataFrame, replace: bool = True) -> LoadResult:
     """Incremental load of one cleaned upload into an existing star."""
+    ledger = materialize(ledger)
     dims = dict(star.dims)
-    dims["dim_date"] = St.upsert_date(dims["dim_date"], ledger)
-    dims["dim_owner"] = St.upsert_owner(dims["dim_owner"], ledger)
-    dims["dim_counterparty"] = St.upsert_counterparty(dims["dim_counterparty"], ledger)
-    dims["dim_project"] = St.upsert_project(dims["dim_project"], ledger)
+    dims["dim_date"] = materialize(St.upsert_date(dims["dim_date"], ledger))
+    dims["dim_owner"] = materialize(St.upsert_owner(dims["dim_owner"], ledger))
+    dims["dim_counterparty"] = materialize(St.upsert_counterparty(dims["dim_counterparty"], ledger))
+    dims["dim_project"] = materialize(St.upsert_project(dims["dim_project"], ledger))
     resolved = St.resolve_keys(ledger, dims, strict=True)
     facts = St.load_facts(star.facts, resolved, replace=replace)
     return LoadResult(Star(dims, facts), resolved)

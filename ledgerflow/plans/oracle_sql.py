@@ -31,7 +31,7 @@ def _nulltok(c: str) -> str:
     return f"CASE WHEN {c} IN ({_TOKENS}) THEN NULL ELSE {c} END AS {c}"
 
 
-_DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y"]
+_DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y"]  # noqa
 _PARSE_DATE = "CAST(COALESCE(" + ", ".join(
     f"try_strptime(trim(date_raw), '{f}')" for f in _DATE_FORMATS) + ") AS DATE)"
 _PARSE_AMOUNT = ("TRY_CAST(regexp_replace(replace(regexp_replace(amount_raw, '[€$£\\s]', '', 'g'), ',', '.'), "

@@ -50,6 +50,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def materialize(df):
+    """Write ``df`` once to the reliable checkpoint folder and read it back.
+
+    For a frame that several later jobs consume (the cleaned upload feeds seven
+    dimension builds and the fact resolution): without it every consumer re-runs
+    the whole lineage (scan, joins, dedup). Reliable checkpoints survive executor
+    loss, unlike cached or locally checkpointed blocks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is set.
 
