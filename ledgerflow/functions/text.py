@@ -36,14 +36,17 @@ def null_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def repairable_mojibake(col) -> Column:
-    """True when ``col`` is Latin-1-encodable and those bytes are valid UTF-8."""
+    """True when ``col`` is Latin-1-encodable and those bytes are valid UTF-8.
+
+    ``encode`` raises on a character outside Latin-1, so it only ever sees values
+    that passed the Latin-1 test (the inner CASE guards it).
+    """
     c = _c(col)
     latin1 = c.rlike(r"^[\x{00}-\x{FF}]*$")
-    # encode() only runs on rows that passed the Latin-1 test (CASE short-circuits).
+    guarded = F.when(latin1, c)
     return F.when(c.isNull(), F.lit(None).cast("boolean")) \
-        .when(~latin1, F.lit(False)) \
-        .otherwise(F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")) &
-                   F.when(latin1, F.lit(True)))
+        .when(latin1, F.is_valid_utf8(F.encode(guarded, "ISO-8859-1").cast("string"))) \
+        .otherwise(F.lit(False))
 
 
 def repair_mojibake_value(col) -> Column:

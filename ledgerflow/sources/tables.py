@@ -58,7 +58,6 @@ def write_lines(df: DataFrame, path: str, column: str = "line", header: str | No
     """
     body = df.select(F.col(column).alias("value"))
     if header is not None:
-        spark = df.sparkSession
-        hdr = spark.createDataFrame([(header,)], "value string")
+        hdr = df.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
         body = hdr.unionByName(body)
     body.write.mode("overwrite").text(path)
