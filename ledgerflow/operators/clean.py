@@ -161,3 +161,35 @@ def load_stats(valid: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum(F.when(s > 0, s)), F.lit(0)), 2).cast("double").alias("revenue"),
         F.round(F.coalesce(F.sum(F.when(s < 0, s)), F.lit(0)), 2).cast("double").alias("expenses_signed"),
     )
+
+
+# Column order of the first-generation cleaner's output (our names); columns that
+# are absent are skipped.
+LEGACY_ORDER = ["company", "department_code", "department", "owner", "txn_date", "year", "month", "quarter",
+                "iso_week", "day_name", "day_of_year", "year_month", "fiscal_year", "txn_type", "expense_type",
+                "amount", "signed_amount", "sign_label", "counterparty", "project"]
+
+
+def legacy_clean(raw: DataFrame) -> DataFrame:
+    """The first-generation cleaner, kept for its different rules.
+
+    Encoding repair per column (all or nothing), ISO date only, default expense
+    type, exact dedup (after the default is filled), whitespace collapse that keeps
+    blanks as empty text, legacy sign rule and label, fixed column order. No row is
+    rejected.
+    """
+    from ledgerflow.functions.money import sign_label
+    from ledgerflow.sources.ledger_csv import repair_mojibake
+
+    df = null_tokens(raw)
+    df = repair_mojibake(df)
+    df = df.withColumn("txn_date", F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-MM-dd"))))
+    df = df.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
+    df = df.dropDuplicates()
+    text_cols = [c for c in NORMALISED if c in df.columns]
+    df = df.withColumns({c: F.trim(F.regexp_replace(c, r"(?U)[\s\x{1c}-\x{1f}]+", " ")) for c in text_cols})
+    df = df.withColumn("amount", parse_amount("amount_raw"))
+    df = df.withColumns({"signed_amount": signed_amount("amount", "txn_type", rule="legacy"),
+                         "sign_label": sign_label("txn_type")})
+    df = df.withColumns(calendar_columns("txn_date"))
+    return select_ordered(df, LEGACY_ORDER)

@@ -34,6 +34,7 @@ from ledgerflow.operators import store as S
 from ledgerflow.operators import users as U
 from ledgerflow.operators.ids import first_per_key
 from ledgerflow.plans import etl_load as E
+from ledgerflow.session import materialize
 from ledgerflow.sources import binding as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,7 @@ SCOPE_USER = 7
 FORECAST_DEPARTMENT = 3
 KPI_LOOKUP_NAME = "CA_Mensuel"
 KEYWORD = "revenu"
+AUDIT_AT = _dt.datetime(2024, 3, 1, 9, 30, 0)
 
 
 def query(name: str):
@@ -80,8 +82,13 @@ def raw(spark, sf_dir) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid cleaned ledger rows from the test-data binding."""
-    return C.clean_valid(raw(spark, sf_dir))
+    """The stored cleaned ledger: valid rows of the test-data upload.
+
+    Written once per session to the checkpoint folder (the cleaning job's output
+    table); reports and loads read it, as the application's reports read the
+    stored transactions rather than re-cleaning the upload.
+    """
+    return _memo(spark, sf_dir, "ledger", lambda: materialize(C.clean_valid(raw(spark, sf_dir))))
 
 
 def first_upload(spark, sf_dir) -> DataFrame:
@@ -331,6 +338,23 @@ def q_load_stats(spark, sf_dir):
     return C.load_stats(ledger(spark, sf_dir))
 
 
+@query("legacy_clean")
+def q_legacy_clean(spark, sf_dir):
+    return C.legacy_clean(raw(spark, sf_dir))
+
+
+@query("email_user")
+def q_email_user(spark, sf_dir):
+    u = B.users(spark, sf_dir)
+    return u.select("id", T.normalize_email("email").alias("email"), T.email_user(T.normalize_email("email")).alias("user"))
+
+
+@query("import_audit")
+def q_import_audit(spark, sf_dir):
+    counters = E.quality_report(raw(spark, sf_dir), load2(spark, sf_dir).star)
+    return H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1")
+
+
 @query("quality_counters")
 def q_quality_counters(spark, sf_dir):
     return E.quality_report(raw(spark, sf_dir), load2(spark, sf_dir).star)

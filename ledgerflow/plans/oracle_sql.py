@@ -663,3 +663,14 @@ FROM (
               WHEN contains(m, 'utilisateur') OR contains(m, 'client') OR contains(m, 'membre') THEN 'users'
               ELSE 'help' END AS intent, {_TOTALS}
   FROM (SELECT conv_id, turn, {_MSG} AS m FROM conversations))""", ["merged", "app_users"])
+
+oracle("email_user", """
+SELECT id, lower(trim(email)) AS email, split_part(lower(trim(email)), '@', 1) AS "user" FROM app_users""",
+       ["app_users"])
+oracle("import_audit", """
+SELECT CAST(1 AS BIGINT) AS user_id, 'ledger.csv' AS file_name, TIMESTAMP '2024-03-01 09:30:00' AS imported_at,
+       n_inserted AS n_rows, n_rejected + n_skipped AS n_errors, 'Finance' AS department, 'importer1' AS imported_by,
+       CASE WHEN n_rejected + n_skipped > 0 THEN 'partiel' ELSE 'succes' END AS status
+FROM (SELECT count(*) FILTER (WHERE len(reasons) > 0) AS n_rejected FROM ledger_all) a,
+     (SELECT count(*) FILTER (WHERE NOT resolved) AS n_skipped, count(*) FILTER (WHERE resolved) AS n_inserted
+      FROM s2_resolved) b""", ["ledger_all", "s2_resolved"])

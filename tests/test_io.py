@@ -62,13 +62,13 @@ def test_streaming_upload_loader(spark, tmpdir_path):
     star_base = os.path.join(tmpdir_path, "star")
     hist = os.path.join(tmpdir_path, "history")
     ck = os.path.join(tmpdir_path, "ck")
-    q = start_upload_loader(spark, up, star_base, hist, ck)
+    q = start_upload_loader(spark, up, star_base, hist, ck, replace=False)
     q.awaitTermination(120)
     star = read_star(spark, star_base)
     assert star.facts.count() == 2
     with open(os.path.join(up, "u2.csv"), "w", encoding="utf-8") as f:
         f.write(header + "\n2024-02-01,DEPT001,Ventes,Revenu,,10,Bob,Client C,P2\n")
-    q = start_upload_loader(spark, up, star_base, hist, ck)
+    q = start_upload_loader(spark, up, star_base, hist, ck, replace=False)
     q.awaitTermination(120)
     star = read_star(spark, star_base)
     assert star.facts.count() == 3
