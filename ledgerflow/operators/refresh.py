@@ -1,8 +1,8 @@
 """KPI refresh: the stored KPI rows computed from the star (global, per quarter,
 department, transaction type, expense type, and monthly with evolution).
 
-Each part is one grouped aggregate over the flattened facts; the parts are
-unioned into one long frame with an emission ordinal ``(part, position)`` that
+All parts come from one grouping-sets aggregate over the flattened facts and are
+emitted as one long frame with an emission ordinal ``(part, position)`` that
 decides which row wins when two rows share (name, period) in a replace-merge.
 """
 
@@ -28,67 +28,116 @@ def _label(col: str, default: str) -> Column:
     return F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(default))
 
 
-def _rows(df: DataFrame, part: int, name: Column, period: Column, value: Column,
-          stat: str = "sum", evolution: Column | None = None, dept: Column | None = None,
-          position: Column | None = None) -> DataFrame:
-    return df.select(
-        name.alias("kpi_name"), period.alias("period"), value.cast("double").alias("value"),
-        (evolution if evolution is not None else F.lit(0.0)).cast("double").alias("evolution"),
-        (dept if dept is not None else F.lit(None)).cast("int").alias("department_id"),
-        F.lit(stat).alias("stat_type"), F.lit(KPI_SOURCE_REFRESH).alias("source"),
-        F.lit(part).alias("part"),
-        (position if position is not None else name).cast("string").alias("position"))
+# Grouping sets of the refresh, with the grouping id Spark gives each
+# (bit set = column not grouped, first column is the highest bit).
+_KEYS = ["qkey", "dep", "tt", "td", "ym"]
+_PARTS = {31: 0, 15: 1, 23: 2, 27: 3, 29: 4, 30: 5}  # gid -> part
 
 
-def refresh_global(base: DataFrame) -> DataFrame:
-    """The seven global KPIs from one aggregate, unpivoted with ``stack``."""
+def _labelled(base: DataFrame) -> DataFrame:
+    return base.select(
+        "amount", "signed_amount", "department_id",
+        F.concat(F.lit("Q"), F.coalesce(F.col("quarter"), F.lit(0)).cast("string"), F.lit("_"),
+                 F.coalesce(F.col("year"), F.lit(0)).cast("string")).alias("qkey"),
+        _label("department", LABEL_UNKNOWN_DEPARTMENT).alias("dep"),
+        _label("txn_type", LABEL_OTHER).alias("tt"),
+        _label("expense_type", LABEL_OTHER).alias("td"),
+        _label("year_month", LABEL_NO_MONTH).alias("ym"))
+
+
+def refresh_aggregate(base: DataFrame) -> DataFrame:
+    """All refresh sums in ONE aggregate over grouping sets (global, quarter,
+    department, transaction type, expense type, month): one scan of the facts and
+    one shuffle of map-side partial sums, instead of one scan per KPI family."""
+    b = _labelled(base)
     a, s = F.coalesce(F.col("amount"), _zero()), F.coalesce(F.col("signed_amount"), _zero())
-    g = base.agg(
+    agg = b.groupingSets([[], ["qkey"], ["dep"], ["tt"], ["td"], ["ym"]], *_KEYS).agg(
         F.coalesce(F.sum(a), _zero()).alias("tot"), F.coalesce(F.sum(s), _zero()).alias("net"),
         F.coalesce(F.sum(F.when(s > 0, s)), _zero()).alias("rev"),
-        F.abs(F.coalesce(F.sum(F.when(s < 0, s)), _zero())).alias("dep"),
-        F.count(F.lit(1)).alias("n"))
-    vals = {
+        F.abs(F.coalesce(F.sum(F.when(s < 0, s)), _zero())).alias("dep_abs"),
+        F.count(F.lit(1)).alias("n"), F.max("department_id").alias("dept_id"),
+        F.grouping_id().alias("gid"))
+    part = F.lit(None).cast("int")
+    for gid, p in _PARTS.items():
+        part = F.when(F.col("gid") == gid, F.lit(p)).otherwise(part)
+    return agg.withColumn("part", part)
+
+
+def _kpi_struct(name, period, value, evolution, dept, stat, part, position) -> Column:
+    return F.struct(name.cast("string").alias("kpi_name"), period.cast("string").alias("period"),
+                    value.cast("double").alias("value"), evolution.cast("double").alias("evolution"),
+                    dept.cast("int").alias("department_id"), F.lit(stat).alias("stat_type"),
+                    F.lit(KPI_SOURCE_REFRESH).alias("source"), F.lit(part).alias("part"),
+                    position.cast("string").alias("position"))
+
+
+def refresh_kpis(base: DataFrame) -> DataFrame:
+    """All refresh rows, emitted from the one grouping-sets aggregate.
+
+    Every aggregate row becomes its KPI row(s) in one projection (``inline``); the
+    month-over-month lag is a window over the month rows only (one per month).
+    """
+    agg = refresh_aggregate(base)
+    val = F.round("tot", 2)
+    w = Window.partitionBy("part").orderBy("ym")
+    prev = F.coalesce(F.lag(val).over(w), val)
+    agg = agg.withColumns({"val": val, "evo": F.when(prev != 0, F.round(((val - prev) / prev) * F.lit(100), 2))
+                                                  .otherwise(_zero())})
+    null_int = F.lit(None).cast("int")
+    zero = F.lit(0.0)
+    g = {
         "CA_Total": F.round("tot", 2), "Solde_Net": F.round("net", 2), "Revenus": F.round("rev", 2),
-        "Dépenses": F.round("dep", 2), "Nb_Transactions": F.col("n").cast("decimal(20,0)"),
+        "Dépenses": F.round("dep_abs", 2), "Nb_Transactions": F.col("n").cast("decimal(20,0)"),
         "Valeur_Moyenne": F.when(F.col("n") > 0, F.round(F.col("tot") / F.col("n"), 2)).otherwise(_zero()),
-        "Ratio_Dep_Rev": F.when(F.col("rev") != 0, F.round((F.col("dep") / F.col("rev")) * F.lit(100), 2))
+        "Ratio_Dep_Rev": F.when(F.col("rev") != 0, F.round((F.col("dep_abs") / F.col("rev")) * F.lit(100), 2))
                           .otherwise(_zero()),
     }
-    arr = F.array(*[F.struct(F.lit(name).alias("k"), vals[name].cast("double").alias("v"),
-                             F.lit(stat).alias("s"), F.lit(i).alias("i"))
-                    for i, (name, stat) in enumerate(KPI_GLOBAL_NAMES)])
-    rows = g.select(F.inline(arr))
-    return rows.select(
-        F.col("k").alias("kpi_name"), F.lit("global").alias("period"), F.col("v").alias("value"),
-        F.lit(0.0).alias("evolution"), F.lit(None).cast("int").alias("department_id"),
-        F.col("s").alias("stat_type"), F.lit(KPI_SOURCE_REFRESH).alias("source"),
-        F.lit(0).alias("part"), F.lpad(F.col("i").cast("string"), 2, "0").alias("position"))
+    global_rows = F.array(*[_kpi_struct(F.lit(name), F.lit("global"), g[name], zero, null_int, stat, 0,
+                                        F.lpad(F.lit(str(i)), 2, "0"))
+                            for i, (name, stat) in enumerate(KPI_GLOBAL_NAMES)])
+    q_name = F.concat(F.lit("CA_"), F.col("qkey"))
+    d_name = F.concat(F.lit("CA_"), F.col("dep"))
+    t_name = F.concat(F.lit("Vol_"), F.col("tt"))
+    e_name = F.concat(F.lit("Dep_"), F.col("td"))
+    p = F.col("part")
+    rows = (F.when(p == 0, global_rows)
+            .when(p == 1, F.array(_kpi_struct(q_name, F.col("qkey"), F.col("val"), zero, null_int, "sum", 1, q_name)))
+            .when(p == 2, F.array(_kpi_struct(d_name, F.lit("global"), F.col("val"), zero, F.col("dept_id"), "sum", 2,
+                                              d_name)))
+            .when(p == 3, F.array(_kpi_struct(t_name, F.lit("global"), F.col("val"), zero, null_int, "sum", 3, t_name)))
+            .when(p == 4, F.array(_kpi_struct(e_name, F.lit("global"), F.col("val"), zero, null_int, "sum", 4, e_name)))
+            .otherwise(F.array(_kpi_struct(F.lit(KPI_MONTHLY_NAME), F.col("ym"), F.col("val"), F.col("evo"),
+                                           null_int, "sum", 5, F.col("ym")))))
+    return agg.select(F.inline(rows)).select(*KPI_COLUMNS)
+
+
+def _part(base: DataFrame, part: int) -> DataFrame:
+    return refresh_kpis(base).where(F.col("part") == part)
+
+
+def refresh_global(base: DataFrame) -> DataFrame:
+    """The seven global KPIs (sum, count, mean, ratio)."""
+    return _part(base, 0)
 
 
 def refresh_quarter(base: DataFrame) -> DataFrame:
-    key = F.concat(F.lit("Q"), F.coalesce(F.col("quarter"), F.lit(0)).cast("string"), F.lit("_"),
-                   F.coalesce(F.col("year"), F.lit(0)).cast("string"))
-    g = base.groupBy(key.alias("key")).agg(F.coalesce(F.sum("amount"), _zero()).alias("tot"))
-    return _rows(g, 1, F.concat(F.lit("CA_"), F.col("key")), F.col("key"), F.round("tot", 2))
+    """``CA_Q<t>_<y>`` per quarter (null quarter or year -> 0)."""
+    return _part(base, 1)
 
 
 def refresh_department(base: DataFrame) -> DataFrame:
-    g = (base.groupBy(_label("department", LABEL_UNKNOWN_DEPARTMENT).alias("dep"))
-         .agg(F.coalesce(F.sum("amount"), _zero()).alias("tot"), F.max("department_id").alias("dept_id")))
-    return _rows(g, 2, F.concat(F.lit("CA_"), F.col("dep")), F.lit("global"), F.round("tot", 2),
-                 dept=F.col("dept_id"))
+    """``CA_<department>`` (null or empty -> ``Inconnu``) with the department id."""
+    return _part(base, 2)
 
 
 def refresh_txn_type(base: DataFrame) -> DataFrame:
-    g = base.groupBy(_label("txn_type", LABEL_OTHER).alias("tt")).agg(F.coalesce(F.sum("amount"), _zero()).alias("tot"))
-    return _rows(g, 3, F.concat(F.lit("Vol_"), F.col("tt")), F.lit("global"), F.round("tot", 2))
+    """``Vol_<type>`` per transaction type (null or empty -> ``Autre``)."""
+    return _part(base, 3)
 
 
 def refresh_expense_type(base: DataFrame) -> DataFrame:
-    g = (base.groupBy(_label("expense_type", LABEL_OTHER).alias("td"))
-         .agg(F.coalesce(F.sum("amount"), _zero()).alias("tot")))
-    return _rows(g, 4, F.concat(F.lit("Dep_"), F.col("td")), F.lit("global"), F.round("tot", 2))
+    """``Dep_<type>`` per expense type (null or empty -> ``Autre``)."""
+    return _part(base, 4)
 
 
 def monthly_evolution(base: DataFrame) -> DataFrame:
@@ -97,21 +146,4 @@ def monthly_evolution(base: DataFrame) -> DataFrame:
     The lag runs on the grouped rows (one per month), values rounded to 2 first;
     the first month and a zero previous month give 0.
     """
-    g = (base.groupBy(_label("year_month", LABEL_NO_MONTH).alias("ym"))
-         .agg(F.round(F.coalesce(F.sum("amount"), _zero()), 2).alias("val")))
-    w = Window.orderBy("ym")
-    prev = F.coalesce(F.lag("val").over(w), F.col("val"))
-    evo = F.when(prev != 0, F.round(((F.col("val") - prev) / prev) * F.lit(100), 2)).otherwise(_zero())
-    g = g.select("ym", "val", evo.alias("evo"))
-    return _rows(g, 5, F.lit(KPI_MONTHLY_NAME), F.col("ym"), F.col("val"), evolution=F.col("evo"),
-                 position=F.col("ym"))
-
-
-def refresh_kpis(base: DataFrame) -> DataFrame:
-    """All refresh rows in one frame (the base is read once per part; cache it when reused)."""
-    parts = [refresh_global(base), refresh_quarter(base), refresh_department(base),
-             refresh_txn_type(base), refresh_expense_type(base), monthly_evolution(base)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*KPI_COLUMNS)
+    return _part(base, 5)
