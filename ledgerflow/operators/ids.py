@@ -42,6 +42,8 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1,
     ordered = df.repartitionByRange(n, *_order_cols(order)).sortWithinPartitions(*_order_cols(order))
     tagged = ordered.withColumn("__lf_mid", F.monotonically_increasing_id())
     if checkpoint:
+        from ledgerflow.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
         tagged = tagged.checkpoint(eager=True)
     tagged = tagged.withColumns({
         "__lf_part": F.shiftright("__lf_mid", 33).cast("int"),
