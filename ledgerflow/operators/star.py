@@ -103,15 +103,16 @@ def build_dim_project(ledger: DataFrame) -> DataFrame:
     return d.select(F.col("project_id").cast("int").alias("project_id"), "project", "start_date", "end_date")
 
 
-def build_dimensions(ledger: DataFrame) -> dict[str, DataFrame]:
+def build_dimensions(ledger: DataFrame) -> dict:
+    """Builders of the seven dimensions (call each to get its frame)."""
     return {
-        "dim_date": build_dim_date(ledger),
-        "dim_department": build_dim_department(ledger),
-        "dim_owner": build_dim_owner(ledger),
-        "dim_txn_type": build_dim_txn_type(ledger),
-        "dim_expense_type": build_dim_expense_type(ledger),
-        "dim_counterparty": build_dim_counterparty(ledger),
-        "dim_project": build_dim_project(ledger),
+        "dim_date": lambda: build_dim_date(ledger),
+        "dim_department": lambda: build_dim_department(ledger),
+        "dim_owner": lambda: build_dim_owner(ledger),
+        "dim_txn_type": lambda: build_dim_txn_type(ledger),
+        "dim_expense_type": lambda: build_dim_expense_type(ledger),
+        "dim_counterparty": lambda: build_dim_counterparty(ledger),
+        "dim_project": lambda: build_dim_project(ledger),
     }
 
 

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.ids import assign_ids, next_id
+from ledgerflow.operators.ids import assign_ids
 from ledgerflow.schemas import (
     FORECAST_READ_LIMIT, KPI_DEFAULT_PERIOD, KPI_DEFAULT_SOURCE, KPI_DEFAULT_STAT, KPI_READ_LIMIT,
     KPI_VALUES,
@@ -42,15 +42,19 @@ def normalise_batch(batch: DataFrame, source: str | None = None) -> DataFrame:
     return out.where(F.col("kpi_name") != "")
 
 
-def stamp(batch: DataFrame, created_at: _dt.datetime) -> DataFrame:
-    """Creation time = ``created_at`` + the row's rank in emission order (seconds).
+def stamp(batch: DataFrame, created_at: _dt.datetime, start_id=None) -> DataFrame:
+    """Number a batch in emission order and stamp it.
 
-    The rank comes from the distributed id assignment, so no one-partition window.
+    ``id`` = stored max id + rank (``start_id`` is a scalar-subquery column, or
+    None for ids 1..n); creation time = ``created_at`` + (rank - 1) seconds. The
+    rank comes from the distributed numbering, so no one-partition window.
     """
     ranked = assign_ids(batch, ["part", "position"], "_rank")
     epoch = int(created_at.replace(tzinfo=_dt.timezone.utc).timestamp())
     ts = F.timestamp_seconds(F.lit(epoch) + F.col("_rank") - 1).cast("timestamp_ntz")
-    return ranked.withColumns({"created_at": ts, "updated_at": ts}).drop("_rank")
+    base = start_id if start_id is not None else F.lit(0)
+    return ranked.withColumns({"id": (base + F.col("_rank")).cast("long"), "created_at": ts,
+                               "updated_at": ts}).drop("_rank")
 
 
 def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at: _dt.datetime,
@@ -73,8 +77,8 @@ def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at:
         kept = b
         marked = existing.withColumn("_hit", F.lit(None).cast("boolean"))
         survivors = existing
-    stamped = stamp(kept, created_at)
-    new_rows = assign_ids(stamped, ["part", "position"], "id", next_id(existing, "id"))
+    max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    new_rows = stamp(kept, created_at, max_id)
     store = survivors.unionByName(new_rows.select(*[f.name for f in KPI_VALUES.fields]))
 
     counts = (marked.select(F.col("_hit").isNotNull().cast("long").alias("replaced"), F.lit(0).cast("long").alias("inserted"))
@@ -89,9 +93,7 @@ def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at:
 
 def initial_store(batch: DataFrame, created_at: _dt.datetime) -> DataFrame:
     """A store holding one batch (ids 1.., stamped in emission order)."""
-    b = normalise_batch(batch)
-    new_rows = assign_ids(stamp(b, created_at), ["part", "position"], "id", 1)
-    return new_rows.select(*[f.name for f in KPI_VALUES.fields])
+    return stamp(normalise_batch(batch), created_at).select(*[f.name for f in KPI_VALUES.fields])
 
 
 def latest(df: DataFrame, n: int, ts: str = "created_at", tie: str = "id") -> DataFrame:

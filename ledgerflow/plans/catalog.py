@@ -78,7 +78,9 @@ def clear_memo() -> None:
 
 
 def raw(spark, sf_dir) -> DataFrame:
-    return B.ledger_raw(spark, sf_dir)
+    """The uploaded ledger file: the binding written once per session (an upload is
+    a stored file, not a join recomputed by every job that reads it)."""
+    return _memo(spark, sf_dir, "raw", lambda: materialize(B.ledger_raw(spark, sf_dir)))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

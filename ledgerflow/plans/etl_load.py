@@ -10,6 +10,7 @@ any key are skipped and counted.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,22 @@ class Star:
         return {**self.dims, "fact_transactions": self.facts}
 
 
+def materialize_all(frames: dict, workers: int = 8) -> dict[str, DataFrame]:
+    """Build and materialize independent frames concurrently.
+
+    Each dimension is a handful of small jobs (aggregate, range sample, checkpoint);
+    submitting them from several threads lets the scheduler run them side by side
+    instead of leaving the cluster idle between small jobs. Values may be frames or
+    zero-argument builders (building itself may run jobs).
+    """
+    def one(item):
+        name, v = item
+        return name, materialize(v() if callable(v) else v)
+
+    with ThreadPoolExecutor(max_workers=min(workers, len(frames))) as pool:
+        return dict(pool.map(one, frames.items()))
+
+
 def rebuild_star(ledger: DataFrame) -> Star:
     """Full rebuild from a cleaned ledger (ids 1..n everywhere).
 
@@ -38,7 +55,7 @@ def rebuild_star(ledger: DataFrame) -> Star:
     jobs each (seven dimension builds, then seven key joins).
     """
     ledger = materialize(ledger)
-    dims = {k: materialize(v) for k, v in St.build_dimensions(ledger).items()}
+    dims = materialize_all(St.build_dimensions(ledger))
     resolved = St.resolve_keys(ledger, dims, strict=False, owner_by_name=True)
     return Star(dims, St.facts_from_resolved(resolved, 1))
 
@@ -53,10 +70,12 @@ def load_upload(star: Star, ledger: DataFrame, replace: bool = True) -> LoadResu
     """Incremental load of one cleaned upload into an existing star."""
     ledger = materialize(ledger)
     dims = dict(star.dims)
-    dims["dim_date"] = materialize(St.upsert_date(dims["dim_date"], ledger))
-    dims["dim_owner"] = materialize(St.upsert_owner(dims["dim_owner"], ledger))
-    dims["dim_counterparty"] = materialize(St.upsert_counterparty(dims["dim_counterparty"], ledger))
-    dims["dim_project"] = materialize(St.upsert_project(dims["dim_project"], ledger))
+    dims.update(materialize_all({
+        "dim_date": lambda: St.upsert_date(dims["dim_date"], ledger),
+        "dim_owner": lambda: St.upsert_owner(dims["dim_owner"], ledger),
+        "dim_counterparty": lambda: St.upsert_counterparty(dims["dim_counterparty"], ledger),
+        "dim_project": lambda: St.upsert_project(dims["dim_project"], ledger),
+    }))
     resolved = St.resolve_keys(ledger, dims, strict=True)
     facts = St.load_facts(star.facts, resolved, replace=replace)
     return LoadResult(Star(dims, facts), resolved)

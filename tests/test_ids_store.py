@@ -68,6 +68,9 @@ def test_kpi_merge_replaces_stored_rows(spark):
 def test_monthly_evolution_rules(spark):
     base = spark.createDataFrame(
         [("2024-01", 100.0), ("2024-03", 150.0), ("2024-04", 0.0), ("2024-05", 10.0)], "year_month string, a double"
-    ).withColumn("amount", F.col("a").cast("decimal(18,3)"))
+    ).select("year_month", F.col("a").cast("decimal(18,3)").alias("amount"),
+             F.col("a").cast("decimal(18,3)").alias("signed_amount"), F.lit(2024).alias("year"),
+             F.lit(1).alias("quarter"), F.lit("D").alias("department"), F.lit(1).alias("department_id"),
+             F.lit("Revenu").alias("txn_type"), F.lit("N/A").alias("expense_type"))
     got = sorted((r.period, r.evolution) for r in R.monthly_evolution(base).collect())
     assert got == [("2024-01", 0.0), ("2024-03", 50.0), ("2024-04", -100.0), ("2024-05", 0.0)]
