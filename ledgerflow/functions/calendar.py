@@ -55,3 +55,8 @@ def with_calendar(df: DataFrame, date_col: str = "txn_date") -> DataFrame:
 def ts_label(col) -> Column:
     """Minute label ``yyyy-MM-dd HH:mm``."""
     return F.date_format(_c(col), "yyyy-MM-dd HH:mm")
+
+
+def ntz_literal(value) -> Column:
+    """A wall-clock TIMESTAMP_NTZ literal, independent of the session time zone."""
+    return F.to_timestamp_ntz(F.lit(value.strftime("%Y-%m-%d %H:%M:%S")))

@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.calendar import ntz_literal
 from ledgerflow.operators.ids import assign_ids
 from ledgerflow.schemas import (
     FORECAST_READ_LIMIT, KPI_DEFAULT_PERIOD, KPI_DEFAULT_SOURCE, KPI_DEFAULT_STAT, KPI_READ_LIMIT,
@@ -50,8 +51,7 @@ def stamp(batch: DataFrame, created_at: _dt.datetime, start_id=None) -> DataFram
     rank comes from the distributed numbering, so no one-partition window.
     """
     ranked = assign_ids(batch, ["part", "position"], "_rank")
-    epoch = int(created_at.replace(tzinfo=_dt.timezone.utc).timestamp())
-    ts = F.timestamp_seconds(F.lit(epoch) + F.col("_rank") - 1).cast("timestamp_ntz")
+    ts = ntz_literal(created_at) + F.make_dt_interval(secs=(F.col("_rank") - 1).cast("decimal(18,6)"))
     base = start_id if start_id is not None else F.lit(0)
     return ranked.withColumns({"id": (base + F.col("_rank")).cast("long"), "created_at": ts,
                                "updated_at": ts}).drop("_rank")

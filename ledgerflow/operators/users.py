@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import ts_label
+from ledgerflow.functions.calendar import ntz_literal, ts_label
 from ledgerflow.functions.labels import login_type_or_default, role_or_default
 from ledgerflow.schemas import USERS_PER_PAGE
 
@@ -27,7 +27,8 @@ def user_stats(users: DataFrame, now: _dt.datetime) -> DataFrame:
     return users.agg(
         F.count(F.lit(1)).alias("total_users"),
         F.count_if(F.to_date("created_at") == F.lit(today)).alias("new_today"),
-        F.count_if(F.col("created_at") >= F.lit(_dt.datetime.combine(week_ago, _dt.time()))).alias("active_week"),
+        F.count_if(F.col("created_at") >= ntz_literal(_dt.datetime.combine(week_ago, _dt.time())))
+         .alias("active_week"),
         F.count_if(lt == "google").alias("google_users"),
         F.count_if((lt == "email") | lt.isNull() | (lt == "")).alias("email_users"),
         F.count_if(F.col("role") == "admin").alias("admin_count"),

@@ -37,3 +37,29 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns == ["month", "revenue", "expenses", "running_balance"]
+
+
+def test_hot_key_is_split_across_tasks(spark):
+    """One key holding a third of all rows: the numbering's range partitioning still
+    spreads it (the order key has further columns), and first_per_key pre-aggregates."""
+    from pyspark.sql import functions as F
+
+    from ledgerflow.operators.ids import assign_ids, first_per_key
+    n = 30000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("key"), F.col("id"))
+    out = assign_ids(df, ["key", "id"], "rid", num_partitions=8)
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 3
+    ids = out.agg(F.min("rid"), F.max("rid"), F.countDistinct("rid")).first()
+    assert tuple(ids) == (1, n, n)
+    first = first_per_key(df, ["key"], "id", ["id"]).where("key = 'HOT'").first()
+    assert first.id == 0
+    plan = _plan(first_per_key(df, ["key"], "id", ["id"]))
+    assert "partial_min_by" in plan or "partial_" in plan
+
+
+def test_dimensions_are_broadcast_after_size_check(spark):
+    plan = _plan(entry.queries()["star_flatten"](spark, SF_SMALL))
+    assert plan.count("BroadcastHashJoin") >= 7
+    assert "SortMergeJoin" not in plan
