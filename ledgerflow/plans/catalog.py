@@ -120,8 +120,47 @@ def kpi_base2(spark, sf_dir) -> DataFrame:
     return St.kpi_base(st.facts, st.dims)
 
 
+def shared_folder(spark: SparkSession, *parts: str) -> str:
+    """A path under the session's reliable checkpoint folder (shared storage)."""
+    import os
+    from ledgerflow.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def _sf_name(sf_dir: str) -> str:
+    import os
+    return os.path.basename(os.path.normpath(sf_dir))
+
+
 # ------------------------------------------------------------------ A. sources
 
+@query("ledger_csv_roundtrip")
+def q_ledger_csv_roundtrip(spark, sf_dir):
+    """The upload written as CSV files and read back through the encoding-aware reader."""
+    from ledgerflow.sources.ledger_csv import read_ledger_csv, write_ledger_csv
+
+    def build():
+        path = shared_folder(spark, "uploads", _sf_name(sf_dir), "ledger_csv")
+        write_ledger_csv(raw(spark, sf_dir), path)
+        return path
+    path = _memo(spark, sf_dir, "ledger_csv", build)
+    return T.null_tokens(read_ledger_csv(spark, path + "/*.csv"))
+
+
+@query("period_filter_stored")
+def q_period_filter_stored(spark, sf_dir):
+    """The period report over the stored clean table (Parquet, partitioned by year):
+    the date range prunes partitions and reaches the scan as pushed filters."""
+    from ledgerflow.sources.tables import read_clean, write_clean
+
+    def build():
+        path = shared_folder(spark, "tables", _sf_name(sf_dir), "ledger_clean")
+        write_clean(ledger(spark, sf_dir), path)
+        return path
+    path = _memo(spark, sf_dir, "ledger_clean_table", build)
+    return K.kpi_global(K.in_period(read_clean(spark, path), REPORT_MONTH))
+
+
 @query("null_tokens")
 def q_null_tokens(spark, sf_dir):
     return T.null_tokens(raw(spark, sf_dir))
@@ -256,6 +295,19 @@ _dim_query("dim_upsert_counterparty", "dim_counterparty", lambda s, d: load2(s,
 _dim_query("dim_upsert_project", "dim_project", lambda s, d: load2(s, d).star.dims)
 
 
+def _full_dim(name: str, builder):
+    @query(name)
+    def q(spark, sf_dir):
+        return builder(ledger(spark, sf_dir))
+    return q
+
+
+_full_dim("dim_date", St.build_dim_date)
+_full_dim("dim_owner", St.build_dim_owner)
+_full_dim("dim_counterparty", St.build_dim_counterparty)
+_full_dim("dim_project", St.build_dim_project)
+
+
 @query("dim_department")
 def q_dim_department(spark, sf_dir):
     return St.build_dim_department(ledger(spark, sf_dir))

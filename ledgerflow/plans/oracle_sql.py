@@ -674,3 +674,9 @@ SELECT CAST(1 AS BIGINT) AS user_id, 'ledger.csv' AS file_name, TIMESTAMP '2024-
 FROM (SELECT count(*) FILTER (WHERE len(reasons) > 0) AS n_rejected FROM ledger_all) a,
      (SELECT count(*) FILTER (WHERE NOT resolved) AS n_skipped, count(*) FILTER (WHERE resolved) AS n_inserted
       FROM s2_resolved) b""", ["ledger_all", "s2_resolved"])
+
+for _n, _dim in [("dim_date", "f_date"), ("dim_owner", "f_owner"), ("dim_counterparty", "f_counterparty"),
+                 ("dim_project", "f_project")]:
+    oracle(_n, f"SELECT * FROM {_dim}", [_dim])
+ORACLE["ledger_csv_roundtrip"] = ORACLE["null_tokens"]
+ORACLE["period_filter_stored"] = ORACLE["period_filter"]
