@@ -32,14 +32,24 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1,
                num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls first).
 
+    ``order=None`` numbers rows in their current partition order: still gap-free and
+    stable (the numbered frame is checkpointed), but without the range shuffle. That
+    is the cheap choice for a huge fact table whose ids need no particular order.
+
     ``start`` is an int or a one-row, one-column DataFrame (e.g. ``max(id) + 1`` of
     an existing table) so appends stay lazy and nothing goes through the driver.
     Rows equal on the whole order key get consecutive ids in an arbitrary order;
     pass a total order when ids must be reproducible row by row.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *_order_cols(order)).sortWithinPartitions(*_order_cols(order))
+    if order:
+        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = df.repartitionByRange(n, *_order_cols(order)).sortWithinPartitions(*_order_cols(order))
+    else:
+        # No order: number rows as they sit in their partitions (no shuffle at all).
+        # Deterministic only because the tagged frame is checkpointed below.
+        ordered = df
+        checkpoint = True
     tagged = ordered.withColumn("__lf_mid", F.monotonically_increasing_id())
     if checkpoint:
         from ledgerflow.session import ensure_checkpoint_dir

@@ -203,21 +203,27 @@ def resolve_keys(ledger: DataFrame, dims: dict[str, DataFrame], strict: bool = T
     return df.withColumn("resolved", ok)
 
 
-def facts_from_resolved(resolved: DataFrame, start=1) -> DataFrame:
-    """Resolved rows -> fact rows numbered from ``start`` in ledger order."""
+def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True) -> DataFrame:
+    """Resolved rows -> fact rows numbered from ``start``.
+
+    ``ordered`` numbers in ledger order (one range shuffle of the facts, ids
+    reproducible row by row); ``ordered=False`` numbers in partition order of the
+    materialized input (no shuffle), for loads where only gap-free ids matter.
+    """
     rows = resolved.where(F.col("resolved"))
-    numbered = assign_ids(rows, LEDGER_ORDER, "transaction_id", start)
+    numbered = assign_ids(rows, LEDGER_ORDER if ordered else None, "transaction_id", start)
     return numbered.select(
         "transaction_id", *[F.col(c).cast("int").alias(c) for c in FACT_IDS],
         F.round("amount", 2).cast(MONEY).alias("amount"),
         F.col("signed_amount").cast(MONEY).alias("signed_amount"))
 
 
-def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool = True) -> DataFrame:
+def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool = True,
+               ordered: bool = True) -> DataFrame:
     """Replace: new facts numbered from 1. Append: existing + new numbered from max+1."""
     if replace or existing is None:
-        return facts_from_resolved(resolved, 1)
-    new = facts_from_resolved(resolved, next_id(existing, "transaction_id"))
+        return facts_from_resolved(resolved, 1, ordered)
+    new = facts_from_resolved(resolved, next_id(existing, "transaction_id"), ordered)
     return existing.unionByName(new.select(*existing.columns))
 
 

@@ -228,7 +228,7 @@ def q_json_payload(spark, sf_dir):
 @query("json_safe")
 def q_json_safe(spark, sf_dir):
     rep = K.kpi_by_department(ledger(spark, sf_dir))
-    ratio = (F.col("revenue") / F.col("expenses"))
+    ratio = F.try_divide(F.col("revenue"), F.col("expenses"))
     return J.to_json_record(rep.select("department_id", "n_transactions", ratio.alias("ratio")), "json")
 
 

@@ -17,6 +17,15 @@ def test_assign_ids_gap_free_and_partition_independent(spark):
         assert [rid for _, rid in got] == list(range(1, 5001))
 
 
+def test_assign_ids_without_order_is_gap_free(spark):
+    df = spark.range(0, 3000, 1, 7).select((F.col("id") * 31).alias("k"))
+    out = assign_ids(df, None, "rid")
+    ids = sorted(r.rid for r in out.collect())
+    assert ids == list(range(1, 3001))
+    plan = out._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "RangePartitioning" not in plan
+
+
 def test_assign_ids_lazy_start(spark):
     existing = spark.createDataFrame([(5,), (9,)], "id long")
     start = existing.agg((F.max("id") + 1).alias("s"))
