@@ -19,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.functions import calendar as Cal
 from ledgerflow.functions import jsonval as J
 from ledgerflow.functions import labels as L
 from ledgerflow.functions import money as M
@@ -545,4 +544,4 @@ def q_message_intent(spark, sf_dir):
         .select("conv_id", "turn", "intent", "answer")
 
 
-__all__ = ["QUERIES", "clear_memo", "Cal"]
+__all__ = ["QUERIES", "clear_memo"]

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.files.maxPartitionBytes": "256MB",
+    # AQE splits/coalesces shuffle partitions towards this size (and skewed ones above
+    # skewedPartitionFactor x median are split): partitions stay far below executor memory.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     # Delete checkpoint files once their frame is garbage-collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
@@ -52,6 +55,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def suggest_shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 << 20, cores: int = 1) -> int:
+    """Shuffle partitions for ``shuffle_bytes`` of shuffled data: about ``target_bytes``
+    each, never fewer than the cores, rounded up to a multiple of the cores so the
+    last wave is full. E.g. 20 TB shuffled on 8,000 cores -> 80,000 partitions."""
+    n = max(-(-shuffle_bytes // target_bytes), cores, 1)
+    return -(-n // max(cores, 1)) * max(cores, 1)
+
+
 def materialize(df):
     """Write ``df`` once to the reliable checkpoint folder and read it back.
 
