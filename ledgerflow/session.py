@@ -58,7 +58,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def suggest_shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 << 20, cores: int = 1) -> int:
     """Shuffle partitions for ``shuffle_bytes`` of shuffled data: about ``target_bytes``
     each, never fewer than the cores, rounded up to a multiple of the cores so the
-    last wave is full. E.g. 20 TB shuffled on 8,000 cores -> 80,000 partitions."""
+    last wave is full. E.g. 20 TB shuffled on 8,000 cores -> 88,000 partitions."""
     n = max(-(-shuffle_bytes // target_bytes), cores, 1)
     return -(-n // max(cores, 1)) * max(cores, 1)
 
