@@ -338,7 +338,7 @@ def _refresh(prefix: str, base: str) -> None:
              count(*) AS n
       FROM {base}""", [base])
     cte(f"{prefix}_global", f"""
-      SELECT k AS kpi_name, 'global' AS period, v AS value, 0.0 AS evolution, CAST(NULL AS INTEGER) AS department_id,
+      SELECT k AS kpi_name, 'global' AS period, v AS value, CAST(0.0 AS DOUBLE) AS evolution, CAST(NULL AS INTEGER) AS department_id,
              s AS stat_type, 'etl_auto' AS source, 0 AS part, lpad(CAST(i AS VARCHAR), 2, '0') AS position
       FROM (
         SELECT 'CA_Total' AS k, CAST(round(tot, 2) AS DOUBLE) AS v, 'sum' AS s, 0 AS i FROM {prefix}_g UNION ALL
@@ -351,13 +351,13 @@ def _refresh(prefix: str, base: str) -> None:
         SELECT 'Ratio_Dep_Rev', CASE WHEN rev <> 0 THEN {_div2('dep', 'rev', True)} ELSE 0.0 END, 'ratio', 6 FROM {prefix}_g
       )""", [f"{prefix}_g"])
     cte(f"{prefix}_quarter", f"""
-      SELECT 'CA_' || key AS kpi_name, key AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+      SELECT 'CA_' || key AS kpi_name, key AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
              CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 1 AS part,
              'CA_' || key AS position
       FROM (SELECT 'Q' || CAST(coalesce(quarter, 0) AS VARCHAR) || '_' || CAST(coalesce(year, 0) AS VARCHAR) AS key,
                    coalesce(sum(amount), {_Z}) AS tot FROM {base} GROUP BY 1)""", [base])
     cte(f"{prefix}_department", f"""
-      SELECT 'CA_' || dep AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+      SELECT 'CA_' || dep AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
              CAST(dept_id AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 2 AS part,
              'CA_' || dep AS position
       FROM (SELECT coalesce(nullif(department, ''), 'Inconnu') AS dep, coalesce(sum(amount), {_Z}) AS tot,
@@ -365,7 +365,7 @@ def _refresh(prefix: str, base: str) -> None:
     for part, (nm, col, pre) in enumerate([("txn_type", "txn_type", "Vol_"), ("expense_type", "expense_type", "Dep_")],
                                           start=3):
         cte(f"{prefix}_{nm}", f"""
-          SELECT '{pre}' || k AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, 0.0 AS evolution,
+          SELECT '{pre}' || k AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
                  CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, {part} AS part,
                  '{pre}' || k AS position
           FROM (SELECT coalesce(nullif({col}, ''), 'Autre') AS k, coalesce(sum(amount), {_Z}) AS tot
@@ -474,8 +474,8 @@ oracle("json_payload", """
 SELECT event_id AS id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(json_valid(props), false) AS is_json
 FROM events""")
 oracle("json_safe", f"""
-SELECT to_json({{'department_id': department_id, 'n_transactions': n_transactions,
-                 'ratio': CASE WHEN isnan(ratio) OR isinf(ratio) THEN NULL ELSE ratio END}}) AS json
+SELECT CAST(to_json({{'department_id': department_id, 'n_transactions': n_transactions,
+                 'ratio': CASE WHEN isnan(ratio) OR isinf(ratio) THEN NULL ELSE ratio END}}) AS VARCHAR) AS json
 FROM (SELECT {_DEPT_ID} AS department_id, count(*) AS n_transactions,
              CAST({REV} AS DOUBLE) / CAST({DEP} AS DOUBLE) AS ratio
       FROM ledger GROUP BY 1)""", ["ledger"])
