@@ -183,7 +183,7 @@ def legacy_clean(raw: DataFrame) -> DataFrame:
 
     df = null_tokens(raw)
     df = repair_mojibake(df)
-    df = df.withColumn("txn_date", F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-MM-dd"))))
+    df = df.withColumn("txn_date", F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-M-d"))))
     df = df.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
     df = df.dropDuplicates()
     text_cols = [c for c in NORMALISED if c in df.columns]
