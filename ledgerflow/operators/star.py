@@ -17,9 +17,10 @@ from ledgerflow.functions.labels import counterparty_kind, department_id, expens
 from ledgerflow.operators.ids import assign_ids, first_per_key, next_id
 from ledgerflow.schemas import FLATTEN_LIMIT, MONEY
 
-# Broadcast bound for dimension tables (rows). A dimension above it is joined with
-# a shuffle join instead.
+# Broadcast bounds for dimension tables. A dimension above either is joined with a
+# shuffle join instead (AQE may still switch it at run time if it turns out small).
 DIM_BROADCAST_MAX_ROWS = 2_000_000
+DIM_BROADCAST_MAX_BYTES = 64 << 20
 
 # Total order of ledger rows used for "first row seen" and for fact numbering:
 # rows tied on all of it are identical, so which one gets which id is irrelevant.
@@ -33,14 +34,25 @@ def ledger_ordinal() -> Column:
     return F.struct(*cols)
 
 
+def dimension_size(dim: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a dimension in one small aggregate; bytes are the UTF-8 text
+    length of every value plus 8 bytes per value, an upper bound of its in-memory
+    hashed size order of magnitude."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(8) for c in dim.columns),
+                F.lit(0))
+    r = dim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return int(r["n"]), int(r["b"])
+
+
 def dim_join(big: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` to a dimension, broadcasting it only below a counted row bound.
+             max_rows: int = DIM_BROADCAST_MAX_ROWS, max_bytes: int = DIM_BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join ``big`` to a dimension, broadcasting it only below measured bounds.
 
-    The count is one scalar from a small, usually checkpointed frame; above the
-    bound the join stays a shuffle join and AQE's skew-join split handles hot keys.
+    The measurement is one aggregate over a small, usually checkpointed frame; above
+    the bounds the join stays a shuffle join and AQE's skew-join split handles hot keys.
     """
-    small = dim.count() <= max_rows
+    rows, size = dimension_size(dim)
+    small = rows <= max_rows and size <= max_bytes
     return big.join(F.broadcast(dim) if small else dim, on, how)
 
 

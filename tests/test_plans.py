@@ -63,3 +63,19 @@ def test_dimensions_are_broadcast_after_size_check(spark):
     plan = _plan(entry.queries()["star_flatten"](spark, SF_SMALL))
     assert plan.count("BroadcastHashJoin") >= 7
     assert "SortMergeJoin" not in plan
+
+
+def test_dim_join_respects_byte_bound(spark):
+    from ledgerflow.operators.star import dim_join, dimension_size
+    big = spark.range(100).withColumnRenamed("id", "k")
+    dim = spark.range(100).withColumnRenamed("id", "k").selectExpr("k", "repeat('x', 100) AS v")
+    rows, size = dimension_size(dim)
+    assert rows == 100 and size >= 100 * 100
+    assert "BroadcastHashJoin" in _plan(dim_join(big, dim, "k", max_bytes=1 << 20))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in _plan(dim_join(big, dim, "k", max_bytes=1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32MB")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
