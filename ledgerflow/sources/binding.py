@@ -34,7 +34,10 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ocn = (orders.join(customer, orders.o_custkey == customer.c_custkey)
            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
-    base = (li.join(ocn, li.l_orderkey == ocn.o_orderkey)
+    # Line items x orders is a fact-to-fact join: a shuffle (sort-merge) join on the
+    # order key at every scale. Left to size estimates, a small test set makes the
+    # planner broadcast the line items and stream single-file orders in one task.
+    base = (li.join(ocn.hint("merge"), li.l_orderkey == ocn.o_orderkey)
             .join(supplier, li.l_suppkey == supplier.s_suppkey)
             .join(part, li.l_partkey == part.p_partkey))
 
