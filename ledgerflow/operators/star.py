@@ -278,8 +278,9 @@ def _newest_candidates(facts: DataFrame, dim_date: DataFrame, limit: int) -> Dat
     # One row per date: the window is bounded by the number of calendar days.
     w = Window.orderBy(F.desc_nulls_last("date"), F.asc("date_id")).rowsBetween(Window.unboundedPreceding, -1)
     before = per_date.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    keep = before.where(F.col("_before") < F.lit(limit)).select("date_id")
-    return facts.join(F.broadcast(keep), "date_id", "left_semi")
+    keep = before.where(F.col("_before") < F.lit(limit)).select(F.col("date_id").alias("_kd"))
+    # Null-safe: facts without a date (ordered last) stay when the newest N reach them.
+    return facts.join(F.broadcast(keep), facts["date_id"].eqNullSafe(keep["_kd"]), "left_semi")
 
 
 def kpi_base(facts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

@@ -58,3 +58,17 @@ def test_results_do_not_depend_on_input_partitioning(spark):
     a = K.kpi_monthly_balance(C.clean_valid(raw.repartition(1))).collect()
     b = K.kpi_monthly_balance(C.clean_valid(raw.repartition(13))).collect()
     assert a == b
+
+
+def test_newest_limit_keeps_undated_facts_when_reached(spark):
+    from pyspark.sql import functions as F
+    led = _ledger(spark)
+    star = E.rebuild_star(led)
+    facts = star.facts.withColumn("date_id", F.when(F.col("transaction_id") % 50 == 0, F.lit(None))
+                                  .otherwise(F.col("date_id")).cast("int"))
+    n = facts.count()
+    top = St.flatten_star(facts, star.dims, limit=n + 10)
+    assert top.count() == n
+    small = St.flatten_star(facts, star.dims, limit=30)
+    full = St.flatten_star(facts, star.dims, limit=None).limit(30)
+    assert [r.transaction_id for r in small.collect()] == [r.transaction_id for r in full.collect()]
