@@ -74,3 +74,22 @@ def test_streaming_upload_loader(spark, tmpdir_path):
     assert star.facts.count() == 3
     assert star.dims["dim_owner"].count() == 2
     assert spark.read.parquet(hist).count() == 2
+
+
+def test_streaming_replace_mode(spark, tmpdir_path):
+    from ledgerflow.streaming.uploads import read_star, start_upload_loader
+    up = os.path.join(tmpdir_path, "uploads")
+    os.makedirs(up)
+    header = ",".join(REQUIRED_COLUMNS)
+    with open(os.path.join(up, "u1.csv"), "w", encoding="utf-8") as f:
+        f.write(header + "\n2024-01-05,DEPT001,Ventes,Revenu,,100,Ann,Client A,P1\n"
+                "2024-01-06,DEPT001,Ventes,Revenu,,5,Ann,Client A,P1\n")
+    star_base, hist, ck = (os.path.join(tmpdir_path, x) for x in ("star", "history", "ck"))
+    start_upload_loader(spark, up, star_base, hist, ck).awaitTermination(120)
+    with open(os.path.join(up, "u2.csv"), "w", encoding="utf-8") as f:
+        f.write(header + "\n2024-02-01,DEPT001,Ventes,Revenu,,10,Bob,Client C,P1\n")
+    start_upload_loader(spark, up, star_base, hist, ck).awaitTermination(120)
+    star = read_star(spark, star_base)
+    facts = star.facts.collect()
+    assert [(r.transaction_id, float(r.amount)) for r in facts] == [(1, 10.0)]
+    assert star.dims["dim_date"].count() == 3

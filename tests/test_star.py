@@ -72,3 +72,18 @@ def test_newest_limit_keeps_undated_facts_when_reached(spark):
     small = St.flatten_star(facts, star.dims, limit=30)
     full = St.flatten_star(facts, star.dims, limit=None).limit(30)
     assert [r.transaction_id for r in small.collect()] == [r.transaction_id for r in full.collect()]
+
+
+def test_quality_identity_on_binding(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()["quality_counters"](spark, SF_SMALL).first()
+    assert q.n_read == q.n_duplicates + q.n_rejected + q.n_skipped + q.n_inserted
+    assert q.n_valid == q.n_skipped + q.n_inserted
+
+
+def test_balance_is_revenue_minus_expenses(spark):
+    import __spark_entry__ as entry
+    g = entry.queries()["kpi_global"](spark, SF_SMALL).first()
+    assert round(g.total_revenue - g.total_expenses, 2) == g.net_balance
+    m = entry.queries()["kpi_monthly"](spark, SF_SMALL).collect()
+    assert round(sum(r.revenue - r.expenses for r in m), 2) == m[-1].running_balance
