@@ -64,6 +64,19 @@ def drop_exact_duplicates(df: DataFrame, count_col: str | None = None) -> DataFr
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count_col))
 
 
+def _reasons():
+    """Missing required values, in declared order; empty for a valid row.
+
+    Built from null tests, ``concat_ws`` and ``split`` (no higher-order function such
+    as ``array_compact``), so the filter on it stays inside whole-stage codegen.
+    """
+    valid = F.lit(True)
+    for c in REQUIRED_VALUES:
+        valid = valid & F.col(c).isNotNull()
+    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_VALUES])
+    return F.when(valid, F.array().cast("array<string>")).otherwise(F.split(missing, ","))
+
+
 def parse_and_normalise(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Typed, normalised ledger columns plus the calendar and a ``reasons`` array.
 
@@ -78,9 +91,7 @@ def parse_and_normalise(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> Dat
     out = out.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
     out = out.withColumn("signed_amount", signed_amount("amount", "txn_type"))
     out = out.withColumns(calendar_columns("txn_date"))
-    reasons = F.array_compact(F.array(*[
-        F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_VALUES]))
-    out = out.withColumn("reasons", reasons)
+    out = out.withColumn("reasons", _reasons())
     extras = [c for c in df.columns if c not in CLEAN_COLUMNS and c not in ("date_raw", "amount_raw")]
     return out.select(*CLEAN_COLUMNS, *extras, "date_raw", "amount_raw", "reasons")
 
