@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.calendar import ntz_literal
 from ledgerflow.operators.ids import assign_ids
+from ledgerflow.operators.joins import dim_join
 from ledgerflow.schemas import (
     FORECAST_READ_LIMIT, KPI_DEFAULT_PERIOD, KPI_DEFAULT_SOURCE, KPI_DEFAULT_STAT, KPI_READ_LIMIT,
     KPI_VALUES,
@@ -71,7 +72,7 @@ def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at:
         latest = F.max_by(F.struct(*[c for c in b.columns if c not in KEY]), F.struct("part", "position"))
         kept = b.groupBy(*KEY).agg(latest.alias("_r")).select(*KEY, "_r.*")
         hits = kept.select(*KEY, F.lit(True).alias("_hit"))
-        marked = existing.join(hits, KEY, "left")
+        marked = dim_join(existing, hits, KEY)
         survivors = marked.where(F.col("_hit").isNull()).drop("_hit")
     else:
         kept = b
