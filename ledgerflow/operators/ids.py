@@ -43,8 +43,11 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1,
     """
     spark = df.sparkSession
     if order:
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = df.repartitionByRange(n, *_order_cols(order)).sortWithinPartitions(*_order_cols(order))
+        # Without an explicit count AQE may coalesce adjacent ranges towards the
+        # advisory partition size; coalescing keeps the order, so ids stay exact.
+        cols = _order_cols(order)
+        ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+        ordered = ranged.sortWithinPartitions(*cols)
     else:
         # No order: number rows as they sit in their partitions (no shuffle at all).
         # Deterministic only because the tagged frame is checkpointed below.
