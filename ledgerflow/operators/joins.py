@@ -27,6 +27,19 @@ def dimension_size(dim: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
+_SIZES: dict[tuple[str, int], tuple[int, int]] = {}
+
+
+def _measured(dim: DataFrame) -> tuple[int, int]:
+    """Size of ``dim``, measured once per plan and session: a materialized dimension
+    joined in several places is measured once (the semantic hash of a plan over a
+    checkpoint identifies that checkpoint)."""
+    key = (dim.sparkSession.sparkContext.applicationId, dim.semanticHash())
+    if key not in _SIZES:
+        _SIZES[key] = dimension_size(dim)
+    return _SIZES[key]
+
+
 def dim_join(big: DataFrame, dim: DataFrame, on, how: str = "left",
              max_rows: int = DIM_BROADCAST_MAX_ROWS, max_bytes: int = DIM_BROADCAST_MAX_BYTES) -> DataFrame:
     """Join ``big`` to a dimension, broadcasting it only below measured bounds.
@@ -34,6 +47,6 @@ def dim_join(big: DataFrame, dim: DataFrame, on, how: str = "left",
     The measurement is one aggregate over a small, usually checkpointed frame; above
     the bounds the join stays a shuffle join and AQE's skew-join split handles hot keys.
     """
-    rows, size = dimension_size(dim)
+    rows, size = _measured(dim)
     small = rows <= max_rows and size <= max_bytes
     return big.join(F.broadcast(dim) if small else dim, on, how)

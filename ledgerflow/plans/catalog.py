@@ -115,8 +115,10 @@ def merged(spark, sf_dir):
 
 
 def kpi_base2(spark, sf_dir) -> DataFrame:
-    st = load2(spark, sf_dir).star
-    return St.kpi_base(st.facts, st.dims)
+    def build():
+        st = load2(spark, sf_dir).star
+        return St.kpi_base(st.facts, st.dims)
+    return _memo(spark, sf_dir, "kpi_base2", build)
 
 
 def shared_folder(spark: SparkSession, *parts: str) -> str:
