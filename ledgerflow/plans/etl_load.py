@@ -90,8 +90,8 @@ def refresh_and_merge(existing_store: DataFrame, star: Star, created_at: _dt.dat
     return K.merge_kpis(existing_store, refresh_from_star(star), True, created_at)
 
 
-def quality_report(raw: DataFrame, star: Star) -> DataFrame:
-    """Quality counters of loading ``raw`` into ``star`` (one aggregate after the joins)."""
-    cleaned = C.clean_ledger(raw, with_copies=True)
+def quality_report(cleaned: DataFrame, star: Star) -> DataFrame:
+    """Quality counters of loading a cleaned upload (``clean_ledger(..., with_copies=True)``,
+    all rows) into ``star``: one aggregate after the key joins."""
     resolved = St.resolve_keys(cleaned, star.dims, strict=True)
     return C.quality_counters(resolved.withColumn("resolved", F.coalesce("resolved", F.lit(False))), "resolved")

@@ -71,8 +71,15 @@ def materialize(df):
     the whole lineage (scan, joins, dedup). Reliable checkpoints survive executor
     loss, unlike cached or locally checkpointed blocks.
     """
+    if getattr(df, "_lf_materialized", False):
+        return df  # already a checkpoint read: writing it again would only copy it
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    try:
+        out._lf_materialized = True
+    except AttributeError:  # frames that take no attributes are simply written again
+        pass
+    return out
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
