@@ -680,3 +680,45 @@ for _n, _dim in [("dim_date", "f_date"), ("dim_owner", "f_owner"), ("dim_counter
     oracle(_n, f"SELECT * FROM {_dim}", [_dim])
 ORACLE["ledger_csv_roundtrip"] = ORACLE["null_tokens"]
 ORACLE["period_filter_stored"] = ORACLE["period_filter"]
+
+# ---- first-generation cleaner: per-column Latin-1/UTF-8 repair, then its own rules.
+# A value is repairable when every character is <= U+00FF and those bytes form valid
+# UTF-8 (pattern below, over code points); a column is repaired only if all its
+# non-null values are.
+_UTF8_AS_LATIN1 = (r"^(?:[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]"
+                   r"|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]"
+                   r"|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}"
+                   r"|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2})*$")
+
+
+def _repaired(c: str) -> str:
+    return (f"CASE WHEN {c} = '' THEN {c} ELSE try(decode(unhex(array_to_string(list_transform("
+            f"string_split({c}, ''), lambda ch: printf('%02X', unicode(ch))), '')))) END")
+
+
+cte("legacy_policy", "SELECT " + ", ".join(
+    f"coalesce(bool_and(coalesce(regexp_full_match({c}, '{_UTF8_AS_LATIN1}'), true)), true) AS p_{c}"
+    for c in RAW_COLS) + " FROM ledger_nulled", ["ledger_nulled"])
+cte("legacy_fixed", "SELECT " + ", ".join(
+    f"CASE WHEN p.p_{c} THEN {_repaired('n.' + c)} ELSE n.{c} END AS {c}" for c in RAW_COLS)
+    + " FROM ledger_nulled n, legacy_policy p", ["ledger_nulled", "legacy_policy"])
+_LEGACY_TEXT = ["department_code", "department", "txn_type", "expense_type", "owner", "counterparty", "project"]
+cte("legacy_dedup", """
+  SELECT DISTINCT date_raw, department_code, department, txn_type, coalesce(expense_type, 'N/A') AS expense_type,
+         amount_raw, owner, counterparty, project, CAST(try_strptime(trim(date_raw), '%Y-%m-%d') AS DATE) AS txn_date
+  FROM legacy_fixed""", ["legacy_fixed"])
+cte("legacy_norm", "SELECT txn_date, amount_raw, " + ", ".join(
+    f"trim(regexp_replace({c}, '\\s+', ' ', 'g')) AS {c}" for c in _LEGACY_TEXT)
+    + f", {_PARSE_AMOUNT} AS amount FROM legacy_dedup", ["legacy_dedup"])
+oracle("legacy_clean", f"""
+SELECT department_code, department, owner, txn_date,
+       CAST(year(txn_date) AS INTEGER) AS year, CAST(month(txn_date) AS INTEGER) AS month,
+       CAST(quarter(txn_date) AS INTEGER) AS quarter, CAST(weekofyear(txn_date) AS INTEGER) AS iso_week,
+       dayname(txn_date) AS day_name, CAST(dayofyear(txn_date) AS INTEGER) AS day_of_year,
+       strftime(txn_date, '%Y-%m') AS year_month, CAST(year(txn_date) AS INTEGER) AS fiscal_year,
+       txn_type, expense_type, amount,
+       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(18,3))
+         AS signed_amount,
+       CASE WHEN txn_type = 'Revenu' THEN 'Positif' ELSE 'Négatif' END AS sign_label,
+       counterparty, project
+FROM legacy_norm""", ["legacy_norm"])

@@ -88,3 +88,22 @@ def test_mojibake_column_policy(spark):
     out = repair_mojibake(df).collect()
     assert [r.a for r in out] == ["Département", "abc"]
     assert [r.b for r in out] == ["DÃ©partement", "€5"]
+
+
+def test_mojibake_repair_matches_sql_form(spark):
+    """Spark's column-wise repair equals the SQL form used by the legacy oracle."""
+    import duckdb
+
+    from ledgerflow.plans.oracle_sql import _UTF8_AS_LATIN1, _repaired
+    rows = [("DÃ©partement", "abc", "x"), ("CafÃ©", "Dépense", None), ("plain", "€5", "Ã§a")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = [tuple(r) for r in repair_mojibake(df).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, a VARCHAR, b VARCHAR, c VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    pol = ", ".join(f"coalesce(bool_and(coalesce(regexp_full_match({c}, '{_UTF8_AS_LATIN1}'), true)), true) AS p_{c}"
+                    for c in "abc")
+    fix = ", ".join(f"CASE WHEN p.p_{c} THEN {_repaired('t.' + c)} ELSE t.{c} END" for c in "abc")
+    want = con.execute(f"WITH p AS (SELECT {pol} FROM t) SELECT {fix} FROM t, p ORDER BY t.i").fetchall()
+    assert got == want
+    assert got[0] == ("Département", "abc", "x") and got[2][1] == "€5"

@@ -49,8 +49,8 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == want
 
 
-# Queries checked rows-only: the legacy cleaner's Latin-1 transcoding has no DuckDB form.
-ROWS_ONLY = {"legacy_clean"}
+# Queries checked rows-only (none: every query has an oracle).
+ROWS_ONLY: set[str] = set()
 
 
 def test_every_query_has_an_oracle():
