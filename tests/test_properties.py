@@ -51,3 +51,17 @@ def test_normalize_text_matches_python_split(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(normalize_text(F.col("v"))).collect()]
     assert got == [model_text(v) for v in values]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.dates(min_value=__import__("datetime").date(1900, 1, 1),
+                         max_value=__import__("datetime").date(2100, 12, 31)), min_size=1, max_size=60))
+def test_calendar_matches_python(spark, days):
+    from ledgerflow.functions import calendar_columns
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    cal = calendar_columns("d")
+    got = [tuple(r) for r in df.select(*[cal[k] for k in ["year", "month", "quarter", "iso_week", "day_name",
+                                                          "day_of_year", "year_month"]]).collect()]
+    want = [(d.year, d.month, (d.month - 1) // 3 + 1, d.isocalendar()[1], d.strftime("%A"),
+             d.timetuple().tm_yday, d.strftime("%Y-%m")) for d in days]
+    assert got == want
