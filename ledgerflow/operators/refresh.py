@@ -19,6 +19,7 @@ from ledgerflow.schemas import (
 KPI_COLUMNS = ["kpi_name", "period", "value", "evolution", "department_id", "stat_type", "source",
                "part", "position"]
 
+
 def _zero() -> Column:
     return F.lit(0).cast("decimal(18,3)")
 
