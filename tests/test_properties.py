@@ -65,3 +65,41 @@ def test_calendar_matches_python(spark, days):
     want = [(d.year, d.month, (d.month - 1) // 3 + 1, d.isocalendar()[1], d.strftime("%A"),
              d.timetuple().tm_yday, d.strftime("%Y-%m")) for d in days]
     assert got == want
+
+
+def model_category(text):
+    from ledgerflow.schemas import EXPENSE_CATEGORY_DEFAULT, EXPENSE_CATEGORY_RULES
+    t = ("none" if text is None else text).lower()
+    for words, label in EXPENSE_CATEGORY_RULES:
+        if any(w in t for w in words):
+            return label
+    return EXPENSE_CATEGORY_DEFAULT
+
+
+def model_department_id(code):
+    if code is None:
+        return None
+    m = re.search(r"\d+", code)
+    if not m:
+        return None
+    v = int(m.group(0))
+    return v if v <= 2**31 - 1 else None
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="achtsirlomkvpéèAITHR ", max_size=16)),
+                min_size=1, max_size=40))
+def test_expense_category_matches_model(spark, values):
+    from ledgerflow.functions import expense_category
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(expense_category(F.col("v"))).collect()]
+    assert got == [model_category(v) for v in values]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="DEPT0123456789-x", max_size=14)), min_size=1, max_size=40))
+def test_department_id_matches_model(spark, values):
+    from ledgerflow.functions import department_id
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(department_id(F.col("v"))).collect()]
+    assert got == [model_department_id(v) for v in values]
