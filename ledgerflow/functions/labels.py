@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerflow.schemas import (
-    DEFAULT_LOGIN_TYPE, DEFAULT_ROLE, EXPENSE_CATEGORY_DEFAULT, EXPENSE_CATEGORY_RULES,
-    KIND_CLIENT, KIND_SUPPLIER, REVENUE_TYPE, STATUS_FAILED, STATUS_OK, STATUS_PARTIAL,
+    DEFAULT_LOGIN_TYPE, DEFAULT_ROLE, DISPLAY_NAME_FALLBACK, EXPENSE_CATEGORY_DEFAULT, EXPENSE_CATEGORY_RULES,
+    KIND_CLIENT, KIND_SUPPLIER, MISSING_TEXT, REVENUE_TYPE, STATUS_FAILED, STATUS_OK, STATUS_PARTIAL,
 )
 
 
@@ -57,7 +57,8 @@ def display_name(firstname, lastname, email, imported_by=None, user_id=None) ->
     if imported_by is not None:
         parts.append(F.nullif(_c(imported_by), F.lit("")))
     if user_id is not None:
-        parts.append(F.concat(F.lit("User "), F.coalesce(_c(user_id).cast("string"), F.lit("None"))))
+        user = F.coalesce(_c(user_id).cast("string"), F.lit(MISSING_TEXT))
+        parts.append(F.concat(F.lit(DISPLAY_NAME_FALLBACK), user))
     return F.coalesce(*parts)
 
 

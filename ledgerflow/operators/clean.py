@@ -14,7 +14,7 @@ from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns
 from ledgerflow.functions.money import parse_amount, signed_amount
 from ledgerflow.functions.text import normalize_text, null_tokens
 from ledgerflow.schemas import (
-    EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, REQUIRED_COLUMNS, UPLOAD_TO_LEDGER,
+    EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, MISSING_COLUMNS_MESSAGE, REQUIRED_COLUMNS, UPLOAD_TO_LEDGER,
 )
 
 # Text columns normalised by the cleaner, and the columns a valid row must have.
@@ -28,7 +28,7 @@ COPIES = "n_copies"
 class MissingColumnsError(ValueError):
     def __init__(self, missing: list[str]):
         self.missing = missing
-        super().__init__("Colonnes manquantes: " + ", ".join(missing))
+        super().__init__(MISSING_COLUMNS_MESSAGE + ", ".join(missing))
 
 
 def trim_headers(df: DataFrame) -> DataFrame:

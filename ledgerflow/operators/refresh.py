@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.schemas import (
-    KPI_GLOBAL_NAMES, KPI_MONTHLY_NAME, KPI_SOURCE_REFRESH, LABEL_NO_MONTH, LABEL_OTHER,
-    LABEL_UNKNOWN_DEPARTMENT,
+    KPI_GLOBAL_NAMES, KPI_MONTHLY_NAME, KPI_PREFIX_AMOUNT, KPI_PREFIX_EXPENSE, KPI_PREFIX_VOLUME,
+    KPI_SOURCE_REFRESH, LABEL_NO_MONTH, LABEL_OTHER, LABEL_UNKNOWN_DEPARTMENT, QUARTER_KEY_PREFIX,
 )
 
 KPI_COLUMNS = ["kpi_name", "period", "value", "evolution", "department_id", "stat_type", "source",
@@ -38,7 +38,7 @@ _PARTS = {31: 0, 15: 1, 23: 2, 27: 3, 29: 4, 30: 5}  # gid -> part
 def _labelled(base: DataFrame) -> DataFrame:
     return base.select(
         "amount", "signed_amount", "department_id",
-        F.concat(F.lit("Q"), F.coalesce(F.col("quarter"), F.lit(0)).cast("string"), F.lit("_"),
+        F.concat(F.lit(QUARTER_KEY_PREFIX), F.coalesce(F.col("quarter"), F.lit(0)).cast("string"), F.lit("_"),
                  F.coalesce(F.col("year"), F.lit(0)).cast("string")).alias("qkey"),
         _label("department", LABEL_UNKNOWN_DEPARTMENT).alias("dep"),
         _label("txn_type", LABEL_OTHER).alias("tt"),
@@ -86,20 +86,21 @@ def refresh_kpis(base: DataFrame) -> DataFrame:
                                                   .otherwise(_zero())})
     null_int = F.lit(None).cast("int")
     zero = F.lit(0.0)
-    g = {
-        "CA_Total": F.round("tot", 2), "Solde_Net": F.round("net", 2), "Revenus": F.round("rev", 2),
-        "Dépenses": F.round("dep_abs", 2), "Nb_Transactions": F.col("n").cast("decimal(20,0)"),
-        "Valeur_Moyenne": F.when(F.col("n") > 0, F.round(F.col("tot") / F.col("n"), 2)).otherwise(_zero()),
-        "Ratio_Dep_Rev": F.when(F.col("rev") != 0, F.round((F.col("dep_abs") / F.col("rev")) * F.lit(100), 2))
-                          .otherwise(_zero()),
-    }
-    global_rows = F.array(*[_kpi_struct(F.lit(name), F.lit("global"), g[name], zero, null_int, stat, 0,
+    # Values of the global KPIs, in the order of KPI_GLOBAL_NAMES: total, net,
+    # revenue, expenses, count, mean, expense/revenue ratio.
+    values = [
+        F.round("tot", 2), F.round("net", 2), F.round("rev", 2), F.round("dep_abs", 2),
+        F.col("n").cast("decimal(20,0)"),
+        F.when(F.col("n") > 0, F.round(F.col("tot") / F.col("n"), 2)).otherwise(_zero()),
+        F.when(F.col("rev") != 0, F.round((F.col("dep_abs") / F.col("rev")) * F.lit(100), 2)).otherwise(_zero()),
+    ]
+    global_rows = F.array(*[_kpi_struct(F.lit(name), F.lit("global"), value, zero, null_int, stat, 0,
                                         F.lpad(F.lit(str(i)), 2, "0"))
-                            for i, (name, stat) in enumerate(KPI_GLOBAL_NAMES)])
-    q_name = F.concat(F.lit("CA_"), F.col("qkey"))
-    d_name = F.concat(F.lit("CA_"), F.col("dep"))
-    t_name = F.concat(F.lit("Vol_"), F.col("tt"))
-    e_name = F.concat(F.lit("Dep_"), F.col("td"))
+                            for i, ((name, stat), value) in enumerate(zip(KPI_GLOBAL_NAMES, values))])
+    q_name = F.concat(F.lit(KPI_PREFIX_AMOUNT), F.col("qkey"))
+    d_name = F.concat(F.lit(KPI_PREFIX_AMOUNT), F.col("dep"))
+    t_name = F.concat(F.lit(KPI_PREFIX_VOLUME), F.col("tt"))
+    e_name = F.concat(F.lit(KPI_PREFIX_EXPENSE), F.col("td"))
     p = F.col("part")
     rows = (F.when(p == 0, global_rows)
             .when(p == 1, F.array(_kpi_struct(q_name, F.col("qkey"), F.col("val"), zero, null_int, "sum", 1, q_name)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.calendar import ntz_literal, ts_label
 from ledgerflow.functions.labels import login_type_or_default, role_or_default
-from ledgerflow.schemas import USERS_PER_PAGE
+from ledgerflow.schemas import MISSING_TEXT, USERS_PER_PAGE
 
 
 def with_user_defaults(users: DataFrame) -> DataFrame:
@@ -50,10 +50,10 @@ def export_lines(users: DataFrame) -> DataFrame:
     u = with_user_defaults(users)
 
     def txt(c):
-        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+        return F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT))
 
     line = F.concat_ws(",", txt("id"), txt("firstname"), txt("lastname"), txt("email"), txt("role"),
-                       txt("login_type"), F.coalesce(ts_label("created_at"), F.lit("None")))
+                       txt("login_type"), F.coalesce(ts_label("created_at"), F.lit(MISSING_TEXT)))
     return u.select("id", line.alias("line")).orderBy("id")
 
 

@@ -18,6 +18,9 @@ REQUIRED_COLUMNS = [
     "Montant", "Responsable", "Client_Fournisseur", "Projet",
 ]
 
+# Prefix of the error raised when required columns are missing.
+MISSING_COLUMNS_MESSAGE = "Colonnes manquantes: "
+
 # Upload column -> our column.
 UPLOAD_TO_LEDGER = {
     "Date": "date_raw",
@@ -73,6 +76,12 @@ KPI_GLOBAL_NAMES = [
     ("Nb_Transactions", "count"), ("Valeur_Moyenne", "avg"), ("Ratio_Dep_Rev", "ratio"),
 ]
 KPI_MONTHLY_NAME = "CA_Mensuel"
+# Name prefixes of the per-quarter / per-department, per-transaction-type and
+# per-expense-type KPIs, and the quarter key "Q<quarter>_<year>".
+KPI_PREFIX_AMOUNT = "CA_"
+KPI_PREFIX_VOLUME = "Vol_"
+KPI_PREFIX_EXPENSE = "Dep_"
+QUARTER_KEY_PREFIX = "Q"
 KPI_SOURCE_REFRESH = "etl_auto"
 KPI_DEFAULT_PERIOD = "global"
 KPI_DEFAULT_SOURCE = "etl"
@@ -85,6 +94,9 @@ STATUS_OK, STATUS_PARTIAL, STATUS_FAILED = "succes", "partiel", "echec"
 DEFAULT_LOGIN_TYPE = "email"
 DEFAULT_ROLE = "user"
 EXPORT_HEADER = "id,firstname,lastname,email,role,login_type,created_at"
+# How a missing value prints in the export, and the last display-name fallback.
+MISSING_TEXT = "None"
+DISPLAY_NAME_FALLBACK = "User "
 
 # Keyword answers: ordered intent rules on the trimmed lower-cased message.
 INTENT_RULES = [
