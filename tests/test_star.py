@@ -87,3 +87,18 @@ def test_balance_is_revenue_minus_expenses(spark):
     assert round(g.total_revenue - g.total_expenses, 2) == g.net_balance
     m = entry.queries()["kpi_monthly"](spark, SF_SMALL).collect()
     assert round(sum(r.revenue - r.expenses for r in m), 2) == m[-1].running_balance
+
+
+def test_sql_over_registered_star_views(spark):
+    from ledgerflow.plans.views import register_star_views
+    star = E.rebuild_star(_ledger(spark))
+    register_star_views(star, prefix="t_")
+    sql = spark.sql("""
+        SELECT f.transaction_id, d.date, dp.department, p.project
+        FROM t_fact_transactions f
+        LEFT JOIN t_dim_date d ON d.date_id = f.date_id
+        LEFT JOIN t_dim_department dp ON dp.department_id = f.department_id
+        LEFT JOIN t_dim_project p ON p.project_id = f.project_id
+        ORDER BY d.date DESC, f.transaction_id LIMIT 100""")
+    api = St.flatten_star(star.facts, star.dims, limit=100).select("transaction_id", "date", "department", "project")
+    assert [tuple(r) for r in sql.collect()] == [tuple(r) for r in api.collect()]
