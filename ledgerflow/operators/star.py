@@ -2,7 +2,9 @@
 
 Dimensions come from ``select distinct`` / ``groupBy`` over the cleaned ledger
 (partial aggregation first, so hot members are reduced map-side) and are numbered
-with the distributed :func:`ids.assign_ids`. Joins of facts to dimensions go
+with the distributed :func:`ids.assign_ids`. Dimension keys are unique, so their
+numbering is deterministic under recomputation and needs no checkpoint of its own
+(the load materializes each dimension right after); facts keep theirs. Joins of facts to dimensions go
 through :func:`dim_join`, which broadcasts a dimension only after counting it
 against a row bound, and otherwise leaves a shuffle join (with AQE skew handling).
 """
@@ -34,7 +36,7 @@ def ledger_ordinal() -> Column:
 
 def build_dim_date(ledger: DataFrame, start=1) -> DataFrame:
     dates = ledger.select(F.col("txn_date").alias("date")).where(F.col("date").isNotNull()).distinct()
-    dim = assign_ids(dates, ["date"], "date_id", start)
+    dim = assign_ids(dates, ["date"], "date_id", start, checkpoint=False)
     cal = calendar_columns("date")
     return dim.select(F.col("date_id").cast("int").alias("date_id"), "date",
                       *[cal[c].alias(c) for c in ["year", "month", "quarter", "fiscal_year", "day_name",
@@ -49,7 +51,7 @@ def build_dim_department(ledger: DataFrame) -> DataFrame:
 
 def build_dim_simple(ledger: DataFrame, col: str, id_col: str, start=1) -> DataFrame:
     d = ledger.select(col).where(F.col(col).isNotNull()).distinct()
-    return assign_ids(d, [col], id_col, start).select(F.col(id_col).cast("int").alias(id_col), col)
+    return assign_ids(d, [col], id_col, start, checkpoint=False).select(F.col(id_col).cast("int").alias(id_col), col)
 
 
 def build_dim_txn_type(ledger: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def build_dim_owner(ledger: DataFrame) -> DataFrame:
     """Full rebuild: one row per owner name, department from the first row seen."""
     first = first_per_key(ledger.where(F.col("owner").isNotNull()).withColumn("_ord", ledger_ordinal()),
                           ["owner"], "_ord", ["department"])
-    d = assign_ids(first, ["owner"], "owner_id")
+    d = assign_ids(first, ["owner"], "owner_id", checkpoint=False)
     return d.select(F.col("owner_id").cast("int").alias("owner_id"), "owner", "department")
 
 
@@ -73,7 +75,7 @@ def build_dim_counterparty(ledger: DataFrame) -> DataFrame:
     """Full rebuild: kind from the first row seen, exact ``Revenu`` test."""
     first = first_per_key(ledger.where(F.col("counterparty").isNotNull()).withColumn("_ord", ledger_ordinal()),
                           ["counterparty"], "_ord", ["txn_type"])
-    d = assign_ids(first, ["counterparty"], "counterparty_id")
+    d = assign_ids(first, ["counterparty"], "counterparty_id", checkpoint=False)
     return d.select(F.col("counterparty_id").cast("int").alias("counterparty_id"), "counterparty",
                     counterparty_kind("txn_type", exact=True).alias("kind"))
 
@@ -85,7 +87,7 @@ def project_span(ledger: DataFrame) -> DataFrame:
 
 
 def build_dim_project(ledger: DataFrame) -> DataFrame:
-    d = assign_ids(project_span(ledger), ["project"], "project_id")
+    d = assign_ids(project_span(ledger), ["project"], "project_id", checkpoint=False)
     return d.select(F.col("project_id").cast("int").alias("project_id"), "project", "start_date", "end_date")
 
 
@@ -108,7 +110,7 @@ def _append_new(existing: DataFrame, new_members: DataFrame, key: list[str], id_
     """Members of ``new_members`` whose key is not in ``existing`` get ids max+1...;
     the result is existing + new (insert-only: existing rows never change)."""
     fresh = new_members.join(existing.select(*key), on=key, how="left_anti")
-    numbered = assign_ids(fresh, key, id_col, next_id(existing, id_col))
+    numbered = assign_ids(fresh, key, id_col, next_id(existing, id_col), checkpoint=False)
     numbered = numbered.withColumn(id_col, F.col(id_col).cast("int"))
     return existing.unionByName(numbered.select(*existing.columns))
 
