@@ -93,3 +93,16 @@ def test_streaming_replace_mode(spark, tmpdir_path):
     facts = star.facts.collect()
     assert [(r.transaction_id, float(r.amount)) for r in facts] == [(1, 10.0)]
     assert star.dims["dim_date"].count() == 3
+
+
+def test_write_star_round_trip(spark, tmpdir_path):
+    from ledgerflow.operators import clean as C
+    from ledgerflow.plans import etl_load as E
+    from ledgerflow.sources.tables import write_star
+    star = E.rebuild_star(C.clean_valid(B.ledger_raw(spark, SF_SMALL)))
+    base = os.path.join(tmpdir_path, "star")
+    write_star(star.tables(), base)
+    for name, df in star.tables().items():
+        back = spark.read.parquet(os.path.join(base, name))
+        assert back.count() == df.count(), name
+        assert back.exceptAll(df.select(*back.columns)).count() == 0, name
