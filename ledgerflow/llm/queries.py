@@ -11,8 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, licenses, quality_rules, token_counts
-from ledgerflow.llm.common import table
+from ledgerflow.llm import chat, licenses, packing, quality_rules, records, token_counts
+from ledgerflow.llm.common import keep, shared_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-records")
+    records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    rows = keep(records.read_records(spark, path))  # both the sums by file and the rows read it
+    return records.global_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -53,6 +64,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_license_scan": op4_license_scan,
+    "op6_packing": op6_packing,
+    "op7_token_records": op7_token_records,
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
 }
