@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, licenses, packing, quality_rules, records, token_counts
+from ledgerflow.llm import chat, licenses, packing, quality_classifier, quality_rules, records, simhash, token_counts
 from ledgerflow.llm.common import keep, shared_folder, table
 
 
@@ -24,10 +24,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"),
+                                         labels.select("doc_id", F.col("quality").alias("label")), threshold=0.3)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -62,7 +77,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
     "op7_token_records": op7_token_records,
