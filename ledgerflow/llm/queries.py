@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, licenses, packing, quality_classifier, quality_rules, records, simhash, token_counts
+from ledgerflow.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, records, simhash, token_counts
 from ledgerflow.llm.common import keep, shared_folder, table
 
 
@@ -47,6 +47,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.hit_words("spans")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -81,6 +89,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
+    "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_token_records": op7_token_records,
     "op8_token_counts": op8_token_counts,
