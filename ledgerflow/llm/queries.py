@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, decontaminate, licenses, packing, quality_classifier, quality_rules, records, simhash, token_counts
+from ledgerflow.llm import chat, decontaminate, licenses, packing, pii, quality_classifier, quality_rules, records, simhash, token_counts
 from ledgerflow.llm.common import keep, shared_folder, table
 
 
@@ -84,6 +84,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.all_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS), F.size("_term").cast("long").alias("n_term"),
+        F.sha2(pii.written(pii.KINDS), 256).alias("base_sha256"), pii.written((*pii.KINDS, "term")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -94,5 +102,6 @@ QUERIES = {
     "op7_token_records": op7_token_records,
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
+    "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {}
