@@ -33,6 +33,11 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def whole_row(df: DataFrame):
+    """All columns of ``df`` as one struct: a step may add its own columns beside it without a clash of names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def prepare(spark: SparkSession) -> None:
     """What a step with Python in its tasks needs: batches bounded by bytes, and this package on the executors."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import prepare
+from ledgerflow.llm.common import prepare, whole_row
 from ledgerflow.llm.fm_index import FMIndex
 from ledgerflow.llm.quality_rules import with_text
 
@@ -189,7 +189,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     # A word has at least one byte and a separator, so half the bytes bound the words.
     total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
     blocks = total // block_words + 1
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    packed = docs.select(whole_row(docs).alias("row"), F.col(text_col).alias("text"))
     out = packed.select("row", "text", F.lit(0).cast("long").alias("n_words"),
                         F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"),
                         F.expr("cast(array() as array<string>)").alias("items"))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import keep
+from ledgerflow.llm.common import keep, whole_row
 
 REACH, NEAR = 8, 200  # words on either side of a mention, looked for within so many characters
 THRESHOLD, MIN_CONTEXTS, MIN_LETTERS, INLINE_TERMS = 0.9, 3, 3, 5_000
@@ -161,7 +161,7 @@ def disclosing_terms(found: DataFrame, reach: int = REACH, threshold: float = TH
 def all_spans(docs: DataFrame, text_col: str = "text", reach: int = REACH, threshold: float = THRESHOLD,
               min_contexts: int = MIN_CONTEXTS, inline_terms: int = INLINE_TERMS) -> DataFrame:
     """``_row`` (all of ``docs`` as a struct), ``_text``, the base spans by kind and ``_term``, the disclosing terms' spans."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    packed = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = base_spans(packed)
     terms = disclosing_terms(found, reach, threshold, min_contexts, inline_terms)
     none = F.array().cast(SPANS)

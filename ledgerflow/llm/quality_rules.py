@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import prepare, documents
+from ledgerflow.llm.common import documents, prepare, whole_row
 
 COLUMNS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
            "base_failed boolean, kept boolean, n_lines long, n_punctuation long, n_navigation long, "
@@ -160,7 +160,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     join is needed and no column name can clash with a result's.
     """
     prepare(docs.sparkSession)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    packed = docs.select(whole_row(docs).alias("row"), F.col("text").alias("text"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, clean_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import documents, keep, prepare
+from ledgerflow.llm.common import documents, keep, prepare, whole_row
 from ledgerflow.llm.components import components
 
 TILE = 2048
@@ -72,15 +72,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long). A narrow step."""
+    """``doc_id``, ``fp`` (the fingerprint's 64 bits as a long) and ``text_hash``. A narrow step."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("text_hash")],
+                                             ["doc_id", "fp", "text_hash"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -216,16 +218,36 @@ def linked(fp: np.ndarray, radius: int) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE, blocks: int | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest id of its component) for every row of ``docs``."""
-    rows = keep(fingerprints(docs, shingle, id_col, text_col))
-    return group(rows, radius, tile, blocks)
+    """``doc_id``, ``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` (the smallest id
+    in it) for every row of ``docs``."""
+    return group(keep(fingerprints(docs, shingle, id_col, text_col)), radius, tile, blocks)
 
 
 def group(rows: DataFrame, radius: int = 4, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """``rows`` (``doc_id``, ``fp``) with the ``component_id`` of every row."""
+    """``rows`` (with ``doc_id`` and ``fp``) and the ``root`` and ``component_id`` of every row."""
     nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fp"), radius, tile, blocks))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    return rows.join(by_fp, "fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """One document of every component, the one with the smallest id (rows without an id only where no
+    member has one); all columns of ``docs`` stay. Rows that repeat id and text count as one document."""
+    rows = near_duplicates(docs, shingle, radius, tile, blocks)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    chosen = keep(rows.groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.text_hash"))
+    mine = docs.select(whole_row(docs).alias("row"))
+    same = (F.col("row.doc_id").cast("long").eqNullSafe(chosen["doc_id"])
+            & F.xxhash64("row.text").eqNullSafe(chosen["text_hash"]))
+    kept = mine.join(chosen, same, "left_semi")
+    # Repeated rows are rare, so they are looked for before all texts are shuffled once more.
+    repeated = (rows.join(chosen.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"),
+                          F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left_semi")
+                .groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count())
+    if repeated:
+        marked = kept.withColumn("id", F.col("row.doc_id")).withColumn("hash", F.xxhash64("row.text"))
+        kept = marked.dropDuplicates(["id", "hash"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
