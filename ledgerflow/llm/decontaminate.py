@@ -39,7 +39,6 @@ SHARD_WORDS = 2_000_000
 # Bytes of a word: digits, letters (A-Z as a-z) and all of non-ASCII; any other byte ends it.
 _BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 FOUND_TYPES = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
                ("items", pa.list_(pa.string()))]
 
@@ -180,7 +179,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
            item_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (all of ``docs`` as a struct), ``text`` and ``FOUND``: words, merged word spans and the ids of
+    """Columns ``row`` (all of ``docs`` as a struct), ``text`` and ``n_words``, ``spans`` and ``items``: words, merged word spans and the ids of
     the items found, sorted as strings. Narrow over the documents, one pass for each block of items."""
     spark = docs.sparkSession
     prepare(spark)
@@ -193,7 +192,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     out = packed.select("row", "text", F.lit(0).cast("long").alias("n_words"),
                         F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"),
                         F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, {FOUND}"
+    schema = out.schema
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
         table = spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in mine.collect()], window))
@@ -232,5 +231,5 @@ def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloc
                      for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    schema = f"row {found.schema['row'].dataType.simpleString()}, text string"
+    schema = found.select("row", "text").schema
     return with_text(found.select("row", "text", "spans").mapInArrow(run, schema), docs.columns, F.col("text"))

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerflow.llm.common import documents, prepare, whole_row
 
@@ -161,7 +162,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     prepare(docs.sparkSession)
     packed = docs.select(whole_row(docs).alias("row"), F.col("text").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, clean_text string"
+    schema = StructType([packed.schema["row"], StructField("clean_text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = re.compile("|".join(map(re.escape, rules.stock_phrases)) or r"(?!)", re.I)
