@@ -1,19 +1,18 @@
-r"""Token ids of whole texts by the tokenizers library, each distinct unit encoded once per worker.
-
-Two kinds of vocabulary files split a text at places that do not depend on what
-stands on their other side, so a text's ids are the ids of its units one after the
-other, and units repeat far more often than texts:
-
-* byte-level BPE with the usual pattern, no normaliser, no prefix space: a pre-token
-  starts at every single blank or line feed that follows another character. A unit is that
-  white space with the characters after it. Texts with longer runs of white space
-  (their split depends on the run), with other white space, or with a special
-  string are encoded whole.
-* word BPE whose pattern drops white space: no token spans a blank or line feed, and
-  neither the normaliser (NFC, white space to a blank, lower case per character)
-  nor a special string reaches over one.
-
-Any other file is encoded whole, text by text. The cache of units is bounded.
+r"""Token ids of whole texts, as the tokenizers library gives them for a vocabulary file.
+
+The library merges each pre-token with a heap, which is most of the time of a run over invented
+or multilingual prose. Two kinds of files allow a faster way to the same ids:
+
+* ``byte``: byte-level BPE with the usual pattern, no normaliser, no prefix space. tiktoken
+  takes the ranks straight from the file's vocabulary (its ids are merge ranks, which is tested).
+* ``word``: BPE with word ends whose pattern drops white space. A text is cut at blanks
+  and line feeds, which no token spans; a unit's ids are cached, and a new unit is cut with
+  the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
+  text holds that byte, and the merges with it come first in the file).
+
+Texts with a special string, and for ``word`` those with a letter whose lower case depends on its
+place, go to the library, as do all texts of any other file. In every worker the first texts
+are encoded both ways; one difference and the worker uses the library for everything.
 """
 
 from __future__ import annotations
@@ -21,13 +20,16 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 
 import numpy as np
 
 CACHE_UNITS = 1 << 20  # about 150 MB; units seen first are the frequent ones and stay
-# Fixed value: the pattern of the word vocabulary; it has no alternative for white space.
+TRIAL_TEXTS = 64
+# The patterns of the two kinds.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
+WORD_END = "</w>"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,18 +41,38 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte behind each letter of byte-level vocabularies: printable bytes are themselves, the others
+    follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def split_rule(spec: dict) -> str:
-    """``byte``, ``word`` or ``whole``: how texts of this tokenizer may be cut into units."""
-    pre = spec.get("pre_tokenizer") or {}
+    """``byte``, ``word`` or ``whole``: which of the ways above a tokenizer's description allows."""
+    model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    if (model.get("type") != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback")
+            or model.get("ignore_merges") or model.get("continuing_subword_prefix")):
+        return "whole"
+    end, start = model.get("end_of_word_suffix"), 256
     if (pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-            and spec.get("normalizer") is None):
-        return "byte"
-    parts = pre.get("pretokenizers") or [{}]
-    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    if (parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": WORD_PATTERN}
-            and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and steps == ["NFC", "Replace", "Lowercase"]):
-        return "word"
-    return "whole"
+            and spec.get("normalizer") is None and not end):
+        rule = "byte"
+    else:
+        parts = pre.get("pretokenizers") or [{}]
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if not (parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": WORD_PATTERN} and end == WORD_END
+                and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+                and steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[1].get("type") == "ByteLevel"
+                and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")):
+            return "whole"
+        rule, start = "word", 512
+    vocabulary = model["vocab"]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    in_order = all(vocabulary.get(a + b) == start + i for i, (a, b) in enumerate(pairs))
+    spaces = any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return rule if in_order and not spaces else "whole"
 
 
 class Encoder:
@@ -63,87 +85,68 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.rule = split_rule(spec)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        if self.rule != "whole" and any(re.search(r"\s", s) for s in self.specials):
-            self.rule = "whole"
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self._library(list(".,;:!?")))) if self.rule != "whole" else {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.tried = 0
+        if self.rule != "whole":
+            import regex
+            import tiktoken
+
+            letters, ranks = byte_letters(), {}
+            added = {t["id"] for t in spec["added_tokens"]}
+            for token, i in spec["model"]["vocab"].items():
+                if i in added:
+                    continue
+                word_end = self.rule == "word" and token.endswith(WORD_END)
+                stem = token[:-len(WORD_END)] if word_end else token
+                ranks[bytes(letters[c] for c in stem) + b"\xff" * word_end] = i
+            self.merger = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.pattern = regex.compile(WORD_PATTERN)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), 1024):
-            for e in self.tokenizer.encode_batch_fast(texts[k:k + 1024], add_special_tokens=False):
-                ids = e.ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        for k in range(0, len(texts), 256):
+            for e in self.tokenizer.encode_batch_fast(texts[k:k + 256], add_special_tokens=False):
+                out.append(struct.pack(f"<{len(e.ids)}I", *e.ids))
         return out
 
-    def _library_units(self, units: list[str]) -> list[bytes]:
-        """Ids of many short units. A call costs far more than a unit, so they go in as one text with a special
-        string between them: the library cuts there first, and its id marks where a unit's ids end."""
-        mark = self.specials[0] if self.specials else None
-        if mark is None:
-            return self._library(units)
-        mark_id, out = self.tokenizer.token_to_id(mark), []
-        for k in range(0, len(units), 4096):
-            part = units[k:k + 4096]
-            ids = np.array(self.tokenizer.encode(mark.join(part) + mark, add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark_id)
-            if len(ends) != len(part):  # a unit holds the special string itself
-                out += self._library(part)
-                continue
-            data, begin = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(data[4 * begin:4 * end])
-                begin = end + 1
-        return out
+    def _unit(self, unit: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.pattern.findall(unit):
+            ids += self.merger._encode_single_piece(piece.encode() + b"\xff")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _units(self, text: str) -> list[str] | None:
-        """Keys of the units: a key that starts with a line feed stands for itself, any other for a blank and itself."""
-        if self.rule == "word":
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        if ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_SPACE.search(text)
-                or any(s in text for s in self.specials)):
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def _literal(self, key: str) -> str:
-        return key if self.rule == "word" or key.startswith("\n") else " " + key
-
-    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of units. A mark behind a letter is a token run of its own in both patterns, so a unit that ends
-        so is its stem and the mark."""
+    def _words(self, text: str) -> bytes:
+        """The ids of one text of the ``word`` kind, by its units."""
+        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+        units = plain.lower().replace("\n", " ").split(" ")
         cache = self.cache
-        new = [u for u in wanted if u not in cache]
-        marked = [u for u in new if u[-1:] in self.marks and u[-2:-1].isalpha()]
-        stems = {u[:-1] for u in marked}
-        plain = list((set(new) - set(marked) | stems) - cache.keys())
-        found = dict(zip(plain, self._library_units([self._literal(u) for u in plain])))
-        for u in marked:
-            stem = u[:-1]
-            found[u] = (cache[stem] if stem in cache else found[stem]) + self.marks[u[-1]]
-        return found
+        new = [u for u in set(units) if u not in cache]
+        if not new:
+            return b"".join(map(cache.__getitem__, units))
+        found = {u: self._unit(u) for u in new}
+        if len(cache) + len(found) <= CACHE_UNITS:
+            cache.update(found)
+            return b"".join(map(cache.__getitem__, units))
+        return b"".join([cache[u] if u in cache else found[u] for u in units])
+
+    def _fast(self, texts: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials) or self.rule == "word" and "Σ" in t]
+        rest = dict(zip(odd, self._library([texts[i] for i in odd])))
+        if self.rule == "word":
+            return [rest[i] if i in rest else self._words(t) for i, t in enumerate(texts)]
+        merge = self.merger.encode_ordinary
+        return [rest[i] if i in rest else np.array(merge(t), "<u4").tobytes() for i, t in enumerate(texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.rule == "whole":
             return self._library(texts)
-        cut = [self._units(t) for t in texts]
-        wanted: set[str] = set()
-        for units in cut:
-            if units is not None:
-                wanted.update(units)
-        found = self._look_up(wanted)
-        if len(self.cache) + len(found) <= CACHE_UNITS:
-            self.cache.update(found)
-            get = self.cache.__getitem__
-        else:  # full: the new units serve this call only
-            own = {u: self.cache[u] for u in wanted if u in self.cache} | found
-            get = own.__getitem__
-        whole = [i for i, units in enumerate(cut) if units is None]
-        rest = dict(zip(whole, self._library([texts[i] for i in whole])))
-        byte_level = self.rule == "byte"
-        # The first unit of a byte-level text has no blank before it.
-        first = dict(zip(range(len(texts)), self._library_units([u[0] if u else "" for u in cut]))) if byte_level else {}
-        return [rest[i] if units is None else
-                first[i] + b"".join(map(get, units[1:])) if byte_level else b"".join(map(get, units))
-                for i, units in enumerate(cut)]
+        out = self._fast(texts)
+        if self.tried < TRIAL_TEXTS:
+            trial = min(len(texts), TRIAL_TEXTS - self.tried)
+            self.tried += trial
+            if out[:trial] != self._library(texts[:trial]):
+                self.rule = "whole"
+                return self._library(texts)
+        return out
