@@ -5,8 +5,9 @@
 1. range-partition on the order key and sort within partitions (a distributed
    sort: the range partitioner splits even one hot leading value across tasks
    when the order key has further columns);
-2. cut lineage with a reliable ``checkpoint()`` so that the per-partition counts
-   and the numbering below read the very same rows, even after an executor loss;
+2. store the tagged rows (Parquet in the shared folder) so that the per-partition
+   counts and the numbering below read the very same rows, even after an executor
+   loss; always, since the ranges of an unstored frame differ from reading to reading;
 3. count rows per partition (one row per partition: a bound proven by the
    partition count, so broadcasting the offsets is safe);
 4. id = start + rows in earlier partitions + position inside the partition, where
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.session import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -28,12 +31,11 @@ def _order_cols(order: list) -> list[Column]:
     return [F.asc_nulls_first(c) if isinstance(c, str) else c for c in order]
 
 
-def assign_ids(df: DataFrame, order: list, id_col: str, start=1,
-               num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls first).
 
     ``order=None`` numbers rows in their current partition order: still gap-free and
-    stable (the numbered frame is checkpointed), but without the range shuffle. That
+    stable (the tagged frame is stored), but without the range shuffle. That
     is the cheap choice for a huge fact table whose ids need no particular order.
 
     ``start`` is an int or a one-row, one-column DataFrame (e.g. ``max(id) + 1`` of
@@ -50,14 +52,10 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1,
         ordered = ranged.sortWithinPartitions(*cols)
     else:
         # No order: number rows as they sit in their partitions (no shuffle at all).
-        # Deterministic only because the tagged frame is checkpointed below.
         ordered = df
-        checkpoint = True
-    tagged = ordered.withColumn("__lf_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        from ledgerflow.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+    # Counting and numbering must read the very same partitions. Two readings of a range shuffle
+    # do not: each samples its own bounds, which gives repeated ids and gaps on larger tables.
+    tagged = materialize(ordered.withColumn("__lf_mid", F.monotonically_increasing_id()))
     tagged = tagged.withColumns({
         "__lf_part": F.shiftright("__lf_mid", 33).cast("int"),
         "__lf_pos": F.col("__lf_mid").bitwiseAND(F.lit(_LOW_BITS)),

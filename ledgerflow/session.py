@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,26 +56,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def suggest_shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 << 20, cores: int = 1) -> int:
-    """Shuffle partitions for ``shuffle_bytes`` of shuffled data: about ``target_bytes``
-    each, never fewer than the cores, rounded up to a multiple of the cores so the
-    last wave is full. E.g. 20 TB shuffled on 8,000 cores -> 88,000 partitions."""
-    n = max(-(-shuffle_bytes // target_bytes), cores, 1)
-    return -(-n // max(cores, 1)) * max(cores, 1)
-
-
-def materialize(df):
-    """Write ``df`` once to the reliable checkpoint folder and read it back.
+def materialize(df, partition_by: list[str] | None = None):
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
 
     For a frame that several later jobs consume (the cleaned upload feeds seven
     dimension builds and the fact resolution): without it every consumer re-runs
-    the whole lineage (scan, joins, dedup). Reliable checkpoints survive executor
-    loss, unlike cached or locally checkpointed blocks.
+    the whole lineage (scan, joins, dedup). The stored table survives executor loss,
+    readers take only the columns they need, and their filters reach the scan
+    (``partition_by`` also prunes folders). Tables of one application share a folder, so
+    a retention rule on the checkpoint storage removes them together.
     """
     if getattr(df, "_lf_materialized", False):
-        return df  # already a checkpoint read: writing it again would only copy it
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+        return df  # already a stored table: writing it again would only copy it
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(folder)
+    # The written schema is passed on, so that no job has to look for it; partition columns keep their place.
+    out = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
     try:
         out._lf_materialized = True
     except AttributeError:  # frames that take no attributes are simply written again
