@@ -16,9 +16,9 @@ def _c(col) -> Column:
 
 
 def department_id(code) -> Column:
-    """Digits of a department code as INT (``DEPT001`` -> 1); null when none."""
+    """Digits of a department code as BIGINT (``DEPT001`` -> 1); null when none."""
     digits = F.regexp_extract(_c(code), r"(\d+)", 1)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    return F.nullif(digits, F.lit("")).try_cast("long")
 
 
 def _any_substring(text: Column, words: list[str]) -> Column:

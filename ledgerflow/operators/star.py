@@ -2,10 +2,9 @@
 
 Dimensions come from ``select distinct`` / ``groupBy`` over the cleaned ledger
 (partial aggregation first, so hot members are reduced map-side) and are numbered
-with the distributed :func:`ids.assign_ids`. Dimension keys are unique, so their
-numbering is deterministic under recomputation and needs no checkpoint of its own
-(the load materializes each dimension right after); facts keep theirs. Joins of facts to dimensions go
-through :func:`dim_join`, which broadcasts a dimension only after counting it
+with the distributed :func:`ids.assign_ids`, which stores what it numbers. Ids are
+BIGINT. Every dimension has one row per natural key and unique ids, so a join of facts to it
+never multiplies them. Joins of facts to dimensions go through :func:`dim_join`, which broadcasts a dimension only after counting it
 against a row bound, and otherwise leaves a shuffle join (with AQE skew handling).
 """
 
@@ -18,7 +17,8 @@ from ledgerflow.functions.calendar import calendar_columns
 from ledgerflow.functions.labels import counterparty_kind, department_id, expense_category
 from ledgerflow.operators.ids import assign_ids, first_per_key, next_id
 from ledgerflow.operators.joins import DIM_BROADCAST_MAX_BYTES, DIM_BROADCAST_MAX_ROWS, dim_join, dimension_size  # noqa: F401
-from ledgerflow.schemas import FLATTEN_LIMIT, MONEY
+from ledgerflow.schemas import MONEY
+from ledgerflow.session import materialize
 
 # Total order of ledger rows used for "first row seen" and for fact numbering:
 # rows tied on all of it are identical, so which one gets which id is irrelevant.
@@ -36,22 +36,36 @@ def ledger_ordinal() -> Column:
 
 def build_dim_date(ledger: DataFrame, start=1) -> DataFrame:
     dates = ledger.select(F.col("txn_date").alias("date")).where(F.col("date").isNotNull()).distinct()
-    dim = assign_ids(dates, ["date"], "date_id", start, checkpoint=False)
+    dim = assign_ids(dates, ["date"], "date_id", start)
     cal = calendar_columns("date")
-    return dim.select(F.col("date_id").cast("int").alias("date_id"), "date",
+    return dim.select("date_id", "date",
                       *[cal[c].alias(c) for c in ["year", "month", "quarter", "fiscal_year", "day_name",
                                                    "iso_week", "day_of_year", "year_month"]])
 
 
 def build_dim_department(ledger: DataFrame) -> DataFrame:
-    """Distinct (code, name) with a name; the id is the number inside the code."""
-    d = (ledger.select("department_code", "department").where(F.col("department").isNotNull()).distinct())
-    return d.select(department_id("department_code").alias("department_id"), "department", "department_code")
+    """One row per department name; the id is the number inside its code.
+
+    A name with several codes takes the one with the largest number (a code without
+    a number, or none, only if it has no other; then the id is null). Of several names with one
+    number the first in name order keeps it, the others get the numbers after the largest.
+    """
+    coded = ledger.where(F.col("department").isNotNull()).select(
+        "department", F.struct(department_id("department_code").alias("department_id"), "department_code").alias("c"))
+    named = coded.groupBy("department").agg(F.max("c").alias("c")).select("c.department_id", "department", "c.department_code")
+    named = materialize(named)  # one row per name, read four times below
+    owners = named.where(F.col("department_id").isNotNull()).groupBy("department_id").agg(F.min("department").alias("_owner"))
+    ranked = named.join(owners, "department_id", "left")
+    first = F.col("department_id").isNull() | (F.col("department") == F.col("_owner"))
+    clashing = ranked.where(~first).select("department", "department_code")
+    renumbered = assign_ids(clashing, ["department"], "department_id", next_id(named, "department_id"))
+    columns = ["department_id", "department", "department_code"]
+    return ranked.where(first).select(*columns).unionByName(renumbered.select(*columns))
 
 
 def build_dim_simple(ledger: DataFrame, col: str, id_col: str, start=1) -> DataFrame:
     d = ledger.select(col).where(F.col(col).isNotNull()).distinct()
-    return assign_ids(d, [col], id_col, start, checkpoint=False).select(F.col(id_col).cast("int").alias(id_col), col)
+    return assign_ids(d, [col], id_col, start).select(id_col, col)
 
 
 def build_dim_txn_type(ledger: DataFrame) -> DataFrame:
@@ -67,16 +81,16 @@ def build_dim_owner(ledger: DataFrame) -> DataFrame:
     """Full rebuild: one row per owner name, department from the first row seen."""
     first = first_per_key(ledger.where(F.col("owner").isNotNull()).withColumn("_ord", ledger_ordinal()),
                           ["owner"], "_ord", ["department"])
-    d = assign_ids(first, ["owner"], "owner_id", checkpoint=False)
-    return d.select(F.col("owner_id").cast("int").alias("owner_id"), "owner", "department")
+    d = assign_ids(first, ["owner"], "owner_id")
+    return d.select("owner_id", "owner", "department")
 
 
 def build_dim_counterparty(ledger: DataFrame) -> DataFrame:
     """Full rebuild: kind from the first row seen, exact ``Revenu`` test."""
     first = first_per_key(ledger.where(F.col("counterparty").isNotNull()).withColumn("_ord", ledger_ordinal()),
                           ["counterparty"], "_ord", ["txn_type"])
-    d = assign_ids(first, ["counterparty"], "counterparty_id", checkpoint=False)
-    return d.select(F.col("counterparty_id").cast("int").alias("counterparty_id"), "counterparty",
+    d = assign_ids(first, ["counterparty"], "counterparty_id")
+    return d.select("counterparty_id", "counterparty",
                     counterparty_kind("txn_type", exact=True).alias("kind"))
 
 
@@ -87,8 +101,8 @@ def project_span(ledger: DataFrame) -> DataFrame:
 
 
 def build_dim_project(ledger: DataFrame) -> DataFrame:
-    d = assign_ids(project_span(ledger), ["project"], "project_id", checkpoint=False)
-    return d.select(F.col("project_id").cast("int").alias("project_id"), "project", "start_date", "end_date")
+    d = assign_ids(project_span(ledger), ["project"], "project_id")
+    return d.select("project_id", "project", "start_date", "end_date")
 
 
 def build_dimensions(ledger: DataFrame) -> dict:
@@ -110,8 +124,7 @@ def _append_new(existing: DataFrame, new_members: DataFrame, key: list[str], id_
     """Members of ``new_members`` whose key is not in ``existing`` get ids max+1...;
     the result is existing + new (insert-only: existing rows never change)."""
     fresh = new_members.join(existing.select(*key), on=key, how="left_anti")
-    numbered = assign_ids(fresh, key, id_col, next_id(existing, id_col), checkpoint=False)
-    numbered = numbered.withColumn(id_col, F.col(id_col).cast("int"))
+    numbered = assign_ids(fresh, key, id_col, next_id(existing, id_col))
     return existing.unionByName(numbered.select(*existing.columns))
 
 
@@ -147,10 +160,6 @@ def upsert_project(dim: DataFrame, ledger: DataFrame) -> DataFrame:
     return _append_new(dim, project_span(ledger), ["project"], "project_id")
 
 
-def empty_like(dim: DataFrame) -> DataFrame:
-    return dim.limit(0)
-
-
 # --------------------------------------------------------------------------- facts
 
 FACT_IDS = ["date_id", "department_id", "txn_type_id", "expense_type_id", "owner_id", "counterparty_id",
@@ -201,7 +210,7 @@ def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True) -> D
     rows = resolved.where(F.col("resolved"))
     numbered = assign_ids(rows, LEDGER_ORDER if ordered else None, "transaction_id", start)
     return numbered.select(
-        "transaction_id", *[F.col(c).cast("int").alias(c) for c in FACT_IDS],
+        "transaction_id", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],
         F.round("amount", 2).cast(MONEY).alias("amount"),
         F.col("signed_amount").cast(MONEY).alias("signed_amount"))
 
@@ -215,15 +224,20 @@ def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool =
     return existing.unionByName(new.select(*existing.columns))
 
 
+def facts_with_year(facts: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """Facts with the year of their date, for a table partitioned by it."""
+    return dim_join(facts, dim_date.select("date_id", "year"), "date_id")
+
+
 # --------------------------------------------------------------------------- flatten
 
-def flatten_star(facts: DataFrame, dims: dict[str, DataFrame], limit: int | None = FLATTEN_LIMIT) -> DataFrame:
-    """Facts with all seven dimensions (left joins), newest first, capped at ``limit``.
+def flatten_star(facts: DataFrame, dims: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """All facts with their seven dimensions (left joins), newest first.
 
-    The cap is the report's feature (newest N). Before the top-N, a per-date count
-    (one row per date) gives the oldest date that can still be in the newest N, and
-    facts older than that are filtered out, so the top-N operator only sees about N
-    rows instead of the whole table.
+    ``limit`` makes it the newest-N report (``FLATTEN_LIMIT`` rows in the application). Then
+    a per-date count (one row per date) gives the oldest date that can still be in
+    the newest N, and facts older than that are filtered out, so the top-N operator
+    only sees about N rows instead of the whole table.
     """
     d = dims["dim_date"].select("date_id", "date", "year", "month", "quarter", "year_month")
     f = facts
