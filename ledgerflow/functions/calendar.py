@@ -5,30 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Formats tried in order; the first that parses wins. ISO first, then the
-# day-first and month-first forms a spreadsheet export commonly produces. Each
-# format is only attempted on text of its shape, so no value pays for a failed
-# parse of every format in front of the one that fits.
-DEFAULT_DATE_FORMATS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-)
+# (shape, format) pairs: a format is only attempted on text of its shape, so no value pays for a
+# failed parse of every format in front of the one that fits. Times may lack seconds or carry fractions.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?Z?)?$"
+YEAR_FIRST = ((r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME, "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME, "yyyy/M/d"))
+DAY_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "d-M-yyyy"))
+MONTH_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "M-d-yyyy"))
+DOTTED = ((r"^\d{1,2}\.\d{1,2}\.\d{4}" + _TIME, "d.M.yyyy"),)  # written with dots, the day always stands first
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def date_formats(day_first: bool) -> tuple[tuple[str, str], ...]:
+    """The formats of an upload whose ``13/02/2024`` or ``02/13/2024`` are dates."""
+    return YEAR_FIRST + (DAY_FIRST if day_first else MONTH_FIRST) + DOTTED
+
+
+DEFAULT_DATE_FORMATS = date_formats(day_first=False)
+
+
+def detect_day_first(df: DataFrame, col: str = "date_raw") -> bool:
+    """Whether an upload writes the day before the month, from one aggregate over its dates.
+
+    A first number above 12 can only be a day, a second one above 12 only a month-first date. The
+    more frequent kind decides for the whole upload, never value by value; without either, month first.
+    """
+    text = F.trim(F.col(col).cast("string"))
+    first, second = (F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}", i).try_cast("int") for i in (1, 2))
+    row = df.agg(F.count_if((first > 12) & (second <= 12)).alias("day"),
+                 F.count_if((second > 12) & (first <= 12)).alias("month")).first()
+    return row["day"] > row["month"]
+
+
 def parse_date(col, formats=DEFAULT_DATE_FORMATS) -> Column:
-    """Text -> DATE; an unparseable value gives null (never an error)."""
+    """Text -> DATE; an unparseable value gives null (never an error). A time behind the date is ignored."""
     s = F.trim(_c(col).cast("string"))
-    s = F.regexp_replace(s, "T", " ")
+    day = F.regexp_extract(s, r"^[^ T]+", 0)
     out = None
     for shape, fmt in formats:
-        parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt)))
+        parsed = F.to_date(F.try_to_timestamp(day, F.lit(fmt)))
         out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
     return out
 

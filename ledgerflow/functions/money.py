@@ -13,7 +13,7 @@ def _c(col) -> Column:
 
 
 def parse_amount(col) -> Column:
-    """Free-text amount -> DECIMAL(18,3), null when it does not parse.
+    """Free-text amount -> DECIMAL (``MONEY``), null when it does not parse.
 
     Currency signs and whitespace go, a comma becomes a dot, every character other
     than digits, dot and minus goes; what is left is cast with ``try_cast`` so that
@@ -51,16 +51,6 @@ def sign_label(txn_type) -> Column:
         .otherwise(F.lit(LEGACY_SIGN_LABELS[1]))
 
 
-def money_value(col, scale: int = 2) -> Column:
-    """Null-safe money output: 0 for null, rounded half-up, as DOUBLE."""
-    return F.round(F.coalesce(_c(col), F.lit(0).cast(MONEY)), scale).cast("double")
-
-
-def round2(col) -> Column:
-    """Round a decimal to 2 places (half-up, exact) and emit DOUBLE."""
-    return F.round(_c(col), 2).cast("double")
-
-
 def revenue_part(signed) -> Column:
     s = _c(signed)
     return F.when(s > 0, s).otherwise(F.lit(0).cast(MONEY))

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, parse_date
+from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, detect_day_first, parse_date
 from ledgerflow.functions.money import parse_amount, signed_amount
 from ledgerflow.functions.text import normalize_text, null_tokens
 from ledgerflow.schemas import (
-    EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, MISSING_COLUMNS_MESSAGE, REQUIRED_COLUMNS, UPLOAD_TO_LEDGER,
+    EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, MISSING_COLUMNS_MESSAGE, OPTIONAL_UPLOAD_TO_LEDGER, REQUIRED_COLUMNS,
+    UPLOAD_TO_LEDGER,
 )
 
 # Text columns normalised by the cleaner, and the columns a valid row must have.
@@ -50,7 +51,7 @@ def require_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> Da
 def upload_to_ledger(df: DataFrame) -> DataFrame:
     """Check an upload's columns and rename them to ours; extra columns pass through."""
     df = require_columns(df)
-    return df.withColumnsRenamed(UPLOAD_TO_LEDGER)
+    return df.withColumnsRenamed(UPLOAD_TO_LEDGER | OPTIONAL_UPLOAD_TO_LEDGER)
 
 
 def drop_exact_duplicates(df: DataFrame, count_col: str | None = None) -> DataFrame:
@@ -77,14 +78,14 @@ def _reasons():
     return F.when(valid, F.array().cast("array<string>")).otherwise(F.split(missing, ","))
 
 
-def parse_and_normalise(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
+def parse_and_normalise(df: DataFrame, formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Typed, normalised ledger columns plus the calendar and a ``reasons`` array.
 
     ``reasons`` is empty for a valid row and lists the missing required values
     otherwise. ``date_raw`` and ``amount_raw`` are kept for the rejected rows.
     """
     out = df.withColumns({
-        "txn_date": parse_date("date_raw", date_formats),
+        "txn_date": parse_date("date_raw", formats),
         "amount": parse_amount("amount_raw"),
         **{c: normalize_text(c) for c in NORMALISED},
     })
@@ -96,11 +97,12 @@ def parse_and_normalise(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> Dat
     return out.select(*CLEAN_COLUMNS, *extras, "date_raw", "amount_raw", "reasons")
 
 
-def clean_ledger(raw: DataFrame, date_formats=DEFAULT_DATE_FORMATS, with_copies: bool = False) -> DataFrame:
+def clean_ledger(raw: DataFrame, day_first: bool | None = None, with_copies: bool = False) -> DataFrame:
     """Raw ledger (our column names, strings) -> all deduplicated rows, parsed.
 
     Steps: missing tokens to null, exact dedup on raw values, parse and normalise.
-    Use :func:`split_valid` afterwards.
+    Use :func:`split_valid` afterwards. ``day_first`` says how the upload writes
+    ``05/03/2024``; None finds out with one aggregate over its date column.
 
     The dedup always counts copies, and ``reasons`` is tied to that count. This
     keeps the validity filter above the dedup aggregate: every column of the
@@ -108,9 +110,10 @@ def clean_ledger(raw: DataFrame, date_formats=DEFAULT_DATE_FORMATS, with_copies:
     the filter (with all parse expressions inlined) below the aggregate and into
     the upstream join, where it runs un-deduplicated and is recomputed after.
     """
+    formats = date_formats(detect_day_first(raw) if day_first is None else day_first)
     df = null_tokens(raw)
     df = drop_exact_duplicates(df, COPIES)
-    out = parse_and_normalise(df, date_formats)
+    out = parse_and_normalise(df, formats)
     out = out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
     return out if with_copies else out.drop(COPIES)
 
@@ -122,9 +125,9 @@ def split_valid(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cleaned.filter(ok).select(*keep), cleaned.filter(~ok)
 
 
-def clean_valid(raw: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
+def clean_valid(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """Convenience: the valid cleaned rows only (``LEDGER_CLEAN`` columns)."""
-    valid, _ = split_valid(clean_ledger(raw, date_formats))
+    valid, _ = split_valid(clean_ledger(raw, day_first))
     return valid.select(*CLEAN_COLUMNS)
 
 
@@ -178,29 +181,27 @@ def load_stats(valid: DataFrame) -> DataFrame:
 # are absent are skipped.
 LEGACY_ORDER = ["company", "department_code", "department", "owner", "txn_date", "year", "month", "quarter",
                 "iso_week", "day_name", "day_of_year", "year_month", "fiscal_year", "txn_type", "expense_type",
-                "amount", "signed_amount", "sign_label", "counterparty", "project"]
+                "amount", "signed_amount", "counterparty", "project"]
 
 
 def legacy_clean(raw: DataFrame) -> DataFrame:
     """The first-generation cleaner, kept for its different rules.
 
     Encoding repair per column (all or nothing), ISO date only, default expense
-    type, exact dedup (after the default is filled), whitespace collapse that keeps
-    blanks as empty text, legacy sign rule and label, fixed column order. No row is
+    type, exact dedup (on parsed dates, after the default is filled), whitespace collapse that keeps
+    blanks as empty text, legacy sign rule, fixed column order. No row is
     rejected.
     """
-    from ledgerflow.functions.money import sign_label
     from ledgerflow.sources.ledger_csv import repair_mojibake
 
     df = null_tokens(raw)
     df = repair_mojibake(df)
     df = df.withColumn("txn_date", F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-M-d"))))
     df = df.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
-    df = df.dropDuplicates()
+    df = df.drop("date_raw").dropDuplicates()
     text_cols = [c for c in NORMALISED if c in df.columns]
     df = df.withColumns({c: F.trim(F.regexp_replace(c, r"(?U)[\s\x{1c}-\x{1f}]+", " ")) for c in text_cols})
     df = df.withColumn("amount", parse_amount("amount_raw"))
-    df = df.withColumns({"signed_amount": signed_amount("amount", "txn_type", rule="legacy"),
-                         "sign_label": sign_label("txn_type")})
+    df = df.withColumn("signed_amount", signed_amount("amount", "txn_type", rule="legacy"))
     df = df.withColumns(calendar_columns("txn_date"))
     return select_ordered(df, LEGACY_ORDER)

@@ -1,9 +1,9 @@
 """Computed KPI report over a cleaned ledger: filters, global, per department,
 monthly with running balance, top-k lists.
 
-Money stays DECIMAL(18,3) through every aggregate, so sums are exact and do not
+Money stays DECIMAL through every aggregate, so sums are exact and do not
 depend on partitioning or task order; values turn into DOUBLE only at the output.
-Every aggregate here is a hash aggregate with a map-side partial step, so a hot
+Every aggregate here has a map-side partial step, so a hot
 group (one department holding a third of all rows) is pre-aggregated on the map
 side and never gathered into one task. The only windows run over already
 aggregated rows (one per month), never over raw rows.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.labels import department_id
 from ledgerflow.functions.money import expense_part, revenue_part
-from ledgerflow.schemas import LABEL_DASH, LABEL_UNCLASSIFIED, TOP_K
+from ledgerflow.schemas import LABEL_DASH, LABEL_UNCLASSIFIED, MONEY, QUOTIENT, TOP_K
 
 
 def _s() -> Column:
@@ -27,17 +27,17 @@ def _s() -> Column:
 
 def div_round2(num: Column, den: Column) -> Column:
     """round(num / den, 2) as DOUBLE, in exact decimal arithmetic (half-up)."""
-    return F.round(num / den, 2).cast("double")
+    return F.round(num.cast(QUOTIENT) / den, 2).cast("double")
 
 
 def pct_round2(num: Column, den: Column) -> Column:
     """round(num / den * 100, 2) as DOUBLE, in exact decimal arithmetic."""
-    return F.round((num / den) * F.lit(100), 2).cast("double")
+    return F.round((num.cast(QUOTIENT) / den.cast(QUOTIENT)) * F.lit(100), 2).cast("double")
 
 
 def dec0(col: Column) -> Column:
     """Null-safe decimal sum result (0 when the group has no rows)."""
-    return F.coalesce(col, F.lit(0).cast("decimal(18,3)"))
+    return F.coalesce(col, F.lit(0).cast(MONEY))
 
 
 # --------------------------------------------------------------------------- filters
@@ -65,6 +65,8 @@ def in_period(df: DataFrame, period: str | None, date_col: str = "txn_date") ->
         return df
     start, end = period_bounds(period)
     d = F.col(date_col)
+    if "year" in df.columns and date_col == "txn_date":  # the year of that date: stored tables are partitioned by it
+        df = df.filter(F.col("year") == F.lit(start.year))
     return df.filter((d >= F.lit(start)) & (d < F.lit(end)))
 
 
@@ -195,11 +197,6 @@ def top_counterparties(df: DataFrame, k: int = TOP_K) -> DataFrame:
         .orderBy(F.desc("total_amount"), F.asc_nulls_first("_key")).limit(k).drop("_key"))
 
 
-def top_k(df: DataFrame, by: str, k: int, tie: list[str]) -> DataFrame:
-    """Generic top-k with an explicit tie-break (the planner uses TakeOrderedAndProject)."""
-    return df.orderBy(F.desc(by), *[F.asc_nulls_first(t) for t in tie]).limit(k)
-
-
 def kpi_report(df: DataFrame, period: str | None = None, dept_id: int | None = None) -> dict[str, DataFrame]:
     """The six lazy results of the computed report over one filtered base."""
     base = report_base(df, period, dept_id)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.schemas import (
     KPI_GLOBAL_NAMES, KPI_MONTHLY_NAME, KPI_PREFIX_AMOUNT, KPI_PREFIX_EXPENSE, KPI_PREFIX_VOLUME,
-    KPI_SOURCE_REFRESH, LABEL_NO_MONTH, LABEL_OTHER, LABEL_UNKNOWN_DEPARTMENT, QUARTER_KEY_PREFIX,
+    KPI_SOURCE_REFRESH, MONEY, QUOTIENT, LABEL_NO_MONTH, LABEL_OTHER, LABEL_UNKNOWN_DEPARTMENT, QUARTER_KEY_PREFIX,
 )
 
 KPI_COLUMNS = ["kpi_name", "period", "value", "evolution", "department_id", "stat_type", "source",
@@ -21,7 +21,7 @@ KPI_COLUMNS = ["kpi_name", "period", "value", "evolution", "department_id", "sta
 
 
 def _zero() -> Column:
-    return F.lit(0).cast("decimal(18,3)")
+    return F.lit(0).cast(MONEY)
 
 
 def _label(col: str, default: str) -> Column:
@@ -33,6 +33,7 @@ def _label(col: str, default: str) -> Column:
 # (bit set = column not grouped, first column is the highest bit).
 _KEYS = ["qkey", "dep", "tt", "td", "ym"]
 _PARTS = {31: 0, 15: 1, 23: 2, 27: 3, 29: 4, 30: 5}  # gid -> part
+ALL_PARTS = (0, 1, 2, 3, 4, 5)
 
 
 def _labelled(base: DataFrame) -> DataFrame:
@@ -46,13 +47,14 @@ def _labelled(base: DataFrame) -> DataFrame:
         _label("year_month", LABEL_NO_MONTH).alias("ym"))
 
 
-def refresh_aggregate(base: DataFrame) -> DataFrame:
-    """All refresh sums in ONE aggregate over grouping sets (global, quarter,
+def refresh_aggregate(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
+    """The refresh sums of ``parts`` in ONE aggregate over grouping sets (global, quarter,
     department, transaction type, expense type, month): one scan of the facts and
     one shuffle of map-side partial sums, instead of one scan per KPI family."""
     b = _labelled(base)
     a, s = F.coalesce(F.col("amount"), _zero()), F.coalesce(F.col("signed_amount"), _zero())
-    agg = b.groupingSets([[], ["qkey"], ["dep"], ["tt"], ["td"], ["ym"]], *_KEYS).agg(
+    sets = [[], *([k] for k in _KEYS)]
+    agg = b.groupingSets([sets[p] for p in parts], *_KEYS).agg(
         F.coalesce(F.sum(a), _zero()).alias("tot"), F.coalesce(F.sum(s), _zero()).alias("net"),
         F.coalesce(F.sum(F.when(s > 0, s)), _zero()).alias("rev"),
         F.abs(F.coalesce(F.sum(F.when(s < 0, s)), _zero())).alias("dep_abs"),
@@ -67,32 +69,34 @@ def refresh_aggregate(base: DataFrame) -> DataFrame:
 def _kpi_struct(name, period, value, evolution, dept, stat, part, position) -> Column:
     return F.struct(name.cast("string").alias("kpi_name"), period.cast("string").alias("period"),
                     value.cast("double").alias("value"), evolution.cast("double").alias("evolution"),
-                    dept.cast("int").alias("department_id"), F.lit(stat).alias("stat_type"),
+                    dept.cast("long").alias("department_id"), F.lit(stat).alias("stat_type"),
                     F.lit(KPI_SOURCE_REFRESH).alias("source"), F.lit(part).alias("part"),
                     position.cast("string").alias("position"))
 
 
-def refresh_kpis(base: DataFrame) -> DataFrame:
-    """All refresh rows, emitted from the one grouping-sets aggregate.
+def refresh_kpis(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
+    """The refresh rows of ``parts`` (all by default), emitted from the one grouping-sets aggregate.
 
     Every aggregate row becomes its KPI row(s) in one projection (``inline``); the
     month-over-month lag is a window over the month rows only (one per month).
     """
-    agg = refresh_aggregate(base)
+    agg = refresh_aggregate(base, parts)
     val = F.round("tot", 2)
-    w = Window.partitionBy("part").orderBy("ym")
+    # Only the month rows need to stand together; the other rows are spread by their key.
+    spread = F.when(F.col("part") == 5, F.lit(0)).otherwise(F.xxhash64("qkey", "dep", "tt", "td"))
+    w = Window.partitionBy("part", spread).orderBy("ym")
     prev = F.coalesce(F.lag(val).over(w), val)
-    agg = agg.withColumns({"val": val, "evo": F.when(prev != 0, F.round(((val - prev) / prev) * F.lit(100), 2))
+    agg = agg.withColumns({"val": val, "evo": F.when(prev != 0, F.round(((val - prev).cast(QUOTIENT) / prev.cast(QUOTIENT)) * F.lit(100), 2))
                                                   .otherwise(_zero())})
-    null_int = F.lit(None).cast("int")
+    null_int = F.lit(None).cast("long")
     zero = F.lit(0.0)
     # Values of the global KPIs, in the order of KPI_GLOBAL_NAMES: total, net,
     # revenue, expenses, count, mean, expense/revenue ratio.
     values = [
         F.round("tot", 2), F.round("net", 2), F.round("rev", 2), F.round("dep_abs", 2),
         F.col("n").cast("decimal(20,0)"),
-        F.when(F.col("n") > 0, F.round(F.col("tot") / F.col("n"), 2)).otherwise(_zero()),
-        F.when(F.col("rev") != 0, F.round((F.col("dep_abs") / F.col("rev")) * F.lit(100), 2)).otherwise(_zero()),
+        F.when(F.col("n") > 0, F.round(F.col("tot").cast(QUOTIENT) / F.col("n"), 2)).otherwise(_zero()),
+        F.when(F.col("rev") != 0, F.round((F.col("dep_abs").cast(QUOTIENT) / F.col("rev").cast(QUOTIENT)) * F.lit(100), 2)).otherwise(_zero()),
     ]
     global_rows = F.array(*[_kpi_struct(F.lit(name), F.lit("global"), value, zero, null_int, stat, 0,
                                         F.lpad(F.lit(str(i)), 2, "0"))
@@ -114,7 +118,7 @@ def refresh_kpis(base: DataFrame) -> DataFrame:
 
 
 def _part(base: DataFrame, part: int) -> DataFrame:
-    return refresh_kpis(base).where(F.col("part") == part)
+    return refresh_kpis(base, (part,))
 
 
 def refresh_global(base: DataFrame) -> DataFrame:

@@ -19,12 +19,19 @@ from ledgerflow.schemas import (
     FORECAST_READ_LIMIT, KPI_DEFAULT_PERIOD, KPI_DEFAULT_SOURCE, KPI_DEFAULT_STAT, KPI_READ_LIMIT,
     KPI_VALUES,
 )
+from ledgerflow.session import materialize
 
 KEY = ["kpi_name", "period"]
 
 
+def _scan_place():
+    """The place of a row in its scan as text that sorts like the number."""
+    return F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+
+
 def normalise_batch(batch: DataFrame, source: str | None = None) -> DataFrame:
-    """Trim names, apply defaults, drop blank names. Keeps ``part``/``position`` ordinal."""
+    """Trim names, apply defaults, drop blank names. Keeps the ``part``/``position`` ordinal; a caller's plain
+    batch (name, period, value) has none and is taken in the order its rows are read."""
     name = F.trim(F.coalesce(F.col("kpi_name").cast("string"), F.lit("")))
     cols = batch.columns
 
@@ -36,10 +43,11 @@ def normalise_batch(batch: DataFrame, source: str | None = None) -> DataFrame:
         opt("period", KPI_DEFAULT_PERIOD).alias("period"),
         F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value") if "value" in cols else F.lit(0.0).alias("value"),
         (F.coalesce(F.col("evolution").cast("double"), F.lit(0.0)) if "evolution" in cols else F.lit(0.0)).alias("evolution"),
-        (F.col("department_id").cast("int") if "department_id" in cols else F.lit(None).cast("int")).alias("department_id"),
+        (F.col("department_id").cast("long") if "department_id" in cols else F.lit(None).cast("long")).alias("department_id"),
         (F.lit(source) if source is not None else opt("source", KPI_DEFAULT_SOURCE)).alias("source"),
         opt("stat_type", KPI_DEFAULT_STAT).alias("stat_type"),
-        F.col("part").cast("int").alias("part"), F.col("position").cast("string").alias("position"),
+        (F.col("part").cast("int") if "part" in cols else F.lit(0)).alias("part"),
+        (F.col("position").cast("string") if "position" in cols else _scan_place()).alias("position"),
     )
     return out.where(F.col("kpi_name") != "")
 
@@ -67,7 +75,7 @@ def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at:
     ``replaced`` counts every removed row, stored or from the batch; ``inserted``
     counts every non-blank batch row.
     """
-    b = normalise_batch(batch, source)
+    b = materialize(normalise_batch(batch, source))  # read by the numbering, the survivors and the counts
     if replace:
         latest = F.max_by(F.struct(*[c for c in b.columns if c not in KEY]), F.struct("part", "position"))
         kept = b.groupBy(*KEY).agg(latest.alias("_r")).select(*KEY, "_r.*")
@@ -89,12 +97,12 @@ def merge_kpis(existing: DataFrame, batch: DataFrame, replace: bool, created_at:
                    F.coalesce(F.sum("replaced"), F.lit(0)).cast("long").alias("replaced")))
     if not replace:
         counts = counts.withColumn("replaced", F.lit(0).cast("long"))
-    return store.select(*[f.name for f in KPI_VALUES.fields]), counts
+    return materialize(store.select(*[f.name for f in KPI_VALUES.fields])), counts
 
 
 def initial_store(batch: DataFrame, created_at: _dt.datetime) -> DataFrame:
-    """A store holding one batch (ids 1.., stamped in emission order)."""
-    return stamp(normalise_batch(batch), created_at).select(*[f.name for f in KPI_VALUES.fields])
+    """A stored table holding one batch (ids 1.., stamped in emission order)."""
+    return materialize(stamp(normalise_batch(batch), created_at).select(*[f.name for f in KPI_VALUES.fields]))
 
 
 def latest(df: DataFrame, n: int, ts: str = "created_at", tie: str = "id") -> DataFrame:
@@ -148,9 +156,12 @@ def write_version(df: DataFrame, base: str) -> str:
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """Read the newest version folder under ``base``."""
+    """Read the newest complete version folder under ``base`` (a failed write has no ``_SUCCESS``)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(base)  # noqa: SLF001
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
     names = sorted(st.getPath().getName() for st in fs.listStatus(jvm_path)
-                   if st.getPath().getName().startswith("v"))
+                   if st.getPath().getName().startswith("v")
+                   and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))  # noqa: SLF001
+    if not names:
+        raise FileNotFoundError(f"no complete version under {base}")
     return spark.read.parquet(os.path.join(base, names[-1]))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 3)
+# Amounts: 22 digits before the point, six behind it (rounded to two when a fact is stored).
+MONEY = T.DecimalType(28, 6)
+# Operands of a quotient: narrow enough that Spark keeps ten digits of the result.
+QUOTIENT = T.DecimalType(28, 3)
 
 # ---------------------------------------------------------------------------
 # These must stay exactly as written for results to agree with
@@ -34,6 +37,9 @@ UPLOAD_TO_LEDGER = {
     "Projet": "project",
 }
 
+# Upload columns that may be absent -> our column.
+OPTIONAL_UPLOAD_TO_LEDGER = {"Entreprise": "company"}
+
 # Tokens a pandas CSV reader turns into a missing value (pandas 2.x defaults).
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -174,7 +180,7 @@ KPI_VALUES = T.StructType([
     T.StructField("period", T.StringType()),
     T.StructField("value", T.DoubleType()),
     T.StructField("evolution", T.DoubleType()),
-    T.StructField("department_id", T.IntegerType()),
+    T.StructField("department_id", T.LongType()),
     T.StructField("source", T.StringType()),
     T.StructField("stat_type", T.StringType()),
     T.StructField("created_at", T.TimestampNTZType()),
@@ -204,3 +210,6 @@ IMPORT_HISTORY = T.StructType([
     T.StructField("details", T.ArrayType(T.StringType())),
     T.StructField("data", T.StringType()),
 ])
+
+# Rows of an import kept as JSON in its audit row; the whole import stays in the cleaned table.
+AUDIT_DATA_ROWS = 5
