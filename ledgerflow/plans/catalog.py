@@ -33,6 +33,7 @@ from ledgerflow.operators import store as S
 from ledgerflow.operators import users as U
 from ledgerflow.operators.ids import first_per_key
 from ledgerflow.plans import etl_load as E
+from ledgerflow.schemas import FLATTEN_LIMIT, UPLOAD_TO_LEDGER
 from ledgerflow.session import materialize
 from ledgerflow.sources import binding as B
 
@@ -99,7 +100,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def build():
         valid, _ = C.split_valid(cleaned(spark, sf_dir))
-        return materialize(valid.select(*C.CLEAN_COLUMNS))
+        return materialize(valid.select(*C.CLEAN_COLUMNS), partition_by=["year"])
     return _memo(spark, sf_dir, "ledger", build)
 
 
@@ -159,6 +160,110 @@ def q_ledger_csv_roundtrip(spark, sf_dir):
     return T.null_tokens(read_ledger_csv(spark, path + "/*.csv"))
 
 
+@query("ledger_csv_mixed")
+def q_ledger_csv_mixed(spark, sf_dir):
+    """One upload in three files: UTF-8, Latin-1 with another column order, and quoted values with line ends."""
+    from ledgerflow.sources.ledger_csv import read_ledger_csv, write_ledger_csv
+
+    def build():
+        r, path = raw(spark, sf_dir), shared_folder(spark, "uploads", _sf_name(sf_dir), "ledger_mixed")
+        kind = F.right(F.col("project"), F.lit(1)).cast("int")
+        write_ledger_csv(r.where(kind <= 2), path + "/a")
+        plain = r.where(kind.between(3, 4)).withColumn("amount_raw", F.replace("amount_raw", F.lit("€ "), F.lit("")))
+        write_ledger_csv(plain.select(*reversed(r.columns)), path + "/b", encoding="ISO-8859-1")
+        quoted = F.concat(F.col("owner"), F.lit(' "q"\n'), F.col("project"))
+        write_ledger_csv(r.where(kind >= 5).withColumn("owner", quoted), path + "/c")
+        return path
+    path = _memo(spark, sf_dir, "ledger_mixed", build)
+    return T.null_tokens(read_ledger_csv(spark, path + "/*/*.csv")).select(*raw(spark, sf_dir).columns)
+
+
+@query("upload_columns")
+def q_upload_columns(spark, sf_dir):
+    """An upload with the application's column names, blanks around them, checked and renamed."""
+    r = raw(spark, sf_dir)
+    return C.upload_to_ledger(r.select(*(F.col(own).alias(f" {name} ") for name, own in UPLOAD_TO_LEDGER.items())))
+
+
+@query("upload_preview")
+def q_upload_preview(spark, sf_dir):
+    from ledgerflow.sources.ledger_csv import preview
+    columns, n, first = preview(raw(spark, sf_dir), 5)
+    return first.agg(F.lit(",".join(columns)).alias("columns"), F.lit(n).cast("long").alias("n_rows"),
+                     F.count(F.lit(1)).alias("n_shown"))
+
+
+@query("upload_stage")
+def q_upload_stage(spark, sf_dir):
+    from ledgerflow.sources.ledger_csv import stage
+    both = [stage(raw(spark, sf_dir), ledger(spark, sf_dir), w).agg(
+        F.lit(w).alias("stage"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("project").alias("n_projects"))
+        for w in ("before", "after")]
+    return both[0].unionByName(both[1])
+
+
+@query("star_written")
+def q_star_written(spark, sf_dir):
+    """The star written (facts by year) and its facts read back."""
+    from ledgerflow.sources.tables import read_table, write_star
+
+    def build():
+        path, star = shared_folder(spark, "tables", _sf_name(sf_dir), "star"), load2(spark, sf_dir).star
+        write_star({**star.tables(), "fact_transactions": St.facts_with_year(star.facts, star.dims["dim_date"])}, path)
+        return path
+    path = _memo(spark, sf_dir, "star_written", build)
+    return read_table(spark, path, "fact_transactions")
+
+
+@query("dates_parsed")
+def q_dates_parsed(spark, sf_dir):
+    """The upload's dates written day first, some with times and fractions, parsed as the whole upload is found to be."""
+    from ledgerflow.functions import calendar as D
+    day = F.try_to_timestamp("date_raw", F.lit("yyyy-MM-dd"))
+    text = (F.when(F.dayofmonth(day) % 4 == 0, F.date_format(day, "yyyy-MM-dd'T'10:00:00.123"))
+            .when(F.dayofmonth(day) % 4 == 1, F.date_format(day, "dd.MM.yyyy"))
+            .when(F.dayofmonth(day) % 4 == 2, F.date_format(day, "d/M/yyyy 8:05"))
+            .when(day.isNotNull(), F.date_format(day, "dd/MM/yyyy")).otherwise(F.col("date_raw")))
+    r = raw(spark, sf_dir).select(text.alias("date_raw"))
+    return r.select("date_raw", D.parse_date("date_raw", D.date_formats(D.detect_day_first(r))).alias("txn_date"))
+
+
+@query("amounts_wide")
+def q_amounts_wide(spark, sf_dir):
+    """Amounts of four decimals and of more than 10^15, parsed and rounded once."""
+    text = F.concat(F.when(F.col("department_code") == "DEPT003", F.lit("9999999999")).otherwise(F.lit("")),
+                    F.regexp_replace("amount_raw", "[.,]", ".00"))
+    amount = M.parse_amount(text)
+    return raw(spark, sf_dir).select(text.alias("amount_raw"), amount.alias("amount"),
+                                     F.round(amount, 2).cast("decimal(28,6)").alias("stored"))
+
+
+@query("kpi_batch_saved")
+def q_kpi_batch_saved(spark, sf_dir):
+    """A caller's plain batch (name, period, value) saved over the store."""
+    batch = K.kpi_monthly(ledger(spark, sf_dir)).select(
+        F.lit(KPI_LOOKUP_NAME).alias("kpi_name"), F.col("month").alias("period"), F.col("revenue").cast("double").alias("value"))
+    store, _ = S.merge_kpis(merged(spark, sf_dir)[0], batch, True, STORE_T1, source="saved")
+    return store.where(F.col("kpi_name") == KPI_LOOKUP_NAME).select("kpi_name", "period", "value", "source")
+
+
+@query("kpi_report_filtered")
+def q_kpi_report_filtered(spark, sf_dir):
+    """The six parts of the report under a period and a department, one line per value."""
+    rep = K.kpi_report(ledger(spark, sf_dir), REPORT_MONTH, REPORT_DEPARTMENT)
+
+    def part(name, key, value):
+        return rep[name].select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key") if key else
+                                F.lit("").alias("key"), F.col(value).cast("double").alias("value"))
+    parts = [part("kpis", None, "net_balance"), part("by_department", "department_id", "balance"),
+             part("monthly", "month", "running_balance"), part("top_expense_types", "expense_type", "total_amount"),
+             part("top_projects", "project", "total_amount"), part("top_counterparties", "counterparty", "total_amount")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("period_filter_stored")
 def q_period_filter_stored(spark, sf_dir):
     """The period report over the stored clean table (Parquet, partitioned by year):
@@ -233,7 +338,7 @@ def q_display_name(spark, sf_dir):
 @query("json_payload")
 def q_json_payload(spark, sf_dir):
     f = S.forecast_values(B.forecasts(spark, sf_dir))
-    return f.select("id", F.variant_get("results_json", "$.k", "int").alias("k"),
+    return f.select("id", F.try_variant_get("results_json", "$.k", "int").alias("k"),
                     F.col("results_json").isNotNull().alias("is_json"))
 
 
@@ -356,6 +461,35 @@ def q_star_flatten(spark, sf_dir):
     return St.flatten_star(st.facts, st.dims)
 
 
+@query("star_flatten_newest")
+def q_star_flatten_newest(spark, sf_dir):
+    """The application's report: the newest rows only."""
+    st = load2(spark, sf_dir).star
+    return St.flatten_star(st.facts, st.dims, FLATTEN_LIMIT)
+
+
+def recoded(spark, sf_dir) -> DataFrame:
+    """The ledger with blank and second department codes, and two names that share a number."""
+    led, day = ledger(spark, sf_dir), F.col("day_of_year")
+    code = (F.when(day % 5 == 0, F.lit(None)).when(day % 7 == 0, F.concat("department_code", F.lit("0")))
+            .when(F.col("department").isin("NATION 3", "NATION 9"), F.lit("DEPT777")).otherwise(F.col("department_code")))
+    return led.withColumn("department_code", code)
+
+
+@query("dim_department_recoded")
+def q_dim_department_recoded(spark, sf_dir):
+    return St.build_dim_department(recoded(spark, sf_dir))
+
+
+@query("facts_recoded")
+def q_facts_recoded(spark, sf_dir):
+    """Facts of the recoded ledger per department id: as many as there are valid rows."""
+    led = recoded(spark, sf_dir)
+    star = E.rebuild_star(led)
+    return star.facts.groupBy("department_id").agg(
+        F.count(F.lit(1)).alias("n_facts"), F.sum("amount").cast("double").alias("amount"))
+
+
 @query("kpi_base")
 def q_kpi_base(spark, sf_dir):
     return kpi_base2(spark, sf_dir)
@@ -418,7 +552,21 @@ def q_email_user(spark, sf_dir):
 @query("import_audit")
 def q_import_audit(spark, sf_dir):
     counters = E.quality_report(cleaned(spark, sf_dir), load2(spark, sf_dir).star)
-    return H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1")
+    return H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1").drop("id", "details", "data")
+
+
+@query("audit_detail")
+def q_audit_detail(spark, sf_dir):
+    """An audit row with messages and stored rows, written, and its detail read back."""
+    def build():
+        counters = E.quality_report(cleaned(spark, sf_dir), load2(spark, sf_dir).star)
+        rows = ledger(spark, sf_dir).select("txn_date", "department", "amount", "department_code", "owner", "counterparty")
+        row = H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1", details=["version 1", "5 rows kept"],
+                          data=H.audit_data(rows, rows.columns), row_id=12)
+        return materialize(row)
+    audit = _memo(spark, sf_dir, "audit", build)
+    return H.history_detail(audit).join(audit.select("id", F.array_join("details", "; ").alias("details")), "id").select(
+        "id", "n_rows", "n_errors", "status", "details", F.array_join("columns", ",").alias("columns"), "rows_count", "preview")
 
 
 @query("quality_counters")

@@ -57,7 +57,7 @@ def rebuild_star(ledger: DataFrame) -> Star:
     ledger = materialize(ledger)
     dims = materialize_all(St.build_dimensions(ledger))
     resolved = St.resolve_keys(ledger, dims, strict=False, owner_by_name=True)
-    return Star(dims, St.facts_from_resolved(resolved, 1))
+    return Star(dims, materialize(St.facts_from_resolved(resolved, 1)))
 
 
 @dataclass
@@ -66,18 +66,20 @@ class LoadResult:
     resolved: DataFrame  # cleaned valid rows with their ids and a ``resolved`` flag
 
 
-def load_upload(star: Star, ledger: DataFrame, replace: bool = True) -> LoadResult:
-    """Incremental load of one cleaned upload into an existing star."""
+def load_upload(star: Star, ledger: DataFrame, replace: bool = True,
+                owner_key: tuple[str, ...] = ("owner", "department")) -> LoadResult:
+    """Incremental load of one cleaned upload into an existing star. ``owner_key``: owners are one per
+    (name, department), or one per name with ``("owner",)``."""
     ledger = materialize(ledger)
     dims = dict(star.dims)
     dims.update(materialize_all({
         "dim_date": lambda: St.upsert_date(dims["dim_date"], ledger),
-        "dim_owner": lambda: St.upsert_owner(dims["dim_owner"], ledger),
+        "dim_owner": lambda: St.upsert_owner(dims["dim_owner"], ledger, owner_key),
         "dim_counterparty": lambda: St.upsert_counterparty(dims["dim_counterparty"], ledger),
         "dim_project": lambda: St.upsert_project(dims["dim_project"], ledger),
     }))
-    resolved = St.resolve_keys(ledger, dims, strict=True)
-    facts = St.load_facts(star.facts, resolved, replace=replace)
+    resolved = materialize(St.resolve_keys(ledger, dims, strict=True, owner_by_name=owner_key == ("owner",)))  # the load, an append and the counters read it
+    facts = materialize(St.load_facts(star.facts, resolved, replace=replace))
     return LoadResult(Star(dims, facts), resolved)
 
 

@@ -3,21 +3,22 @@
 Written directly in SQL from the rules, not generated from the Spark plans. Each
 query is ``WITH <the CTEs it needs> SELECT ...`` over the pre-registered test-data
 views. Exact decimal rules: DuckDB divides decimals in DOUBLE, so half-up rounding
-of a quotient is done in integer arithmetic on thousandths (``_div2``), which is
+of a quotient is done in integer arithmetic on millionths (``_div2``), which is
 what Spark's exact decimal division + ``round`` gives.
 """
 
 from __future__ import annotations
 
-from ledgerflow.schemas import NULL_TOKENS
-
+# The CSV missing-value tokens, written out here: the oracle takes nothing from the engine.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 _TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NULL_TOKENS)
 
 
 def _div2(num: str, den: str, scale100: bool = False) -> str:
-    """SQL for round_half_up(num / den [* 100], 2) as DOUBLE; num, den decimals of scale <= 3."""
-    a = f"CAST(({num}) * 1000 AS HUGEINT)"
-    b = f"CAST(({den}) * 1000 AS HUGEINT)"
+    """SQL for round_half_up(num / den [* 100], 2) as DOUBLE; num, den decimals of scale <= 6."""
+    a = f"CAST(({num}) * 1000000 AS HUGEINT)"
+    b = f"CAST(({den}) * 1000000 AS HUGEINT)"
     mult = 10000 if scale100 else 100
     return (f"(CASE WHEN ({den}) = 0 OR ({den}) IS NULL OR ({num}) IS NULL THEN NULL ELSE "
             f"sign({a}) * sign({b}) * ((2 * abs({a}) * {mult} + abs({b})) // (2 * abs({b}))) / 100.0 END)")
@@ -35,7 +36,7 @@ _DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d
 _PARSE_DATE = "CAST(COALESCE(" + ", ".join(
     f"try_strptime(trim(date_raw), '{f}')" for f in _DATE_FORMATS) + ") AS DATE)"
 _PARSE_AMOUNT = ("TRY_CAST(regexp_replace(replace(regexp_replace(amount_raw, '[€$£\\s]', '', 'g'), ',', '.'), "
-                 "'[^0-9.\\-]', '', 'g') AS DECIMAL(18,3))")
+                 "'[^0-9.\\-]', '', 'g') AS DECIMAL(28,6))")
 
 RAW_COLS = ["date_raw", "department_code", "department", "txn_type", "expense_type", "amount_raw",
             "owner", "counterparty", "project"]
@@ -106,7 +107,7 @@ cte("ledger_all", """
   SELECT txn_date, department_code, department, txn_type, expense_type, amount, owner, counterparty, project,
          CAST(CASE WHEN amount IS NULL THEN NULL
                    WHEN lower(trim(coalesce(txn_type, ''))) IN ('depense', 'dépense') THEN -abs(amount)
-                   ELSE abs(amount) END AS DECIMAL(18,3)) AS signed_amount,
+                   ELSE abs(amount) END AS DECIMAL(28,6)) AS signed_amount,
          CAST(year(txn_date) AS INTEGER) AS year, CAST(month(txn_date) AS INTEGER) AS month,
          CAST(quarter(txn_date) AS INTEGER) AS quarter, CAST(weekofyear(txn_date) AS INTEGER) AS iso_week,
          dayname(txn_date) AS day_name, CAST(dayofyear(txn_date) AS INTEGER) AS day_of_year,
@@ -184,7 +185,7 @@ def _cal(d: str) -> str:
             f"CAST(dayofyear({d}) AS INTEGER) AS day_of_year, strftime({d}, '%Y-%m') AS year_month")
 
 
-_DEPT_ID = "TRY_CAST(NULLIF(regexp_extract(department_code, '(\\d+)', 1), '') AS INTEGER)"
+_DEPT_ID = "TRY_CAST(NULLIF(regexp_extract(department_code, '(\\d+)', 1), '') AS BIGINT)"
 
 _CATEGORY = """CASE
   WHEN contains(lower(expense_type), 'salaire') OR contains(lower(expense_type), 'rh')
@@ -202,32 +203,45 @@ _CATEGORY = """CASE
   ELSE 'Autres' END"""
 
 
+def _department(name: str, src: str) -> None:
+    """One row per name, its largest number; of names that share one the first keeps it."""
+    cte(name, f"""
+      SELECT CASE WHEN department_id IS NULL OR place = 1 THEN department_id
+                  ELSE (top + row_number() OVER (PARTITION BY department_id IS NOT NULL AND place > 1 ORDER BY department)) END
+               AS department_id, department, department_code
+      FROM (SELECT *, row_number() OVER (PARTITION BY department_id ORDER BY department) AS place,
+                   max(department_id) OVER () AS top
+            FROM (SELECT {_DEPT_ID} AS department_id, department, department_code,
+                         row_number() OVER (PARTITION BY department ORDER BY {_DEPT_ID} DESC NULLS LAST,
+                                            department_code DESC NULLS LAST) AS pick
+                  FROM (SELECT DISTINCT department_code, department FROM {src} WHERE department IS NOT NULL))
+            WHERE pick = 1)""", [src])
+
+
 def _full_dims(prefix: str, src: str) -> None:
     """Full-rebuild dimensions of ``src`` as CTEs ``{prefix}_date`` ... ``{prefix}_project``."""
     cte(f"{prefix}_date", f"""
-      SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS date_id, date, {_cal('date')}
+      SELECT CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS date_id, date, {_cal('date')}
       FROM (SELECT DISTINCT txn_date AS date FROM {src} WHERE txn_date IS NOT NULL)""", [src])
-    cte(f"{prefix}_department", f"""
-      SELECT {_DEPT_ID} AS department_id, department, department_code
-      FROM (SELECT DISTINCT department_code, department FROM {src} WHERE department IS NOT NULL)""", [src])
+    _department(f"{prefix}_department", src)
     cte(f"{prefix}_owner", f"""
-      SELECT CAST(row_number() OVER (ORDER BY owner) AS INTEGER) AS owner_id, owner, department
+      SELECT CAST(row_number() OVER (ORDER BY owner) AS BIGINT) AS owner_id, owner, department
       FROM (SELECT owner, department, row_number() OVER (PARTITION BY owner ORDER BY {FORD}) AS rn
             FROM {src} WHERE owner IS NOT NULL) WHERE rn = 1""", [src])
     cte(f"{prefix}_txn_type", f"""
-      SELECT CAST(row_number() OVER (ORDER BY txn_type) AS INTEGER) AS txn_type_id, txn_type
+      SELECT CAST(row_number() OVER (ORDER BY txn_type) AS BIGINT) AS txn_type_id, txn_type
       FROM (SELECT DISTINCT txn_type FROM {src} WHERE txn_type IS NOT NULL)""", [src])
     cte(f"{prefix}_expense_type", f"""
-      SELECT CAST(row_number() OVER (ORDER BY expense_type) AS INTEGER) AS expense_type_id, expense_type,
+      SELECT CAST(row_number() OVER (ORDER BY expense_type) AS BIGINT) AS expense_type_id, expense_type,
              {_CATEGORY} AS category
       FROM (SELECT DISTINCT expense_type FROM {src} WHERE expense_type IS NOT NULL)""", [src])
     cte(f"{prefix}_counterparty", f"""
-      SELECT CAST(row_number() OVER (ORDER BY counterparty) AS INTEGER) AS counterparty_id, counterparty,
+      SELECT CAST(row_number() OVER (ORDER BY counterparty) AS BIGINT) AS counterparty_id, counterparty,
              CASE WHEN txn_type = 'Revenu' THEN 'Client' ELSE 'Fournisseur' END AS kind
       FROM (SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
             FROM {src} WHERE counterparty IS NOT NULL) WHERE rn = 1""", [src])
     cte(f"{prefix}_project", f"""
-      SELECT CAST(row_number() OVER (ORDER BY project) AS INTEGER) AS project_id, project, start_date, end_date
+      SELECT CAST(row_number() OVER (ORDER BY project) AS BIGINT) AS project_id, project, start_date, end_date
       FROM (SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date
             FROM {src} WHERE project IS NOT NULL GROUP BY project)""", [src])
 
@@ -236,7 +250,7 @@ def _facts(name: str, resolved: str, start_sql: str = "0") -> None:
     cte(name, f"""
       SELECT CAST(({start_sql}) + row_number() OVER (ORDER BY {LORD}) AS BIGINT) AS transaction_id,
              date_id, department_id, txn_type_id, expense_type_id, owner_id, counterparty_id, project_id,
-             CAST(round(amount, 2) AS DECIMAL(18,3)) AS amount, CAST(signed_amount AS DECIMAL(18,3)) AS signed_amount
+             CAST(round(amount, 2) AS DECIMAL(28,6)) AS amount, CAST(signed_amount AS DECIMAL(28,6)) AS signed_amount
       FROM {resolved} WHERE resolved""", [resolved])
 
 
@@ -268,14 +282,14 @@ _facts("s1_facts", "s1_resolved")
 cte("s2_date", f"""
   SELECT * FROM s1_date
   UNION ALL
-  SELECT CAST((SELECT coalesce(max(date_id), 0) FROM s1_date) + row_number() OVER (ORDER BY date) AS INTEGER) AS date_id,
+  SELECT CAST((SELECT coalesce(max(date_id), 0) FROM s1_date) + row_number() OVER (ORDER BY date) AS BIGINT) AS date_id,
          date, {_cal('date')}
   FROM (SELECT DISTINCT txn_date AS date FROM ledger l WHERE txn_date IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM s1_date x WHERE x.date = l.txn_date))""", ["s1_date", "ledger"])
 cte("s2_owner", """
   SELECT * FROM s1_owner
   UNION ALL
-  SELECT CAST((SELECT coalesce(max(owner_id), 0) FROM s1_owner) + row_number() OVER (ORDER BY owner, department) AS INTEGER),
+  SELECT CAST((SELECT coalesce(max(owner_id), 0) FROM s1_owner) + row_number() OVER (ORDER BY owner, department) AS BIGINT),
          owner, department
   FROM (SELECT DISTINCT owner, department FROM ledger l WHERE owner IS NOT NULL AND department IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM s1_owner x WHERE x.owner = l.owner AND x.department = l.department))""",
@@ -284,7 +298,7 @@ cte("s2_counterparty", f"""
   SELECT * FROM s1_counterparty
   UNION ALL
   SELECT CAST((SELECT coalesce(max(counterparty_id), 0) FROM s1_counterparty)
-              + row_number() OVER (ORDER BY counterparty) AS INTEGER),
+              + row_number() OVER (ORDER BY counterparty) AS BIGINT),
          counterparty, CASE WHEN lower(trim(txn_type)) = 'revenu' THEN 'Client' ELSE 'Fournisseur' END
   FROM (SELECT counterparty, txn_type FROM (
           SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
@@ -294,7 +308,7 @@ cte("s2_counterparty", f"""
 cte("s2_project", """
   SELECT * FROM s1_project
   UNION ALL
-  SELECT CAST((SELECT coalesce(max(project_id), 0) FROM s1_project) + row_number() OVER (ORDER BY project) AS INTEGER),
+  SELECT CAST((SELECT coalesce(max(project_id), 0) FROM s1_project) + row_number() OVER (ORDER BY project) AS BIGINT),
          project, start_date, end_date
   FROM (SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date
         FROM ledger WHERE project IS NOT NULL GROUP BY project) f
@@ -326,7 +340,7 @@ def _kpi_base(name: str, facts: str, dims: dict[str, str]) -> None:
 _kpi_base("kb1", "s1_facts", S1)
 _kpi_base("kb2", "s2_facts", S2)
 
-_Z = "CAST(0 AS DECIMAL(18,3))"
+_Z = "CAST(0 AS DECIMAL(28,6))"
 
 
 def _refresh(prefix: str, base: str) -> None:
@@ -338,7 +352,7 @@ def _refresh(prefix: str, base: str) -> None:
              count(*) AS n
       FROM {base}""", [base])
     cte(f"{prefix}_global", f"""
-      SELECT k AS kpi_name, 'global' AS period, v AS value, CAST(0.0 AS DOUBLE) AS evolution, CAST(NULL AS INTEGER) AS department_id,
+      SELECT k AS kpi_name, 'global' AS period, v AS value, CAST(0.0 AS DOUBLE) AS evolution, CAST(NULL AS BIGINT) AS department_id,
              s AS stat_type, 'etl_auto' AS source, 0 AS part, lpad(CAST(i AS VARCHAR), 2, '0') AS position
       FROM (
         SELECT 'CA_Total' AS k, CAST(round(tot, 2) AS DOUBLE) AS v, 'sum' AS s, 0 AS i FROM {prefix}_g UNION ALL
@@ -352,13 +366,13 @@ def _refresh(prefix: str, base: str) -> None:
       )""", [f"{prefix}_g"])
     cte(f"{prefix}_quarter", f"""
       SELECT 'CA_' || key AS kpi_name, key AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
-             CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 1 AS part,
+             CAST(NULL AS BIGINT) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 1 AS part,
              'CA_' || key AS position
       FROM (SELECT 'Q' || CAST(coalesce(quarter, 0) AS VARCHAR) || '_' || CAST(coalesce(year, 0) AS VARCHAR) AS key,
                    coalesce(sum(amount), {_Z}) AS tot FROM {base} GROUP BY 1)""", [base])
     cte(f"{prefix}_department", f"""
       SELECT 'CA_' || dep AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
-             CAST(dept_id AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 2 AS part,
+             CAST(dept_id AS BIGINT) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 2 AS part,
              'CA_' || dep AS position
       FROM (SELECT coalesce(nullif(department, ''), 'Inconnu') AS dep, coalesce(sum(amount), {_Z}) AS tot,
                    max(department_id) AS dept_id FROM {base} GROUP BY 1)""", [base])
@@ -366,14 +380,14 @@ def _refresh(prefix: str, base: str) -> None:
                                           start=3):
         cte(f"{prefix}_{nm}", f"""
           SELECT '{pre}' || k AS kpi_name, 'global' AS period, CAST(round(tot, 2) AS DOUBLE) AS value, CAST(0.0 AS DOUBLE) AS evolution,
-                 CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, {part} AS part,
+                 CAST(NULL AS BIGINT) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, {part} AS part,
                  '{pre}' || k AS position
           FROM (SELECT coalesce(nullif({col}, ''), 'Autre') AS k, coalesce(sum(amount), {_Z}) AS tot
                 FROM {base} GROUP BY 1)""", [base])
     cte(f"{prefix}_monthly", f"""
       SELECT 'CA_Mensuel' AS kpi_name, ym AS period, CAST(val AS DOUBLE) AS value,
              CASE WHEN prev <> 0 THEN {_div2('val - prev', 'prev', True)} ELSE 0.0 END AS evolution,
-             CAST(NULL AS INTEGER) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 5 AS part, ym AS position
+             CAST(NULL AS BIGINT) AS department_id, 'sum' AS stat_type, 'etl_auto' AS source, 5 AS part, ym AS position
       FROM (SELECT ym, val, coalesce(lag(val) OVER (ORDER BY ym), val) AS prev
             FROM (SELECT coalesce(nullif(year_month, ''), '0000-00') AS ym, round(coalesce(sum(amount), {_Z}), 2) AS val
                   FROM {base} GROUP BY 1))""", [base])
@@ -430,7 +444,7 @@ cte("history_users", """
   FROM history h LEFT JOIN app_users u ON h.user_id = u.id""", ["history", "app_users"])
 cte("forecasts", """
   SELECT event_id AS id, event_type AS type, CAST(ts AS DATE) AS start_date, CAST(ts AS DATE) + 30 AS end_date,
-         props AS results, CAST(user_id % 25 + 1 AS INTEGER) AS department_id, user_id AS created_by, ts AS created_at
+         props AS results, CAST(user_id % 25 + 1 AS BIGINT) AS department_id, user_id AS created_by, ts AS created_at
   FROM events""")
 
 _USER_LABEL = "strftime(created_at, '%Y-%m-%d %H:%M')"
@@ -457,7 +471,7 @@ FROM ledger_raw""", ["ledger_raw"])
 oracle("signed_amount", "SELECT txn_type, amount, signed_amount FROM ledger", ["ledger"])
 oracle("signed_amount_legacy", """
 SELECT txn_type, amount,
-       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(18,3))
+       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(28,6))
          AS signed_legacy,
        CASE WHEN txn_type = 'Revenu' THEN 'Positif' ELSE 'Négatif' END AS sign_label
 FROM ledger""", ["ledger"])
@@ -523,9 +537,20 @@ LEFT JOIN s1_expense_type et ON f.expense_type_id = et.expense_type_id
 LEFT JOIN s2_owner o ON f.owner_id = o.owner_id
 LEFT JOIN s2_counterparty c ON f.counterparty_id = c.counterparty_id
 LEFT JOIN s2_project p ON f.project_id = p.project_id
-ORDER BY d.date DESC NULLS LAST, f.transaction_id ASC LIMIT 50000""",
+ORDER BY d.date DESC NULLS LAST, f.transaction_id ASC""",
        ["s2_facts", "s2_date", "s1_department", "s1_txn_type", "s1_expense_type", "s2_owner", "s2_counterparty",
         "s2_project"])
+ORACLE["star_flatten_newest"] = ORACLE["star_flatten"] + " LIMIT 50000"
+cte("recoded", f"""
+  SELECT * EXCLUDE (department_code),
+         CASE WHEN day_of_year % 5 = 0 THEN NULL WHEN day_of_year % 7 = 0 THEN department_code || '0'
+              WHEN department IN ('NATION 3', 'NATION 9') THEN 'DEPT777' ELSE department_code END AS department_code
+  FROM ledger""", ["ledger"])
+_department("rc_department", "recoded")
+oracle("dim_department_recoded", "SELECT * FROM rc_department", ["rc_department"])
+oracle("facts_recoded", """
+SELECT d.department_id, count(*) AS n_facts, CAST(sum(round(l.amount, 2)) AS DOUBLE) AS amount
+FROM recoded l LEFT JOIN rc_department d USING (department) GROUP BY d.department_id""", ["recoded", "rc_department"])
 oracle("history_users", "SELECT id, user_id, firstname, lastname, email, user_name FROM history_users",
        ["history_users"])
 
@@ -637,7 +662,7 @@ SELECT id,
        CASE WHEN n_items > 0 THEN ['order', 'status', 'priority'] ELSE CAST([] AS VARCHAR[]) END AS columns,
        CAST(n_items AS INTEGER) AS rows_count,
        CAST(to_json(list_transform(range(least(n_items, 5)),
-            lambda i: {'order': CAST(id AS VARCHAR), 'status': o_orderstatus, 'priority': o_orderpriority})) AS VARCHAR)
+            lambda i: {'order': id, 'status': o_orderstatus, 'priority': o_orderpriority})) AS VARCHAR)
          AS preview
 FROM history""", ["history"])
 
@@ -704,7 +729,7 @@ cte("legacy_fixed", "SELECT " + ", ".join(
     + " FROM ledger_nulled n, legacy_policy p", ["ledger_nulled", "legacy_policy"])
 _LEGACY_TEXT = ["department_code", "department", "txn_type", "expense_type", "owner", "counterparty", "project"]
 cte("legacy_dedup", """
-  SELECT DISTINCT date_raw, department_code, department, txn_type, coalesce(expense_type, 'N/A') AS expense_type,
+  SELECT DISTINCT department_code, department, txn_type, coalesce(expense_type, 'N/A') AS expense_type,
          amount_raw, owner, counterparty, project, CAST(try_strptime(trim(date_raw), '%Y-%m-%d') AS DATE) AS txn_date
   FROM legacy_fixed""", ["legacy_fixed"])
 cte("legacy_norm", "SELECT txn_date, amount_raw, " + ", ".join(
@@ -717,8 +742,68 @@ SELECT department_code, department, owner, txn_date,
        dayname(txn_date) AS day_name, CAST(dayofyear(txn_date) AS INTEGER) AS day_of_year,
        strftime(txn_date, '%Y-%m') AS year_month, CAST(year(txn_date) AS INTEGER) AS fiscal_year,
        txn_type, expense_type, amount,
-       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(18,3))
+       CAST(CASE WHEN amount IS NULL THEN NULL WHEN txn_type = 'Revenu' THEN amount ELSE -amount END AS DECIMAL(28,6))
          AS signed_amount,
-       CASE WHEN txn_type = 'Revenu' THEN 'Positif' ELSE 'Négatif' END AS sign_label,
        counterparty, project
 FROM legacy_norm""", ["legacy_norm"])
+
+
+# ---- uploads, dates, amounts, stored tables and the filtered report
+_MIXED = [c if c not in ("amount_raw", "owner") else
+          "CASE WHEN right(project, 1) IN ('3', '4') THEN replace(amount_raw, '€ ', '') ELSE amount_raw END AS amount_raw"
+          if c == "amount_raw" else
+          "CASE WHEN right(project, 1) >= '5' THEN owner || ' \"q\"' || chr(10) || project ELSE owner END AS owner"
+          for c in RAW_COLS]
+oracle("ledger_csv_mixed", "SELECT " + ", ".join(_nulltok(c) for c in RAW_COLS)
+       + " FROM (SELECT " + ", ".join(_MIXED) + " FROM ledger_raw)", ["ledger_raw"])
+oracle("upload_columns", "SELECT * FROM ledger_raw", ["ledger_raw"])
+oracle("upload_preview", f"""
+SELECT '{",".join(RAW_COLS)}' AS columns, count(*) AS n_rows, least(count(*), 5) AS n_shown FROM ledger_raw""", ["ledger_raw"])
+oracle("upload_stage", """
+SELECT 'before' AS stage, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM ledger_raw
+UNION ALL SELECT 'after', count(*), count(DISTINCT project) FROM ledger""", ["ledger_raw", "ledger"])
+oracle("star_written", "SELECT f.*, d.year FROM s2_facts f LEFT JOIN s2_date d USING (date_id)", ["s2_facts", "s2_date"])
+cte("dated", """
+  SELECT CASE WHEN d IS NULL THEN date_raw WHEN day(d) % 4 = 0 THEN strftime(d, '%Y-%m-%dT10:00:00.123')
+              WHEN day(d) % 4 = 1 THEN strftime(d, '%d.%m.%Y')
+              WHEN day(d) % 4 = 2 THEN concat(day(d), '/', month(d), '/', year(d), ' 8:05')
+              ELSE strftime(d, '%d/%m/%Y') END AS date_raw, CAST(d AS DATE) AS txn_date
+  FROM (SELECT date_raw, try_strptime(date_raw, '%Y-%m-%d') AS d FROM ledger_raw)""", ["ledger_raw"])
+oracle("dates_parsed", "SELECT date_raw, txn_date FROM dated", ["dated"])
+cte("wide", """
+  SELECT CASE WHEN department_code = 'DEPT003' THEN '9999999999' ELSE '' END
+         || regexp_replace(amount_raw, '[.,]', '.00', 'g') AS amount_raw FROM ledger_raw""", ["ledger_raw"])
+oracle("amounts_wide", f"""
+SELECT amount_raw, amount, CAST(round(amount, 2) AS DECIMAL(28,6)) AS stored
+FROM (SELECT amount_raw, {_PARSE_AMOUNT} AS amount FROM wide)""", ["wide"])
+oracle("kpi_batch_saved", f"""
+SELECT kpi_name, period, value, source FROM merged m WHERE kpi_name = 'CA_Mensuel'
+  AND NOT EXISTS (SELECT 1 FROM ledger l WHERE strftime(l.txn_date, '%Y-%m') = m.period)
+UNION ALL
+SELECT 'CA_Mensuel', strftime(txn_date, '%Y-%m'), CAST({REV} AS DOUBLE), 'saved' FROM ledger GROUP BY 2""", ["merged", "ledger"])
+cte("rep", f"""
+  SELECT * FROM ledger WHERE txn_date >= DATE '1996-03-01' AND txn_date < DATE '1996-04-01' AND {_DEPT_ID} = 5""", ["ledger"])
+oracle("kpi_report_filtered", f"""
+SELECT 'kpis' AS part, '' AS key, CAST(round(coalesce(sum({S}), 0), 2) AS DOUBLE) AS value FROM rep
+UNION ALL SELECT 'by_department', CAST({_DEPT_ID} AS VARCHAR), CAST(sum({S}) AS DOUBLE) FROM rep GROUP BY 2
+UNION ALL SELECT 'monthly', strftime(txn_date, '%Y-%m'), CAST(round({REV} - {DEP}, 2) AS DOUBLE) FROM rep GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'top_expense_types', expense_type, CAST(sum(-{S}) AS DOUBLE) AS v FROM rep WHERE {S} < 0
+                         GROUP BY 2 ORDER BY v DESC, expense_type LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_projects', project, CAST(sum(abs({S})) AS DOUBLE) AS v FROM rep
+                         GROUP BY 2 ORDER BY v DESC, project LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_counterparties', counterparty, CAST(sum(abs({S})) AS DOUBLE) AS v FROM rep
+                         GROUP BY 2 ORDER BY v DESC, counterparty LIMIT 10)""", ["rep"])
+cte("first_rows", """
+  SELECT strftime(txn_date, '%Y-%m-%d') AS txn_date, department, CAST(amount AS DOUBLE) AS amount, department_code, owner, counterparty,
+         row_number() OVER (ORDER BY txn_date, department, amount, department_code, owner, counterparty) AS rn FROM ledger""",
+    ["ledger"])
+oracle("audit_detail", """
+SELECT CAST(12 AS BIGINT) AS id, n_inserted AS n_rows, n_rejected + n_skipped AS n_errors,
+       CASE WHEN n_rejected + n_skipped > 0 THEN 'partiel' ELSE 'succes' END AS status, 'version 1; 5 rows kept' AS details,
+       'txn_date,department,amount,department_code,owner,counterparty' AS columns, CAST(5 AS INTEGER) AS rows_count,
+       (SELECT CAST(to_json(list({'txn_date': txn_date, 'department': department, 'amount': amount, 'department_code': department_code,
+                                  'owner': owner, 'counterparty': counterparty} ORDER BY rn)) AS VARCHAR)
+        FROM first_rows WHERE rn <= 5) AS preview
+FROM (SELECT count(*) FILTER (WHERE len(reasons) > 0) AS n_rejected FROM ledger_all) a,
+     (SELECT count(*) FILTER (WHERE NOT resolved) AS n_skipped, count(*) FILTER (WHERE resolved) AS n_inserted
+      FROM s2_resolved) b""", ["ledger_all", "s2_resolved", "first_rows"])

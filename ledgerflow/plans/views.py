@@ -8,8 +8,6 @@ of small dimensions by measured size, AQE).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
 from ledgerflow.plans.etl_load import Star
 
 
@@ -22,7 +20,3 @@ def register_star_views(star: Star, prefix: str = "") -> list[str]:
         names.append(view)
     return names
 
-
-def register_view(df: DataFrame, name: str) -> str:
-    df.createOrReplaceTempView(name)
-    return name

@@ -80,7 +80,7 @@ def test_cleaning_is_idempotent(spark):
         F.date_format("txn_date", "yyyy-MM-dd").alias("date_raw"), "department_code", "department", "txn_type",
         "expense_type", F.col("amount").cast("string").alias("amount_raw"), "owner", "counterparty", "project")
     twice = C.clean_valid(as_raw)
-    assert once.exceptAll(twice).count() == 0 or once.distinct().exceptAll(twice.distinct()).count() == 0
+    assert once.distinct().exceptAll(twice).count() == 0 and twice.exceptAll(once.distinct()).count() == 0
 
 
 def test_mojibake_column_policy(spark):
