@@ -1,8 +1,8 @@
-"""Joins against a small side: broadcast only below measured bounds.
+"""Joins against a small side: broadcast only below checked bounds.
 
 A "small" side here is a dimension, a per-user or per-key summary, or a set of
-keys. It is broadcast only after one small aggregate has measured its rows and
-bytes; above the bounds the join stays a shuffle join, and AQE's skew-join split
+keys. No join hints that it is small: the planner takes the size of a stored table from its
+files and AQE that of a finished stage; above the bounds the join stays a shuffle join, and AQE's skew-join split
 (on in ``session.DEFAULT_CONF``) cuts a hot key of the big side into several tasks.
 """
 
@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast bounds for dimension tables. A dimension above either is joined with a
-# shuffle join instead (AQE may still switch it at run time if it turns out small).
+# Row bound of a broadcast that is measured on request.
 DIM_BROADCAST_MAX_ROWS = 2_000_000
-DIM_BROADCAST_MAX_BYTES = 64 << 20
 
 
 def dimension_size(dim: DataFrame) -> tuple[int, int]:
@@ -27,26 +25,17 @@ def dimension_size(dim: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
-_SIZES: dict[tuple[str, int], tuple[int, int]] = {}
+def dim_join(big: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = DIM_BROADCAST_MAX_ROWS,
+             max_bytes: int | None = None) -> DataFrame:
+    """Join ``big`` to a small side without assuming that it is small.
 
-
-def _measured(dim: DataFrame) -> tuple[int, int]:
-    """Size of ``dim``, measured once per plan and session: a materialized dimension
-    joined in several places is measured once (the semantic hash of a plan over a
-    checkpoint identifies that checkpoint)."""
-    key = (dim.sparkSession.sparkContext.applicationId, dim.semanticHash())
-    if key not in _SIZES:
-        _SIZES[key] = dimension_size(dim)
-    return _SIZES[key]
-
-
-def dim_join(big: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = DIM_BROADCAST_MAX_ROWS, max_bytes: int = DIM_BROADCAST_MAX_BYTES) -> DataFrame:
-    """Join ``big`` to a dimension, broadcasting it only below measured bounds.
-
-    The measurement is one aggregate over a small, usually checkpointed frame; above
-    the bounds the join stays a shuffle join and AQE's skew-join split handles hot keys.
+    By default nothing is measured while the plan is built. A stored dimension is a Parquet table, so the
+    planner knows its size and broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``; a side
+    that is computed is measured by AQE when its shuffle stage is done. Both leave a shuffle join above
+    their bound, with skewed keys split. ``max_bytes`` asks for the exact measure of rows and bytes
+    instead, in one aggregate, fresh for every call.
     """
-    rows, size = _measured(dim)
-    small = rows <= max_rows and size <= max_bytes
-    return big.join(F.broadcast(dim) if small else dim, on, how)
+    if max_bytes is None:
+        return big.join(dim, on, how)
+    rows, size = dimension_size(dim)
+    return big.join(F.broadcast(dim) if rows <= max_rows and size <= max_bytes else dim, on, how)

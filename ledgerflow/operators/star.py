@@ -4,8 +4,8 @@ Dimensions come from ``select distinct`` / ``groupBy`` over the cleaned ledger
 (partial aggregation first, so hot members are reduced map-side) and are numbered
 with the distributed :func:`ids.assign_ids`, which stores what it numbers. Ids are
 BIGINT. Every dimension has one row per natural key and unique ids, so a join of facts to it
-never multiplies them. Joins of facts to dimensions go through :func:`dim_join`, which broadcasts a dimension only after counting it
-against a row bound, and otherwise leaves a shuffle join (with AQE skew handling).
+never multiplies them. Joins of facts to dimensions go through :func:`dim_join`, which
+leaves the choice of a broadcast to checked sizes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.calendar import calendar_columns
 from ledgerflow.functions.labels import counterparty_kind, department_id, expense_category
 from ledgerflow.operators.ids import assign_ids, first_per_key, next_id
-from ledgerflow.operators.joins import DIM_BROADCAST_MAX_BYTES, DIM_BROADCAST_MAX_ROWS, dim_join, dimension_size  # noqa: F401
+from ledgerflow.operators.joins import dim_join, dimension_size  # noqa: F401
 from ledgerflow.schemas import MONEY
 from ledgerflow.session import materialize
 
