@@ -36,13 +36,17 @@ CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</
 _CONTROL = "|".join(rf"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS)
 TURNS_TYPE = "array<struct<role:string,text:string>>"
 
+# Names that other layouts use for the canonical roles.
+ROLE_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+
 # Declarative mappings, each with the shape of its layout. ``list`` layouts read a field holding a list of
 # messages with the names of their role and text; ``fields`` layouts read (role, fields) in order, the
-# texts of several fields joined by a blank line, empty ones left out.
+# texts of several fields joined by a blank line, empty ones left out. ``roles`` renames a layout's own roles; without
+# it they stay as they are.
 MAPPINGS = (
     {"name": "messages", "list": ("messages", "role", "content")},
     {"name": "turns", "list": ("turns", "role", "text")},
-    {"name": "conversations", "list": ("conversations", "from", "value")},
+    {"name": "conversations", "list": ("conversations", "from", "value"), "roles": ROLE_NAMES},
     {"name": "instruction", "fields": (("user", ("instruction", "input")), ("assistant", ("output",)))},
     {"name": "instruction_bare", "fields": (("user", ("instruction",)), ("assistant", ("output",)))},
     {"name": "prompt_completion", "fields": (("user", ("prompt",)), ("assistant", ("completion",)))},
@@ -51,8 +55,7 @@ MAPPINGS = (
      "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
     {"name": "question_answer", "fields": (("user", ("question",)), ("assistant", ("answer",)))},
 )
-# Names that other layouts use for the canonical roles.
-ROLE_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+
 
 
 def field_paths(record: Column) -> Column:
@@ -83,7 +86,7 @@ def canonical_turns(record: Column, print_: Column) -> Column:
         if "list" in m:
             path, role, text = m["list"]
             rows = F.from_json(record, f"struct<{path}:array<struct<`{role}`:string,`{text}`:string>>>")[path]
-            turns = _renamed(rows, role, text)
+            turns = _renamed(rows, role, text, m.get("roles", ()))
         else:
             names = [p for _, paths in m["fields"] for p in paths]
             row = F.from_json(record, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
@@ -95,16 +98,15 @@ def canonical_turns(record: Column, print_: Column) -> Column:
     return out
 
 
-def _renamed(rows: Column, role: str, text: str) -> Column:
-    return F.transform(rows, lambda r: F.struct(
-        _role(r[role]).alias("role"), F.coalesce(r[text], F.lit("")).alias("text")))
-
+def _renamed(rows: Column, role: str, text: str, names: tuple[tuple[str, str], ...]) -> Column:
+    def canonical(own: Column) -> Column:
+        out = F.coalesce(own, F.lit(""))
+        for other, name in names:
+            out = F.when(own == other, F.lit(name)).otherwise(out)
+        return out
 
-def _role(role: Column) -> Column:
-    out = F.coalesce(role, F.lit(""))
-    for other, own in ROLE_NAMES:
-        out = F.when(role == other, F.lit(own)).otherwise(out)
-    return out
+    return F.transform(rows, lambda r: F.struct(
+        canonical(r[role]).alias("role"), F.coalesce(r[text], F.lit("")).alias("text")))
 
 
 def escape(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import chat, decontaminate, licenses, packing, pii, quality_classifier, quality_rules, records, simhash, token_counts
 from ledgerflow.llm.common import keep, shared_folder, table
+from ledgerflow.llm.oracle_sql import ORACLE  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -104,4 +105,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
+
