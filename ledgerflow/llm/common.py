@@ -15,7 +15,7 @@ from ledgerflow.session import ensure_checkpoint_dir
 
 # What one Arrow batch may hold: with rows of a few KB the byte bound rules, so a
 # Python worker never sees more than this much text at once, plus one long row.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 # ASCII white space, the only separators of the word rule [^\x20\x09-\x0D]+ .
 # bytes.split() without arguments splits on exactly these six characters.

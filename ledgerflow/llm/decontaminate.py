@@ -178,8 +178,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
-           item_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (all of ``docs`` as a struct), ``text`` and ``n_words``, ``spans`` and ``items``: words, merged word spans and the ids of
+           item_col: str = "item_id", item_text: str = "text", text_col: str = "text", cut: bool = False) -> DataFrame:
+    """Columns ``row`` (all of ``docs`` as a struct), ``text`` (with ``cut``, without the spans' words) and ``n_words``, ``spans`` and ``items``: words, merged word spans and the ids of
     the items found, sorted as strings. Narrow over the documents, one pass for each block of items."""
     spark = docs.sparkSession
     prepare(spark)
@@ -197,18 +197,22 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
         mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
         table = spark.sparkContext.broadcast(phrases([(r["item"], r["text"]) for r in mine.collect()], window))
 
-        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], table=table, last=cut and block == blocks - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = find(batch.column("text").to_pylist(), table.value)
+                texts = batch.column("text").to_pylist()
+                found = find(texts, table.value)
                 before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
                 cols = [[], [], []]
                 for (n, spans, ids), (s, i) in zip(found, before):
+                    whole = merge(spans + [(x["first"], x["last"]) for x in s])
+                    if last and whole:
+                        place = len(cols[0])
+                        texts[place] = without(texts[place], whole)
                     cols[0].append(n)
-                    cols[1].append([{"first": a, "last": b} for a, b in
-                                    merge(spans + [(x["first"], x["last"]) for x in s])])
+                    cols[1].append([{"first": a, "last": b} for a, b in whole])
                     cols[2].append(sorted({*ids, *i}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("text"), *(pa.array(c, k) for c, (_, k) in zip(cols, FOUND_TYPES))],
+                    [batch.column("row"), pa.array(texts, pa.string()), *(pa.array(c, k) for c, (_, k) in zip(cols, FOUND_TYPES))],
                     ["row", "text", *(n for n, _ in FOUND_TYPES)])
 
         out = out.mapInArrow(run, schema)
@@ -223,13 +227,5 @@ def hit_words(spans):
 def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
                    item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """All documents with the removal spans cut out of their text; all columns of ``docs`` stay."""
-    found = search(docs, items, window, block_words, item_col, item_text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [without(t, [(s["first"], s["last"]) for s in spans]) if spans else t
-                     for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    schema = found.select("row", "text").schema
-    return with_text(found.select("row", "text", "spans").mapInArrow(run, schema), docs.columns, F.col("text"))
+    found = search(docs, items, window, block_words, item_col, item_text, cut=True)
+    return with_text(found, docs.columns, F.col("text"))

@@ -102,6 +102,7 @@ class Encoder:
                 ranks[bytes(letters[c] for c in stem) + b"\xff" * word_end] = i
             self.merger = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.pattern = regex.compile(WORD_PATTERN)
+            del spec, ranks
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = []
