@@ -24,6 +24,8 @@ NORMALISED = ["department_code", "department", "txn_type", "expense_type", "owne
 REQUIRED_VALUES = ["txn_date", "amount", "department", "txn_type", "owner", "counterparty", "project"]
 CLEAN_COLUMNS = [f.name for f in LEDGER_CLEAN.fields]
 COPIES = "n_copies"
+# Place of a row in its upload, where the reader was asked for it.
+ORDINAL = "ordinal"
 
 
 class MissingColumnsError(ValueError):
@@ -58,11 +60,14 @@ def drop_exact_duplicates(df: DataFrame, count_col: str | None = None) -> DataFr
     """Drop rows equal on every column, on the raw values (before normalising).
 
     With ``count_col`` the surviving row carries how many copies it stood for, so
-    quality counters need no second pass over the input.
+    quality counters need no second pass over the input. An upload's ``ordinal`` is not a
+    value: the survivor has the smallest of its copies.
     """
+    values = [c for c in df.columns if c != ORDINAL]
+    first = [F.min(ORDINAL).alias(ORDINAL)] if ORDINAL in df.columns else []
     if count_col is None:
-        return df.dropDuplicates()
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count_col))
+        return df.groupBy(*values).agg(*first) if first else df.dropDuplicates()
+    return df.groupBy(*values).agg(F.count(F.lit(1)).alias(count_col), *first)
 
 
 def _reasons():

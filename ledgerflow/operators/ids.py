@@ -84,9 +84,17 @@ def next_id(existing: DataFrame, id_col: str) -> DataFrame:
 def first_per_key(df: DataFrame, key: list[str], ordinal: str, cols: list[str]) -> DataFrame:
     """For each key, the values of ``cols`` from the row with the smallest ``ordinal``.
 
-    ``min_by`` over a struct is an ordinary aggregate with a partial map-side step,
-    so a key holding a third of all rows is reduced before the shuffle; unlike
-    ``first()`` it does not depend on row order.
+    With a BIGINT ordinal (a place in an upload) its minimum is a hash aggregate over all rows, and the rows
+    themselves are then picked by key and ordinal; only those are aggregated once more, so that a
+    place which several rows of a key share gives the smallest of their values. Any other ordinal goes
+    through ``min_by``, which sorts within tasks. Both have a partial map-side step, so a key holding a third
+    of all rows is reduced before the shuffle; unlike ``first()`` neither depends on row order.
     """
+    if dict(df.dtypes)[ordinal] == "bigint":
+        least = df.groupBy(*key).agg(F.min(ordinal).alias(ordinal))
+        wanted = [c for c in dict.fromkeys([*key, *cols, ordinal])]
+        rows = df.select(*wanted).join(least, [*key, ordinal], "left_semi")
+        smallest = rows.groupBy(*key).agg(F.min(F.struct(*[F.col(c) for c in cols])).alias("_first"))
+        return smallest.select(*key, *[F.col(f"_first.{c}").alias(c) for c in cols])
     picked = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(ordinal)).alias("_first")
     return df.groupBy(*key).agg(picked).select(*key, *[F.col(f"_first.{c}").alias(c) for c in cols])

@@ -10,7 +10,7 @@ leaves the choice of a broadcast to checked sizes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.calendar import calendar_columns
@@ -20,16 +20,19 @@ from ledgerflow.operators.joins import dim_join, dimension_size  # noqa: F401
 from ledgerflow.schemas import MONEY
 from ledgerflow.session import materialize
 
-# Total order of ledger rows used for "first row seen" and for fact numbering:
+# Total order of ledger rows used for fact numbering, and for "first row seen" without an upload's own order:
 # rows tied on all of it are identical, so which one gets which id is irrelevant.
 LEDGER_ORDER = ["txn_date", "department", "txn_type", "expense_type", "owner", "counterparty",
                 "project", "amount", "signed_amount", "department_code"]
 
 
-def ledger_ordinal() -> Column:
-    """Struct in ledger order for ``min_by`` (the nullable code is made non-null)."""
+def with_first_seen(ledger: DataFrame, name: str = "_ord") -> DataFrame:
+    """``ledger`` with what "first seen" is decided by: the row's place in its upload where it is known
+    (``ordinal``), else the ledger order as a struct (the nullable code is made non-null)."""
+    if "ordinal" in ledger.columns:
+        return ledger.withColumn(name, F.col("ordinal"))
     cols = [F.coalesce(F.col(c), F.lit("")).alias(c) if c == "department_code" else F.col(c) for c in LEDGER_ORDER]
-    return F.struct(*cols)
+    return ledger.withColumn(name, F.struct(*cols))
 
 
 # --------------------------------------------------------------------------- full builds
@@ -79,7 +82,7 @@ def build_dim_expense_type(ledger: DataFrame) -> DataFrame:
 
 def build_dim_owner(ledger: DataFrame) -> DataFrame:
     """Full rebuild: one row per owner name, department from the first row seen."""
-    first = first_per_key(ledger.where(F.col("owner").isNotNull()).withColumn("_ord", ledger_ordinal()),
+    first = first_per_key(with_first_seen(ledger.where(F.col("owner").isNotNull())),
                           ["owner"], "_ord", ["department"])
     d = assign_ids(first, ["owner"], "owner_id")
     return d.select("owner_id", "owner", "department")
@@ -87,7 +90,7 @@ def build_dim_owner(ledger: DataFrame) -> DataFrame:
 
 def build_dim_counterparty(ledger: DataFrame) -> DataFrame:
     """Full rebuild: kind from the first row seen, exact ``Revenu`` test."""
-    first = first_per_key(ledger.where(F.col("counterparty").isNotNull()).withColumn("_ord", ledger_ordinal()),
+    first = first_per_key(with_first_seen(ledger.where(F.col("counterparty").isNotNull())),
                           ["counterparty"], "_ord", ["txn_type"])
     d = assign_ids(first, ["counterparty"], "counterparty_id")
     return d.select("counterparty_id", "counterparty",
@@ -142,15 +145,15 @@ def upsert_owner(dim: DataFrame, ledger: DataFrame, owner_key: tuple[str, ...] =
     key = list(owner_key)
     members = ledger.select("owner", "department").dropna().distinct()
     if key == ["owner"]:
-        members = first_per_key(ledger.where(F.col("owner").isNotNull()).withColumn("_ord", ledger_ordinal()),
+        members = first_per_key(with_first_seen(ledger.where(F.col("owner").isNotNull())),
                                 ["owner"], "_ord", ["department"])
     return _append_new(dim, members, key, "owner_id")
 
 
 def upsert_counterparty(dim: DataFrame, ledger: DataFrame) -> DataFrame:
     """New counterparties; kind from the first row seen (trimmed, case-insensitive test)."""
-    first = first_per_key(ledger.where(F.col("counterparty").isNotNull() & F.col("txn_type").isNotNull())
-                          .withColumn("_ord", ledger_ordinal()), ["counterparty"], "_ord", ["txn_type"])
+    first = first_per_key(with_first_seen(ledger.where(F.col("counterparty").isNotNull() & F.col("txn_type").isNotNull())),
+                          ["counterparty"], "_ord", ["txn_type"])
     members = first.select("counterparty", counterparty_kind("txn_type").alias("kind"))
     return _append_new(dim, members, ["counterparty"], "counterparty_id")
 

@@ -80,7 +80,12 @@ def clear_memo() -> None:
 def raw(spark, sf_dir) -> DataFrame:
     """The uploaded ledger file: the binding written once per session (an upload is
     a stored file, not a join recomputed by every job that reads it)."""
-    return _memo(spark, sf_dir, "raw", lambda: materialize(B.ledger_raw(spark, sf_dir)))
+    return raw_ordered(spark, sf_dir).drop("ordinal")
+
+
+def raw_ordered(spark, sf_dir) -> DataFrame:
+    """The upload with the place of every row in it."""
+    return _memo(spark, sf_dir, "raw", lambda: materialize(B.ledger_raw(spark, sf_dir, ordinal=True)))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy count and rejection reasons. Written once per session; the valid ledger,
     the rejected rows and the quality counters all read it."""
     return _memo(spark, sf_dir, "cleaned",
-                 lambda: materialize(C.clean_ledger(raw(spark, sf_dir), with_copies=True)))
+                 lambda: materialize(C.clean_ledger(raw_ordered(spark, sf_dir), with_copies=True)))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +103,19 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     table); reports and loads read it, as the application's reports read the
     stored transactions rather than re-cleaning the upload.
     """
+    return ledger_ordered(spark, sf_dir).select(*C.CLEAN_COLUMNS)
+
+
+def ledger_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cleaned ledger with each row's place in the upload ("first seen" is decided by it)."""
     def build():
         valid, _ = C.split_valid(cleaned(spark, sf_dir))
-        return materialize(valid.select(*C.CLEAN_COLUMNS), partition_by=["year"])
+        return materialize(valid.select(*C.CLEAN_COLUMNS, C.ORDINAL), partition_by=["year"])
     return _memo(spark, sf_dir, "ledger", build)
 
 
 def first_upload(spark, sf_dir) -> DataFrame:
-    return ledger(spark, sf_dir).where(F.col("txn_date") < F.lit(FIRST_UPLOAD_END))
+    return ledger_ordered(spark, sf_dir).where(F.col("txn_date") < F.lit(FIRST_UPLOAD_END))
 
 
 def star1(spark, sf_dir) -> E.Star:
@@ -113,7 +123,7 @@ def star1(spark, sf_dir) -> E.Star:
 
 
 def load2(spark, sf_dir) -> E.LoadResult:
-    return _memo(spark, sf_dir, "load2", lambda: E.load_upload(star1(spark, sf_dir), ledger(spark, sf_dir), True))
+    return _memo(spark, sf_dir, "load2", lambda: E.load_upload(star1(spark, sf_dir), ledger_ordered(spark, sf_dir), True))
 
 
 def store1(spark, sf_dir) -> DataFrame:
@@ -415,7 +425,7 @@ _dim_query("dim_upsert_project", "dim_project", lambda s, d: load2(s, d).star.di
 def _full_dim(name: str, builder):
     @query(name)
     def q(spark, sf_dir):
-        return builder(ledger(spark, sf_dir))
+        return builder(ledger_ordered(spark, sf_dir))
     return q
 
 
@@ -447,7 +457,7 @@ def q_fact_load(spark, sf_dir):
 
 @query("fact_load_lenient")
 def q_fact_load_lenient(spark, sf_dir):
-    return E.rebuild_star(ledger(spark, sf_dir)).facts
+    return E.rebuild_star(ledger_ordered(spark, sf_dir)).facts
 
 
 @query("fact_append")
@@ -635,8 +645,7 @@ def q_history_groups(spark, sf_dir):
 
 @query("first_per_key")
 def q_first_per_key(spark, sf_dir):
-    led = ledger(spark, sf_dir).withColumn("_ord", St.ledger_ordinal())
-    return first_per_key(led, ["owner"], "_ord", ["department", "txn_date"])
+    return first_per_key(ledger_ordered(spark, sf_dir), ["owner"], C.ORDINAL, ["department", "txn_date"])
 
 
 # ------------------------------------------------------------------ G. top-k / paging

@@ -56,7 +56,7 @@ cte("ledger_raw", """
            CAST(l.l_extendedprice AS DECIMAL(18,2)) AS amt,
            CASE l.l_returnflag WHEN 'N' THEN 'Revenu' WHEN 'A' THEN 'Dépense' ELSE 'depense' END AS tt,
            n.n_nationkey AS nk, n.n_name AS nn, c.c_name AS cn, s.s_name AS sn, p.p_type AS pt, p.p_brand AS pb,
-           o.o_orderkey AS ok
+           o.o_orderkey AS ok, l.l_orderkey * 8 + l.l_linenumber AS place
     FROM lineitem l
     JOIN orders o ON l.l_orderkey = o.o_orderkey
     JOIN customer c ON o.o_custkey = c.c_custkey
@@ -77,17 +77,18 @@ cte("ledger_raw", """
            ELSE CAST(amt AS VARCHAR(30)) END AS amount_raw,
       CASE WHEN k % 103 = 0 THEN '   ' ELSE concat('Owner ', CAST(ok % 40 AS VARCHAR(10))) END AS owner,
       CASE WHEN tt = 'Revenu' THEN cn ELSE sn END AS counterparty,
-      pb AS project, k
+      pb AS project, k, place
     FROM base
   )
-  SELECT date_raw, department_code, department, txn_type, expense_type, amount_raw, owner, counterparty, project FROM dirty
+  SELECT date_raw, department_code, department, txn_type, expense_type, amount_raw, owner, counterparty, project, place * 2 + 1 AS ordinal FROM dirty
   UNION ALL
-  SELECT date_raw, department_code, department, txn_type, expense_type, amount_raw, owner, counterparty, project FROM dirty WHERE k % 101 = 0
+  SELECT date_raw, department_code, department, txn_type, expense_type, amount_raw, owner, counterparty, project, place * 2 + 2 FROM dirty WHERE k % 101 = 0
 """)
 
-cte("ledger_nulled", "SELECT " + ", ".join(_nulltok(c) for c in RAW_COLS) + " FROM ledger_raw", ["ledger_raw"])
+cte("ledger_nulled", "SELECT ordinal, " + ", ".join(_nulltok(c) for c in RAW_COLS) + " FROM ledger_raw", ["ledger_raw"])
 
-cte("ledger_dedup", "SELECT *, count(*) AS n_copies FROM ledger_nulled GROUP BY ALL", ["ledger_nulled"])
+cte("ledger_dedup", "SELECT * EXCLUDE (ordinal), count(*) AS n_copies, min(ordinal) AS ordinal FROM ledger_nulled GROUP BY ALL",
+    ["ledger_nulled"])
 
 cte("ledger_parsed", f"""
   SELECT {_PARSE_DATE} AS txn_date,
@@ -99,7 +100,7 @@ cte("ledger_parsed", f"""
          {_norm('owner')} AS owner,
          {_norm('counterparty')} AS counterparty,
          {_norm('project')} AS project,
-         date_raw, amount_raw, n_copies
+         date_raw, amount_raw, n_copies, ordinal
   FROM ledger_dedup
 """, ["ledger_dedup"])
 
@@ -112,7 +113,7 @@ cte("ledger_all", """
          CAST(quarter(txn_date) AS INTEGER) AS quarter, CAST(weekofyear(txn_date) AS INTEGER) AS iso_week,
          dayname(txn_date) AS day_name, CAST(dayofyear(txn_date) AS INTEGER) AS day_of_year,
          strftime(txn_date, '%Y-%m') AS year_month, CAST(year(txn_date) AS INTEGER) AS fiscal_year,
-         date_raw, amount_raw, n_copies,
+         date_raw, amount_raw, n_copies, ordinal,
          list_filter([CASE WHEN txn_date IS NULL THEN 'txn_date' END,
                       CASE WHEN amount IS NULL THEN 'amount' END,
                       CASE WHEN department IS NULL THEN 'department' END,
@@ -126,7 +127,7 @@ cte("ledger_all", """
 CLEAN_COLS = ("txn_date, department_code, department, txn_type, expense_type, amount, owner, counterparty, "
               "project, signed_amount, year, month, quarter, iso_week, day_name, day_of_year, year_month, fiscal_year")
 
-cte("ledger", f"SELECT {CLEAN_COLS} FROM ledger_all WHERE len(reasons) = 0", ["ledger_all"])
+cte("ledger", f"SELECT {CLEAN_COLS}, ordinal FROM ledger_all WHERE len(reasons) = 0", ["ledger_all"])
 
 
 def build(final_sql: str, needs: list[str]) -> str:
@@ -173,9 +174,8 @@ ORDER BY month
 LORD = ("txn_date NULLS FIRST, department NULLS FIRST, txn_type NULLS FIRST, expense_type NULLS FIRST, "
         "owner NULLS FIRST, counterparty NULLS FIRST, project NULLS FIRST, amount NULLS FIRST, "
         "signed_amount NULLS FIRST, department_code NULLS FIRST")
-# First-row-seen order (all non-null on valid rows; the code made non-null).
-FORD = ("txn_date, department, txn_type, expense_type, owner, counterparty, project, amount, "
-        "signed_amount, coalesce(department_code, '')")
+# First row seen: the smallest place in the upload; rows that share it, by the values taken from them.
+FORD = "ordinal, department, txn_date"
 
 
 def _cal(d: str) -> str:
@@ -238,7 +238,7 @@ def _full_dims(prefix: str, src: str) -> None:
     cte(f"{prefix}_counterparty", f"""
       SELECT CAST(row_number() OVER (ORDER BY counterparty) AS BIGINT) AS counterparty_id, counterparty,
              CASE WHEN txn_type = 'Revenu' THEN 'Client' ELSE 'Fournisseur' END AS kind
-      FROM (SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
+      FROM (SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY ordinal, txn_type) AS rn
             FROM {src} WHERE counterparty IS NOT NULL) WHERE rn = 1""", [src])
     cte(f"{prefix}_project", f"""
       SELECT CAST(row_number() OVER (ORDER BY project) AS BIGINT) AS project_id, project, start_date, end_date
@@ -301,7 +301,7 @@ cte("s2_counterparty", f"""
               + row_number() OVER (ORDER BY counterparty) AS BIGINT),
          counterparty, CASE WHEN lower(trim(txn_type)) = 'revenu' THEN 'Client' ELSE 'Fournisseur' END
   FROM (SELECT counterparty, txn_type FROM (
-          SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY {FORD}) AS rn
+          SELECT counterparty, txn_type, row_number() OVER (PARTITION BY counterparty ORDER BY ordinal, txn_type) AS rn
           FROM ledger WHERE counterparty IS NOT NULL AND txn_type IS NOT NULL) WHERE rn = 1) f
   WHERE NOT EXISTS (SELECT 1 FROM s1_counterparty x WHERE x.counterparty = f.counterparty)""",
     ["s1_counterparty", "ledger"])
@@ -463,7 +463,7 @@ FROM ({_KPI} {src}) g"""
 
 # =========================================================================== queries
 
-oracle("null_tokens", "SELECT * EXCLUDE () FROM ledger_nulled".replace(" EXCLUDE ()", ""), ["ledger_nulled"])
+oracle("null_tokens", "SELECT * EXCLUDE (ordinal) FROM ledger_nulled", ["ledger_nulled"])
 oracle("amount_parse", f"SELECT amount_raw, {_PARSE_AMOUNT} AS amount FROM ledger_nulled", ["ledger_nulled"])
 oracle("text_normalize", f"""
 SELECT department AS text_raw, {_norm('department')} AS text, owner AS owner_raw, {_norm('owner')} AS owner
@@ -496,7 +496,7 @@ FROM (SELECT {_DEPT_ID} AS department_id, count(*) AS n_transactions,
 oracle("reject_invalid", """
 SELECT date_raw, amount_raw, department, txn_type, owner, counterparty, project, reasons
 FROM ledger_all WHERE len(reasons) > 0""", ["ledger_all"])
-oracle("dedup_exact", "SELECT DISTINCT * FROM ledger_nulled", ["ledger_nulled"])
+oracle("dedup_exact", "SELECT DISTINCT * EXCLUDE (ordinal) FROM ledger_nulled", ["ledger_nulled"])
 oracle("period_filter", _kpi_global_sql(
     "ledger WHERE txn_date >= DATE '1996-03-01' AND txn_date < DATE '1996-04-01'"), ["ledger"])
 oracle("department_filter", _kpi_global_sql(f"ledger WHERE {_DEPT_ID} = 5"), ["ledger"])
@@ -756,7 +756,7 @@ _MIXED = [c if c not in ("amount_raw", "owner") else
           for c in RAW_COLS]
 oracle("ledger_csv_mixed", "SELECT " + ", ".join(_nulltok(c) for c in RAW_COLS)
        + " FROM (SELECT " + ", ".join(_MIXED) + " FROM ledger_raw)", ["ledger_raw"])
-oracle("upload_columns", "SELECT * FROM ledger_raw", ["ledger_raw"])
+oracle("upload_columns", "SELECT * EXCLUDE (ordinal) FROM ledger_raw", ["ledger_raw"])
 oracle("upload_preview", f"""
 SELECT '{",".join(RAW_COLS)}' AS columns, count(*) AS n_rows, least(count(*), 5) AS n_shown FROM ledger_raw""", ["ledger_raw"])
 oracle("upload_stage", """

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgerflow.sources.tables import read_table
 
-def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_raw(spark: SparkSession, sf_dir: str, ordinal: bool = False) -> DataFrame:
     """The dirty ledger upload, all columns as strings (``LEDGER_RAW`` schema).
 
+    ``ordinal`` adds the place of a row in the upload, which lists line items by order and line
+    (so not by date), a repeated row right behind its original.
+
     Join order: orders are joined to customer and the 25-row nation table first
     (nation is broadcast: its size is fixed by definition), so the line items,
     the biggest input, are shuffled once on the order key; supplier and part are
@@ -64,9 +67,11 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("Owner "), (F.col("o_orderkey") % 40).cast("string"))).alias("owner"),
         F.when(tt == "Revenu", F.col("c_name")).otherwise(F.col("s_name")).alias("counterparty"),
         F.col("p_brand").alias("project"),
+        (k * 8 + ln).cast("long").alias("ordinal"),
         F.explode(F.when(k % 101 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
     )
-    return dirty.drop("_copy")
+    placed = dirty.withColumn("ordinal", F.col("ordinal") * 2 + F.col("_copy"))
+    return placed.drop("_copy") if ordinal else placed.drop("_copy", "ordinal")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

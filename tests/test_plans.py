@@ -56,7 +56,8 @@ def test_hot_key_is_split_across_tasks(spark):
     first = first_per_key(df, ["key"], "id", ["id"]).where("key = 'HOT'").first()
     assert first.id == 0
     plan = _plan(first_per_key(df, ["key"], "id", ["id"]))
-    assert "partial_min_by" in plan
+    hashed = [line for line in plan.splitlines() if "HashAggregate(" in line and "partial_min(id" in line]
+    assert hashed and not any("SortAggregate" in line and "partial_min(id" in line for line in plan.splitlines())
 
 
 def test_dimensions_are_broadcast_after_size_check(spark):

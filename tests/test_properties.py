@@ -15,7 +15,7 @@ _NUMBER = re.compile(r"^-?(\d+\.?\d*|\.\d+)$")
 
 def model_amount(text):
     """The amount rule stated directly: drop currency signs and whitespace, comma to
-    dot, keep digits/dot/minus, then a plain decimal number rounded half-up to 3."""
+    dot, keep digits/dot/minus, then a plain decimal number rounded half-up to 6."""
     if text is None:
         return None
     s = re.sub(r"[€$£\s]", "", text).replace(",", ".")
@@ -23,10 +23,10 @@ def model_amount(text):
     if not _NUMBER.match(s):
         return None
     try:
-        d = Decimal(s).quantize(Decimal("0.001"), rounding=ROUND_HALF_UP)
+        d = Decimal(s).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
     except InvalidOperation:
         return None
-    return d if abs(d) < Decimal(10) ** 15 else None
+    return d if abs(d) < Decimal(10) ** 22 else None
 
 
 def model_text(text):
