@@ -228,7 +228,8 @@ def group(rows: DataFrame, radius: int = 4, tile: int = TILE, blocks: int | None
     nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fp"), radius, tile, blocks))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written down, so that the join below is an ordinary one whose hot root Spark can split.
+    named = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
     return rows.join(by_fp, "fp")
 
