@@ -1,6 +1,6 @@
 """Token counts with overlap resynchronisation (operator 8).
 
-A text up to ``chunk_chars`` is encoded as it is. A longer one is encoded in chunks
+A text up to ``chunk_chars`` is encoded as it is (by ``encoding``, which gives the library's ids). A longer one is encoded in chunks
 that overlap; each chunk yields tokens with character offsets. Two neighbours are
 spliced at a boundary inside their overlap that
 
@@ -28,21 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerflow.llm.common import documents, prepare
+from ledgerflow.llm.encoding import encoder
 
 COLUMNS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long"
 
-_loaded: dict[str, object] = {}
-
-
 def tokenizer(path: str):
-    """The tokenizer of ``path``, one per Python worker."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-        made = Tokenizer.from_file(path)
-        made.no_padding()
-        made.no_truncation()
-        _loaded[path] = made
-    return _loaded[path]
+    """The library's tokenizer of ``path``, one per Python worker; it alone gives offsets."""
+    return encoder(path).tokenizer
 
 
 def _encode(tok, text: str) -> tuple[list[int], list[int]]:
@@ -111,7 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
+        own, tok = encoder(tokenizer_path), tokenizer(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [0] * len(texts)
@@ -119,8 +111,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_
             short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
             for k in range(0, len(short), 256):
                 part = short[k:k + 256]
-                for i, enc in zip(part, tok.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
-                    counts[i] = len(enc)
+                for i, ids in zip(part, own.encode([texts[i] for i in part])):
+                    counts[i] = len(ids) // 4
             for i, t in enumerate(texts):
                 if len(t) > chunk_chars:
                     counts[i], chunks[i] = count_chunked(tok, t, chunk_chars, overlap_chars)
