@@ -24,7 +24,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_UNITS = 1 << 20  # about 150 MB; units seen first are the frequent ones and stay
+CACHE_UNITS = 1 << 19  # about 100 MB; units seen first are the frequent ones and stay
 TRIAL_TEXTS = 64
 # The patterns of the two kinds.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
