@@ -4,7 +4,9 @@ Every line is judged by itself with three rules; failing lines are removed, and
 document that loses too much of its text is rejected:
 
 * punctuation: symbols or repeated marks make up much of the line, or a long line
-  has no sentence mark at all;
+  has no sentence mark at all and neither has its paragraph (adjacent lines no wider than
+  ``max_wrapped``, which a hard wrap may have cut from one another; a wider line stands by itself);
+  scripts that write no such marks (Thai, Lao) are exempt;
 * navigation: the line is a row of menu entries (separators between words), or a
   known menu word alone;
 * boilerplate: the line holds a stock phrase, or repeats an earlier line of the
@@ -22,8 +24,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +51,8 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     max_mark_share: float = 0.10      # symbols and repeated marks, per character that is not white space
-    unpunctuated_words: int = 12      # a line of so many words needs a sentence mark
+    unpunctuated_words: int = 12      # a line of so many words needs a sentence mark in its paragraph
+    max_wrapped: int = 200            # characters of a line that may be a piece of a wrapped paragraph
     min_separators: int = 2
     min_separator_share: float = 0.15  # separators per word of the line
     max_lost_share: float = 0.30      # of the document's word characters
@@ -60,12 +64,37 @@ class Rules:
 
 
 _MARKS = re.compile(r"[#*$%&|<>~^=_{}\\]|([!?])\1+|\.{4,}|-{3,}")
-_SENTENCE = re.compile(r"[.!?,;:…。！？，،؟।]")
+_SENTENCE = re.compile(r"[.!?,;:…。！？，،؟।॥۔؛、；：．｡։።፣។၊။།]")
+_UNMARKED_SCRIPT = re.compile(r"[\u0E00-\u0EFF]")
 _SEPARATORS = frozenset("| > >> » › • · / →".split())
 
 
-def line_failure(line: str, words: list[str], earlier: bool, rules: Rules, phrases: re.Pattern) -> str | None:
-    """The first rule that the line breaks, or None. ``words`` are the line's words, at least one."""
+def marked_paragraphs(lines: list[str], rules: Rules) -> list[bool]:
+    """Per line whether its paragraph has a sentence mark: the run of adjacent lines that a hard wrap may have made."""
+    out: list[bool] = []
+    start = 0
+    for i in range(len(lines) + 1):
+        if i < len(lines) and len(lines[i]) <= rules.max_wrapped and not lines[i].isspace() and lines[i]:
+            continue
+        out += [any(map(_SENTENCE.search, lines[start:i]))] * (i - start)
+        if i < len(lines):
+            out.append(_SENTENCE.search(lines[i]) is not None)
+        start = i + 1
+    return out
+
+
+def needs_marks(words: list[str], rules: Rules) -> bool:
+    """Whether a line is long enough for a sentence mark, and in a script that writes them."""
+    if len(words) < rules.unpunctuated_words:
+        return False
+    unmarked = sum(len(_UNMARKED_SCRIPT.findall(w)) for w in words)
+    return 2 * unmarked < sum(map(len, words))
+
+
+def line_failure(line: str, words: list[str], earlier: bool, rules: Rules, phrases: re.Pattern,
+                 marked: Callable[[], bool] = lambda: False) -> str | None:
+    """The first rule that the line breaks, or None. ``words`` are the line's words, at least one; ``marked`` tells
+    whether the other lines of its paragraph have a sentence mark."""
     separators = sum(w in _SEPARATORS for w in words)
     if separators >= rules.min_separators and separators >= rules.min_separator_share * len(words):
         return "navigation"
@@ -74,7 +103,7 @@ def line_failure(line: str, words: list[str], earlier: bool, rules: Rules, phras
     marks = sum(m.end() - m.start() for m in _MARKS.finditer(line))
     if marks >= 2 and marks > rules.max_mark_share * sum(map(len, words)):
         return "punctuation"
-    if len(words) >= rules.unpunctuated_words and not _SENTENCE.search(line):
+    if not _SENTENCE.search(line) and needs_marks(words, rules) and not marked():
         return "punctuation"
     if earlier or phrases.search(line):
         return "boilerplate"
@@ -113,7 +142,9 @@ def judge(text: str | None, rules: Rules, phrases: re.Pattern) -> tuple:
     dup = lost = n_lines = 0
     failed = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     kept_lines = []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    paragraphs = cache(lambda: marked_paragraphs(lines, rules))  # few texts ask for it
+    for i, line in enumerate(lines):
         own = [w for w in _SPACE.split(line) if w]
         if not own:
             kept_lines.append(line)
@@ -122,7 +153,7 @@ def judge(text: str | None, rules: Rules, phrases: re.Pattern) -> tuple:
         earlier = line in seen
         dup += earlier
         seen.add(line)
-        rule = line_failure(line, own, earlier, rules, phrases)
+        rule = line_failure(line, own, earlier, rules, phrases, lambda: paragraphs()[i])
         if rule is None:
             kept_lines.append(line)
         else:

@@ -1,3 +1,5 @@
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -98,3 +100,23 @@ def test_discriminant_matches_the_closed_form():
         d = point - x[k].mean(0)
         dens.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
     assert np.allclose(m.log_odds(point), dens[1] - dens[0])
+
+
+@pytest.mark.parametrize("width", [60, 72, 80, 100, 132])
+def test_wrapped_prose_is_kept_unchanged(spark, width):
+    def sentence(seed):
+        return prose(seed, 45).replace(".", "").capitalize() + "."
+
+    texts = ["\n\n".join(textwrap.fill(" ".join(sentence(100 * i + j) for j in range(4)), width) for i in range(k, k + 3))
+             for k in range(6)]
+    assert any(len(line.split()) >= 12 and "." not in line for t in texts for line in t.split("\n"))
+    out = {r["doc_id"]: r["text"] for r in qr.keep_good(documents(spark, list(enumerate(texts)))).collect()}
+    assert out == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("text, failing", [
+    ("یہ ایک جملہ ہے " * 4 + "۔", 0), ("ภาษาไทยเขียน ประโยคโดยไม่มี เครื่องหมาย " * 6, 0),
+    ("word " * 20, 1), ("word " * 20 + "\n\nA sentence stands apart.", 1), ("word " * 60 + "\nA sentence follows.", 1)])
+def test_marks_of_other_scripts_and_of_paragraphs(text, failing):
+    rules = qr.Rules()
+    assert qr.judge(text, rules, re.compile("(?!)"))[8] == failing
