@@ -9,8 +9,8 @@ document that loses too much of its text is rejected:
   scripts that write no such marks (Thai, Lao) are exempt;
 * navigation: the line is a row of menu entries (separators between words), or a
   known menu word alone;
-* boilerplate: the line holds a stock phrase, or repeats an earlier line of the
-  same document.
+* boilerplate: stock phrases are a large share of the words of the line (of the wrapped sentence, where
+  the line is a piece of one), or the line repeats an earlier line of the same document.
 
 Before that a document-wide base is measured on the words ``[^\x20\x09-\x0D]+``
 (see ``COLUMNS``); a document that fails the base is rejected whatever its lines.
@@ -39,9 +39,11 @@ COLUMNS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
            "base_failed boolean, kept boolean, n_lines long, n_punctuation long, n_navigation long, "
            "n_boilerplate long, lost_share double, clean_text string")
 
-# Symbols of the base rule, and the word windows of the repetition rule.
+# Symbols of the base rule, the word windows of the repetition rule, and the lines looked at on either
+# side of a wrapped one.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+PIECES = 20
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,7 @@ class Rules:
     max_wrapped: int = 200            # characters of a line that may be a piece of a wrapped paragraph
     min_separators: int = 2
     min_separator_share: float = 0.15  # separators per word of the line
+    min_phrase_share: float = 0.30    # words of stock phrases per word of the line
     max_lost_share: float = 0.30      # of the document's word characters
     menu_words: tuple[str, ...] = ("home", "menu", "search", "login", "log in", "sign in", "sign up", "register",
                                    "next", "previous", "back to top", "contact", "about", "sitemap", "skip to content")
@@ -92,9 +95,10 @@ def needs_marks(words: list[str], rules: Rules) -> bool:
 
 
 def line_failure(line: str, words: list[str], earlier: bool, rules: Rules, phrases: re.Pattern,
-                 marked: Callable[[], bool] = lambda: False) -> str | None:
+                 marked: Callable[[], bool] = lambda: False, sentence: Callable[[], str] | None = None) -> str | None:
     """The first rule that the line breaks, or None. ``words`` are the line's words, at least one; ``marked`` tells
-    whether the other lines of its paragraph have a sentence mark."""
+    whether the other lines of its paragraph have a sentence mark, ``sentence`` gives the line with its wrapped
+    neighbours."""
     separators = sum(w in _SEPARATORS for w in words)
     if separators >= rules.min_separators and separators >= rules.min_separator_share * len(words):
         return "navigation"
@@ -105,11 +109,40 @@ def line_failure(line: str, words: list[str], earlier: bool, rules: Rules, phras
         return "punctuation"
     if not _SENTENCE.search(line) and needs_marks(words, rules) and not marked():
         return "punctuation"
-    if earlier or phrases.search(line):
+    if earlier or phrases.search(line) and min(
+            phrase_share(line, phrases), phrase_share(sentence() if sentence else line, phrases)) >= rules.min_phrase_share:
         return "boilerplate"
     return None
 
 
+def phrase_pattern(rules: Rules) -> re.Pattern:
+    """The stock phrases as whole words."""
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, rules.stock_phrases)) + r")(?!\w)" if rules.stock_phrases else r"(?!)",
+                      re.I)
+
+
+def phrase_share(text: str, phrases: re.Pattern) -> float:
+    """Words of stock phrases per word; 1 for a text without words."""
+    words = len(text.split())
+    return sum(len(m.group().split()) for m in phrases.finditer(text)) / words if words else 1.0
+
+
+def wrapped_sentence(lines: list[str], at: int, rules: Rules) -> str:
+    """The line with those before and behind it that a hard wrap has cut from it: no mark ends the upper
+    one, the lower one begins with a small letter, and both are no wider than ``max_wrapped``."""
+    def goes_on(i: int) -> bool:
+        upper, lower = lines[i].strip(), lines[i + 1].strip()
+        return (max(len(lines[i]), len(lines[i + 1])) <= rules.max_wrapped and upper != "" and not _SENTENCE.match(upper[-1])
+                and lower[:1].islower())
+
+    first = last = at
+    while first > 0 and at - first < PIECES and goes_on(first - 1):
+        first -= 1
+    while last + 1 < len(lines) and last - at < PIECES and goes_on(last):
+        last += 1
+    return " ".join(lines[first:last + 1])
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words covered by a 5-word window that occurs at least twice."""
     if len(words) <= WINDOW:
@@ -153,7 +186,8 @@ def judge(text: str | None, rules: Rules, phrases: re.Pattern) -> tuple:
         earlier = line in seen
         dup += earlier
         seen.add(line)
-        rule = line_failure(line, own, earlier, rules, phrases, lambda: paragraphs()[i])
+        rule = line_failure(line, own, earlier, rules, phrases, lambda: paragraphs()[i],
+                            lambda: wrapped_sentence(lines, i, rules))
         if rule is None:
             kept_lines.append(line)
         else:
@@ -174,7 +208,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     names = [c.split()[0] for c in COLUMNS.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = re.compile("|".join(map(re.escape, rules.stock_phrases)) or r"(?!)", re.I)
+        phrases = phrase_pattern(rules)
         for batch in batches:
             out = [judge(t, rules, phrases) for t in batch.column("text").to_pylist()]
             cols = list(zip(*out)) if out else [[] for _ in names]
@@ -196,7 +230,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     schema = StructType([packed.schema["row"], StructField("clean_text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = re.compile("|".join(map(re.escape, rules.stock_phrases)) or r"(?!)", re.I)
+        phrases = phrase_pattern(rules)
         for batch in batches:
             out = [judge(t, rules, phrases) for t in batch.column("text").to_pylist()]
             good = pa.array([o[6] for o in out], pa.bool_())

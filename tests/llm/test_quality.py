@@ -120,3 +120,18 @@ def test_wrapped_prose_is_kept_unchanged(spark, width):
 def test_marks_of_other_scripts_and_of_paragraphs(text, failing):
     rules = qr.Rules()
     assert qr.judge(text, rules, re.compile("(?!)"))[8] == failing
+
+
+@pytest.mark.parametrize("line, rule", [
+    (prose(1, 60) + " A mill powered by water, read more below. " + prose(2, 60), None), ("Empowered by all, they won.", None),
+    ("Click here to read more", "boilerplate"), ("© 2020 The Company. All rights reserved.", "boilerplate")])
+def test_a_phrase_fails_a_line_by_its_share_of_words(line, rule):
+    rules = qr.Rules()
+    assert qr.line_failure(line, line.split(), False, rules, qr.phrase_pattern(rules)) == rule
+
+
+def test_prose_with_a_phrase_is_kept(spark):
+    one_line = prose(3, 40) + " It was powered by steam. " + prose(4, 40)
+    wrapped = prose(5, 30) + "\n\nThe old mill in the valley below the town was at first only\npowered by water."
+    out = {r["doc_id"]: r["text"] for r in qr.keep_good(documents(spark, [(1, one_line), (2, wrapped)])).collect()}
+    assert out == {1: one_line, 2: wrapped}
