@@ -10,8 +10,10 @@ or multilingual prose. Two kinds of files allow a faster way to the same ids:
   the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
   text holds that byte, and the merges with it come first in the file).
 
-Texts with a special string, and for ``word`` those with a letter whose lower case depends on its
-place, go to the library, as do all texts of any other file. In every worker the first texts
+Texts with a special string, for ``byte`` those with a very long run of white space (tiktoken's regex engine
+keeps a stack entry for each character of it, and panics at about a million), and for ``word`` those with a
+letter whose lower case depends on its place, go to the library, as do all texts of any other file, and any text at
+which tiktoken panics all the same. In every worker the first texts
 are encoded both ways; one difference and the worker uses the library for everything.
 """
 
@@ -26,11 +28,13 @@ import numpy as np
 
 CACHE_UNITS = 1 << 19  # about 100 MB; units seen first are the frequent ones and stay
 TRIAL_TEXTS = 64
+LONG_SPACE = 100_000  # characters of white space in a run that are left to the library
 # The patterns of the two kinds.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
+_SPACES = re.compile(r"\s+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -75,6 +79,11 @@ def split_rule(spec: dict) -> str:
     return rule if in_order and not spaces else "whole"
 
 
+def long_space(text: str) -> bool:
+    """Whether a run of white space is too long for tiktoken."""
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACES.finditer(text))
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,13 +140,22 @@ class Encoder:
             return b"".join(map(cache.__getitem__, units))
         return b"".join([cache[u] if u in cache else found[u] for u in units])
 
+    def _own(self, text: str) -> bytes:
+        """The ids of one text by the faster way, by the library if tiktoken panics."""
+        try:
+            if self.rule == "word":
+                return self._words(text)
+            return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as e:  # a panic of the Rust code is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return self._library([text])[0]
+
     def _fast(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials) or self.rule == "word" and "Σ" in t]
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)
+               or ("Σ" in t if self.rule == "word" else long_space(t))]
         rest = dict(zip(odd, self._library([texts[i] for i in odd])))
-        if self.rule == "word":
-            return [rest[i] if i in rest else self._words(t) for i, t in enumerate(texts)]
-        merge = self.merger.encode_ordinary
-        return [rest[i] if i in rest else np.array(merge(t), "<u4").tobytes() for i, t in enumerate(texts)]
+        return [rest[i] if i in rest else self._own(t) for i, t in enumerate(texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

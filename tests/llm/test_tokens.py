@@ -133,3 +133,12 @@ def test_damage_is_noticed():
         records.read_frame(memoryview(data[:-8] + b"\x07" + data[-7:]))
     with pytest.raises(ValueError):
         list(records.frames(memoryview(b"\x01" + data[1:])))
+
+
+def test_very_long_white_space_goes_to_the_library(monkeypatch):
+    own = encoding.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "b", "a" + "\n" * 2_000_000, "plain text"]
+    assert own.rule == "byte" and own.encode(texts) == own._library(texts)
+    assert own.rule == "byte"
+    monkeypatch.setattr(encoding, "long_space", lambda text: False)  # the panic itself
+    assert own.encode(texts) == own._library(texts)
