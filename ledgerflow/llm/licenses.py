@@ -5,7 +5,8 @@ known licence texts:
 
 1. letters become lower case; typographic quotes and dashes count as punctuation;
 2. lines that start as a copyright notice, and lines saying that all rights are
-   reserved, are dropped;
+   reserved, are dropped; a wrapped line of a licence that begins with "copyright notice",
+   "copyright holders" and the like is none (``NO_NOTICE``);
 3. equivalent spellings become one (``SPELLINGS``);
 4. every run of characters that are not a letter, a digit or beyond ASCII becomes one space.
 
@@ -75,7 +76,10 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+# Words behind "copyright" or "(c)" that make it a part of a sentence or a list, not a notice.
+NO_NOTICE = (r"(?:notices?|holders?|owners?|owned|ownership|licen[cs]es?|licen[cs]ed|laws?|statements?|interests?|disclaimers?|protection|"
+             r"rights?|treaty|patents?|and|or|in|is|of|on|to|for|as|that|which|you|if|any)\b")
+COPYRIGHT_LINE = rf"(?m)^[^a-z0-9\n]*(copyright(?![^a-z0-9]*{NO_NOTICE})|\(c\)(?! *{NO_NOTICE})|©)[^\n]*$"
 RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 NOT_A_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’‚“”„–—‐‑]+"  # all but the line feed
 

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,20 @@ def test_no_python_in_the_plans(spark, plan, capsys):
     else:
         licenses.scan_licenses(documents(spark)).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+@pytest.mark.parametrize("width", [30, 40, 60, 72, 76, 80, 100])
+def test_licence_texts_wrapped_at_any_width(spark, width):
+    full = [(i, name, t) for i, (name, t) in enumerate(licenses.KNOWN) if len(t) > 300]
+    heads = ["", "Copyright (c) 2020 A. Person\n\n", "Copyright The Authors\nCopyright: 2019, Others\n(c) 2018 Copyright Owner Ltd.\n© B\n\n"]
+    rows = [(10 * i + k, head + "\n\n".join(textwrap.fill(p, width) for p in t.split("\n")))
+            for i, _, t in full for k, head in enumerate(heads)]
+    out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert out == {10 * i + k: name for i, name, _ in full for k in range(len(heads))}
+
+
+def test_the_usual_isc_wrapping(spark):
+    text = ("ISC License\n\nCopyright (c) 2004, A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+            "purpose with or without fee is hereby granted, provided that the above\n"
+            "copyright notice and this permission notice appear in all copies.\n\n" + licenses._ISC.split("\n")[1])
+    assert licenses.scan_licenses(documents(spark, [(1, text)])).first()["license_id"] == "ISC"
