@@ -7,7 +7,7 @@ known licence texts:
 2. lines that start as a copyright notice, and lines saying that all rights are
    reserved, are dropped; a wrapped line of a licence that begins with "copyright notice",
    "copyright holders" and the like is none (``NO_NOTICE``);
-3. equivalent spellings become one (``SPELLINGS``);
+3. equivalent spellings become one (``SPELLINGS``; those of several words once the lines are joined);
 4. every run of characters that are not a letter, a digit or beyond ASCII becomes one space.
 
 Both the entire text and each of its paragraphs and lines are looked up: an entire
@@ -104,8 +104,12 @@ def canonical_lines(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def joined(form: Column) -> Column:
-    """The canonical form of lines taken together: one space between words."""
-    return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
+    """The canonical form of lines taken together: one space between words, and spellings of several words made one."""
+    out = F.trim(F.regexp_replace(form, r"[ \n]+", " "))
+    for spelling, usual in SPELLINGS:
+        if " " in spelling:
+            out = F.regexp_replace(out, f"(?<![^ ]){spelling}(?![^ ])", usual)
+    return out
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

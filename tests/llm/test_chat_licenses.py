@@ -114,3 +114,9 @@ def test_the_usual_isc_wrapping(spark):
             "purpose with or without fee is hereby granted, provided that the above\n"
             "copyright notice and this permission notice appear in all copies.\n\n" + licenses._ISC.split("\n")[1])
     assert licenses.scan_licenses(documents(spark, [(1, text)])).first()["license_id"] == "ISC"
+
+
+def test_spellings_of_several_words(spark):
+    rows = [(i, MIT.replace("sublicense", s)) for i, s in enumerate(["sub-license", "sub license", "sub-\nlicense", "sub-licence", "asub license"])]
+    out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert out == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: None}
