@@ -1,7 +1,7 @@
 r"""DuckDB SQL for the operators that SQL can express, written from their rules.
 
 No SQL: classifier (1), SimHash (3; XXH64 and bit counts over shingles), packing (6), token records (7), token
-counts (8), disclosing terms (10). Their tests hold them against brute force or a round trip.
+counts (8), disclosing terms (10), runs (11), shards (13; CRC-32). Their tests hold them against brute force or a round trip.
 """
 
 from __future__ import annotations
@@ -135,4 +135,27 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(len(learned) AS BIGI
        sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM told"""
 
-ORACLE = {"op2_quality_rules": OP2, "op4_license_scan": OP4, "op5_decontaminate": OP5, "op9_chat_format": OP9}
+OP12 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+                FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+                                                                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+starts AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS k FROM starts) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT *, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+         FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, h.a AS l, t.a AS r,
+                  CAST((2000000::HUGEINT * c.a) // (h.a::HUGEINT + t.a) AS BIGINT) AS score
+           FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+                  FROM (SELECT lang, a, w, m, unnest(generate_series(1, k - m + 1)) AS i
+                        FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM candidates))),
+dropped AS (SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inner_phrases i USING (lang, phrase) WHERE 100 * i.a >= 80 * c.a)
+SELECT * FROM (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, l, r, n, score
+               FROM lowest s JOIN totals USING (lang) ANTI JOIN dropped d ON d.lang = s.lang AND d.phrase = s.phrase)
+WHERE rank <= 2000"""
+
+ORACLE = {"op12_phrases": OP12, "op2_quality_rules": OP2, "op4_license_scan": OP4, "op5_decontaminate": OP5, "op9_chat_format": OP9}

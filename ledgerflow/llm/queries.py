@@ -11,7 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import chat, decontaminate, licenses, packing, pii, quality_classifier, quality_rules, records, simhash, token_counts
+from ledgerflow.llm import (chat, decontaminate, licenses, packing, periodic_runs, phrases, pii, quality_classifier, quality_rules,
+                            records, sharding, simhash, token_counts)
 from ledgerflow.llm.common import keep, shared_folder, table
 from ledgerflow.llm.oracle_sql import ORACLE  # noqa: F401
 
@@ -93,6 +94,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written(pii.KINDS), 256).alias("base_sha256"), pii.written((*pii.KINDS, "term")).alias("spans"))
 
 
+def tiled(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``documents``; where crc32(doc_id) ends in 0 the words from place a on repeat with period p, a and p
+    taken from the checksum, as the contract of operator 11 says. Other texts stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(
+        h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    period = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    length = F.col("n") - F.col("a")
+    copies = F.flatten(F.array_repeat(period, F.ceil(length / F.col("p")).cast("int")))
+    words = F.concat(F.slice("w", 1, F.col("a").cast("int")), F.slice(copies, 1, length.cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(tiled(table(spark, sf_dir, "documents")), min_length=6, power=4)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("*", best.alias("best"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"),
+                      period.alias("period"), F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+                      F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, top=2000, scale=2_000_000, inside=80)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -104,5 +142,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrases": op12_phrases,
+    "op13_sharding": op13_sharding,
 }
 
