@@ -6,15 +6,15 @@ or multilingual prose. Two kinds of files allow a faster way to the same ids:
 * ``byte``: byte-level BPE with the usual pattern, no normaliser, no prefix space. tiktoken
   takes the ranks straight from the file's vocabulary (its ids are merge ranks, which is tested).
 * ``word``: BPE with word ends whose pattern drops white space. A text is cut at blanks
-  and line feeds, which no token spans; a unit's ids are cached, and a new unit is cut with
-  the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
-  text holds that byte, and the merges with it come first in the file).
-
-Texts with a special string, for ``byte`` those with a very long run of white space (tiktoken's regex engine
-keeps a stack entry for each character of it, and panics at about a million), and for ``word`` those with a
-letter whose lower case depends on its place, go to the library, as do all texts of any other file, and any text at
-which tiktoken panics all the same. In every worker the first texts
-are encoded both ways; one difference and the worker uses the library for everything.
+  and line feeds, which no token spans and over which neither the normaliser nor a lower case looks; a unit's ids are cached.
+  A new unit of ASCII is cut with the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
+  text holds that byte, and the merges with it come first in the file). Any other new unit is encoded by the library, whose tables
+  of letters, digits and lower cases need not be those of Python.
+
+Texts with a special string, and for ``byte`` those with a very long run of white space (tiktoken's regex engine
+keeps a stack entry for each character of it, and panics at about a million), go to the library, as do all texts of any
+other file, and any text at which tiktoken panics all the same. What decides is the text or the unit itself, never what a
+worker has met before. The tests hold both ways against the library over all code points.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 
 import numpy as np
 
 CACHE_UNITS = 1 << 19  # about 100 MB; units seen first are the frequent ones and stay
-TRIAL_TEXTS = 64
 LONG_SPACE = 100_000  # characters of white space in a run that are left to the library
 # The patterns of the two kinds.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,7 +94,6 @@ class Encoder:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {"": b""}
-        self.tried = 0
         if self.rule != "whole":
             import regex
             import tiktoken
@@ -121,20 +118,22 @@ class Encoder:
         return out
 
     def _unit(self, unit: str) -> bytes:
+        """The ids of a unit of ASCII."""
         ids: list[int] = []
-        for piece in self.pattern.findall(unit):
+        for piece in self.pattern.findall(unit.lower()):
             ids += self.merger._encode_single_piece(piece.encode() + b"\xff")
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _words(self, text: str) -> bytes:
         """The ids of one text of the ``word`` kind, by its units."""
-        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-        units = plain.lower().replace("\n", " ").split(" ")
+        units = text.replace("\n", " ").split(" ")
         cache = self.cache
         new = [u for u in set(units) if u not in cache]
         if not new:
             return b"".join(map(cache.__getitem__, units))
-        found = {u: self._unit(u) for u in new}
+        found = {u: self._unit(u) for u in new if u.isascii()}
+        other = [u for u in new if not u.isascii()]
+        found.update(zip(other, self._library(other)))
         if len(cache) + len(found) <= CACHE_UNITS:
             cache.update(found)
             return b"".join(map(cache.__getitem__, units))
@@ -152,8 +151,7 @@ class Encoder:
             return self._library([text])[0]
 
     def _fast(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)
-               or ("Σ" in t if self.rule == "word" else long_space(t))]
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials) or (self.rule == "byte" and long_space(t))]
         rest = dict(zip(odd, self._library([texts[i] for i in odd])))
         return [rest[i] if i in rest else self._own(t) for i, t in enumerate(texts)]
 
@@ -161,11 +159,4 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.rule == "whole":
             return self._library(texts)
-        out = self._fast(texts)
-        if self.tried < TRIAL_TEXTS:
-            trial = min(len(texts), TRIAL_TEXTS - self.tried)
-            self.tried += trial
-            if out[:trial] != self._library(texts[:trial]):
-                self.rule = "whole"
-                return self._library(texts)
-        return out
+        return self._fast(texts)

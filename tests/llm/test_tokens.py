@@ -29,6 +29,23 @@ def test_encoder_gives_the_library_ids(name):
     assert own.rule != "whole"
 
 
+@pytest.mark.parametrize("name,forms", [(BYTE, ["a{0}1 {0} b", "?{0}! {0}{0}x", "e{0}'s{0}"]), (WORDS, ["a{0}1{0} {0}"])])
+def test_every_code_point_has_the_library_ids(name, forms):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own, bad = encoding.Encoder(tokenizer_path(name)), 0
+    for form in forms:  # beside letters, digits, marks, white space and itself
+        texts = [" ".join(form.format(c) for c in points[k:k + 512]) for k in range(0, len(points), 512)]
+        bad += sum(list(struct.unpack(f"<{len(b) // 4}I", b)) != ids for b, ids in zip(own.encode(texts), library(name, texts)))
+    assert bad == 0
+
+
+def test_ids_do_not_depend_on_earlier_texts():
+    odd = "a \ua7cb b \u1c89 c"
+    fresh, used = (encoding.Encoder(tokenizer_path(WORDS)) for _ in range(2))
+    used.encode([prose(i, 20) for i in range(100)])
+    assert fresh.encode([odd]) == used.encode([odd]) == [struct.pack(f"<{len(i)}I", *i) for i in library(WORDS, [odd])]
+
+
 def test_counts_match_the_library(spark):
     rows = awkward() + [(100 + i, t) for i, t in enumerate(ODD)]
     out = token_counts.count_tokens(documents(spark, rows), tokenizer_path(BYTE), chunk_chars=2000, overlap_chars=16).collect()
