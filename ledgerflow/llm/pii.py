@@ -4,7 +4,7 @@ Base: e-mail addresses, IP addresses, card and phone numbers, leftmost non-overl
 kind, failing matches dropped (``KINDS``). Positions are code points, the end exclusive.
 
 Beyond them, terms that give a protected entity away. An entity is one base value. Its
-contexts are the ``reach`` words on either side of each mention. Over the whole corpus,
+contexts are the ``reach`` words on either side of each mention, however far; in scripts without blanks every letter is a word. Over the whole corpus,
 with N words, c(e) mentions, c(t) occurrences of a term and c(e,t) of them inside contexts of e,
 
     PMI(e;t) = log2( c(e,t) N / (c(e) 2 reach c(t)) )      IC(e) = -log2( c(e) 2 reach / N )
@@ -31,10 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.arrays import let, replaced, scan, shifted
 from ledgerflow.llm.common import keep, whole_row
 
-REACH, NEAR = 8, 200  # words on either side of a mention, looked for within so many characters
-THRESHOLD, MIN_CONTEXTS, MIN_LETTERS, INLINE_TERMS = 0.9, 3, 3, 5_000
+REACH = 8  # words on either side of a mention
+THRESHOLD, MIN_CONTEXTS, INLINE_TERMS = 0.9, 3, 5_000
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -44,7 +45,9 @@ PATTERNS = {
 }
 GUARDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}  # a text without it has no match
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-WORD, NOT_WORD = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+# A word is a run of letters and digits; in scripts written without blanks every letter is one.
+_BLANKLESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[\p{{L}}\p{{N}}&&[^{_BLANKLESS}]]+|[\p{{L}}\p{{N}}&&[{_BLANKLESS}]]"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -78,21 +81,19 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, pattern: str, valid) -> Column:
-    """(start, end, value) of the valid matches: the pieces between matches give the positions."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(
-        F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("value"), valid(m).alias("valid")))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
 
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
-        span = F.struct(start.alias("start"), (start + p["size"]).alias("end"), p["value"].alias("value"))
-        return F.struct((start + p["size"]).alias("at"),
-                        F.when(p["valid"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+def spans_of(text: Column, pattern: str, valid) -> Column:
+    """(start, end, value) of the valid matches: running sums over the pieces between matches give the positions."""
+    def placed(matches: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        spans = F.zip_with(scan(steps, lambda a, b: a + b), matches, lambda end, m: F.struct(
+            (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+        return F.when(F.size(matches) > 0, F.filter(spans, lambda s: valid(s["value"]))).otherwise(F.array().cast(SPANS))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def base_spans(docs: DataFrame, text_col: str = "_text") -> DataFrame:
@@ -100,32 +101,58 @@ def base_spans(docs: DataFrame, text_col: str = "_text") -> DataFrame:
     text, none = F.col(text_col), F.array().cast(SPANS)
     out = docs
     for kind in KINDS:
-        found = text.rlike(PATTERNS[kind])
-        if GUARDS[kind]:
-            found = text.contains(GUARDS[kind]) & found
-        out = out.withColumn(f"_{kind}", F.when(found, spans_of(
-            text, PATTERNS[kind], lambda m, kind=kind: _valid(kind, m))).otherwise(none))
+        spans = spans_of(text, PATTERNS[kind], lambda m, kind=kind: _valid(kind, m))
+        guard = GUARDS[kind]
+        out = out.withColumn(f"_{kind}", F.when(text.contains(guard), spans).otherwise(none) if guard else spans)
     return out
 
 
+def contexts_of(text: Column, pattern: str, reach: int) -> Column:
+    """For each match of ``pattern`` the ``reach`` words on either side, other matches' own words among them.
+
+    A match holds at least one word, so the words come from at most ``reach`` neighbouring pieces: each piece gives its
+    nearest words, and the lists of 1, 2, 4, ... pieces are joined until they hold enough.
+    """
+    none = F.array().cast("array<string>")
+
+    def last(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - reach + 1, F.lit(1)), F.lit(reach))
+
+    def first(words: Column) -> Column:
+        return F.slice(words, F.lit(1), F.lit(reach))
+
+    def widened(units: Column, by: int) -> Column:
+        if by >= reach:
+            return units
+        return widened(let(units, lambda u: F.zip_with(shifted(u, by, none), u, lambda far, near: last(F.concat(far, near)))), 2 * by)
+
+    def widened_right(units: Column, by: int) -> Column:
+        if by >= reach:
+            return units
+        return widened_right(let(units, lambda u: F.zip_with(u, shifted(u, -by, none), lambda near, far: first(F.concat(near, far)))), 2 * by)
+
+    def around(matches: Column, pieces: Column) -> Column:
+        said = F.transform(matches, words_of)
+        left = F.zip_with(shifted(said, 1, none), F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: last(F.concat(m, words_of(p))))
+        right = F.zip_with(F.slice(pieces, F.lit(2), F.size(matches)), shifted(said, -1, none), lambda p, m: first(F.concat(words_of(p), m)))
+        both = F.zip_with(widened(left, 1), widened_right(right, 1), lambda a, b: F.concat(a, b))
+        return F.zip_with(matches, both, lambda m, w: F.struct(m.alias("value"), w.alias("words")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda p: around(m, p)))
+
+
 def mentions(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """``entity`` and ``words``, the distinct words of the context, one row a mention."""
-    def entity(kind: str):
+    """``entity`` and ``words``, the words of the context, one row a mention."""
+    text, none = F.col("_text"), F.array().cast("array<struct<entity:string,words:array<string>>>")
+
+    def of_kind(kind: str):
         plain = F.lower if kind in ("email", "ip") else _digits
-        return F.transform(f"_{kind}", lambda s: F.struct(
-            F.concat(F.lit(f"{kind}:"), plain(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-
-    values = F.concat(*map(entity, KINDS))
-    each = found.select("_text", F.explode(values).alias("m"))
-    start, end = F.col("m.start"), F.col("m.end")
-    left = F.split(F.lower(F.substring("_text", F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))), NOT_WORD)
-    right = F.split(F.lower(F.substring("_text", end + 1, F.lit(NEAR))), NOT_WORD)
-    # A word that the limit of characters may have cut is left out.
-    whole_left = F.when(start > NEAR, F.slice(left, 2, F.size(left))).otherwise(left)
-    whole_right = F.when(F.length("_text") > end + NEAR, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
-    near_left, near_right = (F.filter(w, lambda x: x != "") for w in (whole_left, whole_right))
-    words = F.concat(F.slice(near_left, F.greatest(F.size(near_left) - reach + 1, F.lit(1)), reach), F.slice(near_right, 1, reach))
-    return each.select(F.col("m.entity").alias("entity"), words.alias("words"))
+        good = F.filter(contexts_of(text, PATTERNS[kind], reach), lambda m: _valid(kind, m["value"]))
+        named = F.transform(good, lambda m: F.struct(F.concat(F.lit(f"{kind}:"), plain(m["value"])).alias("entity"), m["words"].alias("words")))
+        return F.when(F.size(f"_{kind}") > 0, named).otherwise(none)
+
+    some = found.where(" OR ".join(f"size(_{k}) > 0" for k in KINDS))
+    return some.select(F.explode(F.concat(*map(of_kind, KINDS))).alias("m")).select("m.entity", "m.words")
 
 
 def disclosing_terms(found: DataFrame, reach: int = REACH, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS,
@@ -137,14 +164,15 @@ def disclosing_terms(found: DataFrame, reach: int = REACH, threshold: float = TH
     said = keep(mentions(found, reach))
     entities = said.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     pairs = (said.select("entity", F.xxhash64("words").alias("context"), F.explode("words").alias("term"))
-             .where(F.length("term") >= MIN_LETTERS)
              .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("entity", "term").agg(F.sum("n").alias("c_et"), F.count(F.lit(1)).alias("contexts"))
              .where(F.col("contexts") >= min_contexts))
     candidates = keep(pairs)
+    if candidates.isEmpty():  # no term to count in the texts
+        return candidates.select("term", F.lit(0.0).alias("share"))
     terms = candidates.select("term").distinct()
     small = terms.limit(inline_terms + 1).count() <= inline_terms
-    words = found.select(F.explode(F.split(F.lower("_text"), NOT_WORD)).alias("word")).where("word != ''")
+    words = found.select(F.explode(words_of(F.col("_text"))).alias("word"))
     counted = (words.join(F.broadcast(terms) if small else terms, words["word"] == terms["term"], "left")
                .groupBy("term").agg(F.count(F.lit(1)).alias("c_t")))
     counts = keep(counted)  # the candidates and, under null, all other words
@@ -169,11 +197,11 @@ def all_spans(docs: DataFrame, text_col: str = "text", reach: int = REACH, thres
     if not few:
         return found.withColumn("_term", none)
     if len(few) <= inline_terms:
-        some = F.exists(F.split(F.lower("_text"), NOT_WORD), lambda w: w.isin(few))
+        some = F.exists(words_of(F.col("_text")), lambda w: w.isin(few))
         return found.withColumn("_term", F.when(some, spans_of(
             F.col("_text"), WORD, lambda m: F.lower(m).isin(few))).otherwise(none))
     keyed = found.withColumn("_key", F.md5("_text"))
-    each = keyed.select("_key", F.explode(F.array_distinct(F.split(F.lower("_text"), NOT_WORD))).alias("term"))
+    each = keyed.select("_key", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
     own = each.distinct().join(terms.select("term"), "term").groupBy("_key").agg(F.collect_set("term").alias("_own"))
     return keyed.join(own, "_key", "left").withColumn("_term", F.when(F.col("_own").isNotNull(), spans_of(
         F.col("_text"), WORD, lambda m: F.array_contains("_own", F.lower(m)))).otherwise(none)).drop("_key", "_own")
@@ -191,25 +219,14 @@ def written(kinds: tuple[str, ...]) -> Column:
 def sanitized(found: DataFrame) -> Column:
     """The text with every span replaced by its label, from the columns of ``all_spans``.
 
-    Spans are sorted and merged where they overlap; a document's cost is its length times its spans.
+    Spans are sorted and merged where they overlap; the cost is linear in text and spans.
     """
     def marks(place: int, kind: str):
-        return F.transform(f"_{kind}", lambda s: F.struct(
-            s["start"].alias("start"), F.lit(place).alias("kind"), s["end"].alias("end"), F.lit(LABELS[kind]).alias("label")))
+        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("kind"), s["end"].alias("end")))
 
     marked = F.array_sort(F.concat(*(marks(i, k) for i, k in enumerate((*KINDS, "term")))))
-    text = F.col("_text")
-
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(gap, s["label"]))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(marked, zero, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(marked) > 0, done).otherwise(text)
+    labels = F.array(*(F.lit(LABELS[k]) for k in (*KINDS, "term")))
+    return replaced(F.col("_text"), marked, lambda s: F.get(labels, s["kind"]))
 
 
 def sanitize(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

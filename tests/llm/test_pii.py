@@ -3,6 +3,7 @@ import math
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import pii
@@ -55,24 +56,44 @@ def corpus():
     return rows
 
 
+BLANKLESS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+PIECE = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]--[{BLANKLESS}]]+|[[\p{{L}}\p{{N}}]&&[{BLANKLESS}]]")
+
+
+def words(text):
+    return PIECE.findall(text.lower())
+
+
+def brute_mentions(t, reach=8):
+    """(entity, words around): the text between matches and the other matches are cut into words piece by piece."""
+    out = []
+    for k, pattern, ok in KINDS:
+        found = list(re.finditer(pattern, t))
+        at, pieces = 0, []
+        for m in found:
+            pieces += [words(t[at:m.start()]), words(m.group())]
+            at = m.end()
+        pieces.append(words(t[at:]))
+        for i, m in enumerate(found):
+            if ok(m.group()):
+                left, right = sum(pieces[:2 * i + 1], []), sum(pieces[2 * i + 2:], [])
+                value = m.group().lower() if k in ("email", "ip") else digits(m.group())
+                out.append((f"{k}:{value}", tuple(left[-reach:] + right[:reach])))
+    return out
+
+
 def brute_terms(rows, reach=8, threshold=0.9, min_contexts=3):
     counts, pairs, contexts, entities, n = {}, {}, {}, {}, 0
     for _, t in rows:
         t = t or ""
-        for w in re.findall(r"[^\W_]+", t.lower()):
+        for w in words(t):
             counts[w] = counts.get(w, 0) + 1
             n += 1
-        for k, a, b, value in base(t):
-            e = f"{k}:{value.lower() if k in ('email', 'ip') else digits(value)}"
+        for e, near in brute_mentions(t, reach):
             entities[e] = entities.get(e, 0) + 1
-            left = re.split(r"[\W_]+", t[max(0, a - 200):a].lower())[1 if a > 200 else 0:]
-            right = re.split(r"[\W_]+", t[b:b + 200].lower())
-            right = right[:-1] if len(t) > b + 200 else right
-            words = [w for w in left if w][-reach:] + [w for w in right if w][:reach]
-            for w in words:
-                if len(w) >= 3:
-                    pairs[e, w] = pairs.get((e, w), 0) + 1
-                    contexts.setdefault((e, w), set()).add(tuple(words))
+            for w in near:
+                pairs[e, w] = pairs.get((e, w), 0) + 1
+                contexts.setdefault((e, w), set()).add(near)
     out = set()
     for (e, w), c in pairs.items():
         near = entities[e] * 2 * reach
@@ -90,10 +111,44 @@ def test_disclosing_terms(spark, inline):
     found = pii.all_spans(documents(spark, rows), threshold=threshold, inline_terms=inline)
     out = found.select(F.col("_row.doc_id").alias("doc_id"), F.col("_term.value").alias("terms"), "_text").collect()
     for r in out:
-        assert [t.lower() for t in r["terms"]] == [w for w in re.findall(r"[^\W_]+", r["_text"].lower()) if w in expected]
+        assert [t.lower() for t in r["terms"]] == [w for w in words(r["_text"]) if w in expected]
     assert any(r["doc_id"] == 120 and r["terms"] for r in out)
 
 
+def test_short_names_and_far_words_disclose(spark):
+    """Names of two letters, in scripts with and without blanks, and words far away in characters."""
+    rows = corpus()
+    for i in range(4):
+        rows.append((500 + i, f"{prose(500 + i, 30)} 김수 {' ' * 300}k{i}@x.example.org {prose(600 + i, 30)}".replace(f"k{i}@", "k@")))
+        rows.append((510 + i, f"{prose(510 + i, 30)}。我们和龘见面{'，' * 250}10.1.2.3。{prose(610 + i, 30)}"))
+    expected = brute_terms(rows, threshold=0.6)
+    assert {"김수", "龘"} <= expected
+    out = pii.all_spans(documents(spark, rows), threshold=0.6).select(F.col("_term.value").alias("terms"), "_text").collect()
+    for r in out:
+        assert [t.lower() for t in r["terms"]] == [w for w in words(r["_text"]) if w in expected]
+
+
+def test_contexts_match_brute_force(spark):
+    rows = awkward() + [(200 + i, t) for i, t in enumerate(CASES)] + corpus() + [(400, "1.2.3.4 5.6.7.8,9.9.9.9 a b +1 555 010 9999 c " * 40)]
+    packed = documents(spark, rows).select(F.coalesce("text", F.lit("")).alias("_text"))
+    got = pii.mentions(pii.base_spans(packed)).collect()
+    expected = [m for _, t in rows for m in brute_mentions(t or "")]
+    assert sorted((r["entity"], tuple(r["words"])) for r in got) == sorted(expected)
+
+
+def test_many_spans_in_one_text(spark):
+    text = "".join(f"{'x' * (i % 7)} 10.{i % 256}.{i // 256}.1 a{i % 50}@b.cd" + " é" * (i % 3) for i in range(8_000))
+    row = pii.all_spans(documents(spark, [(1, text)]), threshold=2.0).select(
+        pii.written(pii.KINDS).alias("spans"), pii.sanitized(pii.all_spans(documents(spark, [(1, text)]), threshold=2.0)).alias("clean")).first()
+    assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in base(text))
+    out, at = [], 0
+    for a, b, label in sorted((a, b, f"[{k.upper()}]") for k, a, b, _ in base(text)):
+        if a >= at:
+            out += [text[at:a], label]
+        at = max(at, b)
+    assert row["clean"] == "".join(out) + text[at:]
+
+
 def test_sanitised_texts(spark):
     rows = corpus() + [(300, "Call 4111 1111 1111 1111 or a@b.cd, 1.2.3.4."), (301, None), (302, "")]
     out = {r["doc_id"]: r for r in pii.sanitize(documents(spark, rows), threshold=0.6).collect()}
