@@ -7,13 +7,15 @@ piece's last word stands an end mark, as often as needed. Only these longest gra
 1. Every task builds the graph of some megabytes of text: equal edges become one with a weight. Unary paths (each inner
    node has one way in and one way out, so all edges weigh the same) are compacted to one string of words with
    one weight. A path is cut only where its nodes belong to different buckets.
-2. A node's bucket is that of its rarest-looking word: the smallest hash among its words that are not heavy, the hash of
-   the whole node if all are. Heavy are the words with a share of all words of one in ``buckets`` or more, at most
-   ``buckets`` of them by definition; only their hashes are sent to the tasks. So neighbouring nodes mostly share a
+2. A node's bucket is that of the smaller hash among those of its first two words that are not heavy, the hash of
+   the whole node if both are. Heavy are the words with a share of all words of one in ``buckets`` or more, at most
+   ``buckets`` of them by definition; only their hashes are sent to the tasks. So neighbouring nodes often share a
    bucket, and no bucket grows with one frequent word. Equal paths of many copies are one row a task.
 3. A bucket holds every edge of its nodes. The count of four words is an edge's weight, of three the flow out of
    their node, the edges into the end mark (piece-end corrections) included; the flows of nodes by their first two
-   words and first word give the counts of two and one. Those are partial sums, added up by Spark.
+   words and first word give the counts of two and one. Two words of which one is not heavy have all their nodes in one
+   bucket; the others' counts, and those of single words, are partial sums that Spark adds up. A bucket is
+   worked off in slices, so a task holds its packed paths and one slice of the graph.
 
 A candidate has ``a = f(phrase) >= min_count``; each cut gives ``floor(scale * a / (l + r))``, the
 lowest cut counts (ties: the first), and a candidate inside a longer one with ``100 f(longer) >= 80 a`` is
@@ -26,6 +28,9 @@ often as they stand there. An empty table gives an empty table. Other columns ar
 
 from __future__ import annotations
 
+from collections import Counter
+from urllib.parse import quote, unquote
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,23 +42,25 @@ from ledgerflow.llm.common import UPPER, LOWER, prepare
 from ledgerflow.session import materialize
 
 GRAPH_BYTES = 8 << 20  # text of one task's graph; longer graphs only compact better
+SLICE_BYTES = 8 << 20  # paths that a bucket works off at once, as far as 256 slices go
 END = b"."  # no word holds a full stop
 SPLITTERS = b".,;:!?\n\x0b\x0c\r"  # fixed: the ends of a piece
 NO_ROUTE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # any odd numbers
+_WORDS = bytes.maketrans(UPPER.encode() + SPLITTERS, LOWER.encode() + b" " * len(SPLITTERS))
 _TABLE = bytes.maketrans(UPPER.encode() + SPLITTERS, LOWER.encode() + b"\n" * len(SPLITTERS))
 
 
 def _tokens(text: bytes) -> list[bytes]:
-    """The words of a text, three end marks behind every piece (empty pieces leave marks only)."""
-    return (text.translate(_TABLE) + b"\n").replace(b"\n", b" . . . ").split()
+    """The words of a text, an end mark behind every piece that has any."""
+    pieces = text.translate(_TABLE).split(b"\n")
+    return b" . ".join([*(p for p in pieces if p and not p.isspace()), b""]).split()
 
 
 def _coded(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Numbers for the tokens (the end mark is 0) and the token of each number."""
-    names = [END, *(set(tokens) - {END})]
-    number = dict(zip(names, range(len(names))))
-    return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)), names
+    coded = pa.array([END, *tokens], pa.binary()).dictionary_encode()
+    return coded.indices.to_numpy()[1:].astype(np.int64), coded.dictionary.to_pylist()
 
 
 def _hashes(names: list[bytes]) -> np.ndarray:
@@ -99,13 +106,12 @@ def heavy_words(texts: DataFrame, buckets: int) -> np.ndarray:
     """
     def count(batches):
         for _, text in _texts(batches):
-            codes, names = _coded(_tokens(text))
-            n = np.bincount(codes, minlength=len(names))
-            n[0] = 0
-            some = np.flatnonzero(n * buckets >= max(int(n.sum()), 1))
-            kept = _hashes([names[i] for i in some]).astype(np.int64)
+            n = Counter(text.translate(_WORDS).split())
+            total = sum(n.values())
+            some = {w: k for w, k in n.items() if k * buckets >= total}
+            kept = _hashes(list(some)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"word": pa.array([*kept.tolist(), None], pa.int64()),
-                                              "n": pa.array([*n[some].tolist(), int(n.sum())], pa.int64())})
+                                              "n": pa.array([*some.values(), total], pa.int64())})
 
     counts = materialize(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.where(F.col("word").isNull()).select("n").scalar()
@@ -113,34 +119,43 @@ def heavy_words(texts: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows], np.int64).astype(np.uint64))
 
 
-def _routes(codes: np.ndarray, hashes: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of the node that starts at each place (the last two places have no node)."""
-    light = ~np.isin(hashes, heavy)
-    light[0] = False
-    ranks = np.where(light, hashes, NO_ROUTE)
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    least = np.minimum(np.minimum(ranks[a], ranks[b]), ranks[c])
+def _is_heavy(names: list[bytes], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, heavy or not) of each token; the end mark counts as heavy."""
+    hashes = _hashes(names)
+    found = np.isin(hashes, heavy)
+    found[0] = True
+    return hashes, found
+
+
+def _routes(a: np.ndarray, b: np.ndarray, c: np.ndarray, names: list[bytes], heavy: np.ndarray) -> np.ndarray:
+    """The route of nodes (a, b, c): equal for the nodes of two words of which one is not heavy."""
+    hashes, is_heavy = _is_heavy(names, heavy)
+    ranks = np.where(is_heavy, NO_ROUTE, hashes)
+    least = np.minimum(ranks[a], ranks[b])
     whole = hashes[a] * MIXERS[0] + hashes[b] * MIXERS[1] + hashes[c] * MIXERS[2]
     mixed = np.where(least == NO_ROUTE, whole, least)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIXERS[0]
-    return ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    return (mixed ^ (mixed >> np.uint64(29))) * MIXERS[0]
+
+
+def bucket_and_slice(routes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return ((routes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), (routes >> np.uint64(56)).astype(np.uint8).view(np.int8)
 
 
-def local_paths(text: bytes, heavy: np.ndarray, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The compacted paths of a text's graph: (words, weight, bucket), by bucket. A path of k edges has k + 3 tokens."""
+def local_paths(text: bytes, heavy: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The compacted paths of a text's graph: (words, weight, route). A path of k edges has k + 3 tokens."""
     tokens = _tokens(text)
     codes, names = _coded(tokens)
-    size, n = len(names), len(codes) - 3
-    if n <= 0:
-        return [], np.empty(0, np.int64), np.empty(0, np.int32)
-    word = codes[:n] > 0
-    places = np.flatnonzero(word)
+    size, n = len(names), len(codes)
+    places = np.flatnonzero(codes)
     if not places.size:
-        return [], np.empty(0, np.int64), np.empty(0, np.int32)
-    node = np.full(n + 1, -1, np.int64)
-    node[places] = _classes(_classes(codes[places], codes[places + 1], size), codes[places + 2], size)
-    edge = np.full(n + 1, -1, np.int64)
-    edge[places] = _classes(node[places], codes[places + 3], size)
+        return [], np.empty(0, np.int64), np.empty(0, np.uint64)
+    padded = np.r_[codes, 0, 0, 0]  # the grams of four tokens, end marks from the piece's end on
+    c0, c1 = codes[places], padded[places + 1]
+    c2 = np.where(c1 == 0, 0, padded[places + 2])
+    c3 = np.where(c2 == 0, 0, padded[places + 3])
+    node, edge = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    node[places] = _classes(_classes(c0, c1, size), c2, size)
+    edge[places] = _classes(node[places], c3, size)
     n_edges, n_nodes = int(edge.max()) + 1, int(node.max()) + 1
     weight = np.bincount(edge[places], minlength=n_edges)
     first = np.empty(n_edges, np.int64)
@@ -148,50 +163,60 @@ def local_paths(text: bytes, heavy: np.ndarray, buckets: int) -> tuple[list[byte
     ways_out = np.bincount(node[first], minlength=n_nodes)
     after = node[first + 1]  # -1 behind a piece
     ways_in = np.bincount(after[after >= 0], minlength=n_nodes)
-    begins = places[np.r_[True, ~word[places[1:] - 1]]]
+    begins = places[np.r_[True, codes[places[1:] - 1] == 0]]
     ways_in[np.unique(node[begins])] += 1
-    route = _routes(codes, _hashes(names), heavy, buckets)
+    route = np.zeros(n, np.uint64)
+    route[places] = _routes(c0, c1, c2, names, heavy)
     firsts = np.sort(first)
-    before = firsts - 1
     linked = np.r_[False, firsts[1:] == firsts[:-1] + 1]
     linked &= (ways_in[node[firsts]] == 1) & (ways_out[node[firsts]] == 1)
-    linked &= route[firsts] == route[np.maximum(before, 0)]
+    linked &= route[firsts] == route[np.maximum(firsts - 1, 0)]
     heads = np.flatnonzero(~linked)
     start = firsts[heads]
     stop = firsts[np.r_[heads[1:] - 1, len(firsts) - 1]] + 4
-    by_bucket = np.argsort(route[start], kind="stable")
-    start, stop = start[by_bucket], stop[by_bucket]
-    paths = [b" ".join(tokens[i:j]) for i, j in zip(start.tolist(), stop.tolist())]
+    marks = np.flatnonzero(codes == 0)
+    piece_end = marks[np.searchsorted(marks, start)]  # every piece has its mark
+    marked = [b"", b" .", b" . .", b" . . ."]
+    paths = [b" ".join(tokens[i:j]) + marked[k] for i, j, k in zip(
+        start.tolist(), np.minimum(stop, piece_end).tolist(), np.maximum(stop - piece_end, 0).tolist())]
     return paths, weight[edge[start]], route[start]
 
 
-def flows(paths: pa.Array, weights: np.ndarray, min_count: int) -> list[tuple[int, list[bytes], np.ndarray]]:
-    """Counts from all paths of a bucket: (words, phrases, counts). Four and three words are complete and at least
-    ``min_count``; two, one and none (all words) are this bucket's share."""
+def flows(paths: pa.Array, weights: np.ndarray, min_count: int, heavy: np.ndarray) -> list[tuple[int, list[bytes], list[bytes], np.ndarray]]:
+    """Counts from paths that hold all edges of their nodes: (words, languages, phrases, counts); a path's first token is its language.
+
+    Four and three words, and two that are not both heavy, are complete and at least ``min_count``; the others and
+    none (all words) are partial sums."""
     sizes = (pc.count_substring(paths, " ").to_numpy(zero_copy_only=False) + 1).astype(np.int64)
     codes, names = _coded(b" ".join(paths.cast(pa.binary()).to_pylist()).split())
     size = len(names)
     ends = np.cumsum(sizes)
     edge_at = np.ones(len(codes), bool)
+    edge_at[ends - sizes] = False
     for back in (1, 2, 3):
         edge_at[ends - back] = False
     at = np.flatnonzero(edge_at)
-    w = np.repeat(weights, sizes - 3)
+    lang = np.repeat(codes[ends - sizes], sizes - 4)
+    w = np.repeat(weights, sizes - 4)
     c = [codes[at + k] for k in range(4)]
-    out = [(0, [b""], np.array([w.sum()], np.int64))]
-    cls = c[0]
-    for k in range(1, 5):
-        if k > 1:
+    is_heavy = _is_heavy(names, heavy)[1]
+    cls, out = pd.factorize(lang)[0].astype(np.int64), []
+    for k in range(5):
+        if k:
             cls = _classes(cls, c[k - 1], size)
         count = np.zeros(int(cls.max()) + 1, np.int64)
         np.add.at(count, cls, w)
-        sample = np.zeros(len(count), np.int64)  # a place of each class; the codes in between may be unused
+        sample = np.zeros(len(count), np.int64)  # a place of each class
         sample[cls] = np.arange(len(cls))
-        good = count >= (min_count if k > 2 else 1)
-        good &= c[k - 1][sample] > 0  # no end mark inside
-        chosen = np.flatnonzero(good)
-        columns = [[names[i] for i in c[j][sample[chosen]].tolist()] for j in range(k)]
-        out.append((k, list(map(b" ".join, zip(*columns))) if chosen.size else [], count[chosen]))
+        good = np.ones(len(count), bool) if k < 2 else count >= min_count
+        if k == 2:
+            good |= is_heavy[c[0][sample]] & is_heavy[c[1][sample]]
+        if k:
+            good &= c[k - 1][sample] > 0  # no end mark inside
+        chosen = sample[np.flatnonzero(good)]
+        columns = [[names[i] for i in c[j][chosen].tolist()] for j in range(k)]
+        phrases = list(map(b" ".join, zip(*columns))) if k else [b""] * len(chosen)
+        out.append((k, [names[i] for i in lang[chosen].tolist()], phrases, count[good]))
     return out
 
 
@@ -202,50 +227,69 @@ def phrase_counts(df: DataFrame, min_count: int, lang_col: str = "lang", text_co
     spark = df.sparkSession
     prepare(spark)
     if buckets is None:
-        buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_words(texts, buckets))  # at most 8 bytes a bucket
 
+    def packed(parts):
+        """One row for each bucket: its paths, led by their language, with weight and slice."""
+        if not parts:
+            return
+        paths = [p for tag, own, _, _ in parts for p in map(tag.__add__, own)]
+        weights, routes = (np.concatenate([x[k] for x in parts]) for k in (2, 3))
+        bucket, piece = bucket_and_slice(routes, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        offsets = pa.array(np.r_[starts, len(paths)], pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(bucket[starts], pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array([paths[i] for i in order.tolist()], pa.binary()).cast(pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.array(weights[order], pa.int64())),
+            pa.ListArray.from_arrays(offsets, pa.array(piece[order], pa.int8()))], names=["bucket", "paths", "weights", "slices"])
+
     def build(batches):
+        held, size = [], 0
         for lang, text in _texts(batches):
-            paths, weights, route = local_paths(text, heavy.value, buckets)
-            if not paths:
+            paths, weights, routes = local_paths(text, heavy.value)
+            if paths:  # any language as one token
+                held.append((b"=" + quote(lang, safe="").encode() + b" ", paths, weights, routes))
+                size += len(text)
+            if size >= GRAPH_BYTES:
+                yield from packed(held)
+                held, size = [], 0
+        yield from packed(held)
+
+    def counted(rows):
+        paths = pa.concat_arrays([r.column(1).flatten() for r in rows])
+        weights, slices = (np.concatenate([r.column(k).flatten().to_numpy(zero_copy_only=False) for r in rows]) for k in (2, 3))
+        parts = min(256, 1 + paths.nbytes // SLICE_BYTES)
+        piece = slices.view(np.uint8).astype(np.int64) * parts // 256
+        for k in range(parts):
+            chosen = np.flatnonzero(piece == k)
+            if not chosen.size:
                 continue
-            starts = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
-            offsets = pa.array(np.r_[starts, len(paths)], pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(route[starts], pa.int32()), pa.array([lang] * len(starts), pa.string()),
-                pa.ListArray.from_arrays(offsets, pa.array(paths, pa.binary()).cast(pa.string())),
-                pa.ListArray.from_arrays(offsets, pa.array(weights, pa.int64()))], names=["bucket", "lang", "paths", "weights"])
-
-    def add_up(batches):
-        def counted(lang, paths, weights):
-            for k, phrases, n in flows(pa.concat_arrays(paths), np.concatenate(weights), min_count):
+            for words, langs, phrases, n in flows(paths.take(pa.array(chosen)), weights[chosen], min_count, heavy.value):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k), pa.int32()),
+                    pa.array([unquote(x[1:].decode()) for x in langs], pa.string()), pa.array(np.full(len(n), words), pa.int32()),
                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "n"])
 
-        at, paths, weights = None, [], []
+    def add_up(batches):
+        at, rows = None, []
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            begin = 0
-            while begin < len(keys):
-                end = begin
-                while end < len(keys) and keys[end] == keys[begin]:
-                    end += 1
-                if keys[begin] != at:
-                    if at is not None:
-                        yield from counted(at[1], paths, weights)
-                    at, paths, weights = keys[begin], [], []
-                part = batch.slice(begin, end - begin)
-                paths.append(part.column(2).flatten())
-                weights.append(part.column(3).flatten().to_numpy(zero_copy_only=False))
-                begin = end
-        if at is not None:
-            yield from counted(at[1], paths, weights)
-
-    routed = (texts.mapInArrow(build, "bucket int, lang string, paths array<string>, weights array<long>")
-              .repartition("bucket").sortWithinPartitions("bucket", "lang"))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if rows and keys[i] != at:
+                    yield from counted(rows)
+                    rows = []
+                at = keys[i]
+                rows.append(batch.slice(i, j - i))
+        if rows:
+            yield from counted(rows)
+
+    routed = (texts.mapInArrow(build, "bucket int, paths array<string>, weights array<long>, slices array<byte>")
+              .repartition("bucket").sortWithinPartitions("bucket"))
     counts = (routed.mapInArrow(add_up, "lang string, words int, phrase string, n long")
               .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")))
     return materialize(counts.where((F.col("words") == 0) | (F.col("n") >= min_count)))

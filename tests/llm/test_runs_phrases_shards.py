@@ -89,7 +89,7 @@ def test_runs_of_nothing(spark):
 def brute_phrases(rows, min_count, top):
     f, n = Counter(), Counter()
     for lang, text in rows:
-        lang = lang or "und"
+        lang = "und" if lang is None else lang
         for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOW)):
             w = re.findall("[^\x20\x09]+", piece)
             n[lang] += len(w)
@@ -115,8 +115,8 @@ def brute_phrases(rows, min_count, top):
 
 def phrase_rows():
     r = random.Random(3)
-    words = ["a", "b", "c", "D", "e.", "f,", "\n", "é", "\x1c", "x\x00", "g!h"]
-    return [(r.choice([None, "en", "fr"]), " ".join(r.choice(words) for _ in range(r.randrange(60)))) for _ in range(300)] + [
+    words = ["a", "b", "c", "D", *"uvwxyz", "e.", "f,", "\n", "é", "\x1c", "x\x00", "g!h"]
+    return [(r.choice([None, "en", "fr", "zh Hant.", ""]), " ".join(r.choice(words) for _ in range(r.randrange(60)))) for _ in range(300)] + [
         ("en", None), ("de", ""), ("x", " . \n"), ("en", "the same line\nthe same line\n" * 200)] + [("fr", "copies of one text here")] * 50
 
 
@@ -126,7 +126,7 @@ def test_phrases_against_brute_force(spark, monkeypatch, buckets, graph_bytes):
     df = spark.createDataFrame([(*r, "own", "own") for r in phrase_rows()], "lang string, text string, phrase string, n string")
     if graph_bytes < 1000:  # the tasks' workers read the module anew: chunks are tried here
         import pyarrow as pa
-        batch = pa.RecordBatch.from_pydict({"lang": [r[0] or "und" for r in phrase_rows()], "text": [r[1] for r in phrase_rows()]})
+        batch = pa.RecordBatch.from_pydict({"lang": ["und" if r[0] is None else r[0] for r in phrase_rows()], "text": [r[1] for r in phrase_rows()]})
         chunks = spark.createDataFrame([(a, b.decode()) for a, b in phrases._texts([batch])], "lang string, text string")
         assert chunks.count() > 20
         df = chunks
@@ -138,10 +138,13 @@ def test_phrases_against_brute_force(spark, monkeypatch, buckets, graph_bytes):
 
 
 def test_paths_are_compacted():
-    paths, weights, _ = phrases.local_paths(b"one two three four five six seven.\n" * 9 + b"one two three four nine", np.empty(0, np.uint64), 1)
-    assert (b"one two three four", 10) in zip(paths, weights) or any(p.startswith(b"one two three four") for p in paths)
+    paths, weights, _ = phrases.local_paths(b"one two three four five six seven.\n" * 9 + b"one two three four nine",
+                                            np.sort(phrases._hashes([b"nine"])))
+    assert (b"one two three four", 10) in zip(paths, weights.tolist())
     assert sum(len(p.split()) - 3 for p in paths) == 7 + 4  # every distinct edge once
-    assert len(paths) < 6
+    assert len(paths) < 9
+    all_heavy = np.sort(phrases._hashes(phrases._coded(phrases._tokens(b"one two three four five six seven nine"))[1]))
+    assert len(phrases.local_paths(b"one two three four five six seven.\n" * 9, all_heavy)[0]) == 7  # every node has its own bucket
 
 
 def test_phrases_of_nothing(spark):
