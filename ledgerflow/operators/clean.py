@@ -141,24 +141,29 @@ def select_ordered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.select(*[c for c in order if c in df.columns])
 
 
-def quality_counters(cleaned_with_copies: DataFrame, resolved_col: str | None = None) -> DataFrame:
-    """One-row load-quality report in a single aggregate.
+def quality_counters(cleaned_with_copies: DataFrame, resolved_col: str | None = None, loaded: DataFrame | None = None,
+                     by: tuple[str, ...] = ()) -> DataFrame:
+    """Load-quality report in a single aggregate: one row, or one for each value of ``by`` (an upload's file).
 
-    Input: :func:`clean_ledger` with ``with_copies=True`` (optionally with a boolean
-    ``resolved_col`` saying whether a valid row found all its dimension keys).
+    Input: :func:`clean_ledger` with ``with_copies=True``, optionally with a boolean
+    ``resolved_col`` saying whether a valid row found all its dimension keys; or ``loaded``, the valid rows
+    as they were loaded, with that flag as ``resolved``: then they are counted beside the cleaned rows, without a join of rows.
     ``read = duplicates + rejected + skipped + inserted`` holds by construction.
     """
-    valid = F.size("reasons") == 0
-    aggs = [
-        F.sum(COPIES).cast("long").alias("n_read"),
-        F.sum(F.col(COPIES) - 1).cast("long").alias("n_duplicates"),
-        F.count_if(~valid).alias("n_rejected"),
-        F.count_if(valid).alias("n_valid"),
-    ]
-    if resolved_col:
-        aggs += [F.count_if(valid & ~F.col(resolved_col)).alias("n_skipped"),
-                 F.count_if(valid & F.col(resolved_col)).alias("n_inserted")]
-    out = cleaned_with_copies.agg(*aggs)
+    valid, none = F.size("reasons") == 0, F.lit(None).cast("boolean")
+    rows = cleaned_with_copies.select(*by, F.col(COPIES).cast("long").alias("_copies"), valid.alias("_valid"),
+                                      (F.when(valid, F.col(resolved_col)) if resolved_col else none).alias("_resolved"))
+    if loaded is not None:  # rows of no copies: they count under "resolved" only
+        rows = rows.unionByName(loaded.select(*by, F.lit(0).cast("long").alias("_copies"), none.alias("_valid"),
+                                              F.col("resolved").alias("_resolved")))
+    counted = F.col("_valid").isNotNull()
+    aggs = [F.coalesce(F.sum("_copies"), F.lit(0)).cast("long").alias("n_read") if by else F.sum("_copies").cast("long").alias("n_read"),
+            F.sum(F.when(counted, F.col("_copies") - 1)).cast("long").alias("n_duplicates"),
+            F.count_if(~F.col("_valid")).alias("n_rejected"),
+            F.count_if(F.col("_valid")).alias("n_valid")]
+    if resolved_col or loaded is not None:
+        aggs += [F.count_if(~F.col("_resolved")).alias("n_skipped"), F.count_if(F.col("_resolved")).alias("n_inserted")]
+    out = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
     # changed_rows of the original load report: min(rows before, rows after).
     return out.withColumn("n_changed", F.least("n_read", "n_valid"))
 

@@ -5,14 +5,12 @@
 1. range-partition on the order key and sort within partitions (a distributed
    sort: the range partitioner splits even one hot leading value across tasks
    when the order key has further columns);
-2. store the tagged rows (Parquet in the shared folder) so that the per-partition
-   counts and the numbering below read the very same rows, even after an executor
-   loss; always, since the ranges of an unstored frame differ from reading to reading;
-3. count rows per partition (one row per partition: a bound proven by the
-   partition count, so broadcasting the offsets is safe);
-4. id = start + rows in earlier partitions + position inside the partition, where
-   the position comes from ``monotonically_increasing_id`` (partition index in
-   the upper bits, record index in the lower 33).
+2. store the rows once, as Parquet in the shared folder, without an id. The files are what every later
+   reading and every repeated task sees; an unstored range shuffle draws new bounds at each reading;
+3. count the rows of each file, which the reader takes from the footers alone. The sums of the counts
+   before each file are stored too: one row per file, so that broadcasting them is safe;
+4. id = start + rows in earlier files + the row's place in its file, both known to the reader
+   (``_metadata.row_index``), so ids are resolved when rows are read and the table is never copied for them.
 
 Nothing is collected to the driver and no task sees more than its partition.
 """
@@ -22,16 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.session import materialize
-
-_LOW_BITS = (1 << 33) - 1
+from ledgerflow.session import mark_stored, materialize
 
 
 def _order_cols(order: list) -> list[Column]:
     return [F.asc_nulls_first(c) if isinstance(c, str) else c for c in order]
 
 
-def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions: int | None = None) -> DataFrame:
+def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions: int | None = None,
+               stored: list[str] | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls first).
 
     ``order=None`` numbers rows in their current partition order: still gap-free and
@@ -41,7 +38,8 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
     ``start`` is an int or a one-row, one-column DataFrame (e.g. ``max(id) + 1`` of
     an existing table) so appends stay lazy and nothing goes through the driver.
     Rows equal on the whole order key get consecutive ids in an arbitrary order;
-    pass a total order when ids must be reproducible row by row.
+    pass a total order when ids must be reproducible row by row. ``stored`` names the columns to keep: others
+    only take part in the order.
     """
     spark = df.sparkSession
     if order:
@@ -51,29 +49,27 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
         ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
         ordered = ranged.sortWithinPartitions(*cols)
     else:
-        # No order: number rows as they sit in their partitions (no shuffle at all).
+        # No order: number rows as they lie in their files (no shuffle at all, and no copy of a stored table).
         ordered = df
-    # Counting and numbering must read the very same partitions. Two readings of a range shuffle
-    # do not: each samples its own bounds, which gives repeated ids and gaps on larger tables.
-    tagged = materialize(ordered.withColumn("__lf_mid", F.monotonically_increasing_id()))
-    tagged = tagged.withColumns({
-        "__lf_part": F.shiftright("__lf_mid", 33).cast("int"),
-        "__lf_pos": F.col("__lf_mid").bitwiseAND(F.lit(_LOW_BITS)),
-    })
-    counts = tagged.groupBy("__lf_part").agg(F.count(F.lit(1)).alias("__lf_cnt"))
-    # The ids before the first one go in as a pseudo-partition -1 holding start-1
+    table = materialize(ordered.select(*stored) if stored else ordered)
+    placed = table.select("*", F.col("_metadata.file_path").alias("__lf_file"), F.col("_metadata.row_index").alias("__lf_row"))
+    counts = placed.groupBy("__lf_file").agg(F.count(F.lit(1)).alias("__lf_cnt"))
+    # The task's number is the place of its range; written out in full, since file names pad it to five digits only.
+    task = F.coalesce(F.regexp_extract("__lf_file", r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+    counts = counts.select("__lf_file", "__lf_cnt", task.alias("__lf_task"))
+    # The ids before the first one go in as a file of its own holding start-1
     # rows, so a lazily computed start (max + 1 of a stored table) needs no join.
     if isinstance(start, DataFrame):
-        before = start.select(F.lit(-1).alias("__lf_part"), (F.col(start.columns[0]).cast("long") - 1).alias("__lf_cnt"))
+        before = start.select((F.col(start.columns[0]).cast("long") - 1).alias("__lf_cnt"))
     else:
-        before = spark.range(1).select(F.lit(-1).alias("__lf_part"), F.lit(int(start) - 1).cast("long").alias("__lf_cnt"))
-    counts = counts.unionByName(before)
-    # One row per partition: the offset window is bounded by the partition count.
-    w = Window.orderBy("__lf_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__lf_part", F.coalesce(F.sum("__lf_cnt").over(w), F.lit(0)).alias("__lf_off"))
-    out = tagged.join(F.broadcast(offsets), "__lf_part")
-    out = out.withColumn(id_col, (F.lit(1) + F.col("__lf_off") + F.col("__lf_pos")).cast("long"))
-    return out.drop("__lf_mid", "__lf_part", "__lf_pos", "__lf_off")
+        before = spark.range(1).select(F.lit(int(start) - 1).cast("long").alias("__lf_cnt"))
+    counts = counts.unionByName(before.select(F.lit("").alias("__lf_file"), "__lf_cnt", F.lit(-1).cast("long").alias("__lf_task")))
+    # One row per file: the offset window is bounded by their number.
+    w = Window.orderBy("__lf_task", "__lf_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.select("__lf_file", F.coalesce(F.sum("__lf_cnt").over(w), F.lit(0)).alias("__lf_off")))
+    out = placed.join(F.broadcast(offsets), "__lf_file")
+    out = out.withColumn(id_col, (F.lit(1) + F.col("__lf_off") + F.col("__lf_row")).cast("long"))
+    return mark_stored(out.drop("__lf_file", "__lf_row", "__lf_off"))
 
 
 def next_id(existing: DataFrame, id_col: str) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.calendar import calendar_columns
 from ledgerflow.functions.labels import counterparty_kind, department_id, expense_category
 from ledgerflow.operators.ids import assign_ids, first_per_key, next_id
-from ledgerflow.operators.joins import dim_join, dimension_size  # noqa: F401
+from ledgerflow.operators.joins import dim_join
 from ledgerflow.schemas import MONEY
-from ledgerflow.session import materialize
+from ledgerflow.session import mark_stored, materialize
 
 # Total order of ledger rows used for fact numbering, and for "first row seen" without an upload's own order:
 # rows tied on all of it are identical, so which one gets which id is irrelevant.
@@ -210,12 +210,13 @@ def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True) -> D
     reproducible row by row); ``ordered=False`` numbers in partition order of the
     materialized input (no shuffle), for loads where only gap-free ids matter.
     """
-    rows = resolved.where(F.col("resolved"))
-    numbered = assign_ids(rows, LEDGER_ORDER if ordered else None, "transaction_id", start)
-    return numbered.select(
-        "transaction_id", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],
-        F.round("amount", 2).cast(MONEY).alias("amount"),
+    rows = resolved.where(F.col("resolved")).select(
+        *LEDGER_ORDER[:-3], "department_code", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],
+        F.col("amount").alias("_exact"), F.round("amount", 2).cast(MONEY).alias("amount"),
         F.col("signed_amount").cast(MONEY).alias("signed_amount"))
+    order = [*LEDGER_ORDER[:-3], "_exact", "signed_amount", "department_code"]
+    numbered = assign_ids(rows, order if ordered else None, "transaction_id", start, stored=[*FACT_IDS, "amount", "signed_amount"])
+    return mark_stored(numbered.select("transaction_id", *FACT_IDS, "amount", "signed_amount"))
 
 
 def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool = True,
@@ -224,7 +225,7 @@ def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool =
     if replace or existing is None:
         return facts_from_resolved(resolved, 1, ordered)
     new = facts_from_resolved(resolved, next_id(existing, "transaction_id"), ordered)
-    return existing.unionByName(new.select(*existing.columns))
+    return mark_stored(existing.unionByName(new.select(*existing.columns)))
 
 
 def facts_with_year(facts: DataFrame, dim_date: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from ledgerflow.operators import users as U
 from ledgerflow.operators.ids import first_per_key
 from ledgerflow.plans import etl_load as E
 from ledgerflow.schemas import FLATTEN_LIMIT, UPLOAD_TO_LEDGER
-from ledgerflow.session import materialize
+from ledgerflow.session import mark_stored, materialize
 from ledgerflow.sources import binding as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +115,7 @@ def ledger_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_upload(spark, sf_dir) -> DataFrame:
-    return ledger_ordered(spark, sf_dir).where(F.col("txn_date") < F.lit(FIRST_UPLOAD_END))
+    return mark_stored(ledger_ordered(spark, sf_dir).where(F.col("txn_date") < F.lit(FIRST_UPLOAD_END)))
 
 
 def star1(spark, sf_dir) -> E.Star:
@@ -561,7 +561,7 @@ def q_email_user(spark, sf_dir):
 
 @query("import_audit")
 def q_import_audit(spark, sf_dir):
-    counters = E.quality_report(cleaned(spark, sf_dir), load2(spark, sf_dir).star)
+    counters = E.quality_report(cleaned(spark, sf_dir), resolved=load2(spark, sf_dir).resolved)
     return H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1").drop("id", "details", "data")
 
 
@@ -569,7 +569,7 @@ def q_import_audit(spark, sf_dir):
 def q_audit_detail(spark, sf_dir):
     """An audit row with messages and stored rows, written, and its detail read back."""
     def build():
-        counters = E.quality_report(cleaned(spark, sf_dir), load2(spark, sf_dir).star)
+        counters = E.quality_report(cleaned(spark, sf_dir), resolved=load2(spark, sf_dir).resolved)
         rows = ledger(spark, sf_dir).select("txn_date", "department", "amount", "department_code", "owner", "counterparty")
         row = H.audit_row(counters, 1, "ledger.csv", AUDIT_AT, "Finance", "importer1", details=["version 1", "5 rows kept"],
                           data=H.audit_data(rows, rows.columns), row_id=12)

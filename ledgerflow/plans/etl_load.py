@@ -57,7 +57,7 @@ def rebuild_star(ledger: DataFrame) -> Star:
     ledger = materialize(ledger)
     dims = materialize_all(St.build_dimensions(ledger))
     resolved = St.resolve_keys(ledger, dims, strict=False, owner_by_name=True)
-    return Star(dims, materialize(St.facts_from_resolved(resolved, 1)))
+    return Star(dims, St.facts_from_resolved(resolved, 1))
 
 
 @dataclass
@@ -79,7 +79,7 @@ def load_upload(star: Star, ledger: DataFrame, replace: bool = True,
         "dim_project": lambda: St.upsert_project(dims["dim_project"], ledger),
     }))
     resolved = materialize(St.resolve_keys(ledger, dims, strict=True, owner_by_name=owner_key == ("owner",)))  # the load, an append and the counters read it
-    facts = materialize(St.load_facts(star.facts, resolved, replace=replace))
+    facts = St.load_facts(star.facts, resolved, replace=replace)  # the new rows are stored once, the old ones stay where they are
     return LoadResult(Star(dims, facts), resolved)
 
 
@@ -92,8 +92,11 @@ def refresh_and_merge(existing_store: DataFrame, star: Star, created_at: _dt.dat
     return K.merge_kpis(existing_store, refresh_from_star(star), True, created_at)
 
 
-def quality_report(cleaned: DataFrame, star: Star) -> DataFrame:
+def quality_report(cleaned: DataFrame, star: Star | None = None, resolved: DataFrame | None = None) -> DataFrame:
     """Quality counters of loading a cleaned upload (``clean_ledger(..., with_copies=True)``,
-    all rows) into ``star``: one aggregate after the key joins."""
+    all rows) into ``star``: one aggregate after the key joins, or without a join where the load's own
+    ``resolved`` rows (the valid ones, with their flag) are given."""
+    if resolved is not None:
+        return C.quality_counters(cleaned, loaded=resolved)
     resolved = St.resolve_keys(cleaned, star.dims, strict=True)
     return C.quality_counters(resolved.withColumn("resolved", F.coalesce("resolved", F.lit(False))), "resolved")

@@ -74,11 +74,17 @@ def materialize(df, partition_by: list[str] | None = None):
     writer.parquet(folder)
     # The written schema is passed on, so that no job has to look for it; partition columns keep their place.
     out = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
+    return mark_stored(out)
+
+
+def mark_stored(df):
+    """Say that reading ``df`` costs no more than reading stored files (columns, filters or ids on top of them), so that
+    :func:`materialize` does not copy it."""
     try:
-        out._lf_materialized = True
+        df._lf_materialized = True
     except AttributeError:  # frames that take no attributes are simply written again
         pass
-    return out
+    return df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -26,6 +26,33 @@ def test_assign_ids_without_order_is_gap_free(spark):
     assert "RangePartitioning" not in plan
 
 
+def test_rows_are_stored_once_and_keep_their_ids(spark):
+    """Ids come from the place of a row in its file: the stored rows hold none, any reading resolves the same ones."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"), F.lit("x").alias("v"))
+    out = assign_ids(df, ["k"], "rid", start=100, num_partitions=12, stored=["k", "v"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    first = sorted(map(tuple, out.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # files are then read by several tasks each
+    try:
+        again = sorted(map(tuple, out.select("*").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert first == again and [r[2] for r in first] == list(range(100, 20_100))
+    assert "RangePartitioning" not in _executed(out) and len(out.inputFiles()) >= 12
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
+def test_numbering_a_stored_table_in_its_own_order_copies_nothing(spark, tmpdir_path):
+    from ledgerflow.session import mark_stored
+    spark.range(0, 5_000, 1, 9).write.parquet(f"{tmpdir_path}/t")
+    out = assign_ids(mark_stored(spark.read.parquet(f"{tmpdir_path}/t")), None, "rid")
+    assert f"{tmpdir_path}/t" in _executed(out)
+    assert [(r["id"] + 1) for r in out.orderBy("rid").collect()] == list(range(1, 5_001))
+
+
 def test_assign_ids_lazy_start(spark):
     existing = spark.createDataFrame([(5,), (9,)], "id long")
     start = existing.agg((F.max("id") + 1).alias("s"))

@@ -67,7 +67,7 @@ def test_dimensions_are_broadcast_after_size_check(spark):
 
 
 def test_dim_join_respects_byte_bound(spark):
-    from ledgerflow.operators.star import dim_join, dimension_size
+    from ledgerflow.operators.joins import dim_join, dimension_size
     big = spark.range(100).withColumnRenamed("id", "k")
     dim = spark.range(100).withColumnRenamed("id", "k").selectExpr("k", "repeat('x', 100) AS v")
     rows, size = dimension_size(dim)
