@@ -7,9 +7,11 @@ or multilingual prose. Two kinds of files allow a faster way to the same ids:
   takes the ranks straight from the file's vocabulary (its ids are merge ranks, which is tested).
 * ``word``: BPE with word ends whose pattern drops white space. A text is cut at blanks
   and line feeds, which no token spans and over which neither the normaliser nor a lower case looks; a unit's ids are cached.
-  A new unit of ASCII is cut with the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
-  text holds that byte, and the merges with it come first in the file). Any other new unit is encoded by the library, whose tables
-  of letters, digits and lower cases need not be those of Python.
+  A new unit is cut with the pattern and merged by tiktoken with the word end as a byte 0xFF behind it (no UTF-8
+  text holds that byte, and the merges with it come first in the file), if each of its characters is ASCII or known: the library
+  normalises and lower-cases it as Python does, and counts it to the same of letters, digits, white space and others, all that the
+  pattern asks. That is looked up in the library once for each character. Characters that Python does not know, or that may
+  join with the one before them, are never known, and a unit with any other character is encoded by the library.
 
 Texts with a special string, and for ``byte`` those with a very long run of white space (tiktoken's regex engine
 keeps a stack entry for each character of it, and panics at about a million), go to the library, as do all texts of any
@@ -22,6 +24,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import unicodedata
 
 import numpy as np
 
@@ -82,6 +86,18 @@ def long_space(text: str) -> bool:
     return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACES.finditer(text))
 
 
+def joining() -> frozenset[str]:
+    """The characters that normalising may join with the one before them: marks, and second halves of canonical pairs."""
+    out = {chr(c) for c in range(0x1160, 0x1200)}  # vowels and finals of Hangul
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c):
+            out.add(c)
+        if parts and parts[0] != "<" and " " in parts:
+            out.add(chr(int(parts.split()[1], 16)))
+    return frozenset(out)
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,6 +124,8 @@ class Encoder:
                 ranks[bytes(letters[c] for c in stem) + b"\xff" * word_end] = i
             self.merger = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.pattern = regex.compile(WORD_PATTERN)
+            self.known: dict[str, bool] = {"\u03a3": False}  # its lower case depends on its place
+            self.joining = joining() if self.rule == "word" else frozenset()
             del spec, ranks
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -117,10 +135,26 @@ class Encoder:
                 out.append(struct.pack(f"<{len(e.ids)}I", *e.ids))
         return out
 
+    def _is_known(self, c: str) -> bool:
+        """Whether Python and the library treat a character beyond ASCII alike, wherever it stands."""
+        if c not in self.known:
+            plain = unicodedata.normalize("NFC", c).lower()
+            same = unicodedata.category(c) != "Cn" and c not in self.joining and self.tokenizer.normalizer.normalize_str(c) == plain
+            for beside in "a1?":  # a letter, a digit or another character runs on with its own kind only
+                text = beside + plain + beside
+                theirs = [len(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+                same = same and theirs == [len(piece.encode()) for piece in self.pattern.findall(text)]
+            self.known[c] = same
+        return self.known[c]
+
+    def _own_way(self, unit: str) -> bool:
+        return unit.isascii() or all(c.isascii() or self._is_known(c) for c in unit)
+
     def _unit(self, unit: str) -> bytes:
-        """The ids of a unit of ASCII."""
+        """The ids of a unit of known characters."""
         ids: list[int] = []
-        for piece in self.pattern.findall(unit.lower()):
+        plain = unit if unit.isascii() else unicodedata.normalize("NFC", unit)
+        for piece in self.pattern.findall(plain.lower()):
             ids += self.merger._encode_single_piece(piece.encode() + b"\xff")
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -131,9 +165,9 @@ class Encoder:
         new = [u for u in set(units) if u not in cache]
         if not new:
             return b"".join(map(cache.__getitem__, units))
-        found = {u: self._unit(u) for u in new if u.isascii()}
-        other = [u for u in new if not u.isascii()]
-        found.update(zip(other, self._library(other)))
+        other = [u for u in new if not self._own_way(u)]
+        found = dict(zip(other, self._library(other)))
+        found.update((u, self._unit(u)) for u in new if u not in found)
         if len(cache) + len(found) <= CACHE_UNITS:
             cache.update(found)
             return b"".join(map(cache.__getitem__, units))
