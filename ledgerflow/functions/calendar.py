@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # (shape, format) pairs: a format is only attempted on text of its shape, so no value pays for a
-# failed parse of every format in front of the one that fits. Times may lack seconds or carry fractions.
-_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?Z?)?$"
-YEAR_FIRST = ((r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME, "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}" + _TIME, "yyyy/M/d"))
-DAY_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "d-M-yyyy"))
-MONTH_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}" + _TIME, "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}" + _TIME, "M-d-yyyy"))
-DOTTED = ((r"^\d{1,2}\.\d{1,2}\.\d{4}" + _TIME, "d.M.yyyy"),)  # written with dots, the day always stands first
+# failed parse of every format in front of the one that fits. The shape's group is the date; a time behind it may lack seconds,
+# carry fractions and end in Z or an offset.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z| ?[+-]\d{2}(?::?\d{2})?)?)?$"
+
+
+def _shapes(*pairs: tuple[str, str]) -> tuple[tuple[str, str], ...]:
+    return tuple((f"^({shape}){_TIME}", fmt) for shape, fmt in pairs)
+
+
+YEAR_FIRST = _shapes((r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"), (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"), (r"\d{8}", "yyyyMMdd"))
+DAY_FIRST = _shapes((r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"), (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"))
+MONTH_FIRST = _shapes((r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"))
+# Written with dots the day always stands first; a month's English name needs no order.
+DOTTED = _shapes((r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"))
+NAMED = _shapes((r"\d{1,2} \p{Alpha}{3} \d{4}", "d MMM yyyy"), (r"\d{1,2} \p{Alpha}{3,9} \d{4}", "d MMMM yyyy"),
+                (r"\d{1,2}-\p{Alpha}{3}-\d{4}", "d-MMM-yyyy"), (r"\p{Alpha}{3} \d{1,2} \d{4}", "MMM d yyyy"), (r"\p{Alpha}{3,9} \d{1,2} \d{4}", "MMMM d yyyy"))
 
 
 def _c(col) -> Column:
@@ -20,7 +30,7 @@ def _c(col) -> Column:
 
 def date_formats(day_first: bool) -> tuple[tuple[str, str], ...]:
     """The formats of an upload whose ``13/02/2024`` or ``02/13/2024`` are dates."""
-    return YEAR_FIRST + (DAY_FIRST if day_first else MONTH_FIRST) + DOTTED
+    return YEAR_FIRST + (DAY_FIRST if day_first else MONTH_FIRST) + DOTTED + NAMED
 
 
 DEFAULT_DATE_FORMATS = date_formats(day_first=False)
@@ -32,21 +42,33 @@ def detect_day_first(df: DataFrame, col: str = "date_raw") -> bool:
     A first number above 12 can only be a day, a second one above 12 only a month-first date. The
     more frequent kind decides for the whole upload, never value by value; without either, month first.
     """
-    text = F.trim(F.col(col).cast("string"))
-    first, second = (F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}", i).try_cast("int") for i in (1, 2))
-    row = df.agg(F.count_if((first > 12) & (second <= 12)).alias("day"),
-                 F.count_if((second > 12) & (first <= 12)).alias("month")).first()
+    row = df.agg(*_order_votes(col)).first()
     return row["day"] > row["month"]
 
 
+def day_first_by(df: DataFrame, by: str, col: str = "date_raw") -> DataFrame:
+    """:func:`detect_day_first` for each value of ``by`` (an upload's file): ``by`` and ``_day_first``."""
+    return df.groupBy(by).agg(*_order_votes(col)).select(by, (F.col("day") > F.col("month")).alias("_day_first"))
+
+
+def _order_votes(col: str) -> list[Column]:
+    text = F.trim(F.col(col).cast("string"))
+    first, second = (F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})[/-](?:\d{4}|\d{2})(?!\d)", i).try_cast("int") for i in (1, 2))
+    return [F.count_if((first > 12) & (second <= 12)).alias("day"), F.count_if((second > 12) & (first <= 12)).alias("month")]
+
+
 def parse_date(col, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> DATE; an unparseable value gives null (never an error). A time behind the date is ignored."""
-    s = F.trim(_c(col).cast("string"))
-    day = F.regexp_extract(s, r"^[^ T]+", 0)
+    s = F.regexp_replace(F.trim(_c(col).cast("string")), r"^(\p{Alpha}{3,9} \d{1,2}), ", "$1 ")  # Jan 5, 2024
+    # A year of two digits lies between 1969 and 2068.
+    short = r"^(\d{1,2}([/.-])\d{1,2}\2)(\d{2})(?!\d)"
+    s = F.when(s.rlike(short), F.regexp_replace(s, short, F.when(F.regexp_extract(s, short, 3) >= "69", F.lit("$119$3")).otherwise(F.lit("$120$3")))).otherwise(s)
     out = None
     for shape, fmt in formats:
-        parsed = F.to_date(F.try_to_timestamp(day, F.lit(fmt)))
-        out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
+        fits, parsed = s.rlike(shape), F.to_date(F.try_to_timestamp(F.regexp_extract(s, shape, 1), F.lit(fmt)))
+        if "MMM" in fmt:  # the two lengths of a name share a shape
+            parsed, fits = F.when(fits, parsed), F.when(fits, parsed).isNotNull()
+        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
     return out
 
 

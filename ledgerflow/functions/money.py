@@ -22,7 +22,8 @@ def parse_amount(col) -> Column:
     s = F.regexp_replace(_c(col).cast("string"), r"(?U)[€$£\s]", "")
     s = F.replace(s, F.lit(","), F.lit("."))
     s = F.regexp_replace(s, r"[^0-9.\-]", "")
-    return s.try_cast(MONEY)
+    # Digits past those that are kept are cut, not rounded: rounding happens once, when a fact is stored.
+    return F.regexp_replace(s, r"(\.[0-9]{6})[0-9]+$", "$1").try_cast(MONEY)
 
 
 def signed_amount(amount, txn_type, rule: str = "abs") -> Column:

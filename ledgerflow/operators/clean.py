@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, detect_day_first, parse_date
+from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, parse_date
 from ledgerflow.functions.money import parse_amount, signed_amount
 from ledgerflow.functions.text import normalize_text, null_tokens
 from ledgerflow.schemas import (
@@ -34,6 +34,12 @@ class MissingColumnsError(ValueError):
         super().__init__(MISSING_COLUMNS_MESSAGE + ", ".join(missing))
 
 
+def missing_columns(names: list[str], required: list[str] = REQUIRED_COLUMNS) -> list[str]:
+    """The required columns that a header lacks, in the declared order."""
+    own = {str(n).strip() for n in names}
+    return [c for c in required if c not in own]
+
+
 def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(c).strip() for c in df.columns])
 
@@ -44,7 +50,7 @@ def require_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> Da
     The error lists the missing names in the declared order.
     """
     df = trim_headers(df)
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df.columns, required)
     if missing:
         raise MissingColumnsError(missing)
     return df
@@ -83,14 +89,15 @@ def _reasons():
     return F.when(valid, F.array().cast("array<string>")).otherwise(F.split(missing, ","))
 
 
-def parse_and_normalise(df: DataFrame, formats=DEFAULT_DATE_FORMATS) -> DataFrame:
+def parse_and_normalise(df: DataFrame, formats=DEFAULT_DATE_FORMATS, date=None) -> DataFrame:
     """Typed, normalised ledger columns plus the calendar and a ``reasons`` array.
 
     ``reasons`` is empty for a valid row and lists the missing required values
-    otherwise. ``date_raw`` and ``amount_raw`` are kept for the rejected rows.
+    otherwise. ``date_raw`` and ``amount_raw`` are kept for the rejected rows. ``date`` replaces the
+    parsing of ``date_raw`` by ``formats``.
     """
     out = df.withColumns({
-        "txn_date": parse_date("date_raw", formats),
+        "txn_date": parse_date("date_raw", formats) if date is None else date,
         "amount": parse_amount("amount_raw"),
         **{c: normalize_text(c) for c in NORMALISED},
     })
@@ -123,6 +130,19 @@ def clean_ledger(raw: DataFrame, day_first: bool | None = None, with_copies: boo
     return out if with_copies else out.drop(COPIES)
 
 
+def clean_uploads(raw: DataFrame, upload: str = "upload") -> DataFrame:
+    """Several uploads at once, each cleaned by itself: ``upload`` names the file of a row.
+
+    The order of day and month is decided for each file by one aggregate over the dates (one row per file), and rows are
+    duplicates only within their file. Copies are counted, as ``with_copies`` does.
+    """
+    orders = day_first_by(raw, upload)
+    df = drop_exact_duplicates(null_tokens(raw), COPIES).join(F.broadcast(orders), upload)  # one row per file of a batch
+    date = F.when(F.col("_day_first"), parse_date("date_raw", date_formats(True))).otherwise(parse_date("date_raw", date_formats(False)))
+    out = parse_and_normalise(df, date=date).drop("_day_first")
+    return out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
+
+
 def split_valid(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows in the clean schema, rejected rows with their reasons)."""
     ok = F.size("reasons") == 0

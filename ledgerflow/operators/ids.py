@@ -28,20 +28,20 @@ def _order_cols(order: list) -> list[Column]:
 
 
 def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions: int | None = None,
-               stored: list[str] | None = None) -> DataFrame:
+               stored: list[str] | None = None, folders: tuple[str, str] | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls first).
 
     ``order=None`` numbers rows in their current partition order: still gap-free and
-    stable (the tagged frame is stored), but without the range shuffle. That
+    stable (the rows are stored), but without the range shuffle. That
     is the cheap choice for a huge fact table whose ids need no particular order.
 
     ``start`` is an int or a one-row, one-column DataFrame (e.g. ``max(id) + 1`` of
     an existing table) so appends stay lazy and nothing goes through the driver.
     Rows equal on the whole order key get consecutive ids in an arbitrary order;
     pass a total order when ids must be reproducible row by row. ``stored`` names the columns to keep: others
-    only take part in the order.
+    only take part in the order. ``folders`` says where rows and offsets are stored for good; :func:`read_numbered` reads
+    them again.
     """
-    spark = df.sparkSession
     if order:
         # Without an explicit count AQE may coalesce adjacent ranges towards the
         # advisory partition size; coalescing keeps the order, so ids stay exact.
@@ -51,9 +51,18 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
     else:
         # No order: number rows as they lie in their files (no shuffle at all, and no copy of a stored table).
         ordered = df
-    table = materialize(ordered.select(*stored) if stored else ordered)
-    placed = table.select("*", F.col("_metadata.file_path").alias("__lf_file"), F.col("_metadata.row_index").alias("__lf_row"))
-    counts = placed.groupBy("__lf_file").agg(F.count(F.lit(1)).alias("__lf_cnt"))
+    rows = materialize(ordered.select(*stored) if stored else ordered, folder=folders and folders[0])
+    offsets = materialize(_offsets(rows, start), folder=folders and folders[1])
+    return read_numbered(rows, offsets, id_col)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("_metadata.file_path").alias("__lf_file"), F.col("_metadata.row_index").alias("__lf_row"))
+
+
+def _offsets(rows: DataFrame, start) -> DataFrame:
+    """For each file of a stored table the id before its first row (``__lf_file``, ``__lf_off``)."""
+    counts = _placed(rows).groupBy("__lf_file").agg(F.count(F.lit(1)).alias("__lf_cnt"))
     # The task's number is the place of its range; written out in full, since file names pad it to five digits only.
     task = F.coalesce(F.regexp_extract("__lf_file", r"part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
     counts = counts.select("__lf_file", "__lf_cnt", task.alias("__lf_task"))
@@ -62,12 +71,17 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
     if isinstance(start, DataFrame):
         before = start.select((F.col(start.columns[0]).cast("long") - 1).alias("__lf_cnt"))
     else:
-        before = spark.range(1).select(F.lit(int(start) - 1).cast("long").alias("__lf_cnt"))
+        before = rows.sparkSession.range(1).select(F.lit(int(start) - 1).cast("long").alias("__lf_cnt"))
     counts = counts.unionByName(before.select(F.lit("").alias("__lf_file"), "__lf_cnt", F.lit(-1).cast("long").alias("__lf_task")))
     # One row per file: the offset window is bounded by their number.
     w = Window.orderBy("__lf_task", "__lf_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(counts.select("__lf_file", F.coalesce(F.sum("__lf_cnt").over(w), F.lit(0)).alias("__lf_off")))
-    out = placed.join(F.broadcast(offsets), "__lf_file")
+    return counts.select("__lf_file", F.coalesce(F.sum("__lf_cnt").over(w), F.lit(0)).alias("__lf_off"))
+
+
+def read_numbered(rows: DataFrame, offsets: DataFrame, id_col: str) -> DataFrame:
+    """Stored rows with their ids: the file's offset plus the place in the file. Both frames may be the union
+    of several stored tables."""
+    out = _placed(rows).join(F.broadcast(offsets), "__lf_file")  # one row per file
     out = out.withColumn(id_col, (F.lit(1) + F.col("__lf_off") + F.col("__lf_row")).cast("long"))
     return mark_stored(out.drop("__lf_file", "__lf_row", "__lf_off"))
 

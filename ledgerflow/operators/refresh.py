@@ -47,23 +47,44 @@ def _labelled(base: DataFrame) -> DataFrame:
         _label("year_month", LABEL_NO_MONTH).alias("ym"))
 
 
-def refresh_aggregate(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
-    """The refresh sums of ``parts`` in ONE aggregate over grouping sets (global, quarter,
+_SUM = "decimal(38,6)"  # what Spark sums money to
+SUMS = ["tot", "net", "rev", "neg", "n"]
+
+
+def refresh_partials(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
+    """The sums of ``parts`` in ONE aggregate over grouping sets (global, quarter,
     department, transaction type, expense type, month): one scan of the facts and
-    one shuffle of map-side partial sums, instead of one scan per KPI family."""
+    one shuffle of map-side partial sums, instead of one scan per KPI family.
+
+    The rows (a few per key) can be stored and added up: sums, a count and a maximum, so partials of old and of
+    new facts together are those of all facts.
+    """
     b = _labelled(base)
     a, s = F.coalesce(F.col("amount"), _zero()), F.coalesce(F.col("signed_amount"), _zero())
     sets = [[], *([k] for k in _KEYS)]
     agg = b.groupingSets([sets[p] for p in parts], *_KEYS).agg(
-        F.coalesce(F.sum(a), _zero()).alias("tot"), F.coalesce(F.sum(s), _zero()).alias("net"),
-        F.coalesce(F.sum(F.when(s > 0, s)), _zero()).alias("rev"),
-        F.abs(F.coalesce(F.sum(F.when(s < 0, s)), _zero())).alias("dep_abs"),
-        F.count(F.lit(1)).alias("n"), F.max("department_id").alias("dept_id"),
-        F.grouping_id().alias("gid"))
+        F.sum(a).alias("tot"), F.sum(s).alias("net"), F.sum(F.when(s > 0, s)).alias("rev"), F.sum(F.when(s < 0, s)).alias("neg"),
+        F.count(F.lit(1)).alias("n"), F.max("department_id").alias("dept_id"), F.grouping_id().alias("gid"))
+    return agg.select("gid", *_KEYS, *(F.col(c).cast(_SUM if c != "n" else "long").alias(c) for c in SUMS), "dept_id")
+
+
+def add_partials(partials: DataFrame) -> DataFrame:
+    """Partial sums of several loads added up: one row per grouping set and key."""
+    return partials.groupBy("gid", *_KEYS).agg(*(F.sum(c).cast(_SUM if c != "n" else "long").alias(c) for c in SUMS),
+                                                F.max("dept_id").alias("dept_id"))
+
+
+def _finished(partials: DataFrame) -> DataFrame:
     part = F.lit(None).cast("int")
     for gid, p in _PARTS.items():
         part = F.when(F.col("gid") == gid, F.lit(p)).otherwise(part)
-    return agg.withColumn("part", part)
+    filled = {c: F.coalesce(c, _zero()) for c in ("tot", "net", "rev")}
+    return partials.withColumns({**filled, "dep_abs": F.abs(F.coalesce("neg", _zero())), "part": part})
+
+
+def refresh_aggregate(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
+    """The refresh sums of ``parts`` with their part number."""
+    return _finished(refresh_partials(base, parts))
 
 
 def _kpi_struct(name, period, value, evolution, dept, stat, part, position) -> Column:
@@ -75,12 +96,20 @@ def _kpi_struct(name, period, value, evolution, dept, stat, part, position) -> C
 
 
 def refresh_kpis(base: DataFrame, parts: tuple[int, ...] = ALL_PARTS) -> DataFrame:
-    """The refresh rows of ``parts`` (all by default), emitted from the one grouping-sets aggregate.
+    """The refresh rows of ``parts`` (all by default), emitted from the one grouping-sets aggregate."""
+    return _kpi_rows(refresh_aggregate(base, parts))
+
+
+def kpis_from_partials(partials: DataFrame) -> DataFrame:
+    """The refresh rows from stored partial sums of any number of loads: equal to the refresh over all their facts,
+    without reading one."""
+    return _kpi_rows(_finished(add_partials(partials)))
+
 
-    Every aggregate row becomes its KPI row(s) in one projection (``inline``); the
+def _kpi_rows(agg: DataFrame) -> DataFrame:
+    """Every aggregate row becomes its KPI row(s) in one projection (``inline``); the
     month-over-month lag is a window over the month rows only (one per month).
     """
-    agg = refresh_aggregate(base, parts)
     val = F.round("tot", 2)
     # Only the month rows need to stand together; the other rows are spread by their key.
     spread = F.when(F.col("part") == 5, F.lit(0)).otherwise(F.xxhash64("qkey", "dep", "tt", "td"))

@@ -123,44 +123,76 @@ def build_dimensions(ledger: DataFrame) -> dict:
 
 # --------------------------------------------------------------------------- incremental upserts
 
-def _append_new(existing: DataFrame, new_members: DataFrame, key: list[str], id_col: str) -> DataFrame:
-    """Members of ``new_members`` whose key is not in ``existing`` get ids max+1...;
-    the result is existing + new (insert-only: existing rows never change)."""
-    fresh = new_members.join(existing.select(*key), on=key, how="left_anti")
-    numbered = assign_ids(fresh, key, id_col, next_id(existing, id_col))
-    return existing.unionByName(numbered.select(*existing.columns))
+UPLOAD = "upload"  # place of a row's file among the files of one batch, where the batch has several
 
 
-def upsert_date(dim: DataFrame, ledger: DataFrame) -> DataFrame:
-    dates = ledger.select(F.col("txn_date").alias("date")).where(F.col("date").isNotNull()).distinct()
+def _new_members(existing: DataFrame, members: DataFrame, key: list[str], id_col: str) -> DataFrame:
+    """Members whose key is not in ``existing``, with ids max+1...: by the file that brings them first, then by key, so that
+    several files of one batch give the ids that they give one after another."""
+    fresh = members.join(existing.select(*key), on=key, how="left_anti")
+    order = [UPLOAD, *key] if UPLOAD in members.columns else key
+    kept = [c for c in existing.columns if c != id_col]
+    return assign_ids(fresh, order, id_col, next_id(existing, id_col), stored=kept).select(*existing.columns)
+
+
+def _members(ledger: DataFrame, key: list[str], by_first_file: list | None = None) -> DataFrame:
+    """One row per key; with several files, the first one that has it (and aggregates over that file's rows only)."""
+    rows = ledger.dropna(subset=key)
+    if UPLOAD not in ledger.columns:
+        return rows.groupBy(*key).agg(*by_first_file) if by_first_file else rows.select(*key).distinct()
+    if not by_first_file:
+        return rows.groupBy(*key).agg(F.min(UPLOAD).alias(UPLOAD))
+    per_file = rows.groupBy(*key, UPLOAD).agg(*by_first_file)
+    values = [c for c in per_file.columns if c not in (*key, UPLOAD)]
+    first = per_file.groupBy(*key).agg(F.min(F.struct(UPLOAD, *values)).alias("_first"))
+    return first.select(*key, f"_first.{UPLOAD}", *(f"_first.{c}" for c in values))
+
+
+def new_dates(dim: DataFrame, ledger: DataFrame) -> DataFrame:
     cal = calendar_columns("date")
-    members = dates.select("date", *[cal[c].alias(c) for c in ["year", "month", "quarter", "fiscal_year",
-                                                                "day_name", "iso_week", "day_of_year",
-                                                                "year_month"]])
-    return _append_new(dim, members, ["date"], "date_id")
+    members = _members(ledger.withColumnRenamed("txn_date", "date"), ["date"])
+    return _new_members(dim, members.withColumns({c: cal[c] for c in dim.columns if c in cal}), ["date"], "date_id")
 
 
-def upsert_owner(dim: DataFrame, ledger: DataFrame, owner_key: tuple[str, ...] = ("owner", "department")) -> DataFrame:
+def new_owners(dim: DataFrame, ledger: DataFrame, owner_key: tuple[str, ...] = ("owner", "department")) -> DataFrame:
     """Owners keyed by (name, department) by default, as the incremental loader does."""
     key = list(owner_key)
-    members = ledger.select("owner", "department").dropna().distinct()
     if key == ["owner"]:
-        members = first_per_key(with_first_seen(ledger.where(F.col("owner").isNotNull())),
-                                ["owner"], "_ord", ["department"])
-    return _append_new(dim, members, key, "owner_id")
+        seen = _first_seen_values(ledger.where(F.col("owner").isNotNull()), ["owner"], ["department"])
+        return _new_members(dim, seen, key, "owner_id")
+    return _new_members(dim, _members(ledger, ["owner", "department"]), key, "owner_id")
 
 
-def upsert_counterparty(dim: DataFrame, ledger: DataFrame) -> DataFrame:
+def new_counterparties(dim: DataFrame, ledger: DataFrame) -> DataFrame:
     """New counterparties; kind from the first row seen (trimmed, case-insensitive test)."""
-    first = first_per_key(with_first_seen(ledger.where(F.col("counterparty").isNotNull() & F.col("txn_type").isNotNull())),
-                          ["counterparty"], "_ord", ["txn_type"])
-    members = first.select("counterparty", counterparty_kind("txn_type").alias("kind"))
-    return _append_new(dim, members, ["counterparty"], "counterparty_id")
+    rows = ledger.where(F.col("counterparty").isNotNull() & F.col("txn_type").isNotNull())
+    seen = _first_seen_values(rows, ["counterparty"], ["txn_type"])
+    return _new_members(dim, seen.withColumn("kind", counterparty_kind("txn_type")).drop("txn_type"), ["counterparty"], "counterparty_id")
+
 
+def new_projects(dim: DataFrame, ledger: DataFrame) -> DataFrame:
+    """New projects with their span in the file that brings them; existing spans are never widened."""
+    span = [F.min("txn_date").alias("start_date"), F.max("txn_date").alias("end_date")]
+    return _new_members(dim, _members(ledger, ["project"], span), ["project"], "project_id")
 
-def upsert_project(dim: DataFrame, ledger: DataFrame) -> DataFrame:
-    """New projects with their span; existing spans are never widened."""
-    return _append_new(dim, project_span(ledger), ["project"], "project_id")
+
+def _first_seen_values(rows: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
+    """``cols`` of the first row seen of each key; an upload's ordinal follows the order of its files."""
+    first = first_per_key(with_first_seen(rows), key, "_ord", cols)
+    if UPLOAD not in rows.columns:
+        return first
+    return first.join(rows.groupBy(*key).agg(F.min(UPLOAD).alias(UPLOAD)), key)
+
+
+def _upsert(new):
+    """The whole dimension after an insert-only extension: existing rows never change."""
+    def upsert(dim: DataFrame, ledger: DataFrame, *options) -> DataFrame:
+        return dim.unionByName(new(dim, ledger, *options))
+    upsert.__doc__ = new.__doc__
+    return upsert
+
+
+upsert_date, upsert_owner, upsert_counterparty, upsert_project = map(_upsert, (new_dates, new_owners, new_counterparties, new_projects))
 
 
 # --------------------------------------------------------------------------- facts
@@ -203,20 +235,25 @@ def resolve_keys(ledger: DataFrame, dims: dict[str, DataFrame], strict: bool = T
     return df.withColumn("resolved", ok)
 
 
-def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True) -> DataFrame:
+FACT_COLUMNS = [*FACT_IDS, "amount", "signed_amount"]  # as stored; the fact's own id is its place
+
+
+def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True, folders: tuple[str, str] | None = None) -> DataFrame:
     """Resolved rows -> fact rows numbered from ``start``.
 
     ``ordered`` numbers in ledger order (one range shuffle of the facts, ids
     reproducible row by row); ``ordered=False`` numbers in partition order of the
-    materialized input (no shuffle), for loads where only gap-free ids matter.
+    materialized input (no shuffle), for loads where only gap-free ids matter. ``folders``: where the facts
+    and their files' offsets are stored for good.
     """
+    first = [UPLOAD] if UPLOAD in resolved.columns else []  # several files are numbered one after another
     rows = resolved.where(F.col("resolved")).select(
-        *LEDGER_ORDER[:-3], "department_code", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],
+        *first, *LEDGER_ORDER[:-3], "department_code", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],
         F.col("amount").alias("_exact"), F.round("amount", 2).cast(MONEY).alias("amount"),
         F.col("signed_amount").cast(MONEY).alias("signed_amount"))
-    order = [*LEDGER_ORDER[:-3], "_exact", "signed_amount", "department_code"]
-    numbered = assign_ids(rows, order if ordered else None, "transaction_id", start, stored=[*FACT_IDS, "amount", "signed_amount"])
-    return mark_stored(numbered.select("transaction_id", *FACT_IDS, "amount", "signed_amount"))
+    order = [*first, *LEDGER_ORDER[:-3], "_exact", "signed_amount", "department_code"]
+    numbered = assign_ids(rows, order if ordered else None, "transaction_id", start, stored=FACT_COLUMNS, folders=folders)
+    return mark_stored(numbered.select("transaction_id", *FACT_COLUMNS))
 
 
 def load_facts(existing: DataFrame | None, resolved: DataFrame, replace: bool = True,

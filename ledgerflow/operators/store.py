@@ -105,13 +105,14 @@ def initial_store(batch: DataFrame, created_at: _dt.datetime) -> DataFrame:
     return materialize(stamp(normalise_batch(batch), created_at).select(*[f.name for f in KPI_VALUES.fields]))
 
 
-def latest(df: DataFrame, n: int, ts: str = "created_at", tie: str = "id") -> DataFrame:
-    """Newest ``n`` rows, with an id tie-break (a top-k, not a full sort)."""
-    return df.orderBy(F.desc_nulls_last(ts), F.desc_nulls_last(tie)).limit(n)
+def latest(df: DataFrame, n: int | None, ts: str = "created_at", tie: str = "id") -> DataFrame:
+    """Newest ``n`` rows, with an id tie-break (a top-k, not a full sort); all rows in that order for None."""
+    out = df.orderBy(F.desc_nulls_last(ts), F.desc_nulls_last(tie))
+    return out if n is None else out.limit(n)
 
 
 def kpi_lookup(store: DataFrame, name: str | None = None, period: str | None = None,
-               limit: int = KPI_READ_LIMIT) -> DataFrame:
+               limit: int | None = KPI_READ_LIMIT) -> DataFrame:
     df = store
     if name:
         df = df.where(F.col("kpi_name") == name)
@@ -127,7 +128,7 @@ def forecast_values(df: DataFrame, col: str = "results") -> DataFrame:
 
 
 def read_forecasts(df: DataFrame, department_id: int | None = None, ftype: str | None = None,
-                   limit: int = FORECAST_READ_LIMIT) -> DataFrame:
+                   limit: int | None = FORECAST_READ_LIMIT) -> DataFrame:
     if department_id is not None:
         df = df.where(F.col("department_id") == int(department_id))
     if ftype:

@@ -188,6 +188,57 @@ def q_ledger_csv_mixed(spark, sf_dir):
     return T.null_tokens(read_ledger_csv(spark, path + "/*/*.csv")).select(*raw(spark, sf_dir).columns)
 
 
+# The files of one batch: which rows (by the last digit of their project) and how each writes its dates.
+BATCH_FILES = [("0_iso", (0, 3), "yyyy-MM-dd"), ("1_day_first", (2, 6), "dd/MM/yyyy"), ("2_month_first", (5, 9), "MM/dd/yyyy"),
+               ("3_lacking", (0, 9), "yyyy-MM-dd")]
+
+
+def batch_files(spark, sf_dir) -> list[str]:
+    """The upload dealt into files that share rows, write their dates in different orders, and one that lacks a required column."""
+    from ledgerflow.sources.ledger_csv import write_ledger_csv
+
+    def build():
+        r, out = raw(spark, sf_dir), []
+        digit, day = F.right(F.trim("project"), F.lit(1)).try_cast("int"), F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-MM-dd")))
+        names = {own: name for name, own in UPLOAD_TO_LEDGER.items()}
+        for name, (low, high), fmt in BATCH_FILES:
+            path = shared_folder(spark, "uploads", _sf_name(sf_dir), "batch", name)
+            text = F.coalesce(F.date_format(day, fmt), F.col("date_raw"))
+            rows = r.where(F.coalesce(digit, F.lit(0)).between(low, high)).withColumn("date_raw", text)
+            kept = [c for c in r.columns if name != "3_lacking" or c != "project"]
+            write_ledger_csv(rows.select(*(F.col(c).alias(names[c]) for c in kept)).coalesce(1), path)
+            out += [f for f in spark.read.text(path + "/*.csv").inputFiles()]
+        return out
+    return _memo(spark, sf_dir, "batch_files", build)
+
+
+@query("uploads_by_file")
+def q_uploads_by_file(spark, sf_dir):
+    """The valid rows of several files read as one batch, each cleaned as an upload of its own: the file, the typed values, the copies."""
+    from ledgerflow.sources.ledger_csv import read_uploads
+
+    cleaned = C.clean_uploads(read_uploads(spark, batch_files(spark, sf_dir)).rows)
+    return cleaned.where(F.size("reasons") == 0).select("upload", "txn_date", "department", "txn_type", "owner", "counterparty", "project",
+                                                        "amount", C.COPIES)
+
+
+@query("star_appended")
+def q_star_appended(spark, sf_dir):
+    """Facts read from the append log after two batches of files: the first file builds the star, the others extend it."""
+    from ledgerflow.streaming.uploads import load_batch, read_star
+
+    def build():
+        base, paths = shared_folder(spark, "star-log", _sf_name(sf_dir)), batch_files(spark, sf_dir)
+        for number, files in enumerate((paths[:2], paths[2:])):
+            load_batch(spark.createDataFrame([(k, f) for k, f in enumerate(files)], "modificationTime int, path string"), number,
+                       f"{base}/star", f"{base}/history")
+        return base
+    base = _memo(spark, sf_dir, "star_appended", build)
+    star = read_star(spark, f"{base}/star")
+    days = star.facts.join(star.dims["dim_date"].select("date_id", "date"), "date_id")
+    return days.select("transaction_id", "date", "amount", "signed_amount")
+
+
 @query("upload_columns")
 def q_upload_columns(spark, sf_dir):
     """An upload with the application's column names, blanks around them, checked and renamed."""
@@ -638,7 +689,7 @@ def q_kpi_keyword_total(spark, sf_dir):
 @query("history_groups")
 def q_history_groups(spark, sf_dir):
     h = H.history_with_users(B.import_history(spark, sf_dir), B.users(spark, sf_dir))
-    return H.history_groups(h).select("user_name", "item_no", "id", "imported_at_label", "status")
+    return H.history_groups(h).select("user_name", "item_no", "id", "imported_at_label", "status", "data")
 
 
 # ------------------------------------------------------------------ F. windows
@@ -694,6 +745,17 @@ def q_kpi_merge_counts(spark, sf_dir):
     return counts
 
 
+@query("kpi_refresh_incremental")
+def q_kpi_refresh_incremental(spark, sf_dir):
+    """The refresh after facts were appended, from the stored partial sums of the old and of the new facts alone."""
+    first, second = star1(spark, sf_dir), load2(spark, sf_dir).star
+
+    def build():
+        return [materialize(R.refresh_partials(St.kpi_base(st.facts, st.dims))) for st in (first, second)]
+    old, new = _memo(spark, sf_dir, "partials", build)
+    return R.kpis_from_partials(old.unionByName(new))
+
+
 @query("audit_status")
 def q_audit_status(spark, sf_dir):
     return H.audit_status(B.import_history(spark, sf_dir).drop("status")).select("id", "n_errors", "status")

@@ -20,7 +20,7 @@ from ledgerflow.operators import clean as C
 from ledgerflow.operators import refresh as R
 from ledgerflow.operators import star as St
 from ledgerflow.operators import store as K
-from ledgerflow.session import materialize
+from ledgerflow.session import mark_stored, materialize
 
 
 @dataclass
@@ -64,6 +64,19 @@ def rebuild_star(ledger: DataFrame) -> Star:
 class LoadResult:
     star: Star
     resolved: DataFrame  # cleaned valid rows with their ids and a ``resolved`` flag
+    members: dict[str, DataFrame]  # what the load added to the dimensions
+
+
+def extend_dimensions(dims: dict[str, DataFrame], ledger: DataFrame, owner_key: tuple[str, ...] = ("owner", "department")
+                      ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(all dimensions after an upload, the members that it added). Only the added members are written."""
+    members = materialize_all({
+        "dim_date": lambda: St.new_dates(dims["dim_date"], ledger),
+        "dim_owner": lambda: St.new_owners(dims["dim_owner"], ledger, owner_key),
+        "dim_counterparty": lambda: St.new_counterparties(dims["dim_counterparty"], ledger),
+        "dim_project": lambda: St.new_projects(dims["dim_project"], ledger),
+    })
+    return dims | {k: mark_stored(dims[k].unionByName(m)) for k, m in members.items()}, members
 
 
 def load_upload(star: Star, ledger: DataFrame, replace: bool = True,
@@ -71,16 +84,10 @@ def load_upload(star: Star, ledger: DataFrame, replace: bool = True,
     """Incremental load of one cleaned upload into an existing star. ``owner_key``: owners are one per
     (name, department), or one per name with ``("owner",)``."""
     ledger = materialize(ledger)
-    dims = dict(star.dims)
-    dims.update(materialize_all({
-        "dim_date": lambda: St.upsert_date(dims["dim_date"], ledger),
-        "dim_owner": lambda: St.upsert_owner(dims["dim_owner"], ledger, owner_key),
-        "dim_counterparty": lambda: St.upsert_counterparty(dims["dim_counterparty"], ledger),
-        "dim_project": lambda: St.upsert_project(dims["dim_project"], ledger),
-    }))
+    dims, members = extend_dimensions(star.dims, ledger, owner_key)
     resolved = materialize(St.resolve_keys(ledger, dims, strict=True, owner_by_name=owner_key == ("owner",)))  # the load, an append and the counters read it
     facts = St.load_facts(star.facts, resolved, replace=replace)  # the new rows are stored once, the old ones stay where they are
-    return LoadResult(Star(dims, facts), resolved)
+    return LoadResult(Star(dims, facts), resolved, members)
 
 
 def refresh_from_star(star: Star) -> DataFrame:

@@ -597,6 +597,9 @@ for _n, _part in [("refresh_global", "global"), ("refresh_quarter", "quarter"),
                   ("refresh_txn_type", "txn_type"), ("refresh_expense_type", "expense_type"),
                   ("monthly_evolution", "monthly")]:
     oracle(_n, f"SELECT * EXCLUDE (part, position) FROM r2_{_part}", [f"r2_{_part}"])
+_kpi_base("kb3", "s2_appended", S2)
+_refresh("r3", "kb3")
+oracle("kpi_refresh_incremental", "SELECT * FROM r3_all", ["r3_all"])
 oracle("kpi_refresh_all", "SELECT * FROM r2_all", ["r2_all"])
 oracle("project_span", """
 SELECT project, min(txn_date) AS start_date, max(txn_date) AS end_date FROM ledger
@@ -621,7 +624,8 @@ SELECT coalesce(sum(CASE WHEN contains(strip_accents(lower(kpi_name)), 'revenu')
 FROM merged""", ["merged"])
 oracle("history_groups", """
 SELECT user_name, row_number() OVER (PARTITION BY user_name ORDER BY imported_at DESC NULLS LAST, id DESC) AS item_no,
-       id, strftime(imported_at, '%Y-%m-%d %H:%M') AS imported_at_label, coalesce(status, 'succes') AS status
+       id, strftime(imported_at, '%Y-%m-%d %H:%M') AS imported_at_label, coalesce(status, 'succes') AS status,
+       CAST(to_json(list_transform(range(id % 7), lambda i: {'order': id, 'status': o_orderstatus, 'priority': o_orderpriority})) AS VARCHAR) AS data
 FROM history_users""", ["history_users"])
 oracle("first_per_key", f"""
 SELECT owner, department, txn_date FROM (
@@ -660,7 +664,7 @@ FROM history""", ["history"])
 oracle("history_detail", """
 SELECT id,
        CASE WHEN n_items > 0 THEN ['order', 'status', 'priority'] ELSE CAST([] AS VARCHAR[]) END AS columns,
-       CAST(n_items AS INTEGER) AS rows_count,
+       CAST(n_items AS BIGINT) AS rows_count,
        CAST(to_json(list_transform(range(least(n_items, 5)),
             lambda i: {'order': id, 'status': o_orderstatus, 'priority': o_orderpriority})) AS VARCHAR)
          AS preview
@@ -800,10 +804,26 @@ cte("first_rows", """
 oracle("audit_detail", """
 SELECT CAST(12 AS BIGINT) AS id, n_inserted AS n_rows, n_rejected + n_skipped AS n_errors,
        CASE WHEN n_rejected + n_skipped > 0 THEN 'partiel' ELSE 'succes' END AS status, 'version 1; 5 rows kept' AS details,
-       'txn_date,department,amount,department_code,owner,counterparty' AS columns, CAST(5 AS INTEGER) AS rows_count,
+       'txn_date,department,amount,department_code,owner,counterparty' AS columns, (SELECT count(*) FROM ledger) AS rows_count,
        (SELECT CAST(to_json(list({'txn_date': txn_date, 'department': department, 'amount': amount, 'department_code': department_code,
                                   'owner': owner, 'counterparty': counterparty} ORDER BY rn)) AS VARCHAR)
         FROM first_rows WHERE rn <= 5) AS preview
 FROM (SELECT count(*) FILTER (WHERE len(reasons) > 0) AS n_rejected FROM ledger_all) a,
      (SELECT count(*) FILTER (WHERE NOT resolved) AS n_skipped, count(*) FILTER (WHERE resolved) AS n_inserted
-      FROM s2_resolved) b""", ["ledger_all", "s2_resolved", "first_rows"])
+      FROM s2_resolved) b""", ["ledger", "ledger_all", "s2_resolved", "first_rows"])
+
+# Files of one batch: each holds the rows whose project ends in its digits, and is cleaned by itself.
+cte("by_file", " UNION ALL ".join(f"""
+  SELECT {k} AS upload, * FROM (SELECT *, coalesce(TRY_CAST(right(project, 1) AS INTEGER), 0) AS digit FROM ledger_all
+                                WHERE len(reasons) = 0) WHERE digit BETWEEN {low} AND {high}"""
+                                  for k, (low, high) in enumerate([(0, 3), (2, 6), (5, 9)])), ["ledger_all"])
+oracle("uploads_by_file", """
+SELECT CAST(upload AS INTEGER) AS upload, txn_date, department, txn_type, owner, counterparty, project, amount, n_copies FROM by_file""", ["by_file"])
+cte("known", "SELECT DISTINCT department, txn_type, expense_type FROM by_file WHERE upload = 0", ["by_file"])
+oracle("star_appended", """
+SELECT row_number() OVER (ORDER BY upload, txn_date, department, txn_type, expense_type, owner, counterparty, project, amount, signed_amount,
+                          department_code NULLS FIRST) AS transaction_id,
+       txn_date AS date, CAST(round(amount, 2) AS DECIMAL(28,6)) AS amount, signed_amount
+FROM by_file
+WHERE upload = 0 OR (department IN (SELECT department FROM known) AND txn_type IN (SELECT txn_type FROM known)
+                     AND expense_type IN (SELECT expense_type FROM known))""", ["by_file", "known"])

@@ -56,7 +56,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def materialize(df, partition_by: list[str] | None = None):
+def materialize(df, partition_by: list[str] | None = None, folder: str | None = None):
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
 
     For a frame that several later jobs consume (the cleaned upload feeds seven
@@ -64,14 +64,15 @@ def materialize(df, partition_by: list[str] | None = None):
     the whole lineage (scan, joins, dedup). The stored table survives executor loss,
     readers take only the columns they need, and their filters reach the scan
     (``partition_by`` also prunes folders). Tables of one application share a folder, so
-    a retention rule on the checkpoint storage removes them together.
+    a retention rule on the checkpoint storage removes them together. ``folder`` names a place of its own instead,
+    for tables that stay.
     """
-    if getattr(df, "_lf_materialized", False):
+    if getattr(df, "_lf_materialized", False) and folder is None:
         return df  # already a stored table: writing it again would only copy it
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(folder)
+    writer.mode("overwrite").parquet(folder)
     # The written schema is passed on, so that no job has to look for it; partition columns keep their place.
     out = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
     return mark_stored(out)

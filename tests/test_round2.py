@@ -98,9 +98,9 @@ def test_stream_matches_columns_by_name_and_records_failures(spark, tmpdir_path)
 
 
 def test_amounts_keep_their_digits_until_they_are_stored(spark):
-    df = spark.createDataFrame([("1.0049",), ("9999999999999999.99",), ("-0,005",)], "a string")
+    df = spark.createDataFrame([("1.0049",), ("9999999999999999.99",), ("-0,005",), ("1.00499999",)], "a string")
     got = [(str(r["p"]), str(r["s"])) for r in df.select(M.parse_amount("a").alias("p"), F.round(M.parse_amount("a"), 2).alias("s")).collect()]
-    assert got == [("1.004900", "1.00"), ("9999999999999999.990000", "9999999999999999.99"), ("-0.005000", "-0.01")]
+    assert got == [("1.004900", "1.00"), ("9999999999999999.990000", "9999999999999999.99"), ("-0.005000", "-0.01"), ("1.004999", "1.00")]
 
 
 @pytest.mark.parametrize("texts, day_first", [(["13/02/2024", "05/03/2024"], True), (["02/13/2024", "05/03/2024"], False),
@@ -114,9 +114,13 @@ def test_one_order_of_day_and_month_for_an_upload(spark, texts, day_first):
 
 
 def test_times_behind_a_date(spark):
-    texts = ["2024-01-05T10:00:00.123", "2024-01-05 10:00", "2024/1/5 1:02:03", "05.01.2024", "2024-01-05T10:00:00Z", "2024-01-05 noon"]
+    texts = ["2024-01-05T10:00:00.123", "2024-01-05 10:00", "2024/1/5 1:02:03", "05.01.2024", "2024-01-05T10:00:00Z",
+             "2024-01-05T10:00:00+01:00", "20240105", "01/05/24", "5 Jan 2024", "5-jan-2024", "January 5, 2024", "Jan 5 2024 10:00", "05.01.24", "2024-01-05 noon"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(D.parse_date("t")).collect()] == [dt.date(2024, 1, 5)] * 5 + [None]
+    assert [r[0] for r in df.select(D.parse_date("t")).collect()] == [dt.date(2024, 1, 5)] * (len(texts) - 1) + [None]
+    old = spark.createDataFrame([("05/01/69",), ("05/01/68",), ("20241305",), ("5 Foo 2024",), ("99 Jan 2024",)], "t string")
+    got = [r[0] for r in old.select(D.parse_date("t", D.date_formats(True))).collect()]
+    assert got == [dt.date(1969, 1, 5), dt.date(2068, 1, 5), None, None, None]
 
 
 def test_json_values_keep_their_types(spark):
