@@ -12,8 +12,8 @@ The phrases are broadcast in blocks: the items are counted first, and when they
 than ``block_words`` words they are dealt by a hash into as many blocks as it takes, each broadcast by
 itself and run over all documents in turn (one pass per block, no shuffle).
 
-Defined cases: a null text, of a document or an item, has no words; an item without an id is not
-searched for; item rows that repeat an id count as one item; a null document id stays a row; repeated
+Defined cases: a null text, of a document or an item, has no words; an item without an id is searched for, hit and
+removed like any other, and only missing from the ids; item rows that repeat an id count as one item; a null document id stays a row; repeated
 rows each get a result; empty tables give an empty result or nothing found; other columns are not read.
 """
 
@@ -59,7 +59,7 @@ class Phrases:
         return max(self.by_length, default=1)
 
 
-def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
+def phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
     """The phrases of (item id, text) pairs; equal phrases of several items are one."""
     symbols: dict[bytes, int] = {}
     owners: dict[tuple[int, ...], set[str]] = {}
@@ -67,7 +67,7 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
         own = [symbols.setdefault(w, len(symbols) + 1) for w in words(text)]
         size = min(window, len(own))
         for i in range(len(own) - size + 1 if size else 0):
-            owners.setdefault(tuple(own[i:i + size]), set()).add(item)
+            owners.setdefault(tuple(own[i:i + size]), set()).update([item] if item is not None else [])
     lengths: dict[int, list] = {}
     for phrase, who in owners.items():
         lengths.setdefault(len(phrase), []).append((phrase, sorted(who)))
@@ -183,8 +183,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     the items found, sorted as strings. Narrow over the documents, one pass for each block of items."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where(
-        "item is not null and text is not null")
+    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     # A word has at least one byte and a separator, so half the bytes bound the words.
     total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
     blocks = total // block_words + 1
