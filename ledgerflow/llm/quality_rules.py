@@ -4,9 +4,8 @@ Every line is judged by itself with three rules; failing lines are removed, and
 document that loses too much of its text is rejected:
 
 * punctuation: symbols or repeated marks make up much of the line, or a long line
-  has no sentence mark at all and neither has its paragraph (adjacent lines no wider than
-  ``max_wrapped``, which a hard wrap may have cut from one another; a wider line stands by itself);
-  scripts that write no such marks (Thai, Lao) are exempt;
+  has no sentence mark at all and neither has its paragraph (``wrapped``: the adjacent lines that a hard wrap has cut
+  from one another, told from the document's own line widths); scripts that write no such marks (Thai, Lao) are exempt;
 * navigation: the line is a row of menu entries (separators between words), or a
   known menu word alone;
 * boilerplate: stock phrases are a large share of the words of the line (of the wrapped sentence, where
@@ -23,10 +22,11 @@ empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,11 +39,9 @@ COLUMNS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
            "base_failed boolean, kept boolean, n_lines long, n_punctuation long, n_navigation long, "
            "n_boilerplate long, lost_share double, clean_text string")
 
-# Symbols of the base rule, the word windows of the repetition rule, and the lines looked at on either
-# side of a wrapped one.
+# Symbols of the base rule, and the word windows of the repetition rule.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-PIECES = 20
 
 
 @dataclass(frozen=True)
@@ -54,7 +52,6 @@ class Rules:
     max_repeat_percent: int = 20
     max_mark_share: float = 0.10      # symbols and repeated marks, per character that is not white space
     unpunctuated_words: int = 12      # a line of so many words needs a sentence mark in its paragraph
-    max_wrapped: int = 200            # characters of a line that may be a piece of a wrapped paragraph
     min_separators: int = 2
     min_separator_share: float = 0.15  # separators per word of the line
     min_phrase_share: float = 0.30    # words of stock phrases per word of the line
@@ -72,18 +69,62 @@ _UNMARKED_SCRIPT = re.compile(r"[\u0E00-\u0EFF]")
 _SEPARATORS = frozenset("| > >> » › • · / →".split())
 
 
-def marked_paragraphs(lines: list[str], rules: Rules) -> list[bool]:
-    """Per line whether its paragraph has a sentence mark: the run of adjacent lines that a hard wrap may have made."""
-    out: list[bool] = []
-    start = 0
-    for i in range(len(lines) + 1):
-        if i < len(lines) and len(lines[i]) <= rules.max_wrapped and not lines[i].isspace() and lines[i]:
-            continue
-        out += [any(map(_SENTENCE.search, lines[start:i]))] * (i - start)
-        if i < len(lines):
-            out.append(_SENTENCE.search(lines[i]) is not None)
-        start = i + 1
-    return out
+@dataclass
+class Wrapping:
+    """Per line the number of its paragraph and of its sentence, as far as a hard wrap has cut them into lines."""
+
+    paragraph: list[int]
+    sentence: list[int]
+    lines: list[str]
+
+    @cached_property
+    def marked(self) -> set[int]:
+        """The paragraphs with a sentence mark."""
+        return {p for p, line in zip(self.paragraph, self.lines) if _SENTENCE.search(line)}
+
+    @cached_property
+    def _pieces(self) -> dict[int, list[str]]:
+        out: dict[int, list[str]] = {}
+        for s, line in zip(self.sentence, self.lines):
+            out.setdefault(s, []).append(line)
+        return out
+
+    def whole(self, at: int) -> str:
+        """The line with those before and behind it that belong to its sentence."""
+        return " ".join(self._pieces[self.sentence[at]])
+
+
+def wrapped(lines: list[str]) -> Wrapping:
+    """Which adjacent lines a hard wrap has cut from one another.
+
+    A wrap to some width leaves a line only when the next one's first word does not fit any more, so two lines tell
+    of widths from the longer one's up to where that word would have fitted. The document's width is the one that most pairs of
+    lines tell of, at least two (the smallest of several). A pair is one paragraph if it tells of the document's width; or, whatever the
+    width, if no mark ends the upper line and the lower one begins with a small letter. Pairs of the second kind are
+    one sentence. A blank line, or a lower line that no wrap could have left, parts them.
+    """
+    words = [line.split() for line in lines]
+    widths = [len(line.rstrip()) for line in lines]
+    pairs: dict[int, tuple[int, int]] = {}
+    for i in range(len(lines) - 1):
+        if words[i] and words[i + 1]:
+            low, high = max(widths[i], widths[i + 1]), widths[i] + 1 + len(words[i + 1][0])
+            if low < high:
+                pairs[i] = (low, high)
+    # The number of pairs that tell of a width grows at their lows only.
+    lows, highs = sorted(a for a, _ in pairs.values()), sorted(b for _, b in pairs.values())
+    told = {a: bisect_right(lows, a) - bisect_right(highs, a) for a in set(lows)}
+    width = min((a for a in told if told[a] == max(told.values())), default=-1)
+    if told.get(width, 0) < 2:
+        width = -1
+    paragraph, sentence = [0] * len(lines), [0] * len(lines)
+    for i in range(1, len(lines)):
+        pair = pairs.get(i - 1)
+        goes_on = pair is not None and not _SENTENCE.match(words[i - 1][-1][-1]) and words[i][0][0].islower()
+        one = goes_on or pair is not None and pair[0] <= width < pair[1]
+        paragraph[i] = paragraph[i - 1] + (not one)
+        sentence[i] = sentence[i - 1] + (not goes_on)
+    return Wrapping(paragraph, sentence, lines)
 
 
 def needs_marks(words: list[str], rules: Rules) -> bool:
@@ -127,22 +168,6 @@ def phrase_share(text: str, phrases: re.Pattern) -> float:
     return sum(len(m.group().split()) for m in phrases.finditer(text)) / words if words else 1.0
 
 
-def wrapped_sentence(lines: list[str], at: int, rules: Rules) -> str:
-    """The line with those before and behind it that a hard wrap has cut from it: no mark ends the upper
-    one, the lower one begins with a small letter, and both are no wider than ``max_wrapped``."""
-    def goes_on(i: int) -> bool:
-        upper, lower = lines[i].strip(), lines[i + 1].strip()
-        return (max(len(lines[i]), len(lines[i + 1])) <= rules.max_wrapped and upper != "" and not _SENTENCE.match(upper[-1])
-                and lower[:1].islower())
-
-    first = last = at
-    while first > 0 and at - first < PIECES and goes_on(first - 1):
-        first -= 1
-    while last + 1 < len(lines) and last - at < PIECES and goes_on(last):
-        last += 1
-    return " ".join(lines[first:last + 1])
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words covered by a 5-word window that occurs at least twice."""
     if len(words) <= WINDOW:
@@ -176,7 +201,7 @@ def judge(text: str | None, rules: Rules, phrases: re.Pattern) -> tuple:
     failed = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     kept_lines = []
     lines = text.split("\n")
-    paragraphs = cache(lambda: marked_paragraphs(lines, rules))  # few texts ask for it
+    wrapping = cache(lambda: wrapped(lines))  # few texts ask for it
     for i, line in enumerate(lines):
         own = [w for w in _SPACE.split(line) if w]
         if not own:
@@ -186,8 +211,8 @@ def judge(text: str | None, rules: Rules, phrases: re.Pattern) -> tuple:
         earlier = line in seen
         dup += earlier
         seen.add(line)
-        rule = line_failure(line, own, earlier, rules, phrases, lambda: paragraphs()[i],
-                            lambda: wrapped_sentence(lines, i, rules))
+        rule = line_failure(line, own, earlier, rules, phrases, lambda: wrapping().paragraph[i] in wrapping().marked,
+                            lambda: wrapping().whole(i))
         if rule is None:
             kept_lines.append(line)
         else:

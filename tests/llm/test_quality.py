@@ -33,6 +33,24 @@ def test_base_measures_match_brute_force(spark):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
+@pytest.mark.parametrize("width", [40, 199, 200, 201, 400])
+def test_no_width_decides_by_itself(width):
+    """An unmarked line before a marked one that goes on, or that does not, at any width."""
+    unmarked = ("word " * 100)[:width - 1] + "x"
+    rules = qr.Rules(unpunctuated_words=5)
+    assert qr.judge(unmarked + "\nand so it went on.", rules, re.compile("(?!)"))[8] == 0
+    assert qr.judge(unmarked + "\nA sentence follows.", rules, re.compile("(?!)"))[8] == 1
+
+
+def test_a_wrapped_sentence_of_many_lines_is_one():
+    words = ["all rights reserved"] + ["and other small words"] * 60
+    lines = textwrap.fill(" ".join(words), 30).split("\n")
+    found = qr.wrapped(lines)
+    assert len(lines) > 40 and set(found.sentence) == {0} == set(found.paragraph) and found.whole(3) == " ".join(lines)
+    apart = qr.wrapped(["Home", "About us and others", "X", "", "y"])
+    assert apart.paragraph == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("line, rule", [
     ("Home | News | About us | Contact", "navigation"), ("Skip to content", "navigation"),
     ("word### other$$$ third%%% fourth&&&", "punctuation"), ("OF!! THE!! AND!! WITH!!", "punctuation"),
@@ -122,6 +140,24 @@ def test_marks_of_other_scripts_and_of_paragraphs(text, failing):
     assert qr.judge(text, rules, re.compile("(?!)"))[8] == failing
 
 
+@pytest.mark.parametrize("width", [40, 199, 200, 201, 400])
+def test_no_width_decides_by_itself(width):
+    """An unmarked line before a marked one that goes on, or that does not, at any width."""
+    unmarked = ("word " * 100)[:width - 1] + "x"
+    rules = qr.Rules(unpunctuated_words=5)
+    assert qr.judge(unmarked + "\nand so it went on.", rules, re.compile("(?!)"))[8] == 0
+    assert qr.judge(unmarked + "\nA sentence follows.", rules, re.compile("(?!)"))[8] == 1
+
+
+def test_a_wrapped_sentence_of_many_lines_is_one():
+    words = ["all rights reserved"] + ["and other small words"] * 60
+    lines = textwrap.fill(" ".join(words), 30).split("\n")
+    found = qr.wrapped(lines)
+    assert len(lines) > 40 and set(found.sentence) == {0} == set(found.paragraph) and found.whole(3) == " ".join(lines)
+    apart = qr.wrapped(["Home", "About us and others", "X", "", "y"])
+    assert apart.paragraph == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("line, rule", [
     (prose(1, 60) + " A mill powered by water, read more below. " + prose(2, 60), None), ("Empowered by all, they won.", None),
     ("Click here to read more", "boilerplate"), ("© 2020 The Company. All rights reserved.", "boilerplate")])
