@@ -14,8 +14,8 @@ Both the entire text and each of its paragraphs and lines are looked up: an enti
 text that is a licence is a licence file, a line or paragraph that is one in
 full is a notice inside a document.
 
-The known digests come from a caller's table (``license_id``, ``text``) or from
-``KNOWN``. The hash join broadcasts them only while they are few
+The known digests come from a caller's table (``license_id``, ``text``), or from
+``KNOWN`` and ``KNOWN_DIGESTS``. The hash join broadcasts them only while they are few
 (``broadcast_rows``); beyond that Spark joins by shuffle.
 
 Defined cases: a null or empty text has the digest of the empty string and no licence;
@@ -76,6 +76,26 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 )
 
+# Digests of the canonical forms of longer public licence texts, as Debian's base system ships them
+# (Apache-2.0 also without its appendix, with and without the line that ends its terms).
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Artistic-1.0-Perl", "d1ce9579b2c8d32b706b421d9c42208152298e00849e57ce7da8e906ed3802f2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "9caf042595280548f0149ac88169a7f2e04f35b2a642cf00b991f00d48bfa4ce"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "9085ee283b8c84517846c5acafee37391c28bb825b7ecec4aaa90768f2f283b0"),
+    ("LGPL-2.0", "5b313222545879140519fc4f8ac7558088e9529f29bda08d2b75946987652f50"),
+    ("LGPL-2.1", "6ce9e9dc5005db9536b303ace5104e7d79eb77fa76f5ca2e335ea6401497ea1e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
 # Words behind "copyright" or "(c)" that make it a part of a sentence or a list, not a notice.
 NO_NOTICE = (r"(?:notices?|holders?|owners?|owned|ownership|licen[cs]es?|licen[cs]ed|laws?|statements?|interests?|disclaimers?|protection|"
              r"rights?|treaty|patents?|and|or|in|is|of|on|to|for|as|that|which|you|if|any)\b")
@@ -123,6 +143,12 @@ def digests(known: DataFrame) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def known_digests(spark: SparkSession) -> DataFrame:
+    """The digests of the default list, one row per digest."""
+    longer = spark.createDataFrame(list(KNOWN_DIGESTS), "license_id string, digest string")
+    return digests(known_licenses(spark)).unionByName(longer).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, broadcast_rows: int = 100_000,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``text_digest``, ``license_id`` of the entire text, ``n_notices`` (units
@@ -132,7 +158,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, broadcast_row
     broadcast hash join whose small side is counted first, so only one row per document is
     shuffled after partial aggregation.
     """
-    table = digests(known if known is not None else known_licenses(docs.sparkSession))
+    table = digests(known) if known is not None else known_digests(docs.sparkSession)
     few = table.limit(broadcast_rows + 1).count() <= broadcast_rows
     form = F.col("form")
     lines = canonical_lines(documents(docs, id_col, text_col), "text", "form").select("doc_id", "form")

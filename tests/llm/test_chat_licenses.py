@@ -1,4 +1,5 @@
 import hashlib
+import os
 import json
 import re
 import textwrap
@@ -116,6 +117,33 @@ def test_the_usual_isc_wrapping(spark):
     assert licenses.scan_licenses(documents(spark, [(1, text)])).first()["license_id"] == "ISC"
 
 
+def test_longer_licences_by_their_digest(spark, tmp_path):
+    """The texts as a Debian system has them; nothing to compare on others."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {f"/usr/share/common-licenses/{f}": i for f, i in names.items() if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    texts = [(k, open(path, encoding="utf-8").read()) for k, path in enumerate(found)]
+    out = licenses.scan_licenses(documents(spark, [*texts, (99, "none")])).collect()
+    assert {r["doc_id"]: r["license_id"] for r in out} == {**dict(enumerate(found.values())), 99: None}
+
+
+def test_the_sql_knows_wrapped_and_respelled_licences(spark, tmp_path):
+    """The oracle's own lists and rules against the operator on texts that the tables do not hold."""
+    import duckdb
+    from ledgerflow.llm.oracle_sql import ORACLE
+    rows = [(i, t) for i, (_, t) in enumerate(licenses.KNOWN)]
+    rows += [(100 + i, "Copyright (c) 2020 A\n(c) and others\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(t, 50)))
+             for i, (_, t) in enumerate(licenses.KNOWN)]
+    rows += [(200, MIT.replace("sublicense", "sub-licence")), (201, MIT.replace("sublicense", "sub license")), (202, None), (203, "copyright\nnotice x"),
+             (204, "© copyright holders\nx"), (205, MIT.replace("free of charge", "free of charges"))]
+    documents(spark, rows, extra=False).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    own = licenses.scan_licenses(spark.read.parquet(f"{tmp_path}/d")).collect()
+    columns = ["doc_id", "text_digest", "license_id", "n_notices", "notice_ids"]
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['op4_license_scan']})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in own) == sorted(theirs, key=lambda r: r[0])
+
+
 def test_spellings_of_several_words(spark):
     rows = [(i, MIT.replace("sublicense", s)) for i, s in enumerate(["sub-license", "sub license", "sub-\nlicense", "sub-licence", "asub license"])]
     out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
