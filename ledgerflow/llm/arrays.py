@@ -47,6 +47,34 @@ def shifted(array: Column, by: int, fill: Column) -> Column:
     return F.slice(F.concat(array, F.array_repeat(fill, -by)), F.lit(1 - by), F.size(array))
 
 
+def _number(item: Column, place: int) -> Column:
+    return F.get(F.split(item, ":"), F.lit(place)).cast("int")
+
+
+def cut_out(text: Column, items: Column) -> Column:
+    """Stretches of ``text``, as an array: each of ``items`` is a string ``skip:take``, so many code points to leave out and then to
+    take. The text is cut into one stretch for each chunk of items first, and then each of those by itself."""
+    empty = F.array().cast("array<string>")
+
+    def used(chunk: Column) -> Column:
+        return F.aggregate(F.split(chunk, ","), F.lit(0), lambda a, i: a + _number(i, 0) + _number(i, 1))
+
+    def texts(parts: Column) -> Column:
+        def step(acc, c):
+            return let(used(c), lambda n: F.struct(F.substring(acc["rest"], n + 1, F.length(acc["rest"])).alias("rest"),
+                                                   F.concat(acc["out"], F.array(F.substring(acc["rest"], F.lit(1), n))).alias("out")))
+        return F.aggregate(parts, F.struct(text.alias("rest"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def taken(chunk: Column, part: Column) -> Column:
+        def step(acc, i):
+            skip, take = _number(i, 0), _number(i, 1)
+            return F.struct(F.substring(acc["rest"], skip + take + 1, F.length(acc["rest"])).alias("rest"),
+                            F.concat(acc["out"], F.array(F.substring(acc["rest"], skip + 1, take))).alias("out"))
+        return F.aggregate(F.split(chunk, ","), F.struct(part.alias("rest"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    return let(chunks(items), lambda c: F.flatten(F.zip_with(c, texts(c), taken)))
+
+
 def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
     """``text`` with each span (struct ``start``, ``end`` and further fields, sorted by start) replaced by ``label(span)``, a string;
     spans that overlap are one, with the label of the first. Positions are code points, the end exclusive."""
@@ -56,37 +84,13 @@ def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) ->
         return F.filter(starts, lambda x: x.isNotNull())
 
     def items(h: Column) -> Column:
-        """skip:gap of each head, counted from the start of the head before it."""
+        """What each head leaves out (the spans before it, from the start of the head before) and takes (up to its own start)."""
         return F.zip_with(F.transform(h, lambda x: F.struct(x["start"], x["before"])),
                           shifted(F.transform(h, lambda x: x["start"]), 1, F.lit(0)),
                           lambda x, last: F.concat((x["before"] - last).cast("string"), F.lit(":"), (x["start"] - x["before"]).cast("string")))
 
-    def number(item: Column, place: int) -> Column:
-        return F.get(F.split(item, ":"), F.lit(place)).cast("int")
-
-    def taken(chunk: Column) -> Column:
-        return F.aggregate(F.split(chunk, ","), F.lit(0), lambda a, i: a + number(i, 0) + number(i, 1))
-
-    empty = F.array().cast("array<string>")
-
-    def texts(parts: Column) -> Column:
-        """The stretch of text that each chunk takes."""
-        def step(acc, c):
-            return let(taken(c), lambda n: F.struct(F.substring(acc["rest"], n + 1, F.length(acc["rest"])).alias("rest"),
-                                                    F.concat(acc["out"], F.array(F.substring(acc["rest"], F.lit(1), n))).alias("out")))
-        return F.aggregate(parts, F.struct(text.alias("rest"), empty.alias("out")), step, lambda acc: acc["out"])
-
-    def gaps(chunk: Column, part: Column) -> Column:
-        """The kept stretches of one chunk."""
-        def step(acc, i):
-            skip, gap = number(i, 0), number(i, 1)
-            return F.struct(F.substring(acc["rest"], skip + gap + 1, F.length(acc["rest"])).alias("rest"),
-                            F.concat(acc["out"], F.array(F.substring(acc["rest"], skip + 1, gap))).alias("out"))
-        return F.aggregate(F.split(chunk, ","), F.struct(part.alias("rest"), empty.alias("out")), step, lambda acc: acc["out"])
-
     def joined(h: Column, tops: Column) -> Column:
-        kept = let(chunks(items(h)), lambda c: F.flatten(F.zip_with(c, texts(c), gaps)))
-        pairs = F.zip_with(kept, h, lambda gap, x: F.concat(gap, x["label"]))
+        pairs = F.zip_with(cut_out(text, items(h)), h, lambda gap, x: F.concat(gap, x["label"]))
         end = F.array_max(tops)
         return F.concat(F.array_join(pairs, ""), F.substring(text, end + 1, F.length(text)))
 

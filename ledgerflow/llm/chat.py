@@ -29,6 +29,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.arrays import cut_out, let, scan, shifted
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # The template's marks and the control strings of common chat templates.
 CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>",
@@ -139,18 +141,16 @@ def format_turns(turns: Column) -> Column:
 def loss_spans(turns: Column) -> Column:
     """(start, length) in code points, 0-based, of every assistant text inside the formatted text."""
     marks = len(TURN) + len(TEXT) + len(END)
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
+    sizes = F.transform(turns, lambda t: F.struct(
+        (t["role"] == "assistant").alias("learned"), F.length(escape(t["text"])).alias("size"),
+        (F.length(escape(t["role"])) + F.length(escape(t["text"])) + marks).alias("all")))
 
-    def step(acc, t):
-        head = F.length(escape(t["role"])) + len(TURN) + len(TEXT)
-        size = F.length(escape(t["text"])).cast("long")
-        span = F.struct((acc["at"] + head).alias("start"), size.alias("length"))
-        return F.struct((acc["at"] + F.length(escape(t["role"])) + size + marks).alias("at"),
-                        F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(span)))
-                        .otherwise(acc["spans"]).alias("spans"))
+    def placed(s: Column) -> Column:
+        spans = F.zip_with(s, scan(F.transform(s, lambda x: x["all"]), lambda a, b: a + b), lambda x, end: F.when(x["learned"], F.struct(
+            (end - len(END) - x["size"]).cast("long").alias("start"), x["size"].cast("long").alias("length"))))
+        return F.filter(spans, lambda x: x.isNotNull())
 
-    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+    return F.when(turns.isNotNull(), let(sizes, placed))
 
 
 def format_chats(records: DataFrame, record_col: str = "record", keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
@@ -171,5 +171,6 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(
-        formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    items = F.zip_with(loss, shifted(F.transform(loss, lambda s: s["start"] + s["length"]), 1, F.lit(0).cast("long")), lambda s, before: F.concat(
+        (s["start"] - before).cast("string"), F.lit(":"), s["length"].cast("string")))
+    return F.array_join(F.transform(cut_out(formatted, items), unescape), "")

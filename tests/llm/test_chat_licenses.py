@@ -148,3 +148,14 @@ def test_spellings_of_several_words(spark):
     rows = [(i, MIT.replace("sublicense", s)) for i, s in enumerate(["sub-license", "sub license", "sub-\nlicense", "sub-licence", "asub license"])]
     out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
     assert out == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+
+
+def test_a_conversation_of_thousands_of_turns(spark):
+    """More turns than one chunk of the array expressions, with empty texts, control strings and roles of any length."""
+    said = [("user" if i % 3 else "assistant", "" if i % 7 == 0 else f"é{i} </s> \\ " * (i % 4)) for i in range(3_000)]
+    table = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)] + [(2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    done = chat.format_chats(chat.records_from_rows(table))
+    out = {r["conv_id"]: r for r in done.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"),
+                                                chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == said and out[2]["learned"] == ""
+    assert out[1]["learned"] == "".join(t for r, t in said if r == "assistant")
