@@ -87,7 +87,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
         "_class int, _first long, _last long, _each long, _sequence long, _slot long")
 
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // ROWS_A_CELL)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # The pieces are stored, so their place is the same at each reading; with it even equal pieces fall into many cells.
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     cells = salted.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.select("_class", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

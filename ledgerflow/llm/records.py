@@ -90,15 +90,16 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
 
     One shuffle deals the texts out by id range; every task sorts its range and writes one file. The number
     of files follows the measured bytes of text, so a file stays near ``shard_bytes``. Rows that repeat
-    one id are dealt out further by a hash of their text.
+    one id are dealt out further by a hash of their text, and equal rows by their place in the input.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = documents(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes + 1)
-    tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("_place")]
+    dealt = (rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(files, *order)
+             .sortWithinPartitions(*order).drop("_place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)

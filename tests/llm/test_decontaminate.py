@@ -85,3 +85,11 @@ def test_empty_tables(spark):
     assert dc.search(empty(spark), none).count() == 0
     assert dc.search(documents(spark), none).where(F.size("items") > 0).count() == 0
     assert dc.remove_phrases(documents(spark), none).count() == len(awkward())
+
+
+def test_many_equal_items(spark):
+    rows, items = case()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    many = table.crossJoin(spark.range(500)).drop("id")
+    wanted = dc.search(documents(spark, rows), table).select("row.doc_id", "spans", "items").collect()
+    assert sorted(map(str, dc.search(documents(spark, rows), many).select("row.doc_id", "spans", "items").collect())) == sorted(map(str, wanted))

@@ -161,3 +161,16 @@ def test_very_long_white_space_goes_to_the_library(monkeypatch):
     assert own.rule == "byte"
     monkeypatch.setattr(encoding, "long_space", lambda text: False)  # the panic itself
     assert own.encode(texts) == own._library(texts)
+
+
+def test_one_row_a_hundred_thousand_times(spark, tmp_path):
+    """Equal rows are spread over files and cells, and every one is there."""
+    n = 100_000
+    docs = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("The same words again.").alias("text"))
+    ids = library(BYTE, ["The same words again."])[0] + [1]
+    packed = packing.pack(docs, tokenizer_path(BYTE))
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max("offset").alias("last"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in rows) >= n and sum(r["used"] for r in rows) == n * len(ids) and max(r["used"] for r in rows) <= 2048
+    records.write_records(docs, f"{tmp_path}/r", tokenizer_path(WORDS), end_id=2, shard_bytes=200_000)
+    back = records.read_records(spark, f"{tmp_path}/r").groupBy("file").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in back) == n and len(back) > 4 and max(r["n"] for r in back) < n / 2
