@@ -42,6 +42,13 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
     only take part in the order. ``folders`` says where rows and offsets are stored for good; :func:`read_numbered` reads
     them again.
     """
+    rows, offsets = ordered_table(df, order, start, num_partitions, stored, folders)
+    return read_numbered(rows, offsets, id_col)
+
+
+def ordered_table(df: DataFrame, order: list, start=1, num_partitions: int | None = None, stored: list[str] | None = None,
+                  folders: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows stored in ``order``, and the offsets of their files: what :func:`read_numbered` resolves ids from."""
     if order:
         # Without an explicit count AQE may coalesce adjacent ranges towards the
         # advisory partition size; coalescing keeps the order, so ids stay exact.
@@ -52,8 +59,7 @@ def assign_ids(df: DataFrame, order: list, id_col: str, start=1, num_partitions:
         # No order: number rows as they lie in their files (no shuffle at all, and no copy of a stored table).
         ordered = df
     rows = materialize(ordered.select(*stored) if stored else ordered, folder=folders and folders[0])
-    offsets = materialize(_offsets(rows, start), folder=folders and folders[1])
-    return read_numbered(rows, offsets, id_col)
+    return rows, materialize(_offsets(rows, start), folder=folders and folders[1])
 
 
 def _placed(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.calendar import ntz_literal, ts_label
 from ledgerflow.functions.labels import login_type_or_default, role_or_default
+from ledgerflow.operators.pages import Pages, paged
 from ledgerflow.schemas import MISSING_TEXT, USERS_PER_PAGE
 
 
@@ -77,6 +78,12 @@ def search_users(users: DataFrame, text: str | None, page: int = 1,
                     ts_label("created_at").alias("created_at")))
 
 
+def search_pages(users: DataFrame, text: str | None) -> Pages:
+    """All matching users stored in the order of their ids, for pages at any depth (:meth:`Pages.page`)."""
+    u = with_user_defaults(search_filter(users, text))
+    return paged(u.select("id", "firstname", "lastname", "email", "role", "login_type", ts_label("created_at").alias("created_at")), ["id"])
+
+
 def search_total(users: DataFrame, text: str | None, per_page: int = USERS_PER_PAGE) -> DataFrame:
     """One row: matching users and page count."""
     n = F.count(F.lit(1))

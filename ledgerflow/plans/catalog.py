@@ -32,6 +32,8 @@ from ledgerflow.operators import star as St
 from ledgerflow.operators import store as S
 from ledgerflow.operators import users as U
 from ledgerflow.operators.ids import first_per_key
+from ledgerflow.operators.pages import paged
+from ledgerflow.operators.temporal import as_of_join, overlap_join
 from ledgerflow.plans import etl_load as E
 from ledgerflow.schemas import FLATTEN_LIMIT, UPLOAD_TO_LEDGER
 from ledgerflow.session import mark_stored, materialize
@@ -711,6 +713,56 @@ def q_users_page(spark, sf_dir):
     return U.search_users(B.users(spark, sf_dir), SEARCH_TEXT, SEARCH_PAGE)
 
 
+@query("users_page_stored")
+def q_users_page_stored(spark, sf_dir):
+    """A later page of the matching users from their stored pages."""
+    pages = _memo(spark, sf_dir, "user_pages", lambda: U.search_pages(B.users(spark, sf_dir), SEARCH_TEXT))
+    return pages.page(SEARCH_PAGE + 1, 10)
+
+
+@query("ledger_page_deep")
+def q_ledger_page_deep(spark, sf_dir):
+    """A page far down the ledger, newest rows first."""
+    rows = ledger_ordered(spark, sf_dir).select(C.ORDINAL, "txn_date", "department", "project", "amount")
+    pages = _memo(spark, sf_dir, "ledger_pages", lambda: paged(rows, [F.desc("txn_date"), F.asc(C.ORDINAL)]))
+    return pages.page(400, 50)
+
+
+@query("owner_as_of")
+def q_owner_as_of(spark, sf_dir):
+    """Every transaction with the owner and code of its department valid at its date. A change of a quarter is that of its first
+    row and takes effect ten days later."""
+    led = ledger_ordered(spark, sf_dir)
+    first = led.groupBy("department", "year", "quarter").agg(F.min(F.struct("txn_date", C.ORDINAL, "owner", "department_code")).alias("f"))
+    changes = first.select("department", F.date_add("f.txn_date", 10).alias("since"), F.col("f.owner").alias("owner_then"),
+                           F.col("f.department_code").alias("code_then"))
+    rows = led.select(C.ORDINAL, "department", "txn_date")
+    return as_of_join(rows, changes, ["department"], "txn_date", "since", ["owner_then", "code_then"])
+
+
+@query("forecast_facts")
+def q_forecast_facts(spark, sf_dir):
+    """Per forecast, moved into the ledger's years, the transactions of its department inside its period."""
+    days = ledger(spark, sf_dir).groupBy(L.department_id("department_code").alias("department_id"), "txn_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    periods = B.forecasts(spark, sf_dir).select(F.col("department_id").cast("long").alias("department_id"), "id", *(
+        F.add_months(c, -12 * 27).alias(c) for c in ("start_date", "end_date")))
+    pairs = overlap_join(days, periods, ["department_id"], ("txn_date", "txn_date"), ("start_date", "end_date"))
+    return pairs.groupBy(F.col("right.id").alias("id")).agg(F.sum("left.n").alias("n_facts"), F.sum("left.amount").cast("double").alias("amount"))
+
+
+@query("project_overlaps")
+def q_project_overlaps(spark, sf_dir):
+    """For each project and year, how many other projects' spans of that department overlap its own, and for how many days in all."""
+    led = ledger(spark, sf_dir)
+    spans = led.groupBy("department", "project", "year").agg(F.min("txn_date").alias("start_date"), F.max("txn_date").alias("end_date"))
+    ends = ("start_date", "end_date")
+    pairs = overlap_join(spans, spans, ["department"], ends, ends, bin_days=366).where("left.project != right.project")
+    shared = F.datediff(F.least("left.end_date", "right.end_date"), F.greatest("left.start_date", "right.start_date")) + 1
+    return pairs.groupBy("left.department", "left.project", "left.year").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.sum(shared).cast("long").alias("n_days"))
+
+
 @query("users_search_total")
 def q_users_search_total(spark, sf_dir):
     return U.search_total(B.users(spark, sf_dir), SEARCH_TEXT)

@@ -827,3 +827,29 @@ SELECT row_number() OVER (ORDER BY upload, txn_date, department, txn_type, expen
 FROM by_file
 WHERE upload = 0 OR (department IN (SELECT department FROM known) AND txn_type IN (SELECT txn_type FROM known)
                      AND expense_type IN (SELECT expense_type FROM known))""", ["by_file", "known"])
+
+oracle("users_page_stored", f"""
+SELECT id, firstname, lastname, email, coalesce(role, 'user') AS role, coalesce(login_type, 'email') AS login_type,
+       {_USER_LABEL} AS created_at
+FROM app_users WHERE {_SEARCH} ORDER BY id LIMIT 10 OFFSET 20""", ["app_users"])
+oracle("ledger_page_deep", """
+SELECT ordinal, txn_date, department, project, amount FROM ledger ORDER BY txn_date DESC, ordinal LIMIT 50 OFFSET 19950""", ["ledger"])
+cte("changes", """
+  SELECT department, CAST(f.txn_date + INTERVAL 10 DAY AS DATE) AS since, f.owner AS owner_then, f.department_code AS code_then
+  FROM (SELECT department, min({'txn_date': txn_date, 'ordinal': ordinal, 'owner': owner, 'department_code': department_code}) AS f
+        FROM ledger GROUP BY department, year, quarter)""", ["ledger"])
+oracle("owner_as_of", """
+SELECT l.ordinal, l.department, l.txn_date, c.owner_then, c.code_then
+FROM ledger l ASOF LEFT JOIN changes c ON l.department = c.department AND l.txn_date >= c.since""", ["ledger", "changes"])
+oracle("forecast_facts", f"""
+SELECT f.id, CAST(count(*) AS BIGINT) AS n_facts, CAST(sum(l.amount) AS DOUBLE) AS amount
+FROM (SELECT {_DEPT_ID} AS department_id, txn_date, amount FROM ledger) l
+JOIN forecasts f ON l.department_id = f.department_id AND l.txn_date BETWEEN f.start_date - INTERVAL 324 MONTH AND f.end_date - INTERVAL 324 MONTH
+GROUP BY f.id""", ["ledger", "forecasts"])
+cte("spans", """
+  SELECT department, project, year, min(txn_date) AS start_date, max(txn_date) AS end_date FROM ledger GROUP BY ALL""", ["ledger"])
+oracle("project_overlaps", """
+SELECT a.department, a.project, a.year, count(*) AS n_spans,
+       CAST(sum(date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1) AS BIGINT) AS n_days
+FROM spans a JOIN spans b ON a.department = b.department AND a.project <> b.project AND a.start_date <= b.end_date AND b.start_date <= a.end_date
+GROUP BY ALL""", ["spans"])
