@@ -40,6 +40,6 @@ class Pages:
         return self.rows.count()
 
 
-def paged(df: DataFrame, order: list) -> Pages:
-    """``df`` sorted by a total ``order`` and stored for paging."""
-    return Pages(*ordered_table(df, order))
+def paged(df: DataFrame, order: list, num_partitions: int | None = None) -> Pages:
+    """``df`` sorted by a total ``order`` and stored for paging, in ``num_partitions`` files or as many as its size asks for."""
+    return Pages(*ordered_table(df, order, num_partitions=num_partitions))
