@@ -174,3 +174,14 @@ def test_one_row_a_hundred_thousand_times(spark, tmp_path):
     records.write_records(docs, f"{tmp_path}/r", tokenizer_path(WORDS), end_id=2, shard_bytes=200_000)
     back = records.read_records(spark, f"{tmp_path}/r").groupBy("file").agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in back) == n and len(back) > 4 and max(r["n"] for r in back) < n / 2
+
+
+def test_frames_of_every_byte_survive_the_text_writer(spark, tmp_path):
+    """Record files are bytes that pass through Spark's text writer: every value, line feeds and broken UTF-8 among them."""
+    texts = [bytes([b]).decode("latin-1") * (1 + b % 5) + " é\n中 " * (b % 3) for b in range(256)]
+    docs = documents(spark, list(enumerate(texts)), extra=False)
+    records.write_records(docs, f"{tmp_path}/r", tokenizer_path(WORDS), end_id=2, shard_bytes=2_000)
+    data = b"".join(r["content"] for r in spark.read.format("binaryFile").load(f"{tmp_path}/r/data/part-*").collect())
+    assert len(set(data)) > 200 and b"\n" in data and b"\xff" in data
+    back = {r["doc_id"]: r["n_tokens"] for r in records.read_records(spark, f"{tmp_path}/r").collect()}
+    assert back == {i: len(ids) + 1 for i, ids in enumerate(library(WORDS, texts))}
