@@ -87,8 +87,13 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
         "_class int, _first long, _last long, _each long, _sequence long, _slot long")
 
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // ROWS_A_CELL)
-    # The pieces are stored, so their place is the same at each reading; with it even equal pieces fall into many cells.
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    # Pieces are dealt into cells by what they are, so that the result does not depend on how the input is split. Equal pieces
+    # beyond a cell's rows are spread by their place in the stored pieces too; they are told from one another by nothing else.
+    keyed = pieces.withColumn("_key", F.xxhash64("doc_id", "start", "ids_crc32"))
+    heavy = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > ROWS_A_CELL)
+    placed = keyed.withColumn("_place", F.monotonically_increasing_id()).join(heavy, "_key", "left")
+    spread = F.when(F.col("_copies").isNotNull(), F.col("_place")).otherwise(F.lit(0))
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("_key", spread), F.lit(salts)).cast("int")).drop("_key", "_copies", "_place")
     cells = salted.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.select("_class", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
