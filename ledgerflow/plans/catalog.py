@@ -28,6 +28,7 @@ from ledgerflow.operators import clean as C
 from ledgerflow.operators import history as H
 from ledgerflow.operators import kpi as K
 from ledgerflow.operators import refresh as R
+from ledgerflow.operators import sketches as Sk
 from ledgerflow.operators import star as St
 from ledgerflow.operators import store as S
 from ledgerflow.operators import users as U
@@ -682,6 +683,23 @@ def q_activity_weekly(spark, sf_dir):
     return U.activity_weekly(B.activity(spark, sf_dir))
 
 
+@query("activity_weekly_sketched")
+def q_activity_weekly_sketched(spark, sf_dir):
+    """Weekly active users from stored daily sketches."""
+    day = {"day": F.to_date("ts")}
+    daily = _memo(spark, sf_dir, "user_sketches", lambda: materialize(Sk.distinct_sketches(B.activity(spark, sf_dir), day, "user_id")))
+    return Sk.distinct_counts(daily, {"week_start": F.to_date(F.date_trunc("week", "day"))}).withColumnRenamed("n_distinct", "active_users")
+
+
+@query("amount_medians")
+def q_amount_medians(spark, sf_dir):
+    """Quartiles of the amounts per department and month, from stored weekly sketches."""
+    week = {"department": F.col("department"), "year_month": F.col("year_month"), "iso_week": F.col("iso_week")}
+    weekly = _memo(spark, sf_dir, "amount_sketches", lambda: materialize(Sk.quantile_sketches(ledger(spark, sf_dir), week, F.col("amount"))))
+    out = Sk.quantiles(weekly, {k: F.col(k) for k in ("department", "year_month")}, [0.25, 0.5, 0.75])
+    return out.select("department", "year_month", "n", *(F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("low", "median", "high"))))
+
+
 @query("kpi_keyword_total")
 def q_kpi_keyword_total(spark, sf_dir):
     store, _ = merged(spark, sf_dir)

@@ -853,3 +853,11 @@ SELECT a.department, a.project, a.year, count(*) AS n_spans,
        CAST(sum(date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1) AS BIGINT) AS n_days
 FROM spans a JOIN spans b ON a.department = b.department AND a.project <> b.project AND a.start_date <= b.end_date AND b.start_date <= a.end_date
 GROUP BY ALL""", ["spans"])
+
+ORACLE["activity_weekly_sketched"] = ORACLE["activity_weekly"]
+# Below the sketch's size a quantile is exact: the smallest value with at least that share of the values at or below it.
+oracle("amount_medians", """
+SELECT department, year_month, n, l[CAST(ceil(0.25 * n) AS INTEGER)] AS low, l[CAST(ceil(0.5 * n) AS INTEGER)] AS median,
+       l[CAST(ceil(0.75 * n) AS INTEGER)] AS high
+FROM (SELECT department, strftime(txn_date, '%Y-%m') AS year_month, count(*) AS n, list_sort(list(CAST(amount AS DOUBLE))) AS l
+      FROM ledger GROUP BY ALL)""", ["ledger"])
