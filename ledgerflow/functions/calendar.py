@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# (shape, format) pairs: a format is only attempted on text of its shape, so no value pays for a
-# failed parse of every format in front of the one that fits. The shape's group is the date; a time behind it may lack seconds,
-# carry fractions and end in Z or an offset.
-_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z| ?[+-]\d{2}(?::?\d{2})?)?)?$"
+# (shape, order) pairs: text of a shape is rewritten to year-month-day by the order of its groups, then parsed once. A time behind
+# the date may lack seconds, carry fractions and end in Z or an offset; it is ignored.
+_TIME = r"(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:z| ?[+-]\d{2}(?::?\d{2})?)?)?$"
+_YEAR = r"(\d{4}|\d{2})"
 
 
 def _shapes(*pairs: tuple[str, str]) -> tuple[tuple[str, str], ...]:
-    return tuple((f"^({shape}){_TIME}", fmt) for shape, fmt in pairs)
+    return tuple((f"^{shape}{_TIME}", order) for shape, order in pairs)
 
 
-YEAR_FIRST = _shapes((r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"), (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"), (r"\d{8}", "yyyyMMdd"))
-DAY_FIRST = _shapes((r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"), (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"))
-MONTH_FIRST = _shapes((r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"))
+YEAR_FIRST = _shapes((r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})", "$1-$3-$4"), (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
+DAY_FIRST = _shapes((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$3-$1"))
+MONTH_FIRST = _shapes((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$1-$3"))
 # Written with dots the day always stands first; a month's English name needs no order.
-DOTTED = _shapes((r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"))
-NAMED = _shapes((r"\d{1,2} \p{Alpha}{3} \d{4}", "d MMM yyyy"), (r"\d{1,2} \p{Alpha}{3,9} \d{4}", "d MMMM yyyy"),
-                (r"\d{1,2}-\p{Alpha}{3}-\d{4}", "d-MMM-yyyy"), (r"\p{Alpha}{3} \d{1,2} \d{4}", "MMM d yyyy"), (r"\p{Alpha}{3,9} \d{1,2} \d{4}", "MMMM d yyyy"))
+DOTTED = _shapes((rf"(\d{{1,2}})\.(\d{{1,2}})\.{_YEAR}", "$3-$2-$1"))
+NAMED = _shapes((r"(\d{1,2})([ -])([a-z]{3,9})\2(\d{4})", "$4-$3-$1"), (r"([a-z]{3,9}) (\d{1,2}),? (\d{4})", "$3-$1-$2"))
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _c(col) -> Column:
@@ -59,17 +59,27 @@ def _order_votes(col: str) -> list[Column]:
 
 def parse_date(col, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> DATE; an unparseable value gives null (never an error). A time behind the date is ignored."""
-    s = F.regexp_replace(F.trim(_c(col).cast("string")), r"^(\p{Alpha}{3,9} \d{1,2}), ", "$1 ")  # Jan 5, 2024
+    return _parse(col, [(shape, F.lit(order)) for shape, order in formats])
+
+
+def parse_date_by(col, day_first: Column) -> Column:
+    """:func:`parse_date` where a column says whether the day stands before the month."""
+    either = [(d, F.when(day_first, F.lit(by_day)).otherwise(F.lit(by_month))) for (d, by_day), (_, by_month) in zip(DAY_FIRST, MONTH_FIRST)]
+    return _parse(col, [*((s, F.lit(o)) for s, o in YEAR_FIRST), *either, *((s, F.lit(o)) for s, o in DOTTED + NAMED)])
+
+
+def _parse(col, shapes: list[tuple[str, Column]]) -> Column:
+    s = F.lower(F.trim(_c(col).cast("string")))
+    day = F.lit(None).cast("string")
+    for shape, order in reversed(shapes):
+        day = F.when(s.rlike(shape), F.regexp_replace(s, F.lit(shape), order)).otherwise(day)
+    parts = F.split(day, "-")
+    year, month = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     # A year of two digits lies between 1969 and 2068.
-    short = r"^(\d{1,2}([/.-])\d{1,2}\2)(\d{2})(?!\d)"
-    s = F.when(s.rlike(short), F.regexp_replace(s, short, F.when(F.regexp_extract(s, short, 3) >= "69", F.lit("$119$3")).otherwise(F.lit("$120$3")))).otherwise(s)
-    out = None
-    for shape, fmt in formats:
-        fits, parsed = s.rlike(shape), F.to_date(F.try_to_timestamp(F.regexp_extract(s, shape, 1), F.lit(fmt)))
-        if "MMM" in fmt:  # the two lengths of a name share a shape
-            parsed, fits = F.when(fits, parsed), F.when(fits, parsed).isNotNull()
-        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
-    return out
+    century = F.when(F.length(year) > 2, F.lit("")).when(year >= "69", F.lit("19")).otherwise(F.lit("20"))
+    names = F.create_map(*(F.lit(x) for i, name in enumerate(MONTHS) for n in {name, name[:3]} for x in (n, str(i + 1))))
+    number = F.when(month.rlike("^[0-9]"), month).otherwise(F.try_element_at(names, month))
+    return F.to_date(F.try_to_timestamp(F.concat(century, year, F.lit("-"), number, F.lit("-"), F.get(parts, F.lit(2))), F.lit("yyyy-M-d")))
 
 
 def calendar_columns(date_col) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, parse_date
+from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, parse_date, parse_date_by
 from ledgerflow.functions.money import parse_amount, signed_amount
 from ledgerflow.functions.text import normalize_text, null_tokens
 from ledgerflow.schemas import (
@@ -138,8 +138,7 @@ def clean_uploads(raw: DataFrame, upload: str = "upload") -> DataFrame:
     """
     orders = day_first_by(raw, upload)
     df = drop_exact_duplicates(null_tokens(raw), COPIES).join(F.broadcast(orders), upload)  # one row per file of a batch
-    date = F.when(F.col("_day_first"), parse_date("date_raw", date_formats(True))).otherwise(parse_date("date_raw", date_formats(False)))
-    out = parse_and_normalise(df, date=date).drop("_day_first")
+    out = parse_and_normalise(df, date=parse_date_by("date_raw", F.col("_day_first"))).drop("_day_first")
     return out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
 
 
