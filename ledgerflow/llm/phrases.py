@@ -145,6 +145,8 @@ def local_paths(text: bytes, heavy: np.ndarray) -> tuple[list[bytes], np.ndarray
     """The compacted paths of a text's graph: (words, weight, route). A path of k edges has k + 3 tokens."""
     tokens = _tokens(text)
     codes, names = _coded(tokens)
+    codes = codes.astype(np.int32)  # the arrays of a graph are what a task holds: narrow, and freed when they are used up
+    tokens = list(map(names.__getitem__, codes.tolist()))  # one object for equal words
     size, n = len(names), len(codes)
     places = np.flatnonzero(codes)
     if not places.size:
@@ -153,33 +155,42 @@ def local_paths(text: bytes, heavy: np.ndarray) -> tuple[list[bytes], np.ndarray
     c0, c1 = codes[places], padded[places + 1]
     c2 = np.where(c1 == 0, 0, padded[places + 2])
     c3 = np.where(c2 == 0, 0, padded[places + 3])
-    node, edge = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
-    node[places] = _classes(_classes(c0, c1, size), c2, size)
+    del padded
+    route = np.zeros(n, np.uint64)
+    route[places] = _routes(c0, c1, c2, names, heavy)
+    node, edge = np.full(n + 1, -1, np.int32), np.full(n, -1, np.int32)
+    pair = _classes(c0, c1, size)
+    del c0, c1
+    node[places] = _classes(pair, c2, size)
+    del pair, c2
     edge[places] = _classes(node[places], c3, size)
+    del c3
     n_edges, n_nodes = int(edge.max()) + 1, int(node.max()) + 1
     weight = np.bincount(edge[places], minlength=n_edges)
-    first = np.empty(n_edges, np.int64)
+    first = np.empty(n_edges, np.int32)
     first[edge[places][::-1]] = places[::-1]
     ways_out = np.bincount(node[first], minlength=n_nodes)
     after = node[first + 1]  # -1 behind a piece
     ways_in = np.bincount(after[after >= 0], minlength=n_nodes)
     begins = places[np.r_[True, codes[places[1:] - 1] == 0]]
     ways_in[np.unique(node[begins])] += 1
-    route = np.zeros(n, np.uint64)
-    route[places] = _routes(c0, c1, c2, names, heavy)
+    del after, places
     firsts = np.sort(first)
     linked = np.r_[False, firsts[1:] == firsts[:-1] + 1]
     linked &= (ways_in[node[firsts]] == 1) & (ways_out[node[firsts]] == 1)
     linked &= route[firsts] == route[np.maximum(firsts - 1, 0)]
     heads = np.flatnonzero(~linked)
+    del node, first, ways_out, ways_in, linked
     start = firsts[heads]
     stop = firsts[np.r_[heads[1:] - 1, len(firsts) - 1]] + 4
+    weight, route = weight[edge[start]], route[start]
     marks = np.flatnonzero(codes == 0)
+    del firsts, edge, codes
     piece_end = marks[np.searchsorted(marks, start)]  # every piece has its mark
     marked = [b"", b" .", b" . .", b" . . ."]
     paths = [b" ".join(tokens[i:j]) + marked[k] for i, j, k in zip(
         start.tolist(), np.minimum(stop, piece_end).tolist(), np.maximum(stop - piece_end, 0).tolist())]
-    return paths, weight[edge[start]], route[start]
+    return paths, weight, route
 
 
 def flows(paths: pa.Array, weights: np.ndarray, min_count: int, heavy: np.ndarray) -> list[tuple[int, list[bytes], list[bytes], np.ndarray]]:

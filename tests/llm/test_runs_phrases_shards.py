@@ -199,3 +199,17 @@ def test_op13_columns(spark, tmp_path):
     check_shards(awkward(), out.collect(), 40)
     assert {r["law"] for r in out.collect()} == {"bytes"} and out.where(F.col("grown_shard").isNotNull()).count() == 0
     assert by_id(out)
+
+
+def test_phrase_graph_holds_little_memory():
+    """The arrays of a text's graph are freed on the way: a task's memory stays a small multiple of its text."""
+    import tracemalloc
+    pick = random.Random(5)
+    text = " ".join(f"word{int(pick.paretovariate(0.7)) % 20000}" + "." * (pick.random() < 0.1) for _ in range(200_000)).encode()
+    phrases.local_paths(text[:1000], np.array([], np.uint64))  # imports
+    tracemalloc.start()
+    paths, weights, routes = phrases.local_paths(text, np.array([], np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(paths) == len(weights) == len(routes)
+    assert peak < 22 * len(text), peak / len(text)
