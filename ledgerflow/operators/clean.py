@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, parse_date, parse_date_by
+from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, iso_date, parse_date, parse_date_by
 from ledgerflow.functions.money import parse_amount, signed_amount
-from ledgerflow.functions.text import normalize_text, null_tokens
+from ledgerflow.functions.text import collapse_whitespace, normalize_text, null_tokens
 from ledgerflow.schemas import (
     EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, MISSING_COLUMNS_MESSAGE, OPTIONAL_UPLOAD_TO_LEDGER, REQUIRED_COLUMNS,
     UPLOAD_TO_LEDGER,
@@ -225,11 +225,11 @@ def legacy_clean(raw: DataFrame) -> DataFrame:
 
     df = null_tokens(raw)
     df = repair_mojibake(df)
-    df = df.withColumn("txn_date", F.to_date(F.try_to_timestamp(F.trim("date_raw"), F.lit("yyyy-M-d"))))
+    df = df.withColumn("txn_date", iso_date(F.trim("date_raw")))
     df = df.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
     df = df.drop("date_raw").dropDuplicates()
     text_cols = [c for c in NORMALISED if c in df.columns]
-    df = df.withColumns({c: F.trim(F.regexp_replace(c, r"(?U)[\s\x{1c}-\x{1f}]+", " ")) for c in text_cols})
+    df = df.withColumns({c: collapse_whitespace(c) for c in text_cols})
     df = df.withColumn("amount", parse_amount("amount_raw"))
     df = df.withColumn("signed_amount", signed_amount("amount", "txn_type", rule="legacy"))
     df = df.withColumns(calendar_columns("txn_date"))
