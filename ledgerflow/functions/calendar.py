@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,15 @@ from pyspark.sql import functions as F
 # the date may lack seconds, carry fractions and end in Z or an offset; it is ignored.
 _TIME = r"(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:z| ?[+-]\d{2}(?::?\d{2})?)?)?$"
 _YEAR = r"(\d{4}|\d{2})"
+_PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
-
-def _shapes(*pairs: tuple[str, str]) -> tuple[tuple[str, str], ...]:
-    return tuple((f"^{shape}{_TIME}", order) for shape, order in pairs)
-
-
-YEAR_FIRST = _shapes((r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})", "$1-$3-$4"), (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
-DAY_FIRST = _shapes((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$3-$1"))
-MONTH_FIRST = _shapes((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$1-$3"))
+YEAR_FIRST = ((r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})", "$1-$3-$4"), (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
+DAY_FIRST = ((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$3-$1"),)
+MONTH_FIRST = ((rf"(\d{{1,2}})([-/])(\d{{1,2}})\2{_YEAR}", "$4-$1-$3"),)
 # Written with dots the day always stands first; a month's English name needs no order.
-DOTTED = _shapes((rf"(\d{{1,2}})\.(\d{{1,2}})\.{_YEAR}", "$3-$2-$1"))
-NAMED = _shapes((r"(\d{1,2})([ -])([a-z]{3,9})\2(\d{4})", "$4-$3-$1"), (r"([a-z]{3,9}) (\d{1,2}),? (\d{4})", "$3-$1-$2"))
+DOTTED = ((rf"(\d{{1,2}})\.(\d{{1,2}})\.{_YEAR}", "$3-$2-$1"),)
+NAMED = ((r"(\d{1,2})([ -])([a-z]{3,9})\2(\d{4})", "$4-$3-$1"), (r"([a-z]{3,9}) (\d{1,2}),? (\d{4})", "$3-$1-$2"))
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -69,28 +68,40 @@ def _order_votes(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 def parse_date(col, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> DATE; an unparseable value gives null (never an error). A time behind the date is ignored."""
-    return _parse(col, [(shape, F.lit(order)) for shape, order in formats])
+    pattern, order = _one_pattern(formats)
+    return _parse(col, pattern, F.lit(order))
 
 
 def parse_date_by(col, day_first: Column) -> Column:
     """:func:`parse_date` where a column says whether the day stands before the month."""
-    either = [(d, F.when(day_first, F.lit(by_day)).otherwise(F.lit(by_month))) for (d, by_day), (_, by_month) in zip(DAY_FIRST, MONTH_FIRST)]
-    return _parse(col, [*((s, F.lit(o)) for s, o in YEAR_FIRST), *either, *((s, F.lit(o)) for s, o in DOTTED + NAMED)])
+    (pattern, by_day), (_, by_month) = (_one_pattern(date_formats(first)) for first in (True, False))
+    return _parse(col, pattern, F.when(day_first, F.lit(by_day)).otherwise(F.lit(by_month)))
+
+
+def _one_pattern(formats) -> tuple[str, str]:
+    """All shapes as one pattern, the first that a text has decides, and one order: the groups of the shapes it has not are empty."""
+    shapes, parts, before = [], ["", "", ""], 0
+    for shape, order in formats:
+        shapes.append(re.sub(r"\\([1-9])", lambda m: f"\\{int(m[1]) + before}", shape))
+        groups = [int(n) + before for n in re.findall(r"\$(\d)", order)]
+        parts = [f"{p}${n}" for p, n in zip(parts, groups)]
+        before += re.compile(shape).groups
+    return f"^(?:{'|'.join(shapes)}){_TIME}", "-".join(parts)
 
 
-def _parse(col, shapes: list[tuple[str, Column]]) -> Column:
-    s = F.lower(F.trim(_c(col).cast("string")))
-    day = F.lit(None).cast("string")
-    for shape, order in reversed(shapes):
-        day = F.when(s.rlike(shape), F.regexp_replace(s, F.lit(shape), order)).otherwise(day)
-    parts = F.split(day, "-")
-    year, month = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+def _parse(col, pattern: str, order: Column) -> Column:
+    text = F.trim(_c(col).cast("string"))
+    s = F.lower(text)
+    day = F.when(s.rlike(pattern), F.regexp_replace(s, F.lit(pattern), order))
     # A year of two digits lies between 1969 and 2068.
-    century = F.when(F.length(year) > 2, F.lit("")).when(year >= "69", F.lit("19")).otherwise(F.lit("20"))
+    day = F.regexp_replace(F.regexp_replace(day, "^(69|[7-9][0-9])-", "19$1-"), "^([0-9]{2})-", "20$1-")
     names = F.create_map(*(F.lit(x) for i, name in enumerate(MONTHS) for n in {name, name[:3]} for x in (n, str(i + 1))))
-    number = F.when(month.rlike("^[0-9]"), month).otherwise(F.try_element_at(names, month))
-    # The shapes leave four digits, then one or two and one or two: a cast reads them without a formatter for each row.
-    return F.concat(century, year, F.lit("-"), number, F.lit("-"), F.get(parts, F.lit(2))).try_cast("date")
+    # Applied to each part, this function over an array also keeps the projection out of whole-stage code: a cleaner's columns together
+    # make a method of more than 8,000 bytes there, which the JVM only interprets; a projection by itself is split into small ones.
+    number = F.transform(F.split(day, "-"), lambda part: F.when(part.rlike("^[0-9]"), part).otherwise(F.try_element_at(names, part)))
+    # The shapes leave four digits, then one or two and one or two: a cast reads them without a formatter for each row. So it
+    # does a plain 2024-01-05.
+    return F.when(text.rlike(_PLAIN), text).otherwise(F.array_join(number, "-", "?")).try_cast("date")
 
 
 def iso_date(col) -> Column:
@@ -101,16 +112,17 @@ def iso_date(col) -> Column:
 
 
 def calendar_columns(date_col) -> dict[str, Column]:
-    """The eight calendar attributes of a date (ISO week, English day name)."""
+    """The eight calendar attributes of a date (ISO week, English day name). The formatter is left with years of other than four digits."""
     d = _c(date_col)
+    year_month = F.concat(F.year(d).cast("string"), F.lit("-"), F.lpad(F.month(d).cast("string"), 2, "0"))
     return {
         "year": F.year(d),
         "month": F.month(d),
         "quarter": F.quarter(d),
         "iso_week": F.weekofyear(d),
-        "day_name": F.date_format(d, "EEEE"),
+        "day_name": F.get(F.array(*map(F.lit, DAYS)), F.weekday(d)),
         "day_of_year": F.dayofyear(d),
-        "year_month": F.date_format(d, "yyyy-MM"),
+        "year_month": F.when(F.year(d).between(1000, 9999), year_month).otherwise(F.date_format(d, "yyyy-MM")),
         "fiscal_year": F.year(d),
     }
 

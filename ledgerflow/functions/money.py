@@ -21,8 +21,9 @@ def parse_amount(col) -> Column:
     """
     s = F.replace(_c(col).cast("string"), F.lit(","), F.lit("."))
     s = F.regexp_replace(s, r"[^0-9.\-]+", "")
-    # Digits past those that are kept are cut, not rounded: rounding happens once, when a fact is stored.
-    return F.regexp_replace(s, r"(\.[0-9]{6})[0-9]+$", "$1").try_cast(MONEY)
+    # Digits past those that are kept are cut, not rounded: rounding happens once, when a fact is stored. Less than eight
+    # characters hold no seventh decimal.
+    return F.when(F.length(s) < 8, s).otherwise(F.regexp_replace(s, r"(\.[0-9]{6})[0-9]+$", "$1")).try_cast(MONEY)
 
 
 def signed_amount(amount, txn_type, rule: str = "abs") -> Column:

@@ -91,30 +91,39 @@ def raw_ordered(spark, sf_dir) -> DataFrame:
     return _memo(spark, sf_dir, "raw", lambda: materialize(B.ledger_raw(spark, sf_dir, ordinal=True)))
 
 
+LEDGER_YEAR = "ledger_year"  # folders of the cleaned rows: the year of a valid row, one more folder for the rejected ones
+
+
+def _cleaned_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        rows = C.clean_ledger(raw_ordered(spark, sf_dir), with_copies=True)
+        return materialize(rows.withColumn(LEDGER_YEAR, F.when(F.size("reasons") == 0, F.col("year"))), partition_by=[LEDGER_YEAR])
+    return _memo(spark, sf_dir, "cleaned", build)
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaning job's output: every deduplicated upload row, parsed, with its
     copy count and rejection reasons. Written once per session; the valid ledger,
     the rejected rows and the quality counters all read it."""
-    return _memo(spark, sf_dir, "cleaned",
-                 lambda: materialize(C.clean_ledger(raw_ordered(spark, sf_dir), with_copies=True)))
+    return mark_stored(_cleaned_by_year(spark, sf_dir).drop(LEDGER_YEAR))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored cleaned ledger: valid rows of the test-data upload.
 
-    Written once per session to the checkpoint folder (the cleaning job's output
-    table); reports and loads read it, as the application's reports read the
+    The cleaning job writes it once per session to the checkpoint folder, valid rows by their year and apart from the
+    rejected ones; reports and loads read it, as the application's reports read the
     stored transactions rather than re-cleaning the upload.
     """
     return ledger_ordered(spark, sf_dir).select(*C.CLEAN_COLUMNS)
 
 
 def ledger_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored cleaned ledger with each row's place in the upload ("first seen" is decided by it)."""
-    def build():
-        valid, _ = C.split_valid(cleaned(spark, sf_dir))
-        return materialize(valid.select(*C.CLEAN_COLUMNS, C.ORDINAL), partition_by=["year"])
-    return _memo(spark, sf_dir, "ledger", build)
+    """The stored cleaned ledger with each row's place in the upload ("first seen" is decided by it). Its folders are those
+    of the valid rows, so that the year of a row is the name of its folder and no second copy of the rows is written."""
+    valid, _ = C.split_valid(_cleaned_by_year(spark, sf_dir))
+    valid = valid.where(F.col(LEDGER_YEAR).isNotNull()).withColumn("year", F.col(LEDGER_YEAR))
+    return mark_stored(valid.select(*C.CLEAN_COLUMNS, C.ORDINAL))
 
 
 def first_upload(spark, sf_dir) -> DataFrame:
