@@ -36,7 +36,9 @@ def signed_amount(amount, txn_type, rule: str = "abs") -> Column:
     """
     a, t = _c(amount), _c(txn_type)
     if rule == "abs":
-        is_expense = F.lower(F.trim(F.coalesce(t, F.lit("")))).isin(*EXPENSE_TYPES)
+        # The usual spellings are known without lower-casing, which is slow for text with accents.
+        text = F.coalesce(t, F.lit(""))
+        is_expense = text.isin(*EXPENSE_TYPES, *(e.capitalize() for e in EXPENSE_TYPES)) | F.lower(F.trim(text)).isin(*EXPENSE_TYPES)
         return F.when(a.isNull(), F.lit(None).cast(MONEY)) \
             .when(is_expense, -F.abs(a)).otherwise(F.abs(a)).cast(MONEY)
     if rule == "legacy":
