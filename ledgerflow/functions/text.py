@@ -14,6 +14,7 @@ _WS = r"(?U)[\s\x{1c}-\x{1f}]+"
 # Text that collapsing leaves as it is: visible characters with single blanks between them. No whitespace lies in the two
 # ranges (U+0085, U+00A0 and U+1680 are outside), and plain ranges are matched faster than Unicode classes.
 _TIDY = r"^[!-~\x{a1}-\x{167f}]++(?: [!-~\x{a1}-\x{167f}]++)*+\z"
+_VISIBLE = r"(?U)[^\s\x{1c}-\x{1f}]"
 
 
 def _c(col) -> Column:
@@ -27,8 +28,13 @@ def collapse_whitespace(col) -> Column:
 
 
 def normalize_text(col) -> Column:
-    """Collapse whitespace runs to one space, trim, and turn empty into null."""
-    return F.nullif(collapse_whitespace(col), F.lit(""))
+    """Collapse whitespace runs to one space, trim, and turn empty into null.
+
+    Text is empty then if it has no visible character. Asked beforehand, this needs no second column for each text beside the row, as a
+    comparison of the collapsed text would.
+    """
+    s = _c(col).cast("string")
+    return F.when(s.rlike(_TIDY), s).when(s.rlike(_VISIBLE), F.trim(F.regexp_replace(s, _WS, " ")))
 
 
 def null_token(col) -> Column:

@@ -76,17 +76,28 @@ def drop_exact_duplicates(df: DataFrame, count_col: str | None = None) -> DataFr
     return df.groupBy(*values).agg(F.count(F.lit(1)).alias(count_col), *first)
 
 
+def has_required():
+    """Whether a parsed row has all values that a valid row must have."""
+    valid = F.lit(True)
+    for c in REQUIRED_VALUES:
+        valid = valid & F.col(c).isNotNull()
+    return valid
+
+
 def _reasons():
     """Missing required values, in declared order; empty for a valid row.
 
     Built from null tests, ``concat_ws`` and ``split`` (no higher-order function such
     as ``array_compact``), so the filter on it stays inside whole-stage codegen.
     """
-    valid = F.lit(True)
-    for c in REQUIRED_VALUES:
-        valid = valid & F.col(c).isNotNull()
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_VALUES])
-    return F.when(valid, F.array().cast("array<string>")).otherwise(F.split(missing, ","))
+    return F.when(has_required(), F.array().cast("array<string>")).otherwise(F.split(missing, ","))
+
+
+def derived_columns() -> dict:
+    """Columns of a cleaned row that follow from its other parsed values: signed amount, calendar and reasons. A table of cleaned rows need
+    not hold them; a reader computes those that it asks for."""
+    return {"signed_amount": signed_amount("amount", "txn_type"), **calendar_columns("txn_date"), "reasons": _reasons()}
 
 
 def parse_and_normalise(df: DataFrame, formats=DEFAULT_DATE_FORMATS, date=None) -> DataFrame:
@@ -102,9 +113,7 @@ def parse_and_normalise(df: DataFrame, formats=DEFAULT_DATE_FORMATS, date=None)
         **{c: normalize_text(c) for c in NORMALISED},
     })
     out = out.withColumn("expense_type", F.coalesce("expense_type", F.lit(EXPENSE_TYPE_DEFAULT)))
-    out = out.withColumn("signed_amount", signed_amount("amount", "txn_type"))
-    out = out.withColumns(calendar_columns("txn_date"))
-    out = out.withColumn("reasons", _reasons())
+    out = out.withColumns(derived_columns())
     extras = [c for c in df.columns if c not in CLEAN_COLUMNS and c not in ("date_raw", "amount_raw")]
     return out.select(*CLEAN_COLUMNS, *extras, "date_raw", "amount_raw", "reasons")
 
