@@ -43,3 +43,42 @@ def test_derived_columns_of_a_rejected_row(spark):
     raw = spark.createDataFrame([row], ", ".join(f"{c} string" for c in row))
     got = C.clean_ledger(raw, day_first=False).select("reasons", "year", F.col("signed_amount").cast("double")).first()
     assert tuple(got) == (["txn_date", "department"], None, 1.5)
+
+
+def test_records_with_line_ends_over_many_blocks(spark, tmpdir_path):
+    """Records of one line, of several and over several blocks, as the parser has them for whole files."""
+    from ledgerflow.sources.ledger_csv import read_ledger_csv
+
+    for name, shift in (("a", 0), ("b", 3)):
+        lines = ["x,y"]
+        for i in range(18):
+            k = (i + shift) % 6
+            lines.append({0: f"{i},plain", 1: f'{i},"two\nlines"', 2: f'"{i}","a ""q""\n\n, {"long " * 30}\nend"', 3: f'{i},"one, line"',
+                          4: f'{i},"{chr(10) * 40}"', 5: f'"{i}\n",z'}[k])
+        with open(f"{tmpdir_path}/{name}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write("\n".join(lines) + "\n")
+    want = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmpdir_path}/*.csv").collect()
+    for size in ("150", "128MB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = read_ledger_csv(spark, f"{tmpdir_path}/*.csv", ordinal=True).orderBy("ordinal").select("x", "y").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(got) == 36 and got == want
+
+
+def test_lines_are_dealt_by_block_once(spark, tmpdir_path):
+    from ledgerflow.sources.ledger_csv import read_records
+
+    with open(f"{tmpdir_path}/a.csv", "w", encoding="utf-8", newline="") as f:
+        f.write('x,y\n1,"a\nb"\n2,c\n3,"d\ne"\n')
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        records = read_records(spark, [f"{tmpdir_path}/a.csv"], True, False, ["x", "y"])
+        plan = records._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        assert sorted((r._r.x, r._r.y) for r in records.collect()) == [("1", "a\nb"), ("2", "c"), ("3", "d\ne")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len([line for line in plan.splitlines() if "FileScan parquet" in line and "value#" in line]) == 1
