@@ -91,7 +91,7 @@ def raw_ordered(spark, sf_dir) -> DataFrame:
     return _memo(spark, sf_dir, "raw", lambda: materialize(B.ledger_raw(spark, sf_dir, ordinal=True)))
 
 
-LEDGER_YEAR = "ledger_year"  # folders of the cleaned rows: the year of a valid row, one more folder for the rejected ones
+LEDGER_YEAR = "year_folder"  # folders of the cleaned rows: the year of a valid row, one more folder for the rejected ones
 
 
 def _cleaned_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
