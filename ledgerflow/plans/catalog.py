@@ -96,7 +96,7 @@ LEDGER_YEAR = "year_folder"  # folders of the cleaned rows: the year of a valid
 
 def _cleaned_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned rows as they are stored, one folder a year. What follows from a row's other values (its calendar, the sign of its amount, its
-    reasons) is not written but computed when read, by the cleaner's own rules: two thirds of the columns, and most readers take few of them."""
+    reasons) is not written but computed when read, by the cleaner's own rules; most readers take few of these columns."""
     def build():
         rows = C.clean_ledger(raw_ordered(spark, sf_dir), with_copies=True)
         stored = rows.drop(*C.derived_columns()).withColumn(LEDGER_YEAR, F.when(C.has_required(), F.year("txn_date")))
