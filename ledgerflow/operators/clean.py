@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.calendar import DEFAULT_DATE_FORMATS, calendar_columns, date_formats, day_first_by, detect_day_first, iso_date, parse_date, parse_date_by
 from ledgerflow.functions.money import parse_amount, signed_amount
 from ledgerflow.functions.text import collapse_whitespace, normalize_text, null_tokens
+from ledgerflow.operators.joins import dimension_size
 from ledgerflow.schemas import (
     EXPENSE_TYPE_DEFAULT, LEDGER_CLEAN, MISSING_COLUMNS_MESSAGE, OPTIONAL_UPLOAD_TO_LEDGER, REQUIRED_COLUMNS,
     UPLOAD_TO_LEDGER,
 )
+from ledgerflow.session import is_stored, materialize
 
 # Text columns normalised by the cleaner, and the columns a valid row must have.
 NORMALISED = ["department_code", "department", "txn_type", "expense_type", "owner",
@@ -24,6 +26,8 @@ NORMALISED = ["department_code", "department", "txn_type", "expense_type", "owne
 REQUIRED_VALUES = ["txn_date", "amount", "department", "txn_type", "owner", "counterparty", "project"]
 CLEAN_COLUMNS = [f.name for f in LEDGER_CLEAN.fields]
 COPIES = "n_copies"
+# Bound on the hashes of repeated rows that are sent to every task (measured before).
+REPEATED_MAX_ROWS = 3_000_000
 # Place of a row in its upload, where the reader was asked for it.
 ORDINAL = "ordinal"
 
@@ -76,6 +80,24 @@ def drop_exact_duplicates(df: DataFrame, count_col: str | None = None) -> DataFr
     return df.groupBy(*values).agg(F.count(F.lit(1)).alias(count_col), *first)
 
 
+def drop_stored_duplicates(df: DataFrame, count_col: str) -> DataFrame:
+    """:func:`drop_exact_duplicates` of rows that can be read again, shuffling only those that may have a copy.
+
+    A first pass shuffles one hash of each row and keeps those found twice; rows of any other hash are certainly without
+    a copy and go on where they lie. Rows of a kept hash are compared whole, so the result is exact. If there
+    are too many kept hashes to send to every task, all rows are compared whole. A hash has ten bits more than the number of rows
+    asks for, so about one row in a thousand is compared without need.
+    """
+    values = [c for c in df.columns if c != ORDINAL]
+    hashed = F.shiftrightunsigned(F.xxhash64(*values), max(0, 64 - 10 - df.count().bit_length()))
+    repeated = materialize(df.groupBy(hashed.alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
+    if dimension_size(repeated)[0] > REPEATED_MAX_ROWS:
+        return drop_exact_duplicates(df, count_col)
+    kept, same = F.broadcast(repeated), hashed == F.col("_hash")  # at most REPEATED_MAX_ROWS numbers
+    alone = df.join(kept, same, "left_anti").withColumn(count_col, F.lit(1).cast("long"))
+    return alone.unionByName(drop_exact_duplicates(df.join(kept, same, "left_semi"), count_col))
+
+
 def has_required():
     """Whether a parsed row has all values that a valid row must have."""
     valid = F.lit(True)
@@ -133,7 +155,7 @@ def clean_ledger(raw: DataFrame, day_first: bool | None = None, with_copies: boo
     """
     formats = date_formats(detect_day_first(raw) if day_first is None else day_first)
     df = null_tokens(raw)
-    df = drop_exact_duplicates(df, COPIES)
+    df = drop_stored_duplicates(df, COPIES) if is_stored(raw) else drop_exact_duplicates(df, COPIES)
     out = parse_and_normalise(df, formats)
     out = out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
     return out if with_copies else out.drop(COPIES)
@@ -146,7 +168,8 @@ def clean_uploads(raw: DataFrame, upload: str = "upload") -> DataFrame:
     duplicates only within their file. Copies are counted, as ``with_copies`` does.
     """
     orders = day_first_by(raw, upload)
-    df = drop_exact_duplicates(null_tokens(raw), COPIES).join(F.broadcast(orders), upload)  # one row per file of a batch
+    df = drop_stored_duplicates(null_tokens(raw), COPIES) if is_stored(raw) else drop_exact_duplicates(null_tokens(raw), COPIES)
+    df = df.join(F.broadcast(orders), upload)  # one row per file of a batch
     out = parse_and_normalise(df, date=parse_date_by("date_raw", F.col("_day_first"))).drop("_day_first")
     return out.withColumn("reasons", F.when(F.col(COPIES) > 0, F.col("reasons")))
 

@@ -17,6 +17,7 @@ from ledgerflow.functions.calendar import calendar_columns
 from ledgerflow.functions.labels import counterparty_kind, department_id, expense_category
 from ledgerflow.operators.ids import assign_ids, first_per_key, next_id
 from ledgerflow.operators.joins import dim_join
+from ledgerflow.operators.places import places
 from ledgerflow.schemas import MONEY
 from ledgerflow.session import mark_stored, materialize
 
@@ -244,8 +245,14 @@ def facts_from_resolved(resolved: DataFrame, start=1, ordered: bool = True, fold
     ``ordered`` numbers in ledger order (one range shuffle of the facts, ids
     reproducible row by row); ``ordered=False`` numbers in partition order of the
     materialized input (no shuffle), for loads where only gap-free ids matter. ``folders``: where the facts
-    and their files' offsets are stored for good.
+    and their files' offsets are stored for good. Rows of :func:`places.place_rows` are dealt as they are, narrow.
     """
+    how = places(resolved)
+    if how is not None:
+        rows = resolved.where("resolved").drop(UPLOAD, "resolved")
+        kept = [*(F.col(c).cast("long").alias(c) for c in FACT_IDS), F.round("amount", 2).cast(MONEY).alias("amount"), how.signed().alias("signed_amount")]
+        numbered = assign_ids(rows, how.order() if ordered else None, "transaction_id", start, stored=kept, folders=folders, dealt=how.with_ids)
+        return mark_stored(numbered.select("transaction_id", *FACT_COLUMNS))
     first = [UPLOAD] if UPLOAD in resolved.columns else []  # several files are numbered one after another
     rows = resolved.where(F.col("resolved")).select(
         *first, *LEDGER_ORDER[:-3], "department_code", *[F.col(c).cast("long").alias(c) for c in FACT_IDS],

@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.calendar import calendar_columns
 from ledgerflow.operators import clean as C
 from ledgerflow.operators import refresh as R
 from ledgerflow.operators import star as St
 from ledgerflow.operators import store as K
+from ledgerflow.operators.places import place_rows
 from ledgerflow.session import mark_stored, materialize
 
 
@@ -57,14 +57,13 @@ def rebuild_star(ledger: DataFrame) -> Star:
     """
     ledger = materialize(ledger)
     dims = materialize_all(St.build_dimensions(ledger))
-    resolved = St.resolve_keys(ledger, dims, strict=False, owner_by_name=True)
-    return Star(dims, St.facts_from_resolved(resolved, 1))
+    return Star(dims, St.facts_from_resolved(place_rows(ledger, dims, strict=False, owner_by_name=True), 1))
 
 
 @dataclass
 class LoadResult:
     star: Star
-    resolved: DataFrame  # cleaned valid rows with their ids and a ``resolved`` flag, without the calendar of their date
+    resolved: DataFrame  # cleaned valid rows as places in their dimensions (``places.place_rows``), with a ``resolved`` flag
     members: dict[str, DataFrame]  # what the load added to the dimensions
 
 
@@ -86,8 +85,7 @@ def load_upload(star: Star, ledger: DataFrame, replace: bool = True,
     (name, department), or one per name with ``("owner",)``."""
     ledger = materialize(ledger)
     dims, members = extend_dimensions(star.dims, ledger, owner_key)
-    rows = ledger.drop(*calendar_columns("txn_date"))  # dim_date has them: no join carries them along
-    resolved = materialize(St.resolve_keys(rows, dims, strict=True, owner_by_name=owner_key == ("owner",)))  # the load, an append and the counters read it
+    resolved = place_rows(ledger, dims, strict=True, owner_by_name=owner_key == ("owner",))  # the load, an append and the counters read it
     facts = St.load_facts(star.facts, resolved, replace=replace)  # the new rows are stored once, the old ones stay where they are
     return LoadResult(Star(dims, facts), resolved, members)
 

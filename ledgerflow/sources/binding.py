@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.joins import DIM_BROADCAST_MAX_BYTES, DIM_BROADCAST_MAX_ROWS, dimension_size
 from ledgerflow.sources.tables import read_table
 
 def ledger_raw(spark: SparkSession, sf_dir: str, ordinal: bool = False) -> DataFrame:
@@ -19,17 +20,18 @@ def ledger_raw(spark: SparkSession, sf_dir: str, ordinal: bool = False) -> DataF
     ``ordinal`` adds the place of a row in the upload, which lists line items by order and line
     (so not by date), a repeated row right behind its original.
 
-    Join order: the line items, the biggest input, meet part and supplier while they are
-    narrow (AQE broadcasts these only when their measured size is small), and only what a row shows is carried on; their
+    Join order: the line items, the biggest input, meet part (and supplier, unless its measured size is small enough for it to be sent to
+    every task at the end) while they are narrow, and only what a row shows is carried on; their
     orders, joined to customer and the 25-row nation table first (nation is broadcast: its size
     is fixed by definition), come last.
     Exact duplicates are injected with ``explode`` in the same pass instead of a
     second scan and a union.
     """
-    spent = F.coalesce(F.col("l_returnflag") != "N", F.lit(True))  # an expense shows part and supplier, a revenue its customer
+    # An expense shows part and supplier, a revenue (0) its customer. Amount and kind of a line are numbers while it is shuffled.
+    flag, spent = F.col("l_returnflag"), F.col("l_kind") != 0
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
-        "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("l_amount"),
+        F.when(flag == "N", 0).when(flag == "A", 1).otherwise(2).cast("byte").alias("l_kind"), F.col("l_shipdate").cast("date").alias("l_shipdate"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -40,17 +42,20 @@ def ledger_raw(spark: SparkSession, sf_dir: str, ordinal: bool = False) -> DataF
            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
            .select("o_orderkey", "c_name", "n_nationkey", "n_name"))
     narrow = li.join(part, li.l_partkey == part.p_partkey).drop("l_partkey", "p_partkey").withColumn("p_type", F.when(spent, F.col("p_type")))
-    narrow = narrow.join(supplier, narrow.l_suppkey == supplier.s_suppkey).drop("l_suppkey", "s_suppkey").withColumn("s_name", F.when(spent, F.col("s_name")))
+    suppliers, size = dimension_size(supplier)
+    few = suppliers <= DIM_BROADCAST_MAX_ROWS and size <= DIM_BROADCAST_MAX_BYTES
+    if not few:
+        narrow = narrow.join(supplier, narrow.l_suppkey == supplier.s_suppkey).drop("l_suppkey", "s_suppkey").withColumn("s_name", F.when(spent, F.col("s_name")))
     # Line items x orders is a fact-to-fact join: a shuffle join on the order key at every scale, whose tasks hash their part of the
     # orders and sort nothing. Left to size estimates, a small test set makes the
     # planner broadcast the line items and stream single-file orders in one task.
     base = narrow.join(ocn.hint("shuffle_hash"), narrow.l_orderkey == ocn.o_orderkey)
+    if few:
+        base = base.join(F.broadcast(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
 
     k, ln = F.col("l_orderkey"), F.col("l_linenumber")
-    amt = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    tt = (F.when(F.col("l_returnflag") == "N", F.lit("Revenu"))
-          .when(F.col("l_returnflag") == "A", F.lit("Dépense"))
-          .otherwise(F.lit("depense")))
+    amt = F.col("l_amount").cast("string")
+    tt = F.when(F.col("l_kind") == 0, F.lit("Revenu")).when(F.col("l_kind") == 1, F.lit("Dépense")).otherwise(F.lit("depense"))
     nn = F.col("n_name")
     dirty = base.select(
         F.when(k % 89 == 0, F.lit("pas une date"))
