@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import clean as C
+from ledgerflow.operators import history as H
 from ledgerflow.operators import joins
 from ledgerflow.operators import star as St
 from ledgerflow.operators.ids import first_per_key
@@ -110,6 +111,14 @@ def test_uploads_are_numbered_where_they_are_read(spark, tmpdir_path):
     assert not any("_row" in f for f in read_uploads(spark, paths).rows.columns)
 
 
+def test_first_rows_of_each_import(spark):
+    rows = [(u, d, k) for u in (0, 1) for d in (None, "b", "a") for k in range(3)] + [(2, "z", 1)]
+    df = spark.createDataFrame(rows, "u int, d string, k int")
+    data = {r["u"]: r["data"] for r in H.audit_data_by(df, "u", ["d", "k"], ["d", "k"], "/f", 4).collect()}
+    shown = '[{"d":null,"k":0},{"d":null,"k":1},{"d":null,"k":2},{"d":"a","k":0}]'
+    assert [shown in data[u] for u in (0, 1)] == [True, True] and '"rows_count":9' in data[1] and '"rows_count":1' in data[2]
+
+
 def test_folders_are_written_without_a_sort(spark):
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     df = spark.range(0, 2_000, 1, 2).withColumn("f", (F.col("id") % 40).cast("int"))  # more folders than open files
