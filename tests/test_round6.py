@@ -125,3 +125,26 @@ def test_folders_are_written_without_a_sort(spark):
     out = materialize(df, partition_by=["f"])
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_the_upload_keeps_days_and_numbers_of_its_lines(spark, tmpdir_path):
+    """Which are one number while lines are shuffled, nulls and far values included."""
+    import datetime as dt
+
+    from ledgerflow.sources import binding as B
+
+    lines = [(1, 1, 1, 1, 2.5, "N", dt.datetime(2024, 1, 5)), (1, 1, 1, None, 3.0, "A", dt.datetime(1, 1, 1)), (1, 1, 1, -(1 << 31), None, "R", None),
+             (1, 1, 1, (1 << 31) - 1, 1.005, None, dt.datetime(9999, 12, 31)), (1, 1, 1, 2, 7.0, "N", dt.datetime(1969, 12, 31, 23))]
+    tables = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, "
+                                  "l_shipdate timestamp"),
+              "orders": ([(1, 1)], "o_orderkey long, o_custkey long"), "customer": ([(1, "C", 0)], "c_custkey long, c_name string, c_nationkey int"),
+              "nation": ([(0, "N_0")], "n_nationkey int, n_name string"), "supplier": ([(1, "S")], "s_suppkey long, s_name string"),
+              "part": ([(1, "T", "B")], "p_partkey long, p_type string, p_brand string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmpdir_path}/{name}")
+    few = B.ledger_raw(spark, tmpdir_path, ordinal=True)
+    got = few.select("date_raw", "txn_type", "expense_type", "amount_raw", "counterparty", "ordinal")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("2024-01-05", "Revenu", None, "€ 2.50", "C", 19), ("0001-01-01", "Dépense", "T", "3.00", "S", None),
+        (None, "depense", "T", None, "S", (8 - (1 << 31)) * 2 + 1), ("9999-12-31", "depense", "T", "1.01", "S", (8 + (1 << 31) - 1) * 2 + 1),
+        ("1969-12-31", "Revenu", None, "-7.00 $", "C", 21)], key=str)
