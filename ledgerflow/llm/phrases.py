@@ -113,7 +113,7 @@ def heavy_words(texts: DataFrame, buckets: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"word": pa.array([*kept.tolist(), None], pa.int64()),
                                               "n": pa.array([*some.values(), total], pa.int64())})
 
-    counts = materialize(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = materialize(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), compression=None)
     total = counts.where(F.col("word").isNull()).select("n").scalar()
     rows = counts.where(F.col("word").isNotNull() & (F.col("n") * F.lit(buckets) >= total)).select("word").collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).astype(np.uint64))
@@ -303,7 +303,7 @@ def phrase_counts(df: DataFrame, min_count: int, lang_col: str = "lang", text_co
               .repartition("bucket").sortWithinPartitions("bucket"))
     counts = (routed.mapInArrow(add_up, "lang string, words int, phrase string, n long")
               .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")))
-    return materialize(counts.where((F.col("words") == 0) | (F.col("n") >= min_count)))
+    return materialize(counts.where((F.col("words") == 0) | (F.col("n") >= min_count)), compression=None)
 
 
 def _part(phrase, start, n):

@@ -62,7 +62,7 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     order = [F.asc_nulls_first("doc_id"), F.col("text_crc32"), F.col("size"), F.col("tie")]
     ranged = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = StructType([*ranged.schema.fields, StructField("before", LongType()), StructField("place", LongType())])
-    stored = materialize(ranged.mapInArrow(_running, schema))
+    stored = materialize(ranged.mapInArrow(_running, schema), compression=None)
     totals = stored.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     everything = Window.partitionBy()
